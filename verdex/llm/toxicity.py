@@ -1,11 +1,12 @@
 """Operator 10: maximum-scoring passages over token log-odds, calibrated by extreme-value theory.
 
-Learning counts every token (a word, or a word's beginning of 4 to 6 characters
-with a mark) in all labelled texts, by label.  A token's score is its log-odds
-ratio under a Dirichlet prior that expects equal rates; only tokens seen in at
-least ``max(MIN_COUNT, SUPPORT * toxic tokens)`` places keep a score of their own,
-so the table has at most ``4 / SUPPORT`` rows at any size of the corpus.  All other
-tokens score ``-DRIFT``, which makes a random text's expected score negative.
+Learning counts, by label, in how many labelled texts each token stands; a token
+is a word, or a word's beginning of 4 to 6 characters with a mark.  A token's score
+is its log-odds ratio under a Dirichlet prior that expects equal rates; only tokens
+seen in at least ``max(MIN_COUNT, SUPPORT * toxic places)`` toxic texts, with a
+score of ``LEAST`` or more, keep it, so the table has at most ``4 / SUPPORT`` rows
+at any size of the corpus.  All other tokens score ``-DRIFT``, which makes a random
+text's expected score negative.
 
 Scoring finds all maximal scoring segments (Ruzzo and Tompa) in linear time.  For
 scores of that kind the best segment of a chance text follows an extreme-value
@@ -39,9 +40,9 @@ from verdex.llm.common import append_columns, slices
 WORDS = regex.compile(r"\w+")
 MIN_COUNT = 3
 SUPPORT = 2e-5
-PRIOR = 10.0
+PRIOR = 4.0
 DRIFT = 0.7
-LEAST = 1.0
+LEAST = 2.0
 CACHED_WORDS = 400_000
 FLUSH_TOKENS = 200_000
 PREFIXES = (4, 5, 6)
@@ -143,7 +144,7 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
 
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             for half, text, label in zip(*(part.column(i).to_pylist() for i in range(3))):
-                held.setdefault((half, label), Counter()).update(WORDS.findall(text.lower()))
+                held.setdefault((half, label), Counter()).update(set(WORDS.findall(text.lower())))
             if sum(map(len, held.values())) > FLUSH_TOKENS:
                 yield flush()
         yield flush()

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Upper bound on the text bytes that a Python worker turns into objects at once.
 CHUNK_BYTES = 1 << 20
+#: Rows of ids and small numbers that may be broadcast (some 30 MB in memory); counted before each use.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if counted to be at most ``limit`` narrow rows; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32(id as text) mod ``modulus``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

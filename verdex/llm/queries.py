@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, langid, quality, tokencount, toxicity
-from verdex.llm.common import fold, table
+from verdex.llm import bpe, langid, minhash, quality, tokencount, toxicity
+from verdex.llm.common import fold, if_small, table
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
     """Texts with labels outside the held-out fold; one label for each doc_id."""
-    marks = table(spark, sf_dir, "labels").where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.where(fold("doc_id", modulus) != held).select("doc_id", "text").join(marks, "doc_id")
+    marks = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold("doc_id", modulus) != held))
+    marks = marks.groupBy("doc_id").agg(F.max(label).alias("label"))
+    return docs.where(fold("doc_id", modulus) != held).select("doc_id", "text").join(if_small(marks), "doc_id")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(labelled(spark, docs, sf_dir, "toxic", 3, 1), "text", "label", "doc_id")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_minhash": op6_minhash,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -24,20 +24,20 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns, slices
+from verdex.llm.common import append_columns, materialize, slices
 
-WORDS = regex.compile(r"\w+")
+WORDS = re.compile(r"\w+")
 MIN_COUNT = 3
 SUPPORT = 2e-5
 PRIOR = 4.0
@@ -121,35 +121,40 @@ class Scanner:
         return len(words), maximal_segments(np.fromiter(map(self.get, words), np.float64, len(words)))
 
 
-COUNTS = T.StructType([T.StructField("half", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
+NAMES = ("toxic0", "clean0", "toxic1", "clean1")
+COUNTS = T.StructType([T.StructField("token", T.StringType()), *(T.StructField(n, T.LongType()) for n in NAMES)])
 
 
 def count_tokens(labelled: DataFrame) -> DataFrame:
-    """(half, text, label) rows to counts by half and token; each task sums before the shuffle."""
+    """(half, text, label) rows to counts by token; each task sums before the shuffle.
+
+    The empty token has the totals over words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], Counter] = {}
+        held = [Counter() for _ in NAMES]
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            for half in (0, 1):
-                sums: dict[str, list[int]] = {}
-                for label in (0, 1):
-                    for word, n in held.pop((half, label), {}).items():
-                        for token in tokens_of(word):
-                            sums.setdefault(token, [0, 0])[1 - label] += n
-                rows.extend((half, t, a, b) for t, (a, b) in sums.items())
-            columns = list(zip(*rows)) if rows else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=COUNTS.names)
+            sums: dict[str, list[int]] = {"": [sum(c.values()) for c in held]}
+            for k, counter in enumerate(held):
+                for word, n in counter.items():
+                    for token in tokens_of(word):
+                        row = sums.get(token)
+                        if row is None:
+                            row = sums[token] = [0, 0, 0, 0]
+                        row[k] += n
+                counter.clear()
+            columns = list(zip(*sums.values()))
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=COUNTS.names)
 
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             for half, text, label in zip(*(part.column(i).to_pylist() for i in range(3))):
-                held.setdefault((half, label), Counter()).update(set(WORDS.findall(text.lower())))
-            if sum(map(len, held.values())) > FLUSH_TOKENS:
+                held[2 * half + 1 - label].update(set(WORDS.findall(text.lower())))
+            if sum(map(len, held)) > FLUSH_TOKENS:
                 yield flush()
         yield flush()
 
-    return labelled.mapInArrow(run, COUNTS).groupBy("half", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return labelled.mapInArrow(run, COUNTS).groupBy("token").agg(*[F.sum(n).alias(n) for n in NAMES])
 
 
 def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
@@ -161,24 +166,24 @@ def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float) ->
 
 def tables(counts: DataFrame) -> list[dict[str, float]]:
     """Score tables of half 0, of half 1 and of both."""
-    totals = {r["half"]: (r["t"], r["c"]) for r in counts.where(~F.col("token").endswith("*")).groupBy("half").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
-    sums = [totals.get(0, (0, 0)), totals.get(1, (0, 0))]
+    counts = materialize(counts.where((F.col("token") == "") | (F.col("toxic0") + F.col("toxic1") >= MIN_COUNT)), "tokens")
+    totals = counts.where(F.col("token") == "").first()
+    sums = [(totals["toxic0"], totals["clean0"]), (totals["toxic1"], totals["clean1"])] if totals else [(0, 0), (0, 0)]
     sums.append((sums[0][0] + sums[1][0], sums[0][1] + sums[1][1]))
-    wide = counts.groupBy("token").agg(*[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")])
-    wide = wide.withColumn("toxic2", F.col("toxic0") + F.col("toxic1")).withColumn("clean2", F.col("clean0") + F.col("clean1"))
-    least = [max(MIN_COUNT, SUPPORT * sums[k][0]) if k == 2 else max(2, SUPPORT * sums[k][0]) for k in range(3)]
-    # A token needs its support, and a rate among toxic texts of e times the clean rate at least.
+    least = [max(2, SUPPORT * sums[0][0]), max(2, SUPPORT * sums[1][0]), max(MIN_COUNT, SUPPORT * sums[2][0])]
+    wide = counts.where(F.col("token") != "").withColumns({"toxic2": F.col("toxic0") + F.col("toxic1"), "clean2": F.col("clean0") + F.col("clean1")})
+    # Only tokens that can reach the least score travel: support, and twice the clean rate.
     good = F.lit(False)
-    for k in range(3):
-        if sums[k][0] and sums[k][1]:
-            good = good | ((F.col(f"toxic{k}") >= least[k]) & (F.col(f"toxic{k}") * sums[k][1] >= F.col(f"clean{k}") * sums[k][0] * 2))
+    for k, (toxic, clean) in enumerate(sums):
+        if toxic and clean:
+            good = good | ((F.col(f"toxic{k}") >= least[k]) & (F.col(f"toxic{k}") * F.lit(clean).cast("double") >= F.col(f"clean{k}") * F.lit(toxic).cast("double") * 2))
     rows = wide.where(good).collect()
     out: list[dict[str, float]] = []
-    for k in range(3):
+    for k, (toxic, clean) in enumerate(sums):
         table = {}
-        if sums[k][0] and sums[k][1]:
+        if toxic and clean:
             for r in rows:
-                if r[f"toxic{k}"] >= least[k] and (s := log_odds(r[f"toxic{k}"], r[f"clean{k}"], *sums[k])) >= LEAST:
+                if r[f"toxic{k}"] >= least[k] and (s := log_odds(r[f"toxic{k}"], r[f"clean{k}"], toxic, clean)) >= LEAST:
                     table[r["token"]] = s
         out.append(table)
     return out
@@ -228,8 +233,6 @@ def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
             ys, ns, segs = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array([max(s, default=0.0) for s in segs], pa.float64()), pa.array(segs, pa.list_(pa.float64())), pa.array(maps, pa.map_(pa.float64(), pa.int64()))], names=SCANNED.names)
 
-    from verdex.llm.common import materialize
-
     scanned = materialize(rows.mapInArrow(scan, SCANNED), "toxicity")
     rates = {r["s"]: r["n"] for r in scanned.select(F.explode("rates").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()}
     decay = solve_decay(rates)

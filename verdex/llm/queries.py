@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, langid, minhash, quality, tokencount, toxicity
+from verdex.llm import bpe, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
 from verdex.llm.common import fold, if_small, table
 
 
@@ -49,6 +49,16 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmlextract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, keep=["page_id"]).drop("pattern")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(labelled(spark, docs, sf_dir, "toxic", 3, 1), "text", "label", "doc_id")
@@ -62,7 +72,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
+    "op8_html_extract": op8_html_extract,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Site rules as (rule, verdict), longest first, for the oracle.
+_RULES = sorted(((r.name, r.verdict) for r in urlfilter.SITE_RULES), key=lambda r: (-len(r[0]), r[0]))
+
+
+def _fits(rule: str) -> str:
+    host, slash, path = rule.partition("/")
+    return f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{slash + path}')"
+
+
+_OP9 = f"""
+with parts as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+), ruled as (
+  select page_id, host, path, case {" ".join(f"when {_fits(r)} then '{r}'" for r, _ in _RULES)} end as rule from split
+)
+select page_id, host, path, rule,
+  case {" ".join(f"when rule = '{r}' then '{v}'" for r, v in _RULES)}
+    when regexp_matches(host, '(^|[.-])({"|".join(urlfilter.BLOCKED_WORDS)})([.:-]|$)') then 'block' else 'allow' end as verdict
+from ruled
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}

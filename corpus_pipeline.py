@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdex.llm import bpe, quality, toxicity
-from verdex.llm.common import materialize, table
+from verdex.llm import bpe, decontam, minhash, quality, toxicity
+from verdex.llm.common import if_small, materialize, table
 from verdex.llm.queries import labelled
 
 
@@ -23,6 +24,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("quality_predicted = 1").select(*docs.columns)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates; of a repeated row one stays."""
+    groups = minhash.near_duplicates(docs)
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "again")
+    if repeated.isEmpty():
+        return left
+    twice = left.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, F.col("doc_id") == F.col("again"), "left_anti").unionByName(twice)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), out="benchmark_matches")
+    return found.where(F.size("benchmark_matches") == 0).select(*docs.columns)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, and the bytes they decode to."""
     return bpe.decode(bpe.encode(docs, keep=["doc_id"]), keep=["doc_id", "n_tokens", "ids"])
@@ -31,6 +50,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", keep_quality),
+    ("minhash", drop_copies),
+    ("decontamination", drop_contaminated),
     ("bpe", tokenize),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
+from verdex.llm import bpe, decontam, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
 from verdex.llm.common import fold, if_small, table
 
 
@@ -49,6 +49,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    found = decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = htmlextract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,

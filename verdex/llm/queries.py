@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, decontam, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
+from verdex.llm import bpe, decontam, embeddedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
 from verdex.llm.common import fold, if_small, table
 
 
@@ -25,6 +25,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, model, keep=["doc_id", "held_out"])
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = tokencount.redaction_edits(tokencount.build(docs)).withColumn("n_tokens_before", F.col("n_tokens"))
@@ -74,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,

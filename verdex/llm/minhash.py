@@ -11,8 +11,9 @@ form a band; with 40 bands of 6 a pair at similarity 0.8 goes unseen with probab
 Links are confirmed on the full sets.  Components need no list of all pairs of a
 bucket: first every member of a bucket meets the bucket's smallest member.  Only
 where that leaves a bucket in several components, the members outside the smallest
-member's component meet all members of other components, so no link between
-different components is lost, and a bucket of copies costs one pair a member.
+member's component meet all members of other components (as pairs in small buckets,
+block by block inside tasks in large ones), so no link between different
+components is lost, and a bucket of copies costs one pair a member.
 
 Defined results: a null or blank text has an empty set and links with nothing.
 Rows that repeat a doc_id are one document whose texts can each link.  Rows with a
@@ -37,8 +38,12 @@ from verdex.llm.components import components
 
 BANDS = 40
 ROWS = 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CACHED_SETS = 128
+#: Buckets of up to so many members are compared as pairs of rows; larger ones in
+#: blocks of members inside tasks.  Both ways compare the same pairs on full sets.
+PAIR_MEMBERS = 32
+BLOCK_MEMBERS = 512
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -144,8 +149,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
 
     ``docs`` has (doc_id, text); of several texts of an id the one whose set was meant counts.
     """
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    docs = materialize(docs.join(if_small(ids), "doc_id", "left_semi"), "texts")
+    docs = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs)
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b", "text_a", "text_b")
@@ -179,6 +183,80 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return rows.mapInArrow(run, CONFIRMED)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) rows of the given ids."""
+    ids = materialize(ids.distinct(), "ids")
+    return materialize(docs.join(if_small(ids), "doc_id", "left_semi"), "texts")
+
+
+def between(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components in large buckets: (band, size, node, label, minor) to a spanning forest.
+
+    Members travel with their full sets to pairs of blocks.  A task counts one minor
+    member's intersections with a whole block through an inverted index, and
+    returns only links that join components it has not joined yet.
+    """
+    members = materialize(members, "large")
+    if members.isEmpty():
+        return docs.sparkSession.createDataFrame([], CONFIRMED)
+    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "set_a"), "node"), "wanted")
+    texts = texts_of(wanted.select(F.col("node").alias("doc_id")), docs)
+
+    def make():
+        shingler = Shingler(shingle)
+
+        def apply(values: list) -> list[pa.Array]:
+            with np.errstate(over="ignore"):
+                found = [shingler.hashes(t) for t in values]
+                return [pa.array([h.tobytes() for h in found], pa.binary()), pa.array([int(np.add.reduce(h).astype(np.int64)) for h in found], pa.int64())]
+
+        return apply
+
+    sets = append_columns(texts, make, [T.StructField("set", T.BinaryType()), T.StructField("set_a", T.LongType())], on="text", keep=["doc_id"])
+    sets = materialize(sets.withColumnRenamed("doc_id", "node").join(wanted, ["node", "set_a"], "left_semi").dropDuplicates(["node", "set_a"]), "sets")
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "minor").join(sets.select("node", "set"), "node")
+
+    def join_components(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, label, minor, own = (table.column(c).to_numpy() for c in ("node", "label", "minor", "own"))
+        held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        lengths = np.array([len(h) for h in held])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        links = []
+        for left, right in ((i, j), (j, i))[: 1 if i == j else 2]:
+            few, many = np.flatnonzero((own == left) & minor), np.flatnonzero(own == right)
+            if not len(few) or not len(many):
+                continue
+            flat = np.concatenate([held[m] for m in many])
+            owner = np.repeat(np.arange(len(many)), lengths[many])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for a in few:
+                low, high = np.searchsorted(flat, held[a], "left"), np.searchsorted(flat, held[a], "right")
+                size = high - low
+                at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both = np.bincount(owner[at], minlength=len(many))
+                near = 100 * both >= percent * (lengths[a] + lengths[many] - both)
+                for b in many[near]:
+                    x, y = find(int(label[a])), find(int(label[b]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(node[a]), int(node[b])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("band", "i", "j").applyInArrow(join_components, CONFIRMED)
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -222,15 +300,19 @@ def near_duplicates(
     label = labels.select("node", "component")
     known = members.join(heads.select("band"), "band", "left_semi").join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
     known = materialize(known, "known")
-    mixed = materialize(known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "mixed")
+    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    mixed = materialize(mixed.where("low <> high").select("band", "size"), "mixed")
     if not mixed.isEmpty():
         major = heads.join(mixed, "band").withColumnRenamed("head", "node").join(label, "node", "left")
-        major = materialize(major.select("band", F.col("node").alias("head"), F.coalesce("component", "node").alias("major")), "major")
-        around = materialize(known.join(major, "band").where("node <> head"), "around")
-        minor = materialize(around.where("label <> major").select("band", F.col("node").alias("a"), F.col("label").alias("label_a")), "minor")
+        major = materialize(major.select("band", "size", F.col("node").alias("head"), F.coalesce("component", "node").alias("major")), "major")
+        around = known.join(major, "band").where("node <> head")
+        around = materialize(around.select("band", "size", "node", "label", (F.col("label") != F.col("major")).alias("minor")), "around")
+        few = around.where(F.col("size") <= PAIR_MEMBERS)
+        minor = materialize(few.where("minor").select("band", F.col("node").alias("a"), F.col("label").alias("label_a")), "minor")
         # Two minor members would meet twice, so they keep one order.
-        cross = minor.join(around.select("band", F.col("node").alias("b"), "label", "major"), "band").where("label_a <> label and (label = major or a < b)")
-        more = tested(cross)
+        cross = minor.join(few.select("band", F.col("node").alias("b"), "label", "minor"), "band").where("label_a <> label and (not minor or a < b)")
+        more = tested(cross).unionByName(between(around.where(F.col("size") > PAIR_MEMBERS), nodes, readable, shingle, percent))
+        more = materialize(more, "more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     # Rows find their set's node, and nodes their component.

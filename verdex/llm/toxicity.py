@@ -43,8 +43,8 @@ SUPPORT = 2e-5
 PRIOR = 4.0
 DRIFT = 0.7
 LEAST = 2.0
-CACHED_WORDS = 400_000
-FLUSH_TOKENS = 200_000
+CACHED_WORDS = 200_000
+FLUSH_TOKENS = 40_000
 PREFIXES = (4, 5, 6)
 #: Bins of the calibration's evidence.
 BINS, BIN = 400, 0.1

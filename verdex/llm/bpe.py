@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from verdex.llm.common import append_columns
 
 LEAF_BYTES = 24
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 NEVER = 1 << 60
 
 

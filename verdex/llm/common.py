@@ -7,6 +7,8 @@ has a column of that name (in any letter case), the operator's column replaces i
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Upper bound on the text bytes that a Python worker turns into objects at once.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch (the default of 10,000 texts is some hundred MB with its copies).
+BATCH_ROWS = 1_000
 #: Rows of ids and small numbers that may be broadcast (some 30 MB in memory); counted before each use.
 BROADCAST_ROWS = 1_000_000
 
@@ -66,6 +70,33 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` with bounded memory.
+
+    Batches have at most ``BATCH_ROWS`` rows, and a worker, which is reused, gives
+    back what a task has freed.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, size_of: int | None, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that column ``size_of`` has about ``limit`` bytes a slice."""
     if size_of is None or batch.num_rows == 0:
@@ -111,4 +142,4 @@ def append_columns(
                 made = apply(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in where), *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

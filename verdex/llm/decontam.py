@@ -39,7 +39,7 @@ WORDS = re.compile(r"\w+")
 RADIUS = 20
 BLOCKS = 8
 BLOCK_WORDS = 1_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 SCREEN_BITS = 20
 #: Window starts that are fingerprinted at once.
 SPAN = 4096

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import materialize
+from verdex.llm.common import map_batches, materialize
 from verdex.llm.components import components
 
 RECALL = 0.9999
@@ -172,8 +172,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                         [pa.array(keys.ravel()), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), part.column(0).take(pick), part.column(2).take(pick), part.column(1).take(pick)], names=dealt.names
                     )
 
-    boxed = nodes.select("node", "vector", "weight").mapInArrow(deal, dealt)
-    cells = nodes.select("node", "vector", "weight").mapInArrow(deal, dealt).select("cell").groupBy("cell").count().where("count > 1")
+    boxed = map_batches(nodes.select("node", "vector", "weight"), deal, dealt)
+    cells = boxed.select("cell").groupBy("cell").count().where("count > 1")
     cells = materialize(cells.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "cells")
     boxed = boxed.join(cells, "cell").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     # A row meets its own block and every other once: (own, j) and (i, own).

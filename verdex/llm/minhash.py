@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns, if_small, materialize, slices
+from verdex.llm.common import append_columns, if_small, map_batches, materialize, slices
 from verdex.llm.components import components
 
 BANDS = 40
 ROWS = 6
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 CACHED_SETS = 128
 #: Buckets of up to so many members are compared as pairs of rows; larger ones in
 #: blocks of members inside tasks.  Both ways compare the same pairs on full sets.
@@ -180,7 +180,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
                 a, b = zip(*found) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, CONFIRMED)
+    return map_batches(rows, run, CONFIRMED)
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ TOKENS = regex.compile(r"\w+|[^\w\s]+")
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 24_000_000
 BITS = 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 REPEATED = 0x5851F42D4C957F2D
 
@@ -51,31 +51,26 @@ class Features:
         self.shift = np.uint64(64 - bits)
         self.get = WordHashes().__getitem__
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of all n-grams, and how many belong to each text."""
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; then for all words in a row: unigram, bigram with the next word, is there a next word?"""
         find, get = TOKENS.findall, self.get
         words = [find(t) if t else [] for t in texts]
         counts = np.array([len(w) for w in words], dtype=np.int64)
         flat = [x for w in words for x in w]
         n = len(flat)
-        if not n:
-            return np.empty(0, np.int64), counts
         exact = np.fromiter(map(get, flat), np.uint64, n)
         folded = np.fromiter(map(get, map(str.lower, flat)), np.uint64, n)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        same_text = owner[1:] == owner[:-1]
+        goes_on = np.ones(n, bool)
+        goes_on[np.cumsum(counts)[counts > 0] - 1] = False
         again = np.zeros(n, bool)
-        again[1:] = (folded[1:] == folded[:-1]) & same_text
+        again[1:] = (folded[1:] == folded[:-1]) & goes_on[:-1]
         exact[again] = np.uint64(REPEATED)
+        after = np.zeros(n, np.uint64)
+        after[:-1] = exact[1:]
         with np.errstate(over="ignore"):
             single = (exact * MIX) >> self.shift
-            pairs = ((exact[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + exact[1:]) * MIX) >> self.shift
-        index = np.empty(2 * n - 1, np.int64)
-        index[0::2] = single
-        index[1::2] = np.where(same_text, pairs, single[:-1])  # across texts: the single again, to keep strides even
-        per_text = np.where(counts > 0, 2 * counts, 0)
-        per_text[np.flatnonzero(counts)[-1]] -= 1
-        return index, per_text
+            pairs = ((exact * np.uint64(0xC2B2AE3D27D4EB4F) + after) * MIX) >> self.shift
+        return counts, single.astype(np.int64), pairs.astype(np.int64), goes_on
 
 
 @dataclass
@@ -88,12 +83,13 @@ class Model:
         features = Features(self.bits)
 
         def score(texts: list) -> np.ndarray:
-            index, counts = features(texts)
+            counts, single, pairs, goes_on = features(texts)
             total = np.zeros(len(texts))
             full = np.flatnonzero(counts)
             if len(full):
+                each = self.weights[single].astype(np.float64) + np.where(goes_on, self.weights[pairs], 0.0)
                 starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-                total[full] = np.add.reduceat(self.weights[index].astype(np.float64), starts) / counts[full]
+                total[full] = np.add.reduceat(each, starts) / (2 * counts[full] - 1)
             return 1.0 / (1.0 + np.exp(-np.clip(self.bias + SCALE * total, -35, 35)))
 
         return score
@@ -139,7 +135,8 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 3,
     features, trainer = Features(bits), Trainer(bits)
     rows = []
     for text, label in zip(texts, labels):
-        index, _ = features([text])
+        _, single, pairs, goes_on = features([text])
+        index = np.concatenate([single, pairs[goes_on]])
         at, count = np.unique(index, return_counts=True)
         values = SCALE * count / max(1, len(index))
         rows.append((np.append(at, 1 << bits), np.append(values, 1.0), label))

@@ -32,7 +32,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = tokencount.redaction_edits(tokencount.build(docs)).withColumn("n_tokens_before", F.col("n_tokens"))
-    counted = tokencount.update(trees, keep=["doc_id", "n_tokens_before", "edits"])
+    counted = tokencount.update(trees, keep=["doc_id", "n_tokens_before", "edits", "n_tokens", "n_chars_reencoded"])
     return counted.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.size("edits").cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"), "n_chars_reencoded")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from verdex.llm.bpe import CACHED_PIECES, Encoder, default_pattern, default_vocabulary, read_ranks
-from verdex.llm.common import append_columns, slices, without
+from verdex.llm.common import append_columns, map_batches, slices, without
 
 LEAF_PIECES = 64
 FAN_OUT = 16
@@ -35,6 +35,7 @@ FAN_OUT = 16
 CONTEXT = 1
 
 EDITS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("inserted", T.StringType())]))
+KINDS = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
 STATE = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
 
 
@@ -177,11 +178,18 @@ def update(
     pattern: str | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Apply each row's edits to its text and tree; adds how many characters were encoded again."""
+    """Apply each row's edits to its text and tree; adds how many characters were encoded again.
+
+    ``keep`` names the columns to return, of the input's and of those that change.
+    """
     words, cut = read_ranks(vocabulary or default_vocabulary()), pattern or default_pattern()
     changed = [T.StructField(text, T.StringType()), *STATE, T.StructField(reencoded, T.LongType())]
     source = without(state, [reencoded])
-    carried = [c for c in (source.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in changed}]
+    if keep is not None:
+        wanted_names = {c.lower() for c in keep}
+        changed = [f for f in changed if f.name.lower() in wanted_names]
+    own = {text.lower(), reencoded.lower(), *(f.name for f in STATE)}
+    carried = [c for c in (source.columns if keep is None else keep) if c.lower() not in own]
     given = [*carried, text, "leaf_chars", "leaf_tokens", edits]
     source = source.select(*[source[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(given)])
     schema = T.StructType([*(T.StructField(c, source.schema[i].dataType) for i, c in enumerate(carried)), *changed])
@@ -193,16 +201,19 @@ def update(
             rows = []
             for value, chars, tokens, wanted in zip(*(part.column(n + k).to_pylist() for k in range(4))):
                 value, again = value or "", 0
+                if not wanted:
+                    rows.append((value, chars or [], tokens or [], sum(tokens or []), 0))
+                    continue
                 tree = SumTree(chars or [], tokens or [])
                 for e in sorted(wanted or [], key=lambda e: -(e["at"] or 0)):
                     value, more = counter.edit(value, tree, e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
                     again += more
                 rows.append((value, tree.chars[0], tree.tokens[0], tree.total(), again))
             columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+            made = dict(zip([text, "leaf_chars", "leaf_tokens", "n_tokens", reencoded], zip(columns, KINDS)))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(*made[f.name]) for f in changed)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 #: Fixed patterns of what the redaction edits replace, and with what.

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns, materialize, slices
+from verdex.llm.common import append_columns, map_batches, materialize, slices
 
 WORDS = re.compile(r"\w+")
 MIN_COUNT = 3
@@ -43,7 +43,7 @@ SUPPORT = 2e-5
 PRIOR = 4.0
 DRIFT = 0.7
 LEAST = 2.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 FLUSH_TOKENS = 40_000
 PREFIXES = (4, 5, 6)
 #: Bins of the calibration's evidence.
@@ -154,7 +154,7 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return labelled.mapInArrow(run, COUNTS).groupBy("token").agg(*[F.sum(n).alias(n) for n in NAMES])
+    return map_batches(labelled, run, COUNTS).groupBy("token").agg(*[F.sum(n).alias(n) for n in NAMES])
 
 
 def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
@@ -233,7 +233,7 @@ def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
             ys, ns, segs = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array([max(s, default=0.0) for s in segs], pa.float64()), pa.array(segs, pa.list_(pa.float64())), pa.array(maps, pa.map_(pa.float64(), pa.int64()))], names=SCANNED.names)
 
-    scanned = materialize(rows.mapInArrow(scan, SCANNED), "toxicity")
+    scanned = materialize(map_batches(rows, scan, SCANNED), "toxicity")
     rates = {r["s"]: r["n"] for r in scanned.select(F.explode("rates").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()}
     decay = solve_decay(rates)
     # K from the mean of the clean texts' maxima: for a Gumbel law, E[max] = (log(K n) + gamma) / lambda.

@@ -37,8 +37,8 @@ from verdex.llm.common import map_batches, materialize
 from verdex.llm.components import components
 
 RECALL = 0.9999
-PROJECTIONS = 48
-CELL_ROWS = 64
+PROJECTIONS = 32
+CELL_ROWS = 384
 BLOCK_ROWS = 512
 #: Cell width in distances at the threshold.
 CELL_WIDTH = 4.0

@@ -115,4 +115,33 @@ select page_id, host, path, rule,
 from ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}
+#: The smallest id reachable over links (a, b), which has both directions and is named ``links``.
+_REACH = """
+reach(id, other) as (
+  select id, id from nodes union select reach.id, links.b from reach join links on links.a = reach.other
+), components as (select id, min(other) as component_id from reach group by id)
+"""
+
+_OP6 = f"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '') as ws from documents
+), sets as (
+  select doc_id, case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as shingles from words
+), each as (select doc_id, unnest(shingles) as shingle from sets),
+common as (select l.doc_id as a, r.doc_id as b, count(*) as n from each l join each r on l.shingle = r.shingle and l.doc_id <> r.doc_id group by 1, 2),
+links as (select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 80 * (len(x.shingles) + len(y.shingles) - n)),
+nodes as (select doc_id as id from documents), {_REACH}
+select doc_id, cast(len(shingles) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join components on id = doc_id
+"""
+
+_OP2 = f"""
+with recursive vectors as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (select x.vec_id as a, y.vec_id as b from vectors x join vectors y on x.vec_id <> y.vec_id and len(x.v) = len(y.v) and list_cosine_similarity(x.v, y.v) >= 0.95),
+nodes as (select vec_id as id from embeddings), {_REACH},
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join components on id = vec_id left join counts on a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op9_url_filter": _OP9}

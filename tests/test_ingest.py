@@ -107,3 +107,27 @@ def test_stream(spark, tmp_path):
     running = symbol_counts(spark, f"{out}/symbols").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     running.awaitTermination(120)
     assert {r["symbol_type"]: r["n"] for r in spark.table("counts").collect()} == {"ivar": 1, "instance_method": 1}
+
+
+def test_pack_places(spark):
+    """Bodies of a shard follow each other; a pack ends where its next body would start beyond the target."""
+    import hashlib
+
+    from verdex.plans.ingest import pack_places
+
+    sizes = {f"k{i:03d}": (i * 37) % 90 + 1 for i in range(200)}
+    frame = spark.createDataFrame([(1, k, n) for k, n in sizes.items()], "version_num long, blob_key string, byte_size long")
+    got = {r["blob_key"]: (r["pack_object_key"], r["pack_offset"], r["pack_length"]) for r in pack_places(frame, shards=3, pack_bytes=500).collect()}
+    at, first = {}, {}
+    for key in sorted(sizes):
+        shard = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big") % 3
+        start = at.get(shard, 0)
+        at[shard] = start + sizes[key]
+        begin = first.setdefault((shard, start // 500), start)
+        assert got[key] == (f"packs/v000001/s{shard:03d}/p{start // 500 + 1:09d}.bin", start - begin, sizes[key])
+
+
+def test_range_reads(spark):
+    objects = spark.createDataFrame([("o", bytearray(b"abcdef"))], "pack_object_key string, body binary")
+    refs = spark.createDataFrame([("o", 2, 3), ("o", 0, 0)], "pack_object_key string, pack_offset long, pack_length long")
+    assert sorted(bytes(r["body"]) for r in search.read_range(objects, refs).collect()) == [b"", b"cde"]

@@ -331,14 +331,14 @@ def _imports(spark, sf_dir):
     return view.resolve_imports(files, here).select("version_num", "absolute_path", "line_no", "token", "target", "linked")
 
 
-@query("utf8_repair")
+@query("utf8_repair", "select doc_id, chr(65533) || text || chr(65533) as text from documents")
 def _utf8(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     broken = F.concat(F.lit(bytes([0xE2, 0x82])), F.col("text").cast("binary"), F.lit(bytes([0xFF])))
     return docs.select("doc_id", text.repair_utf8(broken).alias("text"))
 
 
-@query("macho_detect")
+@query("macho_detect", "select p_partkey, (p_partkey % 4 = 0 and p_size % 2 = 0) or (p_partkey % 4 = 1 and p_size % 2 = 1) is_executable from part")
 def _macho(spark, sf_dir):
     magic = F.element_at(F.array(*[F.unhex(F.lit(m)) for m in ["CFFAEDFE", "FEEDFACF", "7F454C46", "CAFEBABE"]]), (F.col("p_partkey") % 4 + 1).cast("int"))
     kind = F.unhex(F.when(F.col("p_size") % 2 == 0, "02000000").otherwise("00000002"))

@@ -140,5 +140,5 @@ def test_sample_is_bounded(spark):
     rows = spark.range(20_000).selectExpr("id", "'w' as text", "cast(id % 2 as int) as label")
     from pyspark.sql import functions as F
 
-    assert 800 < quality.hash_sample(rows, "id", 1000, F.lit(1)).count() < 1200
-    assert quality.hash_sample(rows.limit(50), "id", 1000, F.lit(1)).count() == 50
+    assert 800 < quality.hash_sample(rows, "id", [(F.lit(1), 1000)]).count() < 1200
+    assert quality.hash_sample(rows.limit(50), "id", [(F.lit(1), 1000), (F.length("text"), 60)]).count() == 50

@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from verdex.llm.common import append_columns
 
 LEAF_BYTES = 24
-CACHED_PIECES = 250_000
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 100_000
 NEVER = 1 << 60
 
 
@@ -116,7 +117,7 @@ class Encoder:
         key = (left, right)
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > CACHED_PIECES:
+            if len(self._stable) > CACHED_PAIRS:
                 self._stable.clear()
             known = self._stable[key] = self.merge(self.vocabulary[left] + self.vocabulary[right]) == [left, right]
         return known

@@ -27,6 +27,10 @@ BATCH_ROWS = 1_000
 BROADCAST_ROWS = 1_000_000
 
 
+#: Paths of the tables written by ``materialize``.
+WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +54,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     exchange directly above a scan, which adaptive execution can split when skewed.
     """
     path = f"{shared_dir(df.sparkSession)}/verdex-{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,6 +64,13 @@ def if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove the tables that this process has written; results that still read them fail afterwards."""
+    while WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32(id as text) mod ``modulus``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,7 +6,7 @@ repetition is a feature of its own.  Unigrams and bigrams are hashed into a fixe
 number of weights; a text's value for a feature is its share of the text's
 n-grams, so the score is a sparse dot product: the mean weight of the n-grams.
 
-``train`` reads at most about ``sample_rows`` labelled rows (a hash of the id picks
+``train`` reads a bounded sample of labelled rows (a hash of the id picks
 them, so every source and size is treated alike); scoring covers every whole text.
 Texts that are null or without tokens get the score of the bias alone.
 """
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 from verdex.llm.common import append_columns
 
 TOKENS = regex.compile(r"\w+|[^\w\s]+")
+#: Bounds of the sample of labelled rows that ``train`` fits on: rows and characters.
 SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 12_000_000
 BITS = 18
 CACHED_WORDS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +140,7 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 3,
         index = np.concatenate([single, pairs[goes_on]])
         at, count = np.unique(index, return_counts=True)
         values = SCALE * count / max(1, len(index))
-        rows.append((np.append(at, 1 << bits), np.append(values, 1.0), label))
+        rows.append((np.append(at, 1 << bits).astype(np.int32), np.append(values, 1.0).astype(np.float32), label))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -148,21 +149,20 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 3,
     return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def hash_sample(rows: DataFrame, key: str, bound: int, weight: Column) -> DataFrame:
-    """About ``bound`` units of ``weight`` of the rows, picked by a hash of the key; all rows where they fit."""
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    if total <= bound:
+def hash_sample(rows: DataFrame, key: str, bounds: list[tuple[Column, int]]) -> DataFrame:
+    """Rows picked by a hash of the key so that each summed weight is about its bound at most; all rows where they fit."""
+    totals = rows.agg(*[F.sum(weight).alias(f"w{i}") for i, (weight, _) in enumerate(bounds)]).first()
+    share = min([1.0, *(bound / total for total, (_, bound) in zip(totals, bounds) if total)])
+    if share >= 1.0:
         return rows
-    share = int(bound / total * (1 << 31))
-    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(41)), F.lit(1 << 31)) < share)
+    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(41)), F.lit(1 << 31)) < int(share * (1 << 31)))
 
 
 def train(labelled: DataFrame, text: str, label: str, key: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on a bounded sample of labelled rows; rows without label count as none."""
+    """Fit on about ``sample_rows`` rows and ``sample_chars`` characters at most; rows without label count as none."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    # One bound for both: a row costs one unit, or more if its text is longer than the mean allowed.
-    cost = F.lit(1) + F.floor(F.length("text") * sample_rows / sample_chars)
-    got = hash_sample(rows, "key", 2 * sample_rows, cost).toPandas().sort_values(["key", "text"], kind="stable")
+    sample = hash_sample(rows, "key", [(F.lit(1), sample_rows), (F.length("text"), sample_chars)])
+    got = sample.toPandas().sort_values(["key", "text"], kind="stable")
     return fit(got["text"].tolist(), [int(x) for x in got["label"]])
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Dimension rows that may be broadcast; counted first, shuffled beyond.
-BROADCAST_ROWS = 500_000
+#: A dimension is broadcast up to this size by the optimizer's estimate; beyond it
+#: joins shuffle, unless adaptive execution finds the side small when it has run.
+BROADCAST_BYTES = 32 << 20
 
 
 def dimension(dim: DataFrame, key: str, columns: list[str], sized: bool = True) -> DataFrame:
@@ -16,8 +17,10 @@ def dimension(dim: DataFrame, key: str, columns: list[str], sized: bool = True)
     return broadcast_if_small(one) if sized else one
 
 
-def broadcast_if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+def broadcast_if_small(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark for broadcast what the plan's statistics bound: file sizes of scans, products for joins.  Runs no job."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(rows) if size <= limit else rows
 
 
 def inner(facts: DataFrame, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:

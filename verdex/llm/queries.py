@@ -144,4 +144,23 @@ counts as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join components on id = vec_id left join counts on a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op9_url_filter": _OP9}
+#: All windows that hold a shingle of an item, and the best of each document and item.
+_OP7 = r"""
+with doc_words as (select row_number() over () as row_id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as ws from documents),
+item_words as (select row_number() over () as row_id, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as ws from benchmark),
+items as (select row_id as item_row, item_id, len(ws) as size, least(5, len(ws)) as k, list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ')) as shingles from item_words where len(ws) > 0),
+docs as (select row_id as doc_row, doc_id, len(ws) as n, k, list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')) as shingles from doc_words, (select distinct k from items) where len(ws) >= k),
+doc_at as (select doc_row, k, unnest(shingles) as shingle, generate_subscripts(shingles, 1) - 1 as pos from docs),
+bags as (select item_row, shingle, count(*) as c from (select item_row, unnest(shingles) as shingle from items) group by 1, 2),
+hits as (select distinct doc_row, i.item_row, pos from doc_at d join bags b using (shingle) join items i on i.item_row = b.item_row and i.k = d.k),
+spans as (select h.doc_row, h.item_row, h.pos, d.n, i.size, least(i.size, d.n) as width, least(i.size, d.n) - i.k + 1 as span, i.k from hits h join items i using (item_row) join docs d on d.doc_row = h.doc_row and d.k = i.k),
+starts as (select distinct doc_row, item_row, width, span, k, unnest(range(greatest(pos - span + 1, 0), least(pos, n - width) + 1)) as first_word from spans),
+counted as (select s.doc_row, s.item_row, s.width, s.span, s.k, s.first_word, b.c as wanted, count(*) as c
+  from starts s join doc_at d on d.doc_row = s.doc_row and d.k = s.k and d.pos between s.first_word and s.first_word + s.span - 1 join bags b on b.item_row = s.item_row and b.shingle = d.shingle group by s.doc_row, s.item_row, s.width, s.span, s.k, s.first_word, b.shingle, b.c),
+met as (select doc_row, item_row, width, span, first_word, sum(least(wanted, c)) as both_ from counted group by all),
+scored as (select m.*, both_ / (m.span + len(i.shingles) - both_) as similarity from met m join items i using (item_row)),
+best as (select *, row_number() over (partition by doc_row, item_row order by similarity desc, first_word) as rn from scored where 100 * similarity >= 80 - 1e-9)
+select doc_id, item_id, similarity, cast(first_word as bigint) as first_word, cast(width as bigint) as n_words from best join (select distinct doc_row, doc_id from docs) using (doc_row) join items using (item_row) where rn = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}

@@ -46,7 +46,9 @@ def latest_for_path(c: Catalog, absolute_path: str) -> DataFrame:
 def latest_for_all_paths(c: Catalog) -> DataFrame:
     """The same for every path at once."""
     newest = lookups.known(c.file_instances, c.versions, "version_num").groupBy("path_id").agg(F.max("version_num").alias("version_num"))
-    return lookups.inner(lookups.inner(newest, c.versions, "version_num", ["version_id"]), c.paths, "path_id", ["absolute_path"]).select("version_num", "version_id", "path_id", "absolute_path")
+    # The upsert keeps one row a path, so the large dimension is joined as it is.
+    named = lookups.inner(newest, c.versions, "version_num", ["version_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
+    return named.select("version_num", "version_id", "path_id", "absolute_path")
 
 
 def file_content_ref(c: Catalog, version_num: int, absolute_path: str) -> DataFrame:

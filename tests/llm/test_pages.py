@@ -40,6 +40,27 @@ def test_hosts_without_article_elements(spark):
     assert extract(spark, rows) == {n: f"H{n}\nBody {n}." for n in range(4)}
 
 
+def test_boilerplate_in_unlisted_classes(spark):
+    page = '<body><div class="crumbs"><a>Home</a><ul><li>Trail<li>Start</ul></div><div class="post"><h1>Head {n}</h1><h2>Summary</h2><p>The body text of number {n}.<p>More on {n}.</div><div class="legalese">Rights reserved</div></body>'
+    other = '<body><div class="post"><h1>Head 9</h1><p>Rights reserved</div></body>'
+    kept = "Head {n}\nSummary\nThe body text of number {n}.\nMore on {n}."
+    rows = [(n, "http://plain.example/", page.format(n=n)) for n in range(6)] + [(9, "http://plain.example/", other)]
+    assert extract(spark, rows) == {n: kept.format(n=n) for n in range(6)} | {9: "Head 9\nRights reserved"}
+
+
+def test_crawls_of_one_article_keep_it(spark):
+    page = '<body><div class="post"><p>An article that is the same in all.</div><div class="views">{n}</div></body>'
+    rows = [(n, "http://again.example/", page.format(n=n)) for n in range(4)] + [(n, "http://copy.example/", page.format(n=1)) for n in range(4, 8)]
+    assert extract(spark, rows) == {n: f"An article that is the same in all.\n{n if n < 4 else 1}" for n in range(8)}
+
+
+def test_a_class_needs_size_and_support(spark):
+    page = '<body><div class="a">x{n}</div>{more}</body>'
+    rows = [(str(n), "http://h.example/", page.format(n=n, more="<h3>lone</h3>" * (n < 4) + "<div class=b><p>two</div>" * (n > 0) + "<h4>rare</h4>" * (n == 0))) for n in range(6)]
+    names = {r["token"].rpartition(">")[2] for r in htmlextract.classes(spark.createDataFrame(rows, "page string, url string, html string")).collect()}
+    assert names == {"body", "div.a", "div.b", "p"}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "http://x/", ""), (3, None, "just text &amp; more"), (4, "http://x/", "<script>only()"), (5, "http://x/", "<p>a<p>b</p></p>c"), (6, "http://x/", "<article>" + "<p>word " * 20_000), (7, "http://x/", "a < b and <3"), (8, "http://x/", "<p title='a>b'>kept</p>")]
     got = extract(spark, rows)

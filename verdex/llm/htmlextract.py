@@ -2,20 +2,25 @@
 
 A page is cut into tags and texts.  A token is a tag in its role: its element path
 with classes and ids.  Over the pages of a host each token has an occurrence
-vector, its number of occurrences page by page; tokens with equal vectors form an
-equivalence class.  Vectors are compared by (pages, occurrences, xor of hashed
-(page, count) pairs), so they are summed by partial aggregates and a hot host is
-no larger than another.  A class is valid if its tokens are on at least half of
-the host's pages that have a body, once each; valid classes nest by their paths into the
-host's template.  What stands between template tokens are slots, named by the
-innermost template token around them.
+vector; tokens that occur once a page and have equal vectors form an equivalence
+class.  Vectors are compared by their number of pages and the xor and sum of hashed pages,
+so they are summed by partial aggregates and a hot host is no larger than another.
+A class is valid if it has ``SIZE`` elements at least (the page itself is one) and is on
+at least half of the host's pages; valid classes nest by their paths into the host's
+template.  What stands between template tokens are slots.
+
+The texts of a role on a page are a token, too, if they are the same wherever the
+role occurs.  A slot whose element and all texts, at any depth, are in one class
+belongs to the template and holds no data.
 
 Of the slots those are extracted that hold the article: if the template has an
-``article`` or ``main`` token, those in it, else all; without slots whose tags or
-class names stand for menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments.  Texts are never template tokens: a text that many pages share
-is extracted on each.  A page whose host's template does not fit (none of its
-article tokens is on the page) is its own template.
+``article`` or ``main`` token, those in it, else all that hold data.  A container's
+slot without data is left out there only if its text is shorter than the text that
+varies on a page, so that crawls of one article with another counter keep it; a
+heading or paragraph beside data is kept, though pages share it.  In addition slots
+are left out whose tags or class names stand for menus, headers, footers, sidebars,
+notices, adverts, forms or reader comments.  A page whose host's template does not fit
+(none of its article tokens is on the page, or no text is left) is its own template.
 
 Block-level tags end a block; inside a block white space becomes one space.
 Null and empty html give the empty text; null urls share one unnamed host.
@@ -62,6 +67,10 @@ AROUND = {
 ARTICLE = {"article", "main"}
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+#: Elements that can be a whole part of a page; their slots can be left out.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", "address", "details", "figure"}
+#: Elements that a valid class has at least.
+SIZE = 2
 #: Tags that end an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "body", "article", "div", "section"}
@@ -160,9 +169,17 @@ class Parser:
                 stack.append(made)
 
 
-def blocks(parser: Parser, html: str, slots: set[str] | None) -> list[str]:
-    """Texts of the blocks in extracted slots; ``slots`` are template tokens that hold the article, None: the page's own."""
-    parts: list[tuple[bool, bool, str]] = []
+def within(path: str, slots: set[str]) -> bool:
+    return any(path == s or path.startswith(s + ">") for s in slots)
+
+
+def blocks(parser: Parser, html: str, slots: set[str] | None, fixed: set[str] = frozenset()) -> list[str]:
+    """Texts of the blocks in extracted slots.
+
+    ``slots`` are template tokens that hold the article, None: the page's own;
+    ``fixed`` are template tokens without data, left out where there is no article.
+    """
+    parts: list[tuple[bool, bool, bool, str]] = []
     inside = False
     piece: list[str] = []
     where: Element = ROOT
@@ -172,8 +189,8 @@ def blocks(parser: Parser, html: str, slots: set[str] | None) -> list[str]:
         if piece:
             text = SPACE.sub(" ", unescape("".join(piece))).strip()
             if text:
-                fits = where.article if slots is None else any(where.path == s or where.path.startswith(s + ">") for s in slots)
-                parts.append((where.dropped, fits, text))
+                fits = where.article if slots is None else within(where.path, slots)
+                parts.append((where.dropped, fits, within(where.path, fixed), text))
             piece = []
 
     for kind, value, around in parser.walk(html):
@@ -186,53 +203,125 @@ def blocks(parser: Parser, html: str, slots: set[str] | None) -> list[str]:
             where = around
             piece.append(value)
     end()
-    fitting = [t for dropped, fits, t in parts if fits and not dropped]
+    fitting = [t for dropped, fits, _, t in parts if fits and not dropped]
     if fitting or (slots is None and inside):
         return fitting
-    return blocks(parser, html, None) if slots is not None else [t for dropped, _, t in parts if not dropped]
+    if slots is not None:
+        return blocks(parser, html, None)
+    return [t for dropped, _, same, t in parts if not dropped and not same] or [t for dropped, _, _, t in parts if not dropped]
+
 
+TOKENS = T.StructType(
+    [
+        T.StructField("host", T.StringType()),
+        T.StructField("token", T.StringType()),
+        T.StructField("article", T.BooleanType()),
+        T.StructField("dropped", T.BooleanType()),
+        T.StructField("times", T.LongType()),
+        T.StructField("page", T.LongType()),
+        T.StructField("source", T.LongType()),
+        T.StructField("text", T.LongType()),
+        T.StructField("chars", T.LongType()),
+    ]
+)
+#: What tells occurrence vectors apart.
+VECTOR = ["pages", "vector", "weight"]
 
-TOKENS = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), T.StructField("article", T.BooleanType()), T.StructField("times", T.LongType()), T.StructField("vector", T.LongType())])
+
+def signed(value: str) -> int:
+    return xxhash.xxh64_intdigest(value) - (1 << 63)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(page, url, html) to one row for each page and distinct template-token candidate."""
+    """(page, url, html) to one row for each page and distinct role: how often it occurs, hash and length of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
         for part in itertools.chain.from_iterable(slices(b, 2) for b in batches):
             rows = []
             for page, url, html in zip(*(part.column(i).to_pylist() for i in range(3))):
-                host = split_url(url)[0]
+                host, html = split_url(url)[0], html or ""
                 seen: Counter = Counter()
-                article = {}
-                for kind, value, _ in parser.walk(html or ""):
-                    if kind == "tag" and value is not None:
+                roles = {"": ROOT}
+                texts: dict[str, list[str]] = {}
+                for kind, value, around in parser.walk(html):
+                    if kind == "text":
+                        if not value.isspace():
+                            texts.setdefault(around.path, []).append(value)
+                            roles.setdefault(around.path, around)
+                    elif value is not None:
                         seen[value.path] += 1
-                        article[value.path] = value.name in ARTICLE
+                        roles[value.path] = value
                 seen[""] = 1  # stands for the page
+                source = signed(html)
+                key = signed(f"{page}\0{url}\0{source}")
                 for path, times in seen.items():
-                    rows.append((host, path, article.get(path, False), times, xxhash.xxh64_intdigest(f"{page}\0{times}") - (1 << 63)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+                    text = "\0".join(" ".join(x.split()) for x in texts.get(path, ())) or None
+                    role = roles[path]
+                    rows.append((host, path, role.name in ARTICLE, role.dropped, times, key, source, signed(text) if text else None, len(text) if text else 0))
+            columns = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=TOKENS.names)
 
     return map_batches(pages, run, TOKENS)
 
 
+def roles(pages: DataFrame) -> DataFrame:
+    """One row for each host and role: its occurrence vector and whether its texts are ``fixed``, the same on all its pages."""
+    texts = F.count("text")
+    summed = tokens(pages).groupBy("host", "token").agg(
+        F.max("article").alias("article"),
+        F.min("dropped").alias("dropped"),
+        F.count(F.lit(1)).alias("pages"),
+        F.sum("times").alias("times"),
+        F.bit_xor("page").alias("vector"),
+        F.sum(F.col("page").bitwiseAND(0xFFFFFFFF)).alias("weight"),
+        (F.min("source") < F.max("source")).alias("differ"),
+        (texts > 0).alias("holds"),
+        ((texts == F.count(F.lit(1))) & (F.min("text") == F.max("text"))).alias("fixed"),
+        F.sum("chars").alias("chars"),
+    )
+    return materialize(summed, "roles")
+
+
+def valid(vectors: DataFrame, support: float) -> DataFrame:
+    """Tokens of valid equivalence classes, with ``class_size``."""
+    hosts = vectors.where("token = ''").select("host", F.col("pages").alias("host_pages"))
+    once = vectors.where("times = pages")
+    groups = once.groupBy("host", *VECTOR).agg(F.count(F.lit(1)).alias("class_size")).where(F.col("class_size") >= SIZE)
+    groups = groups.join(hosts, "host").where(F.col("pages") >= support * F.col("host_pages")).drop("host_pages")
+    return once.where("token <> ''").join(groups, ["host", *VECTOR])
+
+
 def classes(pages: DataFrame, support: float = 0.5) -> DataFrame:
     """(host, token, article, class_pages, class_size): tokens of valid equivalence classes."""
-    vectors = tokens(pages).groupBy("host", "token").agg(F.max("article").alias("article"), F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"))
-    vectors = materialize(vectors, "vectors")
-    hosts = vectors.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    groups = vectors.where("token <> '' and times = pages").groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("class_size"))
-    valid = groups.join(hosts, "host").where(F.col("pages") >= support * F.col("host_pages"))
-    return vectors.where("token <> '' and times = pages").join(valid.select("host", "pages", "vector", "class_size"), ["host", "pages", "vector"]).select("host", "token", "article", F.col("pages").alias("class_pages"), "class_size")
+    return valid(roles(pages), support).select("host", "token", "article", F.col("pages").alias("class_pages"), "class_size")
+
+
+def without_data(vectors: DataFrame, template: DataFrame) -> DataFrame:
+    """(host, token): containers of the template that share one class with all texts in them."""
+    texts = vectors.where("holds")
+    parts = F.split("token", ">")
+    around = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ">"))
+    nested = texts.where("token <> ''").select("host", F.explode(around).alias("token"), "fixed", "chars", F.struct(*VECTOR).alias("v"))
+    nested = nested.groupBy("host", "token").agg(F.bool_and("fixed").alias("fixed"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("chars").alias("held"))
+    nested = nested.where("fixed and low = high")
+    # Characters of data on a page, outside the parts that names stand for.
+    data = texts.where("not fixed and not dropped").groupBy("host").agg(F.sum("chars").alias("data"))
+    data = data.join(vectors.where("token = ''").select("host", F.col("pages").alias("host_pages")), "host")
+    data = data.select("host", (F.col("data") / F.col("host_pages")).alias("data"))
+    kind = F.substring_index(F.substring_index("token", ">", -1), ".", 1)
+    slots = template.where(F.col("differ") & kind.isin(*sorted(CONTAINERS))).select("host", "token", "pages", F.struct(*VECTOR).alias("own"))
+    return slots.join(nested, ["host", "token"]).where("own = low").join(data, "host").where("held / pages < data").select("host", "token")
 
 
 def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, slots): the outermost article tokens of each host's template."""
-    return classes(pages, support).where("article").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
+    """(host, slots, fixed): article tokens of each host's template; where there are none, its containers without data."""
+    vectors = roles(pages)
+    template = materialize(valid(vectors, support), "template")
+    slots = template.where("article").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
+    fixed = without_data(vectors, template).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed"))
+    return slots.join(fixed, "host", "full").select("host", "slots", F.when(F.col("slots").isNull(), F.col("fixed")).alias("fixed")).where("slots is not null or fixed is not null")
 
 
 def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", text: str = "text", support: float = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -242,7 +331,7 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
     key = F.coalesce(F.translate(F.regexp_extract(F.col(url), r"^(?s).*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != text.lower()]
     with_slots = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col(html).alias("h")).alias("__page"), key.alias("__host")).join(if_small(slots), "__host", "left")
-    packed = with_slots.select(*[F.col(f"`{c}`") for c in kept], F.concat(F.coalesce(F.concat_ws("\n", "slots"), F.lit("")), F.lit("\0"), F.coalesce(F.col("__page.h"), F.lit(""))).alias("__packed"))
+    packed = with_slots.select(*[F.col(f"`{c}`") for c in kept], F.concat(F.coalesce(F.concat_ws("\n", "slots"), F.lit("")), F.lit("\0"), F.coalesce(F.concat_ws("\n", "fixed"), F.lit("")), F.lit("\0"), F.coalesce(F.col("__page.h"), F.lit(""))).alias("__packed"))
 
     def make():
         parser = Parser()
@@ -250,8 +339,8 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
         def apply(values: list) -> list[pa.Array]:
             out = []
             for v in values:
-                roles, _, source = v.partition("\0")
-                out.append("\n".join(blocks(parser, source, set(roles.split("\n")) if roles else None)))
+                slots, fixed, source = v.split("\0", 2)
+                out.append("\n".join(blocks(parser, source, set(slots.split("\n")) if slots else None, set(fixed.split("\n")) if fixed else frozenset())))
             return [pa.array(out, pa.string())]
 
         return apply

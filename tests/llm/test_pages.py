@@ -61,6 +61,31 @@ def test_a_class_needs_size_and_support(spark):
     assert names == {"body", "div.a", "div.b", "p"}
 
 
+WRAPPERS = ['<div class="site has-sidebar">', '<div class="layout no-sidebar">', '<div id="page" class="with-banner">', '<div class="content ad-free">']
+
+
+def test_wrappers_whose_class_holds_a_listed_word(spark):
+    inner = '<div class="site-footer">f</div><div class="post-comments">c</div><div class="sidebar">s</div>'
+    rows = [(n, f"http://w{n}.example/", f"{w}<article><h1>Head</h1><p>Text.</p></article>{inner}</div>") for n, w in enumerate(WRAPPERS)]
+    rows += [(10 + n, f"http://v{n}.example/", f"{w}<div><h1>Head</h1><p>Text.</p></div>{inner}</div>") for n, w in enumerate(WRAPPERS)]
+    assert extract(spark, rows) == {r[0]: "Head\nText." for r in rows}
+
+
+def test_a_listed_part_around_the_article(spark):
+    around = {
+        1: '<div class="sidebar"><main><p>Text.</p><nav>n</nav></main></div>',
+        2: '<form id="aspnet"><header>h</header><article><p>Text.</p><div class="share">s</div></article></form>',
+        3: '<main>Home<div class="widget"><article><p>A text in a widget.</p></article></div></main>',
+        4: '<article class="post comments-open"><p>Text.</p></article><div class="related"><article>Tease</article></div>',
+        5: '<article><p>Text.</p></article><div class="related"><article>Teaser one, long</article><article>Teaser two, long</article></div>',
+        6: '<article><p>Text.</p></article><section id="comments"><article class="comment-body"><p>A reader wrote all of this.</p></article><article>Another reader</article></section>',
+        7: '<section id="comments"><article><p>reader</p></article></section><div hidden><article>h</article></div>',
+    }
+    rows = [(10 * n + k, f"http://a{n}.example/{k}", f"<body>{html}</body>") for n, html in around.items() for k in range(3)]
+    expected = {n: "Text." for n in around} | {3: "Home\nA text in a widget.", 7: ""}
+    assert extract(spark, rows) == {r[0]: expected[r[0] // 10] for r in rows}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "http://x/", ""), (3, None, "just text &amp; more"), (4, "http://x/", "<script>only()"), (5, "http://x/", "<p>a<p>b</p></p>c"), (6, "http://x/", "<article>" + "<p>word " * 20_000), (7, "http://x/", "a < b and <3"), (8, "http://x/", "<p title='a>b'>kept</p>")]
     got = extract(spark, rows)

@@ -19,7 +19,10 @@ slot without data is left out there only if its text is shorter than the text th
 varies on a page, so that crawls of one article with another counter keep it; a
 heading or paragraph beside data is kept, though pages share it.  In addition slots
 are left out whose tags or class names stand for menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments.  A page whose host's template does not fit
+notices, adverts, forms or reader comments; class names count as a whole.  A part so
+named around an article or main element does not take it along, unless it is hidden,
+holds comments or is a side part: the page has article text elsewhere, and the part
+holds several articles or a shorter one.  A page whose host's template does not fit
 (none of its article tokens is on the page, or no text is left) is its own template.
 
 Block-level tags end a block; inside a block white space becomes one space.
@@ -58,12 +61,20 @@ BLOCK = {
 #: Elements that never hold article text, wherever they stand; headers count outside articles alone.
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "object", "video", "audio", "head", "fieldset", "search"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-#: Words in classes and ids that stand for parts around the article.
+#: Words that make up classes and ids that stand for parts around the article.
 AROUND = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
     "sidebar", "aside", "widget", "related", "recommended", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup",
     "login", "search", "share", "sharing", "social", "comment", "comments", "respond", "disqus", "pagination", "pager", "copyright", "toolbar", "toc",
 }
+COMMENTS = {"comment", "comments", "respond", "disqus"}
+#: Words that may stand beside those in a name, as in site-footer; a name with any other word (has-sidebar, ad-free) stands for something else.
+BESIDE = {
+    "site", "page", "main", "top", "bottom", "left", "right", "upper", "lower", "primary", "secondary", "global", "local", "mobile", "desktop", "sticky", "header", "area", "bar", "block", "body", "box", "button", "buttons",
+    "column", "container", "div", "form", "group", "icons", "inner", "outer", "item", "items", "link", "links", "list", "module", "panel", "posts", "section", "slot", "text", "thread", "title", "unit", "wrap", "wrapper",
+}
+#: Beside a word of AROUND alone: the header of an entry is its title.
+ENTRY = {"post", "article", "entry", "story", "news"}
 ARTICLE = {"article", "main"}
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -76,38 +87,50 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"ul", "ol", "dl", "table", "select", "body", "article", "div", "section"}
 
 
+def stands_for(names: set[str], kinds: set[str], beside: set[str]) -> bool:
+    """Whether a whole class name or id is made of words of ``kinds`` and, at most, words ``beside`` them."""
+    return any(words & kinds and words <= kinds | beside for words in (set(WORDS.findall(n)) for n in names))
+
+
 class Element:
-    __slots__ = ("name", "path", "dropped", "article")
+    """``hidden``: never shown or reader comments; ``lost``: that, or dropped inside the innermost article around."""
+
+    __slots__ = ("name", "path", "dropped", "article", "hidden", "lost")
 
-    def __init__(self, name: str, path: str, dropped: bool, article: bool):
-        self.name, self.path, self.dropped, self.article = name, path, dropped, article
+    def __init__(self, name: str, path: str, dropped: bool, article: bool, hidden: bool, lost: bool):
+        self.name, self.path, self.dropped, self.article, self.hidden, self.lost = name, path, dropped, article, hidden, lost
 
 
-ROOT = Element("", "", False, False)
+ROOT = Element("", "", False, False, False, False)
 
 
 class Parser:
     """Elements with their role paths; inline elements have no part in a path."""
 
     def __init__(self) -> None:
-        self.roles: dict[tuple[str, str, bool, bool, str], Element] = {}
+        self.roles: dict[tuple[str, str, bool, bool, bool, bool, str], Element] = {}
 
     def open(self, parent: Element, name: str, attributes: str) -> Element:
-        key = (parent.path, name, parent.dropped, parent.article, attributes)
+        key = (parent.path, name, parent.dropped, parent.article, parent.hidden, parent.lost, attributes)
         made = self.roles.get(key)
         if made is None:
-            label, words, roles = name, set(), set()
+            label, names, roles = name, set(), set()
             for m in NAMED.finditer(attributes):
                 value = (m[2] or m[3] or m[4] or "").strip().lower()
                 if m[1].lower() == "role":
                     roles |= set(value.split())
                 else:
-                    words |= set(WORDS.findall(value))
+                    names |= set(value.split())
                     label += "." + "-".join(WORDS.findall(value))
-            article = parent.article or name in ARTICLE or bool(roles & ARTICLE)
-            around = bool(words & AROUND) and name not in ("body", "html") and not (name in ARTICLE and not words & {"comment", "comments"})
-            dropped = parent.dropped or name in DROPPED or bool(roles & ROLES) or around or (not parent.article and (name == "header" or "header" in words)) or bool(HIDDEN.search(attributes))
-            made = Element(name, f"{parent.path}>{label}", dropped, article)
+            own = name in ARTICLE or bool(roles & ARTICLE)
+            article = parent.article or own
+            comments = name not in ("body", "html") and stands_for(names, COMMENTS, BESIDE | ENTRY | AROUND)
+            around = comments or (name not in ("body", "html", *ARTICLE) and stands_for(names, AROUND, BESIDE | ENTRY))
+            hidden = name in RAW or bool(HIDDEN.search(attributes))
+            drops = name in DROPPED or bool(roles & ROLES) or around or (not parent.article and (name == "header" or stands_for(names, {"header"}, BESIDE))) or hidden
+            hidden = hidden or comments or parent.hidden
+            lost = hidden or (drops if own else article and (parent.lost or drops))
+            made = Element(name, f"{parent.path}>{label}", parent.dropped or drops, article, hidden, lost)
             if len(self.roles) > 50_000:
                 self.roles.clear()
             self.roles[key] = made
@@ -179,8 +202,9 @@ def blocks(parser: Parser, html: str, slots: set[str] | None, fixed: set[str] =
     ``slots`` are template tokens that hold the article, None: the page's own;
     ``fixed`` are template tokens without data, left out where there is no article.
     """
-    parts: list[tuple[bool, bool, bool, str]] = []
+    parts: list[tuple[Element, bool, bool, str]] = []
     inside = False
+    wrapped = 0  # articles in dropped parts
     piece: list[str] = []
     where: Element = ROOT
 
@@ -190,25 +214,30 @@ def blocks(parser: Parser, html: str, slots: set[str] | None, fixed: set[str] =
             text = SPACE.sub(" ", unescape("".join(piece))).strip()
             if text:
                 fits = where.article if slots is None else within(where.path, slots)
-                parts.append((where.dropped, fits, within(where.path, fixed), text))
+                parts.append((where, fits, within(where.path, fixed), text))
             piece = []
 
     for kind, value, around in parser.walk(html):
         if kind == "tag":
             end()
-            inside = inside or (isinstance(value, Element) and value.article)
+            if value is not None and value.article:
+                inside = True
+                wrapped += value.dropped and not value.lost and not (around.article and not around.lost)
         else:
             if piece and where is not around:
                 end()
             where = around
             piece.append(value)
     end()
-    fitting = [t for dropped, fits, _, t in parts if fits and not dropped]
+    clear = [t for e, fits, _, t in parts if fits and not e.dropped]
+    fitting = [t for e, fits, _, t in parts if fits and e.article and not e.lost] if wrapped else clear
+    if clear and wrapped and (wrapped > 1 or sum(map(len, fitting)) <= 2 * sum(map(len, clear))):
+        fitting = clear
     if fitting or (slots is None and inside):
         return fitting
     if slots is not None:
         return blocks(parser, html, None)
-    return [t for dropped, _, same, t in parts if not dropped and not same] or [t for dropped, _, _, t in parts if not dropped]
+    return [t for e, _, same, t in parts if not e.dropped and not same] or [t for e, _, _, t in parts if not e.dropped]
 
 
 TOKENS = T.StructType(

@@ -25,15 +25,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates; of a repeated row one stays."""
-    groups = minhash.near_duplicates(docs)
-    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    left = docs.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "again")
-    if repeated.isEmpty():
-        return left
-    twice = left.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("again"), "left_anti").unionByName(twice)
+    """Of each group of near-duplicate rows that with the smallest doc_id (null ids last); of a repeated row one stays."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        groups = minhash.near_duplicates(docs)
+        gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("gone")), "gone")
+        return docs.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    # Ids do not tell the rows apart, so each row is a document of its own.
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, doc_id="__row").withColumnRenamed("doc_id", "__row")
+    blank = F.col("n_shingles") == 0
+    again = F.when(blank, F.col("doc_id"))  # blank texts link with nothing: only the same id and text repeat
+    ranked = rows.select("__row", "doc_id", F.xxhash64("text").alias("hash"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("rank")).join(groups, "__row")
+    ranked = ranked.select("__row", "rank", again.alias("again"), F.when(again.isNotNull(), F.col("hash")).otherwise(F.col("component_id")).alias("group"))
+    kept = materialize(ranked.groupBy("again", "group").agg(F.min("rank").alias("rank")).select(F.col("rank.__row").alias("__row")), "kept")
+    gone = materialize(ranked.select("__row").join(if_small(kept), "__row", "left_anti"), "gone")
+    return rows.join(if_small(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_stages_take_odd_tables(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() <= len(rows)
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_copies_are_dropped_row_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, c), (0, c), (None, c), (None, d), (None, d), (7, ""), (7, ""), (7, None), (8, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, b), (0, c), (None, d), (7, ""), (7, None), (8, ""), (None, ""), (None, None)], key=repr)

@@ -95,6 +95,18 @@ def test_edits_count_like_a_fresh_count(encoder, monkeypatch, leaf, fan):
             assert sum(tree.chars[0]) == len(text) and all(sum(level) == len(text) for level in tree.chars)
 
 
+def test_edits_behind_a_leaf_that_looked_at_them(encoder, monkeypatch):
+    monkeypatch.setattr(tokencount, "LEAF_PIECES", 1)
+    counter = tokencount.Counter(encoder)
+    for text, inserted in [("x\n\na", "\n"), ("\n\na", "\n"), ("a  b", " "), ("we'l x", "l"), ("we'v", "e"), ("we'r\n", "e"), (" \n a", "\n\n")]:
+        for at in range(len(text) + 1):
+            for removed in range(len(text) - at + 1):
+                tree = counter.build(text)
+                new, _ = counter.edit(text, tree, at, removed, inserted)
+                assert new == text[:at] + inserted + text[at + removed :]
+                assert tree.tokens[0] == counter.build(new).tokens[0] and tree.chars[0] == counter.build(new).chars[0]
+
+
 def test_an_edit_encodes_little(encoder):
     text = "some words here " * 20_000
     counter = tokencount.Counter(encoder)

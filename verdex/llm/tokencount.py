@@ -3,9 +3,10 @@
 A document is cut into pre-tokens by the tokenizer's pattern.  Runs of pre-tokens
 form leaves that hold a number of characters and of tokens; a tree of sums stands
 on the leaves.  An edit replaces a range of characters.  Where a pre-token ends
-depends only on the text from its start to one character past its end, so:
+depends only on the text from its start to two characters past its end (white space
+leaves its last character to what follows, and contractions have two letters), so:
 
-* leaves whose end lies before the edit, with one character of context, stand;
+* leaves whose end lies before the edit, with two characters of context, stand;
 * from there the new text is cut again until a new pre-token boundary falls on an
   old leaf boundary behind the edit; from that point on everything stands.
 
@@ -34,8 +35,8 @@ LEAF_PIECES = 64
 #: Counted pre-tokens a worker remembers from task to task (some 120 MB).
 CACHED_PIECES = 1_000_000
 FAN_OUT = 16
-#: The pattern looks one character past the end of a pre-token.
-CONTEXT = 1
+#: The pattern looks two characters past the end of a pre-token; one's own must look no further.
+CONTEXT = 2
 
 EDITS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("inserted", T.StringType())]))
 KINDS = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]

@@ -181,6 +181,18 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert decontam.matches(frame.limit(0), bench).count() == 0
 
 
+def test_passages_before_a_repeated_word_are_found():
+    rng = random.Random(8)
+    items = [(i, " ".join(f"b{i}x{rng.randrange(9000)}" for _ in range(504))) for i in range(20)]
+    docs = [(i, " ".join(text.split()[:449] + ["again"] * 70)) for i, text in items]
+    items.append((60, "x y " * 20))
+    docs += [(60, "x y " * 100), (61, "x y " * 9 + "z " * 9 + "x y " * 18)]
+    got = decontam.Matcher(items, 5, 80)([t for _, t in docs])
+    expected = brute_matches(docs, items)
+    assert len(expected) >= 20
+    assert {(d, m["item_id"]): round(m["similarity"], 9) for (d, _), found in zip(docs, got) for m in found} == expected
+
+
 def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 256, (40, 8), dtype=np.uint8)

@@ -9,6 +9,11 @@ agree to 20 // 8 = 2 bits in at least one block, so the union of the blocks'
 neighbours misses none within the radius.  What is within the radius is verified
 by the exact similarity of weighted shingle sets, sum of minima / sum of maxima.
 
+The radius bounds no similarity: a shingle that a window repeats weighs on all bits.
+So windows with as many of an item's shingles as the threshold asks for are verified,
+too, however far their fingerprints are; sliding counts make that linear in the
+text.  Such windows are all that can reach the threshold, so no match is missed.
+
 A window without any shingle of the benchmark has similarity 0 to every item, so
 fingerprints are computed only for windows that hold one.  Shingles have
 ``shingle`` words, or all words of a shorter item.
@@ -21,6 +26,7 @@ matched each for itself; an item_id that repeats in a block counts once a row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -118,12 +124,16 @@ class Matcher:
                 k = min(shingle, len(words))
                 with np.errstate(over="ignore"):
                     groups.setdefault((k, len(words)), []).append((item, shingles(self.hash(words), k)))
-        #: By shingle length: the screen, and by window size the items.
-        self.sizes: dict[int, list[tuple[int, list[object], list[Counter], MultiIndex]]] = {}
+        #: By shingle length: the screen, and by window size the items and which of them hold a shingle.
+        self.sizes: dict[int, list[tuple[int, list[object], list[Counter], MultiIndex, dict[int, list[int]]]]] = {}
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for (k, size), members in sorted(groups.items()):
             prints = np.concatenate([packed(bit_sums(h)[-1:]) for _, h in members])
-            self.sizes.setdefault(k, []).append((size, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], MultiIndex(prints)))
+            holders: dict[int, list[int]] = {}
+            for i, (_, h) in enumerate(members):
+                for x in np.unique(h).tolist():
+                    holders.setdefault(x, []).append(i)
+            self.sizes.setdefault(k, []).append((size, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], MultiIndex(prints), holders))
         for k in self.sizes:
             every = np.unique(np.concatenate([h for (kk, _), members in groups.items() if kk == k for _, h in members]))
             screen = np.zeros(1 << SCREEN_BITS, bool)
@@ -157,9 +167,18 @@ class Matcher:
         return [sorted(f.values(), key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["first_word"])) for f in found]
 
     def search(self, own: np.ndarray, hits: np.ndarray, n: int, k: int, groups: list, found: dict) -> None:
-        for size, ids, bags, index in groups:
+        values = own[hits].tolist()
+        for size, ids, bags, index, holders in groups:
             width = min(size, n)  # words in a window
             span = width - k + 1  # shingles in a window
+
+            def meet(i: int, first: int, s: float) -> None:
+                """The best window counts, of equal ones the first."""
+                if 100 * s >= self.percent - 1e-9:
+                    held = found.get((k, size, i))
+                    if held is None or (s, -first) > (held["similarity"], -held["first_word"]):
+                        found[k, size, i] = {"item_id": ids[i], "similarity": s, "first_word": first, "n_words": width}
+
             # Starts of windows that hold a hit, as merged intervals.
             low, high = np.maximum(hits - span + 1, 0), np.minimum(hits, n - width)
             fits = low <= high
@@ -170,11 +189,43 @@ class Matcher:
                     windows = packed(sums[span : span + b - a] - sums[: b - a])
                     for w, i in zip(*index.within(windows)):
                         bag = Counter(own[a + w : a + w + span].tolist())
-                        s = weighted_similarity(bag, bags[i])
-                        if 100 * s >= self.percent - 1e-9:
-                            key = (k, size, int(i))
-                            if key not in found or s > found[key]["similarity"]:
-                                found[key] = {"item_id": ids[i], "similarity": s, "first_word": int(a + w), "n_words": width}
+                        meet(int(i), int(a + w), weighted_similarity(bag, bags[i]))
+            # Shingles that a window must share with an item of this size.
+            least = math.ceil((self.percent - 1e-9) * (span + size - k + 1) / (100 + self.percent) - 1e-6)
+            if len(hits) < least:
+                continue
+            places: dict[int, list[int]] = {}
+            for at, x in zip(hits.tolist(), values):
+                for i in holders.get(x, ()):
+                    places.setdefault(i, []).append(at)
+            for i, at in places.items():
+                if len(at) >= least:
+                    for first, both in overlaps(np.array(at), own, span, n - width, least, bags[i]):
+                        meet(i, first, both / (span + size - k + 1 - both))
+
+
+def overlaps(at: np.ndarray, own: np.ndarray, span: int, last: int, least: int, bag: Counter) -> Iterator[tuple[int, int]]:
+    """(start, shared shingles) of the windows up to ``last`` with ``least`` of the places ``at`` where an item's shingles stand."""
+    # The window of places j .. j + least - 1 is possible if they lie within one span.
+    near = at[least - 1 :] - at[: len(at) - least + 1] < span
+    low, high = np.maximum(at[least - 1 :] - span + 1, 0)[near], np.minimum(at[: len(at) - least + 1], last)[near]
+    fits = low <= high
+    for start, stop in intervals(low[fits], high[fits]):
+        counts: Counter = Counter()
+        both = 0
+        come, go = np.searchsorted(at, start), np.searchsorted(at, start)
+        for first in range(start, stop):
+            while come < len(at) and at[come] < first + span:
+                x = int(own[at[come]])
+                counts[x] += 1
+                both += counts[x] <= bag[x]
+                come += 1
+            while at[go] < first:
+                x = int(own[at[go]])
+                both -= counts[x] <= bag[x]
+                counts[x] -= 1
+                go += 1
+            yield first, both
 
 
 def intervals(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -6,10 +6,10 @@ import struct
 import pytest
 
 from verdex.operators import search
-from verdex.plans.ingest import Options, ingest
+from verdex.plans.ingest import Options, ingest, ingest_headers
 from verdex.plans.pages import view_page
 from verdex.sources import headers
-from verdex.sources.catalog import open_catalog
+from verdex.sources.catalog import Change, open_catalog, vacuum
 from verdex.streaming.ingest import symbol_counts, watch
 
 VIEW = b"@interface V : NSObject {\n    int _a;\n    int _a;\n}\n- (void)go;\n@end\n"
@@ -110,21 +110,112 @@ def test_stream(spark, tmp_path):
 
 
 def test_pack_places(spark):
-    """Bodies of a shard follow each other; a pack ends where its next body would start beyond the target."""
+    """A pack is closed before a body that would make it exceed the target, and after one that fills it."""
     import hashlib
 
     from verdex.plans.ingest import pack_places
 
-    sizes = {f"k{i:03d}": (i * 37) % 90 + 1 for i in range(200)}
+    sizes = {f"k{i:03d}": (0, 500, 900)[i % 3] if i % 11 == 0 else (i * 37) % 90 + 1 for i in range(200)}
     frame = spark.createDataFrame([(1, k, n) for k, n in sizes.items()], "version_num long, blob_key string, byte_size long")
     got = {r["blob_key"]: (r["pack_object_key"], r["pack_offset"], r["pack_length"]) for r in pack_places(frame, shards=3, pack_bytes=500).collect()}
-    at, first = {}, {}
+    state = {}
     for key in sorted(sizes):
         shard = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big") % 3
-        start = at.get(shard, 0)
-        at[shard] = start + sizes[key]
-        begin = first.setdefault((shard, start // 500), start)
-        assert got[key] == (f"packs/v000001/s{shard:03d}/p{start // 500 + 1:09d}.bin", start - begin, sizes[key])
+        pack, used = state.get(shard, (1, 0))
+        if used and used + sizes[key] > 500:
+            pack, used = pack + 1, 0
+        assert got[key] == (f"packs/v000001/s{shard:03d}/p{pack:09d}.bin", used, sizes[key])
+        used += sizes[key]
+        state[shard] = (pack + 1, 0) if used >= 500 else (pack, used)
+
+
+def drop_of(*files):
+    """(bundle, release, build, path, body) rows."""
+    return [(b, r, u, p, bytearray(x)) for b, r, u, p, x in files]
+
+
+def files_of(spark, out):
+    c = open_catalog(spark, out)
+    rows = c.file_instances.join(c.paths, "path_id").join(c.blobs, ["version_num", "content_id"])
+    return sorted((r["version_num"], r["absolute_path"], bytes(r["body"])) for r in rows.collect())
+
+
+def bring(spark, out, *files, **options):
+    frame = spark.createDataFrame(drop_of(*files), "bundle_name string, release string, build string, relative_path string, content binary")
+    releases = frame.select("bundle_name", "release", "build").distinct()
+    found = frame.selectExpr("bundle_name", "concat('/', relative_path) as absolute_path", "content")
+    return ingest_headers(Change(spark, out), found, releases, Options(**options))
+
+
+A, B, C = (f"@interface {x}\n- (void)go;\n@end\n".encode() for x in "ABC")
+
+
+def test_another_bundle_of_a_known_version(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "x.h", A), ("b1", "1.0", "A", "y.h", A))
+    assert bring(spark, out, ("b2", "1.0", "A", "z.h", B), ("b2", "1.0", "A", "y.h", B)) == {"versions": 1, "files": 3, "symbols": 3}
+    assert files_of(spark, out) == [(1, "/x.h", A), (1, "/y.h", B), (1, "/z.h", B)]
+    # The same bundle again replaces its own files only.
+    bring(spark, out, ("b1", "1.0", "A", "w.h", C))
+    assert files_of(spark, out) == [(1, "/w.h", C), (1, "/y.h", B), (1, "/z.h", B)]
+    assert sorted(r["latest_version_num"] for r in open_catalog(spark, out).latest_by_path.collect()) == [1, 1, 1]
+
+
+def test_a_bundle_that_comes_again_as_a_new_release(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "x.h", A))
+    bring(spark, out, ("b1", "1.1", "B", "x.h", B))
+    assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", B)]
+    presence_of = {r["owner_name"]: r["versions"] for r in open_catalog(spark, out).symbol_presence.collect()}
+    assert presence_of == {"A": [1], "B": [2]}
+    # Two bundles of one batch and one known version: the greater name has the path.
+    bring(spark, out, ("b3", "1.1", "B", "x.h", C), ("b2", "1.1", "B", "x.h", A))
+    assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", C)]
+    assert bring(spark, out, ("b3", "1.1", "B", "x.h", A), resume=True) == {"versions": 0, "files": 0, "symbols": 0}
+    assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", C)]
+
+
+def test_a_crash_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "x.h", A))
+    before = state(open_catalog(spark, out))
+    monkeypatch.setattr(Change, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        bring(spark, out, ("b2", "2.0", "A", "x.h", B))
+    monkeypatch.undo()
+    assert state(open_catalog(spark, out)) == before
+    bring(spark, out, ("b2", "2.0", "A", "x.h", B))
+    assert [r["version_num"] for r in open_catalog(spark, out).versions.orderBy("version_num").collect()] == [1, 2]
+    # Files that the manifest names and that are gone are an error, not an empty table.
+    import shutil
+
+    shutil.rmtree(tmp_path / "out" / "versions")
+    with pytest.raises(Exception, match="(?i)path"):
+        open_catalog(spark, out).versions.collect()
+
+
+def test_an_import_touches_only_its_parts(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, *[("b1", "1.0", "A", f"x{i}.h", A) for i in range(40)])
+    first = Change(spark, out).next["tables"]
+    bring(spark, out, ("b2", "2.0", "A", "x3.h", B))
+    second = Change(spark, out).next["tables"]
+    for name in ("symbol_presence", "latest_by_path"):
+        moved = {p for p, g in second[name].items() if first[name].get(p) != g}
+        assert len(moved) == 1 and len(second[name]) > 20
+    assert second["file_instances"] == first["file_instances"] | {"2": 2} and second["paths"] == [1, 2]
+    truth = state(open_catalog(spark, out))
+    assert vacuum(spark, out, keep=1) > 0 and state(open_catalog(spark, out)) == truth
+    assert search.presence_map(open_catalog(spark, out), truth[1][0][0]).count() >= 1
+
+
+def test_an_empty_bundle_gets_its_version(spark, tree):
+    out = f"file://{tree}/out3"
+    (tree / "headers" / "19D__x").mkdir()
+    (tree / "files" / "19D__x").mkdir()
+    (tree / "files" / "19D__x" / "SystemVersion.plist").write_bytes(plistlib.dumps({"ProductVersion": "15.3"}))
+    ingest(spark, f"{tree}/headers", f"{tree}/files", out)
+    assert [r["version_id"] for r in open_catalog(spark, out).versions.orderBy("version_num").collect()] == ["15.1|19B", "15.2|19C56", "15.3|19D"]
 
 
 def test_range_reads(spark):

@@ -9,25 +9,30 @@ from pyspark.sql import functions as F
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
+#: The characters that count as white space in Unicode, and the four information separators.
+WHITE = "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
     """Unicode-aware trim."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1f]+|[\s\x1f]+$", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def normalise_keyword(col: Column) -> Column:
     return F.lower(strip(col))
 
 
+#: At the start of a line (not between CR and LF): the line with its end, then the same line again.
+REPEATED = r"(?<![^\r\n])(?!(?<=\r)\n)([^\r\n]*+(?:\r\n|\n|\r(?!\n)))(?:\1(?!(?<=\r)\n))++"
+
+
 def collapse_duplicate_lines(content: Column) -> Column:
     """Drop each line of a binary that equals the line before it, line end included.
 
-    Bytes are read as ISO-8859-1, which maps them one to one.
+    Bytes are read as ISO-8859-1, which maps them one to one.  One pass: a whole line
+    with its end, and as often as it follows itself; possessive, so nothing is retried.
     """
-    text = F.decode(content, "ISO-8859-1")
-    pieces = F.filter(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), lambda x: x != "")
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
-    kept = F.zip_with(pieces, before, lambda line, last: F.when(last.isNull() | (line != last), line))
-    return F.encode(F.array_join(kept, ""), "ISO-8859-1")
+    return F.encode(F.regexp_replace(F.decode(content, "ISO-8859-1"), REPEATED, "$1"), "ISO-8859-1")
 
 
 def split_lines(text: Column) -> Column:

@@ -8,29 +8,51 @@ from pyspark.sql import functions as F
 #: A dimension is broadcast up to this size by the optimizer's estimate; beyond it
 #: joins shuffle, unless adaptive execution finds the side small when it has run.
 BROADCAST_BYTES = 32 << 20
+#: A table of less than this in fewer files than there are cores may lie in one row group, which one task reads.
+SPREAD_BYTES = 32 << 20
 
 
-def dimension(dim: DataFrame, key: str, columns: list[str], sized: bool = True) -> DataFrame:
-    """One row a key: of several the greatest, field by field order, so that lookups never multiply rows."""
-    keyed = dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns)).alias("__v"))
-    one = keyed.select(key, *[F.col(f"__v.{c}").alias(c) for c in columns])
-    return broadcast_if_small(one) if sized else one
+def dimension(dim: DataFrame, key: str, columns: list[str], unique: bool = False) -> DataFrame:
+    """One row a key: of several the greatest, field by field order, so that lookups never multiply rows.
+
+    ``unique`` says that the table's writer keeps one row a key already.
+    """
+    known = dim.where(F.col(key).isNotNull())
+    if unique:
+        return broadcast_if_small(known.select(key, *columns))
+    keyed = known.groupBy(key).agg(F.max(F.struct(*columns)).alias("__v"))
+    return broadcast_if_small(keyed.select(key, *[F.col(f"__v.{c}").alias(c) for c in columns]))
+
+
+def plan_bytes(rows: DataFrame) -> int:
+    """The optimizer's size estimate: file sizes of scans, products for joins.  Runs no job."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_if_small(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark for broadcast what the plan's statistics bound: file sizes of scans, products for joins.  Runs no job."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(rows) if size <= limit else rows
+    """Mark for broadcast what the plan's statistics bound."""
+    return F.broadcast(rows) if plan_bytes(rows) <= limit else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a small table in few files to all cores, before work that is dear by row.
+
+    Larger tables, and those in many files, are read by many tasks anyway and do not move.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(rows.inputFiles()) < cores and plan_bytes(rows) <= SPREAD_BYTES:
+        return rows.repartition(cores)
+    return rows
 
 
-def inner(facts: DataFrame, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def inner(facts: DataFrame, dim: DataFrame, key: str, columns: list[str], unique: bool = False) -> DataFrame:
     """Facts whose key is known, with its columns."""
-    return facts.join(dimension(dim, key, columns), key)
+    return facts.join(dimension(dim, key, columns, unique), key)
 
 
-def left(facts: DataFrame, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def left(facts: DataFrame, dim: DataFrame, key: str, columns: list[str], unique: bool = False) -> DataFrame:
     """All facts; the columns are null where the key is unknown."""
-    return facts.join(dimension(dim, key, columns), key, "left")
+    return facts.join(dimension(dim, key, columns, unique), key, "left")
 
 
 def known(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:

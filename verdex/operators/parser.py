@@ -15,40 +15,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from verdex.functions.text import split_lines, strip
+from verdex.functions.text import WHITE, split_lines, strip
+from verdex.operators.lookups import spread
 
 #: Fixed patterns of the declaration language; \s is Unicode-aware by (?U), names are ASCII.
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 CATEGORY = rf"(?U)^\s*@interface\s+({NAME})\s*\(\s*[^)]*\s*\)"
 INTERFACE = rf"(?U)^\s*@interface\s+({NAME})"
+OWNER = rf"(?U)^\s*@(?:interface|protocol)\s+({NAME})"
 PROTOCOL = rf"(?U)^\s*@protocol\s+({NAME})"
 PROPERTY = rf"(?U)^\s*@property\b.*\b({NAME})\s*;\s*$"
-IVAR = rf"(?U)({NAME})\s*$"
+IVAR = rf"({NAME})$"
 METHOD = r"(?U)^[+-]\s*\([^)]*\)\s*(.*);\s*$"
 PART = rf"(?U)({NAME})\s*:"
 
 
 def owner_kind(line: Column) -> Column:
     """category, interface or protocol where the line names one."""
-    return F.when(line.rlike(CATEGORY), "category").when(line.rlike(INTERFACE), "interface").when(line.rlike(PROTOCOL), "protocol")
+    interface = line.contains("@interface")
+    return F.when(interface & line.rlike(CATEGORY), "category").when(interface & line.rlike(INTERFACE), "interface").when(line.contains("@protocol") & line.rlike(PROTOCOL), "protocol")
 
 
 def owner_name(line: Column) -> Column:
-    name = F.coalesce(F.nullif(F.regexp_extract(line, INTERFACE, 1), F.lit("")), F.nullif(F.regexp_extract(line, PROTOCOL, 1), F.lit("")))
-    return name
+    """The name after @interface or @protocol."""
+    return F.nullif(F.regexp_extract(line, OWNER, 1), F.lit(""))
 
 
 def property_name(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, PROPERTY, 1), F.lit(""))
+    """The last name before the semicolon that ends a property line."""
+    return F.when(line.contains("@property") & line.contains(";"), F.nullif(F.regexp_extract(line, PROPERTY, 1), F.lit("")))
 
 
 def ivar_name(line: Column) -> Column:
     """The last name before the last semicolon; comments and methods have none."""
-    before = F.regexp_extract(line, r"^(?s)(.*);[^;]*$", 1)
-    name = F.nullif(F.regexp_extract(before, IVAR, 1), F.lit(""))
-    lead = F.regexp_replace(line, r"(?U)^[\s\x1f]+", "")
+    tail = F.substring_index(line, ";", -1)
+    before = F.rtrim(F.left(line, F.length(line) - F.length(tail) - 1), F.lit(WHITE))
+    lead = F.ltrim(line, F.lit(WHITE))
     method = line.contains("(") & line.contains(")") & (lead.startswith("+") | lead.startswith("-"))
-    return F.when(line.contains(";") & ~strip(line).startswith("/*") & ~method, name)
+    return F.when(line.contains(";") & ~lead.startswith("/*") & ~method, F.nullif(F.regexp_extract(before, IVAR, 1), F.lit("")))
 
 
 def selector(line: Column) -> Column:
@@ -61,21 +65,25 @@ def selector(line: Column) -> Column:
 
 
 def line_facts(headers: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key..., line_no, owner, block, property, ivar, method...) of the lines that say anything."""
-    lines = headers.select(*key, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
+    """(key..., line_no, owner, block, property, ivar, method...) of the lines that say anything.
+
+    Cheap tests on the trimmed line come first: only a line that starts with ``@``, is
+    a brace or holds a semicolon can say anything, and patterns run on the lines that fit them.
+    """
+    lines = spread(headers.select(*key, text)).select(*key, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
     line, bare = F.col("line"), F.col("bare")
-    lines = lines.withColumn("bare", strip(line)).where(bare != "")
-    lines = lines.withColumn("kind", owner_kind(line)).withColumn("ends", F.col("kind").isNull() & bare.startswith("@end"))
-    brace = F.col("kind").isNull() & bare.isin("{", "}")
+    brace, at = bare.isin("{", "}"), bare.startswith("@")
+    lines = lines.withColumn("bare", strip(line)).where(at | brace | bare.contains(";"))
+    lines = lines.withColumn("kind", F.when(at, owner_kind(line))).withColumn("ends", F.col("kind").isNull() & bare.startswith("@end"))
     event = F.col("kind").isNotNull() | F.col("ends") | brace
     marks = lines.select(
         *key,
         (F.col("pos") + 1).cast("long").alias("line_no"),
         # An owner event with null fields clears the owner.
-        F.when(F.col("kind").isNotNull() | F.col("ends"), F.struct(F.col("kind").alias("kind"), owner_name(line).alias("name"))).alias("owner"),
+        F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("kind"), owner_name(line).alias("name"))).when(F.col("ends"), F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"))).alias("owner"),
         F.when(F.col("kind").isNotNull(), line.contains("{")).when(F.col("ends"), F.lit(False)).when(brace, bare == "{").alias("block"),
-        F.when(~event, property_name(line)).alias("property"),
-        F.when(~event & ~bare.startswith("/*"), ivar_name(line)).alias("ivar"),
+        F.when(~event & at, property_name(line)).alias("property"),
+        F.when(~event, ivar_name(line)).alias("ivar"),
         F.when(~event & F.substring(bare, 1, 1).isin("+", "-") & bare.endswith(";"), selector(bare)).alias("method"),
         F.when(bare.startswith("+"), "class_method").otherwise("instance_method").alias("method_type"),
     )
@@ -132,7 +140,7 @@ class ParseHeader:
             return "property", m[1]
         method = bare[:1] in ("+", "-")
         if inside and ";" in line and not bare.startswith("/*") and not (method and "(" in line and ")" in line):
-            if m := re.search(IVAR[4:], line.rpartition(";")[0]):
+            if m := re.search(IVAR, line.rpartition(";")[0].rstrip()):
                 return "ivar", m[1]
         if method and bare.endswith(";") and (m := re.match(METHOD[4:], bare)):
             parts = re.findall(PART[4:], m[1])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdex.operators.lookups import broadcast_if_small
-from verdex.sources.catalog import Catalog, replace_table
+from verdex.sources.catalog import Catalog, Change, bucket_of
 
 KEY = ["path_id", "owner_kind", "owner_name", "symbol_type", "symbol_key"]
 
@@ -24,16 +24,15 @@ def target_versions(c: Catalog, bundles: list[str] | None = None, version_ids: l
 def build(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
     """Presence of the given versions (default all) in one pass.
 
-    Both sides lie by version, so the filter prunes partitions; rows of a key are
-    reduced to distinct versions before they meet.
+    Both sides lie by version, so the filter prunes partitions; the set of a key's
+    versions is collected in one shuffle, partial sets first.
     """
     instances = c.file_instances.select("version_num", "path_id", "content_id")
     if versions is not None:
         instances = instances.join(broadcast_if_small(versions.select("version_num")), "version_num", "left_semi")
     on = ["content_id"] + (["version_num"] if "version_num" in c.symbols.columns else [])
     met = c.symbols.select(*on, "owner_kind", "owner_name", "symbol_type", "symbol_key").join(instances, on)
-    once = met.select(*KEY, "version_num").distinct()
-    built = once.groupBy(*KEY).agg(F.sort_array(F.collect_set("version_num")).alias("versions"))
+    built = met.groupBy(*KEY).agg(F.sort_array(F.collect_set("version_num")).alias("versions"))
     return built.withColumns({"owner_name_lc": F.lower("owner_name"), "updated_at": F.current_timestamp()})
 
 
@@ -50,7 +49,19 @@ def row_count(presence: DataFrame) -> DataFrame:
     return presence.select(*KEY).distinct().agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def refresh(spark, c: Catalog, root: str, versions: DataFrame | None = None, rebuild: bool = False) -> None:
-    """Store the presence of versions: ``rebuild`` replaces the table, else sets are merged in."""
-    made = build(c, versions)
-    replace_table(spark, made if rebuild else merge(c.symbol_presence, made), root, "symbol_presence")
+def refresh(change: Change, versions: DataFrame | None = None, rebuild: bool = False) -> list[int]:
+    """Store the presence of versions in a change: ``rebuild`` replaces the table, else sets are merged in.
+
+    Only the buckets of paths that the versions have are read and written; returns them.
+    """
+    held = change.catalog()
+    made = change.stage("presence", build(held, versions).withColumn("bucket", bucket_of(F.col("path_id"))))
+    touched = sorted(r["bucket"] for r in made.select("bucket").distinct().collect())  # at most BUCKETS
+    if rebuild:
+        for part in change.parts("symbol_presence"):
+            change.drop_part("symbol_presence", part)
+    elif set(touched) & change.parts("symbol_presence"):
+        made = merge(held.symbol_presence.where(F.col("bucket").isin(touched)), made).withColumn("bucket", bucket_of(F.col("path_id")))
+    if touched:
+        change.write("symbol_presence", made)
+    return touched

@@ -5,12 +5,12 @@ Substring tests are literal (``contains``); ids that must exist are inner lookup
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdex.functions.text import normalise_keyword
 from verdex.operators import lookups
-from verdex.sources.catalog import Catalog
+from verdex.sources.catalog import Catalog, bucket_of
 
 DIRECTORY_HITS, OWNER_HITS, LISTING_HITS = 30, 50, 2000
 
@@ -34,36 +34,51 @@ def version_id_by_num(c: Catalog, version_num: int) -> DataFrame:
 
 
 def instances_with_versions(c: Catalog) -> DataFrame:
-    return lookups.inner(c.file_instances, c.versions, "version_num", ["version_id"])
+    return lookups.inner(c.file_instances, c.versions, "version_num", ["version_id"], unique=True)
 
 
-def latest_for_path(c: Catalog, absolute_path: str) -> DataFrame:
+def id_of_path(c: Catalog, absolute_path: str | Column) -> Column:
+    """The id of a path as a scalar subquery: it is found before the other tables are scanned, whose filters it reaches."""
+    return c.paths.where(F.col("absolute_path") == absolute_path).agg(F.max("path_id")).scalar()
+
+
+def _text(value: str | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def latest_for_path(c: Catalog, absolute_path: str | Column) -> DataFrame:
     """The newest known version that holds a path."""
-    path = c.paths.where(F.col("absolute_path") == absolute_path).select("path_id", "absolute_path")
-    return lookups.inner(instances_with_versions(c), path, "path_id", ["absolute_path"]).select("version_num", "version_id", "path_id", "absolute_path").orderBy(F.desc("version_num"), "path_id").limit(1)
+    here = c.file_instances.where(F.col("path_id") == id_of_path(c, absolute_path)).select("version_num", "path_id")
+    named = lookups.inner(here, c.versions, "version_num", ["version_id"], unique=True)
+    return named.select("version_num", "version_id", "path_id", _text(absolute_path).alias("absolute_path")).orderBy(F.desc("version_num"), "path_id").limit(1)
 
 
 def latest_for_all_paths(c: Catalog) -> DataFrame:
     """The same for every path at once."""
     newest = lookups.known(c.file_instances, c.versions, "version_num").groupBy("path_id").agg(F.max("version_num").alias("version_num"))
     # The upsert keeps one row a path, so the large dimension is joined as it is.
-    named = lookups.inner(newest, c.versions, "version_num", ["version_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
+    named = lookups.inner(newest, c.versions, "version_num", ["version_id"], unique=True).join(c.paths.select("path_id", "absolute_path"), "path_id")
     return named.select("version_num", "version_id", "path_id", "absolute_path")
 
 
-def file_content_ref(c: Catalog, version_num: int, absolute_path: str) -> DataFrame:
+def file_content_ref(c: Catalog, version_num: int, absolute_path: str | Column) -> DataFrame:
     """Where the bytes of a path in a version lie; the smallest content of several."""
-    path = c.paths.where(F.col("absolute_path") == absolute_path).select("path_id", "absolute_path")
-    at = c.file_instances.where(F.col("version_num") == version_num)
-    at = lookups.inner(lookups.inner(at, path, "path_id", ["absolute_path"]), c.versions, "version_num", ["version_id"])
-    # The few rows found pick from the contents: no dimension of all contents is built.
-    found = c.contents.select("content_id", "pack_object_key", "pack_offset", "pack_length").join(lookups.broadcast_if_small(at), "content_id")
-    return found.select("version_num", "version_id", "path_id", "content_id", "absolute_path", "pack_object_key", "pack_offset", "pack_length").orderBy("content_id").limit(1)
+    at = c.file_instances.where((F.col("version_num") == version_num) & (F.col("path_id") == id_of_path(c, absolute_path))).select("version_num", "path_id", "content_id")
+    # The ids found are few and known before the contents are scanned.
+    wanted = at.agg(F.min("content_id")).scalar()
+    contents = c.contents.where(F.col("content_id") == wanted)
+    if "version_num" in c.contents.columns:
+        contents = contents.where(F.col("version_num") == version_num)
+    contents = contents.select("content_id", "pack_object_key", "pack_offset", "pack_length")
+    known = c.versions.where(F.col("version_num") == version_num).select("version_num", "version_id")
+    found = contents.join(F.broadcast(at.distinct()), "content_id").join(F.broadcast(known), "version_num")  # a row each
+    return found.select("version_num", "version_id", "path_id", "content_id", _text(absolute_path).alias("absolute_path"), "pack_object_key", "pack_offset", "pack_length").orderBy("content_id").limit(1)
 
 
-def read_blob(c: Catalog, ref: DataFrame) -> DataFrame:
-    """The bytes that a content reference points at."""
-    return c.blobs.join(lookups.broadcast_if_small(ref.select("pack_object_key", "pack_offset")), ["pack_object_key", "pack_offset"]).select("pack_object_key", "pack_offset", "body")
+def read_blob(c: Catalog, version_num: int, content_id: int) -> DataFrame:
+    """The bytes of a content in a version."""
+    here = (F.col("version_num") == version_num) & (F.col("content_id") == content_id)
+    return c.blobs.where(here).select("pack_object_key", "pack_offset", "body").limit(1)
 
 
 def read_range(objects: DataFrame, refs: DataFrame) -> DataFrame:
@@ -101,7 +116,7 @@ def search_owner_candidates(c: Catalog, keyword: str, limit: int = OWNER_HITS) -
     # Best hit a path before its text is fetched: numbers alone are grouped.
     order = Window.partitionBy("path_id").orderBy("priority_rank", F.desc("matched_version_num"))
     best = all_hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-    named = lookups.inner(best.withColumnRenamed("matched_version_num", "version_num"), c.versions, "version_num", ["version_id"])
+    named = lookups.inner(best.withColumnRenamed("matched_version_num", "version_num"), c.versions, "version_num", ["version_id"], unique=True)
     placed = named.join(c.paths.select("path_id", "absolute_path"), "path_id")
     out = placed.select(F.col("priority_rank").cast("long").alias("best_priority_rank"), F.col("version_num").alias("max_version_num"), F.col("version_id").alias("max_version_id"), "path_id", "absolute_path")
     return out.orderBy("best_priority_rank", F.desc("max_version_num"), "absolute_path", "path_id").limit(limit)
@@ -117,8 +132,8 @@ def count_distinct_owners(c: Catalog) -> DataFrame:
 
 def version_ids_for_paths(c: Catalog, path_ids: list[int]) -> DataFrame:
     """(path_id, version_ids) newest first, for the given paths."""
-    held = instances_with_versions(c).where(F.col("path_id").isin(sorted(set(path_ids)))).select("path_id", "version_num", "version_id").distinct()
-    ordered = F.sort_array(F.collect_list(F.struct("version_num", "version_id")), asc=False)
+    held = instances_with_versions(c).where(F.col("path_id").isin(sorted(set(path_ids)))).select("path_id", "version_num", "version_id")
+    ordered = F.sort_array(F.collect_set(F.struct("version_num", "version_id")), asc=False)
     return held.groupBy("path_id").agg(F.transform(ordered, lambda v: v["version_id"]).alias("version_ids"))
 
 
@@ -131,12 +146,11 @@ def count_paths_in_directory(c: Catalog, directory: str, keyword: str = "") -> D
 def _listing(c: Catalog, version_num: int, directory: str, keyword: str = "") -> DataFrame:
     kw = normalise_keyword(F.lit(keyword))
     paths = c.paths.where((F.col("dir_name") == directory) & ((kw == "") | F.col("file_name_lc").contains(kw)))
-    here = c.file_instances.where(F.col("version_num") == version_num)
-    here = lookups.inner(lookups.inner(here, paths, "path_id", ["absolute_path"]), c.versions, "version_num", ["version_id"])
-    sizes = c.contents.select("content_id", "pack_length")
-    # A version's rows of one directory are few: they pick their contents.
-    picked = lookups.dimension(sizes.join(lookups.broadcast_if_small(here.select("content_id").distinct()), "content_id", "left_semi"), "content_id", ["pack_length"])
-    return here.join(picked, "content_id", "left").select("version_num", "version_id", "path_id", "absolute_path", F.col("pack_length").alias("file_size_bytes")).distinct()
+    here = c.file_instances.where(F.col("version_num") == version_num).select("version_num", "path_id", "content_id").distinct()
+    here = lookups.inner(here, paths, "path_id", ["absolute_path"], unique=True)
+    here = here.join(F.broadcast(c.versions.where(F.col("version_num") == version_num).select("version_num", "version_id")), "version_num")  # one row
+    sizes = c.contents.where(F.col("version_num") == version_num) if "version_num" in c.contents.columns else c.contents
+    return here.join(sizes.select("content_id", "pack_length"), "content_id", "left").select("version_num", "version_id", "path_id", "absolute_path", F.col("pack_length").alias("file_size_bytes"))
 
 
 def files_page(c: Catalog, version_num: int, directory: str, page_size: int, cursor: str | None = None, direction: str = "next", keyword: str = "") -> DataFrame:
@@ -179,9 +193,12 @@ def symbols_for_content(c: Catalog, content_id: int) -> DataFrame:
 def presence_map(c: Catalog, path_id: int) -> DataFrame:
     """(owner_name, symbol_type, symbol_key, versions), merged over owner kinds."""
     merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions"))))
-    return c.symbol_presence.where(F.col("path_id") == path_id).groupBy("owner_name", "symbol_type", "symbol_key").agg(merged.alias("versions"))
+    rows = c.symbol_presence.where(F.col("path_id") == path_id)
+    if "bucket" in rows.columns:
+        rows = rows.where(F.col("bucket") == bucket_of(F.lit(path_id)))
+    return rows.groupBy("owner_name", "symbol_type", "symbol_key").agg(merged.alias("versions"))
 
 
 def paths_in_directory(c: Catalog, version_num: int, directory_path: str) -> DataFrame:
     here = c.file_instances.where(F.col("version_num") == version_num)
-    return lookups.inner(here, c.paths.where(F.col("dir_path") == directory_path), "path_id", ["absolute_path"]).select("absolute_path").distinct()
+    return lookups.inner(here, c.paths.where(F.col("dir_path") == directory_path), "path_id", ["absolute_path"], unique=True).select("absolute_path").distinct()

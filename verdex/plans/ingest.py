@@ -1,96 +1,184 @@
-"""Ingest: header trees to catalogue tables, idempotent by version."""
+"""Ingest: header trees to catalogue tables, idempotent by version and bundle.
+
+One import is one change of the stored catalogue: headers are read, normalised and
+parsed once into staged tables, every table of the catalogue derives from these, and
+all become visible together.  A crash before that leaves the catalogue as it was.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdex.functions import ids, text
 from verdex.functions.paths import with_path_columns
 from verdex.operators import parser, presence, versioning
-from verdex.operators.lookups import broadcast_if_small
+from verdex.operators.lookups import broadcast_if_small, spread
 from verdex.sources import headers as H
-from verdex.sources.catalog import open_catalog, replace_table, save, truncate, with_symbol_columns, with_version_columns
+from verdex.sources.catalog import Change, bucket_of, with_symbol_columns, with_version_columns
 
 SHARDS, PACK_BYTES = 64, 128 << 20
 
 
 @dataclass(frozen=True)
 class Options:
+    """``resume`` leaves out bundles whose import into the same version has been finished."""
+
     bundles: tuple[str, ...] = ()
     max_files: int | None = None
     allow_old: bool = False
     truncate_all: bool = False
     skip_upload: bool = False
+    resume: bool = False
     shards: int = SHARDS
     pack_bytes: int = PACK_BYTES
 
 
 def normalised(headers: DataFrame) -> DataFrame:
-    """Add the collapsed body, its text, hash and size."""
-    rows = headers.withColumn("body", text.collapse_duplicate_lines(F.col("content")))
-    return rows.withColumns({"text": text.repair_utf8(F.col("body")), "content_hash": text.content_hash(F.col("body")), "byte_size": text.byte_size(F.col("body"))})
+    """Add the collapsed body, its hash and size."""
+    rows = spread(headers).withColumn("body", text.collapse_duplicate_lines(F.col("content")))
+    return rows.withColumns({"content_hash": text.content_hash(F.col("body")), "byte_size": text.byte_size(F.col("body"))})
 
 
-def pack_places(contents: DataFrame, shards: int = SHARDS, pack_bytes: int = PACK_BYTES, key: str = "blob_key", version: str = "version_num") -> DataFrame:
-    """Add pack_object_key, pack_offset and pack_length: bodies in key order, packs of about ``pack_bytes``.
+def pack_places(contents: DataFrame, shards: int = SHARDS, pack_bytes: int = PACK_BYTES, key: str = "blob_key", within: tuple[str, ...] = ("version_num",), shard: Column | None = None) -> DataFrame:
+    """Add pack_object_key, pack_offset and pack_length: where bodies lie that are packed in key order.
 
-    A pack ends when its next body would start at or beyond the target.  Sizes are
-    summed over narrow rows; bodies do not move for it.
+    A pack is closed before a body that would make it exceed the target, and after one
+    that fills it.  That depends on all bodies before, so sorted narrow rows stream by,
+    a shard in a task, with the place of the last one; bodies do not move for it.
+    A null size counts as 0; bodies of equal keys are packed in any order.
     """
-    rows = contents.withColumn("__shard", ids.shard(F.col(key), shards))
-    before = Window.partitionBy(version, "__shard").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__at", F.coalesce(F.sum("byte_size").over(before), F.lit(0))).withColumn("__pack", F.floor(F.col("__at") / pack_bytes))
-    first = F.min("__at").over(Window.partitionBy(version, "__shard", "__pack"))
-    rows = rows.withColumns({"pack_offset": (F.col("__at") - first).cast("long"), "pack_length": F.col("byte_size"), "pack_object_key": F.format_string("packs/v%06d/s%03d/p%09d.bin", F.col(version), F.col("__shard"), F.col("__pack") + 1)})
-    return rows.drop("__shard", "__at", "__pack")
+    rows = contents.withColumn("__shard", ids.shard(F.col(key), shards) if shard is None else shard)
+    rows = rows.repartition(*within, "__shard").sortWithinPartitions(*within, "__shard", key)
+    made = [T.StructField("__pack", T.LongType()), T.StructField("pack_offset", T.LongType()), T.StructField("pack_length", T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *made])
+    groups, size = [rows.columns.index(c) for c in (*within, "__shard")], rows.columns.index("byte_size")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pack, used = None, 1, 0
+        for batch in batches:
+            packs, offsets, lengths = [], [], []
+            for here, n in zip(zip(*(batch.column(i).to_pylist() for i in groups)), batch.column(size).to_pylist()):
+                n = n or 0
+                if here != at:
+                    at, pack, used = here, 1, 0
+                if used and used + n > pack_bytes:
+                    pack, used = pack + 1, 0
+                packs.append(pack)
+                offsets.append(used)
+                lengths.append(n)
+                used += n
+                if used >= pack_bytes:
+                    pack, used = pack + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in (packs, offsets, lengths))], names=schema.names)
+
+    placed = rows.mapInArrow(fill, schema)
+    name = [F.format_string("s%03d/p%09d", "__shard", "__pack")]
+    if "version_num" in within:
+        name.insert(0, F.format_string("v%06d", "version_num"))
+    if "bundle_name" in within:
+        name[-1] = F.concat(name[-1], F.format_string("-%06x", F.xxhash64("bundle_name").bitwiseAND(0xFFFFFF)))
+    return placed.withColumn("pack_object_key", F.concat(F.lit("packs/"), F.concat_ws("/", *name), F.lit(".bin"))).drop("__shard", "__pack")
 
 
 def ingest(spark: SparkSession, headers_root: str, files_root: str, out: str, options: Options = Options()) -> dict[str, int]:
     """Import bundles into the catalogue at ``out``; running it again changes nothing."""
-    if options.truncate_all:
-        truncate(spark, out)
-    held = open_catalog(spark, out)
-    found = H.scan(spark, headers_root, list(options.bundles) or None, options.max_files)
-    bundles = H.bundles_of(found)
+    change = Change(spark, out, fresh=options.truncate_all)
+    bundles = H.bundles_of(spark, headers_root, list(options.bundles))
     releases = H.choose_release(H.read_metadata(H.metadata_files(spark, files_root)), bundles)
-    numbered = versioning.assign_numbers(releases, held.versions.select("version_num", "version_id"), options.allow_old)
-    return ingest_headers(spark, found, numbered, out, options)
+    found = H.scan(spark, headers_root, list(options.bundles) or None, options.max_files)
+    return ingest_headers(change, found, releases, options)
+
 
+def ingest_headers(change: Change, found: DataFrame, releases: DataFrame, options: Options = Options()) -> dict[str, int]:
+    """Import (bundle_name, absolute_path, content) files of (bundle_name, release, build) releases and commit.
 
-def ingest_headers(spark: SparkSession, found: DataFrame, numbered: DataFrame, out: str, options: Options = Options()) -> dict[str, int]:
-    held = open_catalog(spark, out)
-    now = F.current_timestamp()
-    # Numbers derive from the table of versions that is replaced next: write them down first.
-    save(numbered, f"{out}/.new", "numbered")
-    numbered = spark.read.parquet(f"{out}/.new/numbered")
+    A bundle's files replace those that it had in its version.  Files of other bundles
+    in that version stay, but for paths that are imported now.  Of two bundles of one
+    import that share a version and a path the greater name counts.
+    """
+    try:
+        return _ingest(change, found, releases, options)
+    except BaseException:
+        change.abandon()
+        raise
+
+
+def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Options) -> dict[str, int]:
+    held, now = change.before, F.current_timestamp()
+    numbered = change.stage("numbered", versioning.assign_numbers(releases, held.versions.select("version_num", "version_id"), options.allow_old))
+    if options.resume and change.next["done"]:
+        done = change.spark.createDataFrame(change.next["done"], "bundle_name string, version_id string")
+        numbered = numbered.join(F.broadcast(done), ["bundle_name", "version_id"], "left_anti")  # a row a release
+    bundles = [(r["bundle_name"], r["version_id"], r["version_num"]) for r in numbered.collect()]  # a row a release
+    numbers = sorted({n for *_, n in bundles})
     versions = with_version_columns(versioning.new_versions(numbered, held.versions)).withColumn("created_at", now)
-    replace_table(spark, held.versions.unionByName(versions.select(*held.versions.columns)), out, "versions")
-    stored = open_catalog(spark, out).versions.select("version_num", "version_id", "bundle_name")
-    numbered = stored.join(numbered.select("bundle_name").distinct(), "bundle_name", "left_semi")
-    files = found.join(broadcast_if_small(numbered), "bundle_name").withColumn("path_id", ids.path_id(F.col("absolute_path")))
+    change.write("versions", held.versions.unionByName(versions.select(*held.versions.columns)).coalesce(1))
+    files = found.join(broadcast_if_small(numbered.select("bundle_name", "version_num", "version_id")), "bundle_name")
+    files = normalised(files).withColumns({"path_id": ids.path_id(F.col("absolute_path")), "content_id": ids.content_id(F.col("version_id"), F.col("absolute_path"))})
+    files = change.stage("files", files.select("version_num", "version_id", "bundle_name", "path_id", "content_id", "absolute_path", "content_hash", "byte_size", "body"))
+    if len(numbers) < len(bundles):
+        last = files.groupBy("version_num", "path_id").agg(F.max("bundle_name").alias("bundle_name"))
+        files = files.join(change.stage("last", last), ["version_num", "path_id", "bundle_name"], "left_semi")
     fresh = with_path_columns(versioning.new_paths(files.select("path_id", "absolute_path"), held.paths)).withColumn("created_at", now)
-    replace_table(spark, held.paths.unionByName(fresh.select(*held.paths.columns)), out, "paths")
-    files = normalised(files).withColumn("content_id", ids.content_id(F.col("version_id"), F.col("absolute_path")))
+    change.write("paths", fresh.select(*held.paths.columns), replace=False)
     key = ["version_num", "path_id", "content_id"]
-    skipped = parser.orphans(files, key)
-    good = files.join(skipped, key, "left_anti").withColumn("blob_key", F.concat_ws("/", "version_id", F.substring("absolute_path", 2, 1 << 30)))
-    narrow = good.select(*key, "content_hash", "byte_size", "blob_key")
-    placed = narrow.withColumns({"pack_object_key": F.col("blob_key"), "pack_offset": F.lit(0).cast("long"), "pack_length": F.col("byte_size")}) if options.skip_upload else pack_places(narrow, options.shards, options.pack_bytes)
-    contents = placed.select("content_id", "content_hash", "blob_key", "pack_object_key", "pack_offset", "pack_length", "byte_size", now.alias("created_at"), "version_num")
-    # Bodies first, then what points at them, so a reader never meets a dangling pointer.
-    save(contents, out, "contents")
-    if not options.skip_upload:
-        at = spark.read.parquet(f"{out}/contents").select("version_num", "content_id", "pack_object_key", "pack_offset", "pack_length")
-        save(good.select("version_num", "content_id", "body").join(at, ["version_num", "content_id"]), out, "blobs")
-    save(placed.select("version_num", "path_id", "content_id", now.alias("updated_at")), out, "file_instances")
-    symbols = parser.parse(files, key).drop("path_id")
-    save(with_symbol_columns(symbols), out, "symbols")
-    after = open_catalog(spark, out)
-    save(after.file_instances.groupBy("path_id").agg(F.max("version_num").alias("latest_version_num")), out, "latest_by_path")
-    presence.refresh(spark, open_catalog(spark, out), out, versions=numbered.select("version_num"))
-    done = open_catalog(spark, out)
-    mine = numbered.select("version_num").distinct()
-    return {"versions": mine.count(), "files": done.file_instances.join(mine, "version_num", "left_semi").count(), "symbols": done.symbols.join(mine, "version_num", "left_semi").count()}
+    declared = change.stage("declared", parser.declarations(files.select(*key, text.repair_utf8(F.col("body")).alias("text")), key))
+    skipped = declared.where("orphaned").select(*key).distinct()
+    good = files.join(broadcast_if_small(skipped), key, "left_anti").withColumn("blob_key", F.concat_ws("/", "version_id", F.substring("absolute_path", 2, 1 << 30)))
+    narrow = good.select(*key, "bundle_name", "content_hash", "byte_size", "blob_key")
+    if options.skip_upload:
+        placed = narrow.withColumns({"pack_object_key": F.col("blob_key"), "pack_offset": F.lit(0).cast("long"), "pack_length": F.col("byte_size")})
+    else:
+        placed = pack_places(narrow, options.shards, options.pack_bytes, within=("version_num", "bundle_name"))
+    placed = change.stage("placed", placed)
+    symbols = with_symbol_columns(declared.where("not orphaned").drop("path_id", "orphaned"))
+    made = {
+        "contents": placed.select("content_id", "content_hash", "blob_key", "pack_object_key", "pack_offset", "pack_length", "byte_size", now.alias("created_at"), "version_num"),
+        "blobs": good.select("version_num", "content_id", "body").join(placed.select("version_num", "content_id", "pack_object_key", "pack_offset", "pack_length"), ["version_num", "content_id"]),
+        "file_instances": placed.select("version_num", "path_id", "content_id", "bundle_name", now.alias("updated_at")),
+        "symbols": symbols,
+    }
+    if options.skip_upload:
+        del made["blobs"]
+    reopened = sorted(set(numbers) & change.parts("file_instances"))
+    if reopened:
+        # What other bundles have in these versions, and this import does not bring, is written again beside it.
+        mine = change.spark.createDataFrame([(n, b) for b, _, n in bundles], "version_num long, bundle_name string")
+        kept = held.file_instances.where(F.col("version_num").isin(reopened)).join(F.broadcast(mine), ["version_num", "bundle_name"], "left_anti")
+        kept = change.stage("kept", kept.join(files.select("version_num", "path_id"), ["version_num", "path_id"], "left_anti"))
+        for name in made:
+            old = kept if name == "file_instances" else getattr(held, name).where(F.col("version_num").isin(reopened)).join(kept.select("version_num", "content_id"), ["version_num", "content_id"], "left_semi")
+            made[name] = made[name].unionByName(old.select(*made[name].columns))
+    counted = {"file_instances": Observation(), "symbols": Observation()}
+    for name, rows in made.items():
+        for n in reopened:
+            change.drop_part(name, n)
+        change.write(name, rows, count=counted.get(name))
+    _refresh_latest(change, numbers, bool(reopened))
+    if numbers:
+        presence.refresh(change, change.spark.createDataFrame([(n,) for n in numbers], "version_num long"))
+    change.commit([[b, v] for b, v, _ in bundles])
+    return {"versions": len(numbers), "files": counted["file_instances"].get["n"], "symbols": counted["symbols"].get["n"]}
+
+
+def _refresh_latest(change: Change, numbers: list[int], reopened: bool) -> None:
+    """Newest version of each path: merged by bucket; counted anew if a version was written again, for its paths may be gone."""
+    now = change.catalog()
+    rows = now.file_instances if reopened else now.file_instances.where(F.col("version_num").isin(numbers))
+    made = rows.groupBy("path_id").agg(F.max("version_num").alias("latest_version_num")).withColumn("bucket", bucket_of(F.col("path_id")))
+    if reopened:
+        for part in change.parts("latest_by_path"):
+            change.drop_part("latest_by_path", part)
+    else:
+        made = change.stage("latest", made)
+        touched = [r["bucket"] for r in made.select("bucket").distinct().collect()]  # at most BUCKETS
+        if set(touched) & change.parts("latest_by_path"):
+            both = made.unionByName(now.stored_latest.where(F.col("bucket").isin(touched)))
+            made = both.groupBy("path_id", "bucket").agg(F.max("latest_version_num").alias("latest_version_num"))
+    change.write("latest_by_path", made.select("path_id", "latest_version_num", "bucket"))

@@ -73,7 +73,7 @@ def view_page(c: Catalog, version_id: str, absolute_path: str) -> ViewPage | Non
         return None
     versions = search.versions_for_path(c, row["path_id"])
     symbols = view.symbols_with_versions(c, row["path_id"], row["content_id"])
-    body = search.read_blob(c, ref).select(F.lit(row["version_num"]).alias("version_num"), F.lit(row["version_id"]).alias("version_id"), F.lit(absolute_path).alias("absolute_path"), F.make_valid_utf8(F.col("body").cast("string")).alias("text"))
+    body = search.read_blob(c, row["version_num"], row["content_id"]).select(F.lit(row["version_num"]).alias("version_num"), F.lit(row["version_id"]).alias("version_id"), F.lit(absolute_path).alias("absolute_path"), F.make_valid_utf8(F.col("body").cast("string")).alias("text"))
     folder = absolute_path.rpartition("/")[0] or "/"
     present = search.paths_in_directory(c, row["version_num"], folder).withColumn("version_num", F.lit(row["version_num"]))
     return ViewPage(ref, versions, view.availability_matrix(c, row["path_id"], row["content_id"]), view.line_labels(view.line_versions(symbols), versions), view.render(body, present))

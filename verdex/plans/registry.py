@@ -44,9 +44,9 @@ PATH_ID, VERSION, DIRECTORY, KEYWORD, PAGE = 17, 3, "Brand12.framework", "brand1
 PATH_IDS = [3, 17, 17, 91, 150]
 
 
-def _path_of(c, path_id: int = PATH_ID) -> str:
-    row = c.paths.where(F.col("path_id") == path_id).select("absolute_path").first()
-    return row["absolute_path"] if row else ""
+def _path_of(c, path_id: int = PATH_ID):
+    """The path of an id as a scalar subquery."""
+    return c.paths.where(F.col("path_id") == path_id).agg(F.max("absolute_path")).scalar()
 
 
 _PATH = f"(select absolute_path from paths where path_id={PATH_ID})"
@@ -211,7 +211,7 @@ _PIECES = "p as (select doc_id, list_filter(list_transform(string_split(text,chr
 
 
 def _collapsed(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", text.collapse_duplicate_lines(F.col("text").cast("binary")).alias("body"))
+    return lookups.spread(_read(spark, sf_dir, "documents")).select("doc_id", text.collapse_duplicate_lines(F.col("text").cast("binary")).alias("body"))
 
 
 @query("collapse_duplicate_lines", f"with {_PIECES} select doc_id, body from t")

@@ -4,7 +4,7 @@ Hash ids are signed 64-bit patterns of unsigned hashes; a symbol's set of versio
 is a sorted array.  Derived columns are computed once, when a table is written.
 """
 
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 
 def _struct(**columns) -> StructType:
@@ -17,9 +17,10 @@ VERSIONS = _struct(version_num=_L, version_id=_S, version_id_lc=_S, release=_S,
 PATHS = _struct(path_id=_L, absolute_path=_S, path_lc=_S, file_name=_S, file_name_lc=_S, dir_path=_S, dir_name=_S, dir_name_lc=_S, created_at=_T)
 CONTENTS = _struct(content_id=_L, content_hash=_S, blob_key=_S, pack_object_key=_S, pack_offset=_L, pack_length=_L, byte_size=_L, created_at=_T)
 BLOBS = _struct(pack_object_key=_S, pack_offset=_L, pack_length=_L, content_id=_L, body=_B)
-FILE_INSTANCES = _struct(version_num=_L, path_id=_L, content_id=_L, updated_at=_T)
+FILE_INSTANCES = _struct(version_num=_L, path_id=_L, content_id=_L, bundle_name=_S, updated_at=_T)
 SYMBOLS = _struct(version_num=_L, content_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, line_no=_L)
 SYMBOL_PRESENCE = _struct(path_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, versions=ArrayType(_L), updated_at=_T)
+LATEST_BY_PATH = _struct(path_id=_L, latest_version_num=_L)
 PLIST_META = _struct(bundle_name=_S, source=_S, product_version=_S, product_build=_S, error=_S)
 
 SYMBOL_TYPES = ["ivar", "property", "class_method", "instance_method"]

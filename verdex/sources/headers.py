@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType
 
 from verdex import schemas
 from verdex.functions.paths import absolute
+from verdex.sources.catalog import Storage
 
 
 def scan(spark: SparkSession, root: str, bundles: list[str] | None = None, max_files: int | None = None) -> DataFrame:
@@ -39,8 +40,10 @@ def _quoted(text: str) -> str:
     return r"\Q" + text.rstrip("/").replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def bundles_of(headers: DataFrame) -> DataFrame:
-    return headers.select("bundle_name").distinct().orderBy("bundle_name")
+def bundles_of(spark: SparkSession, root: str, bundles: list[str] | None = None) -> DataFrame:
+    """(bundle_name) of the folders under ``root``, also of those without headers; ``bundles`` picks some."""
+    names = [n for n in Storage(spark, root).folders() if not bundles or n in set(bundles)]
+    return spark.createDataFrame([(n,) for n in names], "bundle_name string")
 
 
 #: Places of release metadata in a bundle, in order of trust.

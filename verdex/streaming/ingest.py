@@ -4,36 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from verdex import schemas
 from verdex.functions.paths import absolute
 from verdex.plans.ingest import Options, ingest_headers
-from verdex.sources.catalog import open_catalog
+from verdex.sources.catalog import Change
 
 
 def watch(spark: SparkSession, root: str, out: str, checkpoint: str, options: Options = Options()) -> StreamingQuery:
     """Import (bundle_name, release, build, relative_path, content) Parquet drops as they arrive.
 
-    A release that arrives again replaces its version's partitions, so a batch that is
+    A bundle that arrives again replaces its files in its version, so a batch that is
     repeated after a failure changes nothing; each batch has to hold whole bundles.
     """
     schema = "bundle_name string, release string, build string, relative_path string, content binary"
     drops = spark.readStream.schema(schema).parquet(root)
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        from verdex.operators.versioning import assign_numbers
-
-        session = batch.sparkSession
         if batch.isEmpty():
             return
-        numbered = assign_numbers(batch.select("release", "build", "bundle_name").distinct(), open_catalog(session, out).versions.select("version_num", "version_id"), options.allow_old)
         found = batch.select("bundle_name", "relative_path", absolute(F.col("relative_path")).alias("absolute_path"), "content")
-        ingest_headers(session, found, numbered, out, options)
+        ingest_headers(Change(batch.sparkSession, out), found, batch.select("release", "build", "bundle_name").distinct(), options)
 
     return drops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def symbol_counts(spark: SparkSession, symbols: str) -> DataFrame:
-    """A running count of symbols by type over the catalogue's symbol files."""
-    return spark.readStream.schema(schemas.SYMBOLS).parquet(symbols).groupBy("symbol_type").agg(F.count(F.lit(1)).alias("n"))
+    """A running count of symbols by type over the symbol files of all generations: symbols as written, rewrites included."""
+    schema = T.StructType([*schemas.SYMBOLS.fields, T.StructField("g", T.LongType())])
+    return spark.readStream.schema(schema).parquet(symbols).groupBy("symbol_type").agg(F.count(F.lit(1)).alias("n"))

@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdex.operators.lookups import spread
+
 #: Upper bound on the text bytes that a Python worker turns into objects at once.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch (the default of 10,000 texts is some hundred MB with its copies).
-BATCH_ROWS = 1_000
 #: Rows of ids and small numbers that may be broadcast (some 30 MB in memory); counted before each use.
 BROADCAST_ROWS = 1_000_000
 
 
-#: Paths of the tables written by ``materialize``.
+#: Paths of the tables written by ``materialize``, in order.
 WRITTEN: list[str] = []
 
 
@@ -36,9 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share; a temporary one only where none is set (tests)."""
+    """The folder that all nodes share.
+
+    Only in local mode, as in tests, a temporary one serves where none is set; on a
+    cluster executors would write to their own disks, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             holder = tempfile.TemporaryDirectory(prefix="verdex-shared-")
@@ -59,16 +65,42 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if counted to be at most ``limit`` narrow rows; else joined by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables written inside the block go when it ends; ``keep`` writes one that stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        self.mark, self.kept = len(WRITTEN), []
+        return self
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        self.kept.append(WRITTEN[-1])
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, [p for p in WRITTEN[self.mark :] if p not in self.kept])
+        WRITTEN[self.mark :] = self.kept
+
+
+def if_small(rows: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Marked for broadcast if counted to be at most ``limit`` narrow rows (or ``limit`` of a summed weight); else joined by a shuffle."""
+    n = rows.count() if weight is None else rows.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(rows) if n <= limit else rows
 
 
 def drop_materialized(spark: SparkSession) -> None:
     """Remove the tables that this process has written; results that still read them fail afterwards."""
-    while WRITTEN:
-        at = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, WRITTEN)
+    WRITTEN.clear()
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
@@ -83,14 +115,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with bounded memory.
+    """``mapInArrow`` whose workers, which are reused, give back what a task has freed.
 
-    Batches have at most ``BATCH_ROWS`` rows, and a worker, which is reused, gives
-    back what a task has freed.
+    The session's ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) bounds a
+    batch; operators cut it again by bytes before they make objects of it.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -141,7 +170,7 @@ def append_columns(
     base = without(df, [f.name for f in fields if f.name.lower() != on.lower()])
     carried = [c for c in (base.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
     needed = list(dict.fromkeys([*carried, on]))
-    source = base.select(*[F.col(f"`{c}`") for c in needed])
+    source = spread(base.select(*[F.col(f"`{c}`") for c in needed]))
     at = needed.index(on)
     schema = T.StructType([*(source.schema[c] for c in carried), *fields])
     where = [needed.index(c) for c in carried]

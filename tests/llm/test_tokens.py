@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -34,7 +35,7 @@ def test_tree_reduction_equals_the_library(encoder, reference):
     for text in sample_texts(600):
         ids = encoder.encode(text)
         assert ids == reference.encode_ordinary(text)
-        assert encoder.decode(ids) == text.encode()
+        assert encoder.decode(np.array(ids, "<u4").tobytes()) == text.encode()
 
 
 def test_very_long_piece(encoder, reference):
@@ -42,6 +43,21 @@ def test_very_long_piece(encoder, reference):
     assert encoder.encode(text) == reference.encode_ordinary(text)
 
 
+def test_documents_go_through_the_tree(small, encoder, reference, monkeypatch):
+    """Pieces of real texts that are no single token are halved and joined."""
+    joins = []
+    own = bpe.Encoder.join
+    monkeypatch.setattr(bpe.Encoder, "join", lambda self, a, b: joins.append(1) or own(self, a, b))
+    texts = pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()[:40]
+    for text in texts:
+        pieces = [p.encode() for p in encoder.split(text)]
+        joins.clear()
+        ids = encoder.encode(text)
+        assert ids == reference.encode_ordinary(text)
+        assert len(joins) == sum(len(p) - 1 for p in pieces if p not in encoder.ranks)
+    assert joins
+
+
 def test_heap_and_scan_merge_alike(encoder):
     for text in sample_texts(100, seed=9):
         data = text.encode()[:60]

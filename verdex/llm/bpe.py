@@ -1,23 +1,25 @@
 """Operator 5: byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is cut by the tokenizer's pattern; each piece is encoded by halving it,
-encoding the halves and joining the two id sequences.  The join rests on a known
+A text is cut by the tokenizer's pattern; each piece is encoded by halving it down to
+single bytes, encoding the halves and joining the two id sequences.  The join rests on a known
 property of rank-ordered BPE: a sequence of tokens is *the* encoding of its bytes
 exactly when every two neighbouring tokens encode, on their own, to themselves.
 So the join re-encodes a window of k tokens on each side of the boundary and
 accepts it once both window edges are such neighbours; otherwise k doubles.  Both
 sides are correct encodings already, hence everything outside the window stands.
-Decoding maps ids to bytes and concatenates neighbours up the same kind of tree.
+Decoding maps ids to bytes and concatenates neighbours up the same kind of tree,
+two at a time.
 
-Nulls encode as the empty text.  Repeated pieces come from a bounded per-worker
-table; that changes the time only.
+Nulls and empty texts encode to no ids, null ids decode to no bytes.  Rows that
+repeat are encoded alike, each for itself; an empty table gives none.  Repeated
+pieces, and pairs of ids, come from bounded tables of a worker; that changes the time only.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 
 from verdex.llm.common import append_columns
 
-LEAF_BYTES = 24
+#: Windows of more bytes than this are merged with a heap.
+SCAN_BYTES = 96
 CACHED_PIECES = 200_000
 CACHED_PAIRS = 100_000
 NEVER = 1 << 60
@@ -61,15 +64,16 @@ class Encoder:
         self.vocabulary = vocabulary
         self.ranks = {t: i for i, t in enumerate(vocabulary) if t}
         self.split = regex.compile(pattern).findall
+        self.pairs = PairBytes(vocabulary)
         self._stable: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Plain rank-ordered merging; used on leaves and boundary windows."""
+        """Plain rank-ordered merging; used on boundary windows."""
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(piece) > 4 * LEAF_BYTES:
+        if len(piece) > SCAN_BYTES:
             return self.merge_by_heap(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [ranks.get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
@@ -136,8 +140,8 @@ class Encoder:
             width *= 2
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self.merge(piece)
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
         middle = len(piece) // 2
         return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
 
@@ -149,16 +153,31 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.encode_piece(piece)]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        """Concatenate token bytes pairwise up a tree, in blocks that fit a cache."""
-        get = self.vocabulary.__getitem__
-        ids = list(ids)
-        level = [b"".join(map(get, ids[i : i + 4096])) for i in range(0, len(ids), 4096)]
+    def decode(self, packed: bytes) -> bytes:
+        """Concatenate the bytes of neighbouring ids pairwise up a tree."""
+        n = len(packed) // 8
+        level = list(map(self.pairs.__getitem__, np.frombuffer(packed, "<u8", n).tolist()))
+        if len(packed) % 8:
+            level.append(self.vocabulary[int.from_bytes(packed[-4:], "little")])
         while len(level) > 1:
-            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+            odd = [level.pop()] if len(level) % 2 else []
+            level = list(map(operator.add, level[::2], level[1::2])) + odd
         return level[0] if level else b""
 
 
+class PairBytes(dict):
+    """Two ids, packed in one number, to their bytes; refilled from empty when it has grown to its bound."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, pair: int) -> bytes:
+        if len(self) >= CACHED_PAIRS:
+            self.clear()
+        made = self[pair] = self.vocabulary[pair & 0xFFFFFFFF] + self.vocabulary[pair >> 32]
+        return made
+
+
 class PieceTable(dict):
     """Piece to packed ids; refilled from empty when it has grown to its bound."""
 
@@ -208,7 +227,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
         encoder = Encoder(words, r"\s")
 
         def apply(packed: list) -> list[pa.Array]:
-            return [pa.array([encoder.decode(np.frombuffer(p, "<u4").tolist()) if p else b"" for p in packed], pa.binary())]
+            return [pa.array([encoder.decode(p) if p else b"" for p in packed], pa.binary())]
 
         return apply
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from verdex.llm import langid, quality, queries, toxicity
+from verdex.llm.common import fold
 
 DATA = "/root/testdata/sf0.01"
 
@@ -48,14 +49,56 @@ def test_language_windows_are_all_read():
     assert names[1] == alone[0] == "de" and p[0] < 1.0
 
 
+def brute_language(model, text):
+    """Probabilities of a text by sliding every filter over every zero-filled window."""
+    data = text.encode()
+    total = np.zeros(len(model.languages))
+    for at in range(0, len(data), langid.WINDOW):
+        window = data[at : at + langid.WINDOW + langid.PAD - 1]
+        e = model.embedding[np.frombuffer(window + bytes(langid.WINDOW + langid.PAD - 1 - len(window)), np.uint8)]
+        pooled = [np.max([sum(e[i + k] @ w[k] for k in range(len(w))) for i in range(langid.WINDOW)], axis=0) for w in model.filters]
+        z = np.maximum(np.concatenate(pooled) + model.offsets, 0) @ model.dense + model.bias
+        q = np.exp(z - z.max())
+        total += q / q.sum() * min(langid.WINDOW, len(data) - at)
+    return total / total.sum()
+
+
+def test_language_query_equals_brute_force(spark, small):
+    """The query on a small table against the network applied by definition, whatever the partitions."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs.where(fold("doc_id", 5) != 0), "text", "lang", "doc_id")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in queries.op1_langid(spark, small).collect()}
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", (fold("doc_id", 5) == 0).alias("h")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, t in list(sorted(texts.items()))[:25] + [max(texts.items(), key=lambda x: len(x[1] or "") if len(x[1] or "") < 9000 else 0)]:
+        if t and langid.LETTER.search(t):
+            p = brute_language(model, t)
+            assert got[i][0] == model.languages[int(p.argmax())] and got[i][1] == pytest.approx(p.max(), abs=1e-4)
+    assert {i: g[2] for i, g in got.items()} == held
+    for n in (1, 7):
+        again = langid.predict(docs.select("doc_id", "text").repartition(n), model).collect()
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in again} == {i: g[:2] for i, g in got.items()}
+
+
+def test_language_does_not_depend_on_the_batch():
+    model = langid.fit(["the and of the and that " * 20, "der die und das nicht " * 20] * 10, ["en", "de"] * 10)
+    score = model.scorer()
+    texts = ["the", "x" * 255, "y" * 256, "z" * 257, None, "der die das " * 300, "", "and", "é" * 200, "der und"]
+    names, p = score(texts)
+    alone = [score([t]) for t in texts]
+    assert names == [a[0][0] for a in alone] and p == [a[1][0] for a in alone]
+    assert score(texts[::-1]) == (names[::-1], p[::-1])
+
+
 def test_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
     model = langid.fit(["ab cd ef " * 9, "xy zw uv " * 9] * 4, ["a", "b"] * 4)
     text = bytes(rng.integers(97, 123, 100).astype(np.uint8))
     names, p = model.scorer()([text.decode()])
-    padded = np.frombuffer(text + bytes(langid.PAD), np.uint8)
+    padded = np.frombuffer(text + bytes(langid.WINDOW + langid.PAD - len(text)), np.uint8)
     e = model.embedding[padded]
-    pooled = [np.max([sum(e[i + k] @ w[k] for k in range(len(w))) for i in range(len(text))], axis=0) for w in model.filters]
+    pooled = [np.max([sum(e[i + k] @ w[k] for k in range(len(w))) for i in range(langid.WINDOW)], axis=0) for w in model.filters]
     z = np.maximum(np.concatenate(pooled) + model.offsets, 0) @ model.dense + model.bias
     q = np.exp(z - z.max())
     assert p[0] == pytest.approx(float(q.max() / q.sum()), abs=1e-5) and names[0] == model.languages[int(q.argmax())]

@@ -4,13 +4,17 @@ Bytes are embedded; filters of several widths slide over them; each filter's
 largest response in a fixed-length window goes through a softmax layer.  The
 network is trained in numpy on labelled text.  To predict, the embedding and the
 filters fold into tables by byte pair, so a response is a sum of table rows.  All
-windows of a text are scored; the text's probabilities are the mean over its
-windows, weighted by their lengths.
+windows of a text are scored, the last one filled up with zero bytes; the text's
+probabilities are the mean over its windows, weighted by their lengths.  A score
+depends on the text alone, to the last bit: neither on its batch nor on its place.
+
+Training reads all windows of the sampled texts.  The sample has about
+``SAMPLE_DOCS`` texts and ``SAMPLE_CHARS`` characters a language at most; a hash of
+the id picks whole texts.
 
-The training sample has at most ``SAMPLE_DOCS`` texts a language (a hash of the id
-picks them) and ``SAMPLE_WINDOWS`` windows spread over each text.
 ``und`` (score 0) is predicted for null texts and texts without a letter, and for
-every text when there is nothing to learn from.
+every text when there is nothing to learn from.  Languages that tie: the first by
+name.  Rows that repeat are predicted alike, each for itself; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ FILTERS = 16
 EMBEDDING = 8
 WINDOW = 256
 PAD = max(WIDTHS)
+#: Bounds of the training sample of each language.
 SAMPLE_DOCS = 400
-SAMPLE_WINDOWS = 4
-EPOCHS = 6
+SAMPLE_CHARS = 600_000
+EPOCHS = 4
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -54,6 +59,8 @@ class Model:
             rows = [e @ w[k] for k in range(len(w))]
             pairs = [(rows[k][:, None, :] + rows[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, len(w) - 1, 2)]
             tables.append(([np.ascontiguousarray(p, dtype=np.float32) for p in pairs], rows[-1].astype(np.float32) if len(w) % 2 else None))
+        # What the filters answer to zero bytes: the filling of a text's last window.
+        blank = np.concatenate([sum((p[0] for p in pairs), np.float32(0)) + (last[0] if last is not None else 0) for pairs, last in tables])
 
         def score(texts: list) -> tuple[list[str], list[float]]:
             data = [t.encode("utf-8") if t and LETTER.search(t) else b"" for t in texts]
@@ -68,8 +75,9 @@ class Model:
             starts = np.repeat(begin, windows) + WINDOW * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
             owner = np.repeat(np.arange(len(full)), windows)
             size = np.minimum(WINDOW, np.repeat(begin + lengths[full], windows) - starts)
+            bounds = np.stack([starts, starts + size], axis=1).ravel()
             pair = buffer[:-1].astype(np.int32) * 256 + buffer[1:]
-            n = len(buffer) - PAD
+            n = len(buffer) - PAD + 1
             pooled = []
             for pairs, last in tables:
                 response = pairs[0].take(pair[:n], axis=0)
@@ -77,10 +85,13 @@ class Model:
                     response += p.take(pair[2 * k : 2 * k + n], axis=0)
                 if last is not None:
                     response += last.take(buffer[2 * len(pairs) : 2 * len(pairs) + n], axis=0)
-                # A window ends where the next begins; a text's last one runs on over its padding alone.
-                pooled.append(np.maximum.reduceat(response, np.minimum(starts, n - 1), axis=0))
-            hidden = np.maximum(np.concatenate(pooled, axis=1) + self.offsets, 0)
-            logits = hidden @ self.dense + self.bias
+                # Every second stretch is a window; those between are padding.
+                pooled.append(np.maximum.reduceat(response, bounds, axis=0)[::2])
+            pooled = np.concatenate(pooled, axis=1)
+            pooled = np.where((size < WINDOW)[:, None], np.maximum(pooled, blank), pooled)
+            hidden = np.maximum(pooled + self.offsets, 0)
+            # Sums along a row do not depend on the other rows, as a matrix product's may.
+            logits = np.stack([(hidden * column).sum(axis=1) for column in self.dense.T], axis=1) + self.bias
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
             p /= p.sum(axis=1, keepdims=True)
@@ -95,11 +106,9 @@ class Model:
         return score
 
 
-def cut_windows(text: bytes, most: int, rng: np.random.Generator) -> list[bytes]:
-    """Up to ``most`` windows spread over the text, at a random phase."""
-    n = -(-len(text) // WINDOW)
-    at = range(n) if n <= most else sorted({int((i + rng.random()) * n / most) for i in range(most)})
-    return [text[i * WINDOW : (i + 1) * WINDOW + PAD - 1] for i in at]
+def cut_windows(text: bytes) -> list[bytes]:
+    """All windows of a text, each with the bytes that filters at its end look at."""
+    return [text[i : i + WINDOW + PAD - 1] for i in range(0, len(text), WINDOW)]
 
 
 def fit(texts: list[str], languages: list[str], seed: int = 3) -> Model:
@@ -108,7 +117,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 3) -> Model:
     names = sorted(set(languages))
     rows, labels = [], []
     for text, language in zip(texts, languages):
-        for w in cut_windows(text.encode("utf-8"), SAMPLE_WINDOWS, rng):
+        for w in cut_windows(text.encode("utf-8")):
             rows.append(w)
             labels.append(names.index(language))
     width = WINDOW + PAD - 1
@@ -165,18 +174,16 @@ def fit(texts: list[str], languages: list[str], seed: int = 3) -> Model:
     return Model(names, e, filters, offsets, dense, bias)
 
 
-def train(labelled: DataFrame, text: str, language: str, key: str, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most about ``sample_docs`` texts of each language; rows with a null in either are left out."""
+def train(labelled: DataFrame, text: str, language: str, key: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on about ``sample_docs`` texts and ``sample_chars`` characters of each language at most; rows with a null in either are left out."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(language).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(language).alias("language"))
-    counts = {r["language"]: r["count"] for r in rows.groupBy("language").count().collect()}
-    if not counts:
+    totals = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    if not totals:
         return fit([], [])
-    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, int(min(1.0, sample_docs / n) * (1 << 31)))])
+    shares = {r["language"]: min(1.0, sample_docs / r["n"], sample_chars / r["chars"]) for r in totals}
+    share = F.create_map(*[F.lit(v) for k, x in sorted(shares.items()) for v in (k, int(x * (1 << 31)))])
     picked = rows.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 31)) < share[F.col("language")])
-    # Only the windows that training can use travel to the driver: spread over the whole text, a bounded number each.
-    n = F.ceil(F.length("text") / WINDOW)
-    spread = F.when(n <= SAMPLE_WINDOWS, F.col("text")).otherwise(F.concat(*[F.substring("text", F.floor((F.xxhash64("key", F.lit(k)) % 997 + 997) / 1994 * (n / SAMPLE_WINDOWS) + k * n / SAMPLE_WINDOWS).cast("int") * WINDOW + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]))
-    got = picked.select("key", spread.alias("text"), "language").toPandas().sort_values(["key", "text"], kind="stable")
+    got = picked.toPandas().sort_values(["key", "text"], kind="stable")
     return fit(got["text"].tolist(), got["language"].tolist())
 
 

@@ -1,6 +1,9 @@
 """Language, quality and toxicity: held-out accuracy and edge cases."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -155,6 +158,67 @@ def test_segments_are_the_maximal_ones():
         assert [s[:2] for s in got] == [s[:2] for s in expected]
 
 
+def brute_toxicity(texts, labelled, model):
+    """{id: (score, passages)} with plain counts of tokens and segments by definition."""
+    places, counts = [0, 0], [Counter(), Counter()]
+
+    def tokens(word):
+        return [*(word[:k] + "*" for k in toxicity.PREFIXES if len(word) > k), word]
+
+    for text, label in labelled:
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        places[1 - label] += len(words)
+        for token in (t for w in words for t in tokens(w)):
+            counts[1 - label][token] += 1
+    base = places[0] / sum(places)
+
+    def score(word):
+        rate, chain = base, [(counts[0][t], counts[1][t]) for t in tokens(word)]
+        for (a, b), (c, d) in zip(chain, [*chain[1:], (0, 0)]):
+            rate = (a - c + toxicity.PRIOR * rate) / (a - c + b - d + toxicity.PRIOR)
+        return math.log(rate / (1 - rate)) - math.log(base / (1 - base)) - toxicity.DRIFT
+
+    out = {}
+    for i, text in texts:
+        words, last, scores = re.findall(r"\w+", text or ""), {}, []
+        for at, word in enumerate(words):
+            s = score(word.lower())
+            if s > -toxicity.DRIFT:
+                s, last[word] = s if at - last.get(word, -toxicity.APART) >= toxicity.APART else -toxicity.DRIFT, at
+            scores.append(s)
+        found = toxicity.maximal_segments(np.array(scores))
+        chance = model.scale * max(len(words), 1)
+        gains = [model.decay * s - math.log(chance + 1e-9) for *_, s in found]
+        evidence = (sum(g for g in gains if g > 0) or max(gains)) if gains else -math.log(chance + 1.0)
+        z = max(-35.0, min(35.0, evidence - model.threshold + math.log(7 / 3)))
+        out[i] = 1 / (1 + math.exp(-z)), sorted((a, b - a) for (a, b, _), g in zip(found, gains) if g > 0)
+    return out
+
+
+def test_toxicity_query_equals_plain_counts(spark, small):
+    """The sketch has room for all tokens of a small table, so it counts as a plain table does."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = queries.labelled(spark, docs, small, "toxic", 3, 1)
+    model = toxicity.train(rows, "text", "label", "doc_id")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"] or "") < 20_000]
+    expected = brute_toxicity(texts, [(r["text"], r["label"]) for r in rows.collect()], model)
+    got = {r["doc_id"]: r["score"] for r in queries.op10_toxicity(spark, small).collect()}
+    spans = {r["doc_id"]: sorted((p["first_word"], p["n_words"]) for p in r["passages"]) for r in toxicity.score(docs, model).collect()}
+    off = [i for i, (s, p) in expected.items() if abs(s - got[i]) > 1e-6 or p != spans[i]]
+    assert len(off) <= len(expected) // 100  # two tokens may share their buckets in both rows
+
+
+def test_a_repeated_word_is_no_passage():
+    sketch = toxicity.Sketch(np.zeros(toxicity.ROWS << toxicity.BITS, np.float32), np.zeros(toxicity.ROWS << toxicity.BITS, np.float32), (10, 90))
+    for at in toxicity.buckets_of(toxicity.token_hashes(["odd"])[0][:, -1]):
+        sketch.toxic[at] = 5
+    scanner = toxicity.Scanner(sketch)
+    alone, again = scanner.scan("odd")[1], scanner.scan("odd " * 60)[1]
+    assert alone == [(0, 1, pytest.approx(alone[0][2]))] and again == alone and alone[0][2] > 0
+    assert len(scanner.scan("odd " + "x " * 80 + "odd")[1]) == 2
+    assert scanner.scores("x").tolist() == [-toxicity.DRIFT]
+
+
 def test_toxicity_finds_short_passages_in_long_texts(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeiou") + rng.choice("bdfgl") for _ in range(3)) for _ in range(800)]

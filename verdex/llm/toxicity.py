@@ -1,23 +1,33 @@
 """Operator 10: maximum-scoring passages over token log-odds, calibrated by extreme-value theory.
 
 Learning counts, by label, in how many labelled texts each token stands; a token
-is a word, or a word's beginning of 4 to 6 characters with a mark.  A token's score
-is its log-odds ratio under a Dirichlet prior that expects equal rates; only tokens
-seen in at least ``max(MIN_COUNT, SUPPORT * toxic places)`` toxic texts, with a
-score of ``LEAST`` or more, keep it, so the table has at most ``4 / SUPPORT`` rows
-at any size of the corpus.  All other tokens score ``-DRIFT``, which makes a random
-text's expected score negative.
+is a word, or a word's beginning of 4, 5 or 6 characters with a mark.  A word's score is
+its log-odds ratio under nested Dirichlet priors: the rate of all words is the prior
+of the shortest beginning, each beginning (less the words that share the next one) the
+prior of the next, the longest that of the word.  So every counted token has a score
+of its own, of either sign; a word never seen has that of its longest known beginning,
+and without one that of the prior, 0.  From each word's score a constant ``DRIFT`` goes
+off, the cost of lengthening a passage, which keeps passages short.  Counts say in how
+many texts a token stands, so a word repeated within ``APART`` words brings its drift alone.
+
+Counts are kept in a sketch of ``ROWS`` rows of 2**BITS buckets (a token counts in one of
+each row, the smallest is its count), so no token is left out and the table that
+is sent to the workers has the same 16 MB at any size of the corpus.
 
 Scoring finds all maximal scoring segments (Ruzzo and Tompa) in linear time.  For
 scores of that kind the best segment of a chance text follows an extreme-value
 law: E = K * n * exp(-lambda * S).  lambda solves sum p_i exp(lambda s_i) = 1 over
-token scores in non-toxic texts, K comes from their maxima.  The
+all token scores in non-toxic texts; K is the maximum-likelihood estimate from the best
+segments of all of these, texts without one being censored at 0.  The
 evidence of a text is -log of the product of its segments' E-values where they
 are significant, and a logistic curve through the calibration's own threshold
 turns it into a score of 0 to 1.  Calibration counts are cross-fitted: each half of
 the labelled texts is scored with the counts of the other half.
 
-Nulls and texts without tokens have no segment and get the lowest evidence.
+Nulls, empty texts and texts without words have no segment and get the lowest
+evidence.  A score ties with the threshold on the toxic side.  A text that has several
+labels is learnt once for each row given; rows that repeat are scored alike, each for
+itself; an empty table gives none, and without both labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -31,42 +41,83 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns, map_batches, materialize, slices
+from verdex.llm.common import Scratch, append_columns, map_batches, materialize, slices
 
 WORDS = re.compile(r"\w+")
-MIN_COUNT = 3
-SUPPORT = 2e-5
+#: Places that a prior counts for.
 PRIOR = 4.0
-DRIFT = 0.7
-LEAST = 2.0
+DRIFT = 1.0
+#: Words between two places of a word that both count.
+APART = 64
+#: Size of the sketch of counts.
+BITS, ROWS = 20, 2
 CACHED_WORDS = 100_000
-FLUSH_TOKENS = 40_000
+FLUSH_WORDS = 40_000
 PREFIXES = (4, 5, 6)
 #: Bins of the calibration's evidence.
 BINS, BIN = 400, 0.1
 
 
-def tokens_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+def token_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each lower-case word's tokens, shortest beginning first and the word last, and which of them are tokens.
+
+    A word that is no longer than a beginning stands there itself, which is no token of its own.
+    """
+    digest = xxhash.xxh64_intdigest
+    whole = np.fromiter(map(digest, words), np.uint64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    columns = [np.fromiter((digest(w[:k] + "*") for w in words), np.uint64, len(words)) for k in PREFIXES]
+    own = np.stack([*(sizes > k for k in PREFIXES), np.ones(len(words), bool)], axis=1)
+    return np.where(own, np.stack([*columns, whole], axis=1), whole[:, None]), own
+
+
+def buckets_of(hashes: np.ndarray) -> list[np.ndarray]:
+    """The tokens' buckets in each row of the sketch."""
+    return [((hashes >> np.uint64(BITS * r)) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (r << BITS) for r in range(ROWS)]
+
+
+@dataclass
+class Sketch:
+    """Counts of toxic and clean texts by bucket, and the places of each label."""
+
+    toxic: np.ndarray
+    clean: np.ndarray
+    places: tuple[int, int]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-odds of lower-case words less the drift."""
+        at = buckets_of(token_hashes(words)[0])
+        toxic, clean = (np.minimum.reduce([counts[i] for i in at]).astype(np.float64) for counts in (self.toxic, self.clean))
+        base = self.places[0] / sum(self.places)
+        rate = np.full(len(words), base)
+        for k in range(len(PREFIXES) + 1):
+            # What the next longer token has is its own evidence; the rest of this one is its prior's.
+            a, b = (np.maximum(c[:, k] - (c[:, k + 1] if k < len(PREFIXES) else 0), 0) for c in (toxic, clean))
+            rate = (a + PRIOR * rate) / (a + b + PRIOR)
+        return np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - DRIFT
 
 
 class WordScores(dict):
-    """A word's score: the best of its own and its beginnings', or the drift."""
+    """Scores of words as they are written, bounded; new ones are looked up together."""
 
-    def __init__(self, table: dict[str, float]):
-        self.table = table
+    def __init__(self, sketch: Sketch | None):
+        self.sketch = sketch
 
-    def __missing__(self, word: str) -> float:
-        get = self.table.get
-        best = max((get(t, -DRIFT) for t in tokens_of(word.lower())), default=-DRIFT)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = best
-        return best
+    def of(self, words: list[str]) -> np.ndarray:
+        if self.sketch is None:
+            return np.full(len(words), -DRIFT)
+        fresh = [w for w in set(words) if w not in self]
+        if fresh:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+                fresh = list(set(words))
+            self.update(zip(fresh, self.sketch.scores(list(map(str.lower, fresh))).tolist()))
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -94,7 +145,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    scores: dict[str, float]
+    sketch: Sketch | None
     decay: float = 1.0
     scale: float = 0.1
     threshold: float = 5.0
@@ -113,80 +164,75 @@ class Model:
 
 
 class Scanner:
-    def __init__(self, scores: dict[str, float]):
-        self.get = WordScores(scores).__getitem__
+    def __init__(self, sketch: Sketch | None):
+        self.known = WordScores(sketch)
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def scores(self, text: str | None) -> np.ndarray:
+        """Scores of the text's words; a word that stood less than ``APART`` words before says nothing new."""
         words = WORDS.findall(text) if text else []
-        return len(words), maximal_segments(np.fromiter(map(self.get, words), np.float64, len(words)))
+        scores = self.known.of(words)
+        last: dict[str, int] = {}
+        for i in np.flatnonzero(scores > -DRIFT).tolist():
+            word = words[i]
+            if i - last.get(word, -APART) < APART:
+                scores[i] = -DRIFT
+            last[word] = i
+        return scores
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        scores = self.scores(text)
+        return len(scores), maximal_segments(scores)
 
 
 NAMES = ("toxic0", "clean0", "toxic1", "clean1")
-COUNTS = T.StructType([T.StructField("token", T.StringType()), *(T.StructField(n, T.LongType()) for n in NAMES)])
+COUNTS = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in NAMES)])
 
 
 def count_tokens(labelled: DataFrame) -> DataFrame:
-    """(half, text, label) rows to counts by token; each task sums before the shuffle.
+    """(half, text, label) rows to counts by bucket; each task sums before the shuffle.
 
-    The empty token has the totals over words.
+    Bucket -1 has the totals over words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Counter() for _ in NAMES]
+        sums = np.zeros((len(NAMES), ROWS << BITS), np.int32)
+        totals = [0] * len(NAMES)
 
-        def flush() -> pa.RecordBatch:
-            sums: dict[str, list[int]] = {"": [sum(c.values()) for c in held]}
+        def flush() -> None:
             for k, counter in enumerate(held):
-                for word, n in counter.items():
-                    for token in tokens_of(word):
-                        row = sums.get(token)
-                        if row is None:
-                            row = sums[token] = [0, 0, 0, 0]
-                        row[k] += n
+                hashes, own = token_hashes(list(counter))
+                n = np.repeat(np.fromiter(counter.values(), np.int32, len(counter)), own.sum(axis=1))
+                for at in buckets_of(hashes[own]):
+                    np.add.at(sums[k], at, n)
+                totals[k] += counter.total()
                 counter.clear()
-            columns = list(zip(*sums.values()))
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=COUNTS.names)
 
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             for half, text, label in zip(*(part.column(i).to_pylist() for i in range(3))):
                 held[2 * half + 1 - label].update(set(WORDS.findall(text.lower())))
-            if sum(map(len, held)) > FLUSH_TOKENS:
-                yield flush()
-        yield flush()
-
-    return map_batches(labelled, run, COUNTS).groupBy("token").agg(*[F.sum(n).alias(n) for n in NAMES])
-
-
-def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
-    """Log-odds ratio under a Dirichlet prior of PRIOR places at equal rates."""
-    share = all_toxic / (all_toxic + all_clean)
-    a, b = PRIOR * share, PRIOR * (1 - share)
-    return math.log((toxic + a) / (all_toxic + PRIOR)) - math.log((clean + b) / (all_clean + PRIOR))
-
-
-def tables(counts: DataFrame) -> list[dict[str, float]]:
-    """Score tables of half 0, of half 1 and of both."""
-    counts = materialize(counts.where((F.col("token") == "") | (F.col("toxic0") + F.col("toxic1") >= MIN_COUNT)), "tokens")
-    totals = counts.where(F.col("token") == "").first()
-    sums = [(totals["toxic0"], totals["clean0"]), (totals["toxic1"], totals["clean1"])] if totals else [(0, 0), (0, 0)]
-    sums.append((sums[0][0] + sums[1][0], sums[0][1] + sums[1][1]))
-    least = [max(2, SUPPORT * sums[0][0]), max(2, SUPPORT * sums[1][0]), max(MIN_COUNT, SUPPORT * sums[2][0])]
-    wide = counts.where(F.col("token") != "").withColumns({"toxic2": F.col("toxic0") + F.col("toxic1"), "clean2": F.col("clean0") + F.col("clean1")})
-    # Only tokens that can reach the least score travel: support, and twice the clean rate.
-    good = F.lit(False)
-    for k, (toxic, clean) in enumerate(sums):
-        if toxic and clean:
-            good = good | ((F.col(f"toxic{k}") >= least[k]) & (F.col(f"toxic{k}") * F.lit(clean).cast("double") >= F.col(f"clean{k}") * F.lit(toxic).cast("double") * 2))
-    rows = wide.where(good).collect()
-    out: list[dict[str, float]] = []
-    for k, (toxic, clean) in enumerate(sums):
-        table = {}
-        if toxic and clean:
-            for r in rows:
-                if r[f"toxic{k}"] >= least[k] and (s := log_odds(r[f"toxic{k}"], r[f"clean{k}"], toxic, clean)) >= LEAST:
-                    table[r["token"]] = s
-        out.append(table)
-    return out
+            if sum(map(len, held)) > FLUSH_WORDS:
+                flush()
+        flush()
+        full = np.flatnonzero(sums.any(axis=0))
+        for at in np.array_split(full, -(-len(full) // 65536)) if len(full) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(row[at].astype(np.int64)) for row in sums)], names=COUNTS.names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([t], pa.int64()) for t in totals)], names=COUNTS.names)
+
+    return map_batches(labelled, run, COUNTS).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in NAMES])
+
+
+def sketches(counts: DataFrame) -> list[Sketch | None]:
+    """Sketches of half 0, of half 1 and of both; none where a label is missing.  At most ROWS << BITS rows travel."""
+    got = counts.toArrow()
+    bucket = got.column("bucket").to_numpy()
+    sums, totals = np.zeros((len(NAMES), ROWS << BITS), np.float32), [0] * len(NAMES)
+    for k, name in enumerate(NAMES):
+        values = got.column(name).to_numpy()
+        sums[k, bucket[bucket >= 0]] = values[bucket >= 0]
+        totals[k] = int(values[bucket < 0].sum())
+    halves = [(sums[0], sums[1], (totals[0], totals[1])), (sums[2], sums[3], (totals[2], totals[3])), (sums[0] + sums[2], sums[1] + sums[3], (totals[0] + totals[2], totals[1] + totals[3]))]
+    return [Sketch(t, c, n) if all(n) else None for t, c, n in halves]
 
 
 SCANNED = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("segments", T.ArrayType(T.DoubleType())), T.StructField("rates", T.MapType(T.DoubleType(), T.LongType()))])
@@ -212,47 +258,49 @@ def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
     """Learn from all labelled rows; rows without label count as none, null texts as empty."""
     half = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(2)).cast("int")
     rows = labelled.where(F.col(label).isin(0, 1)).select(half.alias("half"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    first, second, both = tables(count_tokens(rows))
-    if not both:
-        return Model({})
+    first, second, both = sketches(count_tokens(rows))
+    if both is None:
+        return Model(None)
+    with Scratch(labelled.sparkSession):
+        return calibrated(rows, (second or both, first or both), both)
+
+
+def calibrated(rows: DataFrame, crossed: tuple[Sketch, Sketch], both: Sketch) -> Model:
+    """The law of chance and the threshold, from texts scored with the counts of the other half."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(second), Scanner(first)]
+        scanners = [Scanner(s) for s in crossed]
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
-            found = []
-            rates: Counter = Counter()
+            ys, ns, segs, chance = [], [], [], [np.empty(0)]
             for h, t, y in zip(*(part.column(i).to_pylist() for i in range(3))):
-                n, segments = scanners[h].scan(t)
-                found.append((y, n, [round(s, 3) for _, _, s in segments]))
+                scores = scanners[h].scores(t)
+                ys.append(y)
+                ns.append(len(scores))
+                segs.append([round(s, 3) for _, _, s in maximal_segments(scores)])
                 if y == 0:
-                    get = scanners[h].get
-                    up = [round(s, 1) for s in map(get, WORDS.findall(t)) if s > 0]
-                    rates.update(up)
-                    rates[-DRIFT] += n - len(up)
-            maps = [list(rates.items())] + [[]] * (len(found) - 1) if found else []
-            ys, ns, segs = zip(*found) if found else ((), (), ())
+                    chance.append(scores)
+            values, counts = np.unique(np.round(np.concatenate(chance), 1), return_counts=True)
+            maps = [list(zip(values.tolist(), counts.tolist()))] + [[]] * (len(ys) - 1) if ys else []
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array([max(s, default=0.0) for s in segs], pa.float64()), pa.array(segs, pa.list_(pa.float64())), pa.array(maps, pa.map_(pa.float64(), pa.int64()))], names=SCANNED.names)
 
     scanned = materialize(map_batches(rows, scan, SCANNED), "toxicity")
-    rates = {r["s"]: r["n"] for r in scanned.select(F.explode("rates").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    rates = {r["s"]: r["n"] for r in scanned.select(F.explode("rates").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()}  # bins of 0.1
     decay = solve_decay(rates)
-    # K from the mean of the clean texts' maxima: for a Gumbel law, E[max] = (log(K n) + gamma) / lambda.
-    clean = scanned.where((F.col("label") == 0) & (F.col("n") > 0) & (F.col("best") > 0)).agg(F.avg(decay * F.col("best") - F.log("n")).alias("m")).first()["m"]
-    scale = min(10.0, max(1e-4, math.exp(clean - 0.5772))) if clean is not None else 0.01
+    # With E = K n exp(-lambda S), K n exp(-lambda best) is exponential with mean 1; texts without a segment are censored.
+    fitted = scanned.where((F.col("label") == 0) & (F.col("n") > 0)).agg(F.count_if(F.col("best") > 0).alias("seen"), F.sum(F.col("n") * F.exp(-decay * F.col("best"))).alias("mass")).first()
+    scale = min(10.0, max(1e-4, fitted["seen"] / fitted["mass"])) if fitted["seen"] else 0.01
     base = F.log(scale * F.greatest(F.col("n"), F.lit(1)) + 1e-9)
     gains = F.transform("segments", lambda s: s * decay - base)
     above = F.aggregate(F.filter(gains, lambda g: g > 0), F.lit(0.0), lambda a, g: a + g)
     evidence = F.when(above > 0, above).otherwise(F.coalesce(F.array_max(gains), -F.log(scale * F.greatest(F.col("n"), F.lit(1)) + 1.0)))
     bins = scanned.select("label", F.least(F.greatest(F.floor(evidence / BIN), F.lit(-BINS)), F.lit(BINS)).cast("int").alias("bin")).groupBy("label", "bin").count().collect()
     hits = {(r["label"], r["bin"]): r["count"] for r in bins}
-    total, best = sum(n for (y, _), n in hits.items() if y == 1), (-1.0, 5.0)
+    total, best, top = sum(n for (y, _), n in hits.items() if y == 1), -1.0, BINS
     caught = false = 0
     for b in range(BINS, -BINS - 1, -1):
         caught, false = caught + hits.get((1, b), 0), false + hits.get((0, b), 0)
-        f1 = 2 * caught / (total + caught + false)
-        if f1 > best[0]:
-            best = (f1, b * BIN)
-            top = b
+        if (f1 := 2 * caught / max(1, total + caught + false)) > best:
+            best, top = f1, b
     # The middle of the gap below the threshold, if nothing of either label lies there.
     low = top - 1
     while low > -BINS and not hits.get((0, low)) and not hits.get((1, low)):
@@ -270,7 +318,7 @@ def score(
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("score", pa.float64())]))
 
     def make():
-        scanner = Scanner(model.scores)
+        scanner = Scanner(model.sketch)
 
         def apply(texts: list) -> list[pa.Array]:
             p, spans = [], []

@@ -48,6 +48,8 @@ def test_documents_go_through_the_tree(small, encoder, reference, monkeypatch):
     joins = []
     own = bpe.Encoder.join
     monkeypatch.setattr(bpe.Encoder, "join", lambda self, a, b: joins.append(1) or own(self, a, b))
+    monkeypatch.setattr(bpe, "PART_BYTES", 0)
+    encoder = bpe.Encoder(encoder.vocabulary, bpe.default_pattern())
     texts = pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()[:40]
     for text in texts:
         pieces = [p.encode() for p in encoder.split(text)]

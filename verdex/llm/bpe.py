@@ -7,19 +7,18 @@ exactly when every two neighbouring tokens encode, on their own, to themselves.
 So the join re-encodes a window of k tokens on each side of the boundary and
 accepts it once both window edges are such neighbours; otherwise k doubles.  Both
 sides are correct encodings already, hence everything outside the window stands.
-Decoding maps ids to bytes and concatenates neighbours up the same kind of tree,
-two at a time.
+Decoding maps ids to bytes and concatenates neighbours up a tree of small fan-in.
 
 Nulls and empty texts encode to no ids, null ids decode to no bytes.  Rows that
 repeat are encoded alike, each for itself; an empty table gives none.  Repeated
-pieces, and pairs of ids, come from bounded tables of a worker; that changes the time only.
+pieces, halves and pairs of ids come from bounded tables of a worker; that changes the time only.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import operator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,13 @@ from verdex.llm.common import append_columns
 
 #: Windows of more bytes than this are merged with a heap.
 SCAN_BYTES = 96
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 100_000
+#: Halves of pieces, and boundary windows, up to so many bytes are remembered, for many pieces share them.
+PART_BYTES, WINDOW_BYTES = 8, 16
+CACHED_PARTS = 100_000
+#: Neighbours that are concatenated at once above the pairs.
+FAN = 8
 NEVER = 1 << 60
 
 
@@ -66,6 +70,8 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.pairs = PairBytes(vocabulary)
         self._stable: dict[tuple[int, int], bool] = {}
+        self._parts: dict[bytes, list[int]] = {}
+        self._merged: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain rank-ordered merging; used on boundary windows."""
@@ -73,6 +79,9 @@ class Encoder:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        known = self._merged.get(piece)
+        if known is not None:
+            return known
         if len(piece) > SCAN_BYTES:
             return self.merge_by_heap(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -88,7 +97,12 @@ class Encoder:
                 pairs[i - 1] = ranks.get(parts[i - 1] + merged, NEVER)
             if i < len(pairs):
                 pairs[i] = ranks.get(merged + parts[i + 1], NEVER)
-        return [ranks[p] for p in parts]
+        merged = [ranks[p] for p in parts]
+        if len(piece) <= WINDOW_BYTES:
+            if len(self._merged) >= CACHED_PARTS:
+                self._merged.clear()
+            self._merged[piece] = merged
+        return merged
 
     def merge_by_heap(self, piece: bytes) -> list[int]:
         """The same merges in O(n log n), for windows that had to grow."""
@@ -142,8 +156,15 @@ class Encoder:
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) < 2:
             return [self.ranks[piece]] if piece else []
-        middle = len(piece) // 2
-        return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
+        known = self._parts.get(piece)
+        if known is None:
+            middle = len(piece) // 2
+            known = self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
+            if len(piece) <= PART_BYTES:
+                if len(self._parts) >= CACHED_PARTS:
+                    self._parts.clear()
+                self._parts[piece] = known
+        return known
 
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
@@ -154,14 +175,13 @@ class Encoder:
         return [i for piece in self.split(text) for i in self.encode_piece(piece)]
 
     def decode(self, packed: bytes) -> bytes:
-        """Concatenate the bytes of neighbouring ids pairwise up a tree."""
+        """Concatenate the bytes of neighbours up a tree: ids by pairs, then FAN at a time."""
         n = len(packed) // 8
         level = list(map(self.pairs.__getitem__, np.frombuffer(packed, "<u8", n).tolist()))
         if len(packed) % 8:
             level.append(self.vocabulary[int.from_bytes(packed[-4:], "little")])
         while len(level) > 1:
-            odd = [level.pop()] if len(level) % 2 else []
-            level = list(map(operator.add, level[::2], level[1::2])) + odd
+            level = [b"".join(level[i : i + FAN]) for i in range(0, len(level), FAN)]
         return level[0] if level else b""
 
 
@@ -193,6 +213,18 @@ class PieceTable(dict):
         return packed
 
 
+_HELD: dict[tuple[int, str], PieceTable] = {}
+
+
+def held_pieces(words: list[bytes], cut: str) -> PieceTable:
+    """This worker's table for a vocabulary and pattern, kept between tasks."""
+    key = zlib.crc32(b"\0".join(words)), cut
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = PieceTable(Encoder(words, cut))
+    return _HELD[key]
+
+
 def encode(
     df: DataFrame,
     text: str = "text",
@@ -206,9 +238,8 @@ def encode(
     words, cut = read_ranks(vocabulary or default_vocabulary()), pattern or default_pattern()
 
     def make():
-        encoder = Encoder(words, cut)
-        find, pieces = encoder.split, PieceTable(encoder)
-        get = pieces.__getitem__
+        pieces = held_pieces(words, cut)
+        find, get = pieces.encoder.split, pieces.__getitem__
 
         def apply(texts: list) -> list[pa.Array]:
             out = [b"".join(map(get, find(t))) if t else b"" for t in texts]
@@ -224,7 +255,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
     words = read_ranks(vocabulary or default_vocabulary())
 
     def make():
-        encoder = Encoder(words, r"\s")
+        encoder = held_pieces(words, default_pattern()).encoder
 
         def apply(packed: list) -> list[pa.Array]:
             return [pa.array([encoder.decode(p) if p else b"" for p in packed], pa.binary())]

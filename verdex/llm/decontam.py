@@ -3,9 +3,10 @@
 Words are lower-cased runs of word characters.  For every benchmark item of n words
 the windows of n words of a document (the whole document if shorter) are
 compared with it: a window's fingerprint is the 64-bit SimHash of its shingles,
-weighted by how often they occur.  Fingerprints are looked up in a
-multi-index: eight blocks of eight bits; two fingerprints within ``RADIUS`` = 20 bits
-agree to 20 // 8 = 2 bits in at least one block, so the union of the blocks'
+weighted by how often they occur.  An inverted index of shingles names the items that
+a window shares a shingle with (all others have similarity 0); of these the
+multi-index picks: eight blocks of eight bits; two fingerprints within ``RADIUS`` = 20
+bits agree to 20 // 8 = 2 bits in at least one block, so the union of the blocks'
 neighbours misses none within the radius.  What is within the radius is verified
 by the exact similarity of weighted shingle sets, sum of minima / sum of maxima.
 
@@ -13,23 +14,25 @@ The radius bounds no similarity: a shingle that a window repeats weighs on all b
 So windows with as many of an item's shingles as the threshold asks for are verified,
 too, however far their fingerprints are; sliding counts make that linear in the
 text.  Such windows are all that can reach the threshold, so no match is missed.
+Shingles have ``shingle`` words, or all words of a shorter item.
 
-A window without any shingle of the benchmark has similarity 0 to every item, so
-fingerprints are computed only for windows that hold one.  Shingles have
-``shingle`` words, or all words of a shorter item.
+The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words.  Usually it is one
+block, which goes with one pass over the documents.  Of more blocks the driver holds
+one at a time; each has a pass of its own, whose matches are written down by row.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each matched
-against all documents, so what is sent to the executors is bounded.  Null and
-blank texts match nothing; items without words are skipped.  Rows that repeat are
-matched each for itself; an item_id that repeats in a block counts once a row.
+Null and blank texts match nothing; items without words are skipped.  Rows that repeat are
+matched each for itself; an item_id that repeats counts once a row of it.  Of
+windows that tie the first counts.  Without items or documents there are no matches.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns
+from verdex.llm.common import Scratch, append_columns, if_small, materialize
 from verdex.llm.minhash import mix
 
 WORDS = re.compile(r"\w+")
@@ -88,29 +91,26 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if both else 0.0
 
 
-NEAR = [np.array([y for y in range(256) if (x ^ y).bit_count() <= RADIUS // BLOCKS]) for x in range(256)]
 COUNT = np.array([x.bit_count() for x in range(256)], np.uint8)
+#: NEIGHBOURS[x, y]: two values of a block within RADIUS // BLOCKS bits.
+NEIGHBOURS = COUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
 
 
-class MultiIndex:
-    """Fingerprints of items of one size."""
+def within(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which windows' fingerprints have a block in the neighbourhood of the item's, and are within the radius."""
+    at = np.flatnonzero(NEIGHBOURS[windows, item].any(axis=1))
+    return at[COUNT[windows[at] ^ item].sum(axis=1) <= RADIUS]
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        # near[block][value]: which items have a block within RADIUS // BLOCKS bits of the value
-        self.near = np.zeros((BLOCKS, 256, len(prints)), bool)
-        for item, row in enumerate(prints):
-            for block in range(BLOCKS):
-                self.near[block, NEAR[row[block]], item] = True
 
-    def within(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) index pairs within the radius."""
-        hit = self.near[0, windows[:, 0]]
-        for block in range(1, BLOCKS):
-            hit = hit | self.near[block, windows[:, block]]
-        w, i = np.nonzero(hit)
-        close = COUNT[windows[w] ^ self.prints[i]].sum(axis=1) <= RADIUS
-        return w[close], i[close]
+@dataclass
+class Items:
+    """Items of one number of words: ids, shingle counts, fingerprints, and by shingle who holds it."""
+
+    size: int
+    ids: list[object]
+    bags: list[Counter]
+    prints: np.ndarray
+    holders: dict[int, list[int]]
 
 
 class Matcher:
@@ -124,16 +124,16 @@ class Matcher:
                 k = min(shingle, len(words))
                 with np.errstate(over="ignore"):
                     groups.setdefault((k, len(words)), []).append((item, shingles(self.hash(words), k)))
-        #: By shingle length: the screen, and by window size the items and which of them hold a shingle.
-        self.sizes: dict[int, list[tuple[int, list[object], list[Counter], MultiIndex, dict[int, list[int]]]]] = {}
+        #: By shingle length: items by size, and a screen of all their shingles.
+        self.sizes: dict[int, list[Items]] = {}
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for (k, size), members in sorted(groups.items()):
-            prints = np.concatenate([packed(bit_sums(h)[-1:]) for _, h in members])
             holders: dict[int, list[int]] = {}
             for i, (_, h) in enumerate(members):
                 for x in np.unique(h).tolist():
                     holders.setdefault(x, []).append(i)
-            self.sizes.setdefault(k, []).append((size, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], MultiIndex(prints), holders))
+            prints = np.concatenate([packed(bit_sums(h)[-1:]) for _, h in members])
+            self.sizes.setdefault(k, []).append(Items(size, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], prints, holders))
         for k in self.sizes:
             every = np.unique(np.concatenate([h for (kk, _), members in groups.items() if kk == k for _, h in members]))
             screen = np.zeros(1 << SCREEN_BITS, bool)
@@ -166,41 +166,47 @@ class Matcher:
                     self.search(own, hits, int(lengths[text]), k, groups, found[text])
         return [sorted(f.values(), key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["first_word"])) for f in found]
 
-    def search(self, own: np.ndarray, hits: np.ndarray, n: int, k: int, groups: list, found: dict) -> None:
+    def search(self, own: np.ndarray, hits: np.ndarray, n: int, k: int, groups: list[Items], found: dict) -> None:
         values = own[hits].tolist()
-        for size, ids, bags, index, holders in groups:
-            width = min(size, n)  # words in a window
+        for group in groups:
+            size, width = group.size, min(group.size, n)  # words of an item, words in a window
             span = width - k + 1  # shingles in a window
+            places: dict[int, list[int]] = {}
+            for at, x in zip(hits.tolist(), values):
+                for i in group.holders.get(x, ()):
+                    places.setdefault(i, []).append(at)
+            if not places:
+                continue
 
             def meet(i: int, first: int, s: float) -> None:
                 """The best window counts, of equal ones the first."""
                 if 100 * s >= self.percent - 1e-9:
                     held = found.get((k, size, i))
                     if held is None or (s, -first) > (held["similarity"], -held["first_word"]):
-                        found[k, size, i] = {"item_id": ids[i], "similarity": s, "first_word": first, "n_words": width}
-
-            # Starts of windows that hold a hit, as merged intervals.
-            low, high = np.maximum(hits - span + 1, 0), np.minimum(hits, n - width)
-            fits = low <= high
-            for start, stop in intervals(low[fits], high[fits]):
-                for a in range(start, stop, SPAN):
-                    b = min(stop, a + SPAN)
+                        found[k, size, i] = {"item_id": group.ids[i], "similarity": s, "first_word": first, "n_words": width}
+
+            prints: dict[tuple[int, int], np.ndarray] = {}
+
+            def fingerprints(a: int, b: int) -> np.ndarray:
+                """Of the windows that start from a to b."""
+                if (a, b) not in prints:
                     sums = bit_sums(own[a : b + span - 1])
-                    windows = packed(sums[span : span + b - a] - sums[: b - a])
-                    for w, i in zip(*index.within(windows)):
-                        bag = Counter(own[a + w : a + w + span].tolist())
-                        meet(int(i), int(a + w), weighted_similarity(bag, bags[i]))
+                    prints[a, b] = packed(sums[span : span + b - a] - sums[: b - a])
+                return prints[a, b]
+
             # Shingles that a window must share with an item of this size.
             least = math.ceil((self.percent - 1e-9) * (span + size - k + 1) / (100 + self.percent) - 1e-6)
-            if len(hits) < least:
-                continue
-            places: dict[int, list[int]] = {}
-            for at, x in zip(hits.tolist(), values):
-                for i in holders.get(x, ()):
-                    places.setdefault(i, []).append(at)
             for i, at in places.items():
+                starts = np.array(at)
+                # Starts of windows that hold one of the item's shingles, as merged intervals.
+                low, high = np.maximum(starts - span + 1, 0), np.minimum(starts, n - width)
+                fits = low <= high
+                for start, stop in intervals(low[fits], high[fits]):
+                    for a in range(start, stop, SPAN):
+                        for w in within(fingerprints(a, min(stop, a + SPAN)), group.prints[i]).tolist():
+                            meet(i, a + w, weighted_similarity(Counter(own[a + w : a + w + span].tolist()), group.bags[i]))
                 if len(at) >= least:
-                    for first, both in overlaps(np.array(at), own, span, n - width, least, bags[i]):
+                    for first, both in overlaps(starts, own, span, n - width, least, group.bags[i]):
                         meet(i, first, both / (span + size - k + 1 - both))
 
 
@@ -262,6 +268,16 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) ->
         yield block
 
 
+def match_block(docs: DataFrame, block: list[tuple[object, str]], text: str, out: str, shingle: int, percent: int, keep: list[str]) -> DataFrame:
+    """Add the matches with the items of one block."""
+
+    def make():
+        matcher = Matcher(block, shingle, percent)
+        return lambda texts: [pa.array(matcher(texts), KIND)]
+
+    return append_columns(docs, make, [T.StructField(out, MATCHES)], on=text, keep=keep)
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -276,16 +292,20 @@ def matches(
 ) -> DataFrame:
     """Add to each row the benchmark items that a window of its text reaches, with the best window."""
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    result, columns = docs, []
-    for number, block in enumerate(item_blocks(items, item_id, item_text, block_words)):
-        name = f"__matches_{number}"
-
-        def make(block=block):
-            matcher = Matcher(block, shingle, percent)
-            return lambda texts: [pa.array(matcher(texts), KIND)]
-
-        kept = list(dict.fromkeys([*carried, *columns, text]))
-        result = append_columns(result, make, [T.StructField(name, MATCHES)], on=text, keep=kept)
-        columns.append(name)
-    found = F.concat(*columns) if columns else F.array().cast(MATCHES)
-    return result.select(*[F.col(f"`{c}`") for c in carried], found.alias(out))
+    blocks = item_blocks(items, item_id, item_text, block_words)
+    block, another = next(blocks, []), next(blocks, None)
+    if another is None:
+        return match_block(docs, block, text, out, shingle, percent, carried)
+    kept = list(dict.fromkeys([*carried, text]))
+    with Scratch(docs.sparkSession) as scratch:
+        # Rows get a number, under which each block's matches are written down.
+        rows = scratch.keep(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("__row")), "numbered")
+        found = None
+        for block in itertools.chain([block, another], blocks):
+            got = match_block(rows, block, text, "__matches", shingle, percent, ["__row"]).where(F.size("__matches") > 0)
+            got = materialize(got.select("__row", F.explode("__matches").alias("m")), "matches")
+            found = got if found is None else found.unionByName(got)
+        by_item = F.sort_array(F.collect_list(F.struct(F.col("m.item_id").isNull().alias("none"), "m.item_id", "m.first_word", "m")))
+        listed = scratch.keep(found.groupBy("__row").agg(F.transform(by_item, lambda x: x["m"]).alias("__matches")), "found")
+    joined = rows.join(if_small(listed, weight=F.size("__matches")), "__row", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in carried], F.coalesce("__matches", F.array().cast(MATCHES)).alias(out))

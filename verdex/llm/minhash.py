@@ -16,8 +16,9 @@ block by block inside tasks in large ones), so no link between different
 components is lost, and a bucket of copies costs one pair a member.
 
 Defined results: a null or blank text has an empty set and links with nothing.
-Rows that repeat a doc_id are one document whose texts can each link.  Rows with a
-null doc_id cannot be named by a link: their component and kept are null.
+Rows that repeat a doc_id are one document whose texts can each link; exact repeats
+change nothing.  Rows with a null doc_id cannot be named by a link: their component and
+kept are null.  Other columns of the input are not read.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import append_columns, if_small, map_batches, materialize, slices
+from verdex.llm.common import Scratch, append_columns, if_small, map_batches, materialize, slices
 from verdex.llm.components import components
 
 BANDS = 40
@@ -192,9 +193,12 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def between(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between components in large buckets: (band, size, node, label, minor) to a spanning forest.
 
-    Members travel with their full sets to pairs of blocks.  A task counts one minor
-    member's intersections with a whole block through an inverted index, and
-    returns only links that join components it has not joined yet.
+    A bucket's members are dealt into blocks, and its minor members into blocks of their
+    own.  Every pair of such blocks is a group: a member travels with its full set once
+    for each block of minor members, of which there is one unless they are many, and
+    a minor member once for each block.  A task counts one minor member's intersections
+    with a whole block through an inverted index, and returns only links that join
+    components it has not joined yet.
     """
     members = materialize(members, "large")
     if members.isEmpty():
@@ -214,14 +218,18 @@ def between(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     sets = append_columns(texts, make, [T.StructField("set", T.BinaryType()), T.StructField("set_a", T.LongType())], on="text", keep=["doc_id"])
     sets = materialize(sets.withColumnRenamed("doc_id", "node").join(wanted, ["node", "set_a"], "left_semi").dropDuplicates(["node", "set_a"]), "sets")
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "minor").join(sets.select("node", "set"), "node")
+    counted = members.groupBy("band").agg(F.count_if("minor").alias("minors"))
+    placed = members.join(materialize(counted, "minors"), "band")
+    blocks, probes = (F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int") for c in ("size", "minors"))
+    own = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    columns = ["band", "i", "j", "probe", "node", "label"]
+    targets = placed.withColumn("i", own(1, blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), probes - 1)))
+    minors = placed.where("minor").withColumn("j", own(2, probes)).withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = targets.withColumn("probe", F.lit(False)).select(*columns).unionByName(minors.withColumn("probe", F.lit(True)).select(*columns))
+    spread = spread.join(sets.select("node", "set"), "node")
 
     def join_components(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        node, label, minor, own = (table.column(c).to_numpy() for c in ("node", "label", "minor", "own"))
+        node, label, probe = (table.column(c).to_numpy() for c in ("node", "label", "probe"))
         held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         lengths = np.array([len(h) for h in held])
         root: dict[int, int] = {}
@@ -232,10 +240,8 @@ def between(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
             return x
 
         links = []
-        for left, right in ((i, j), (j, i))[: 1 if i == j else 2]:
-            few, many = np.flatnonzero((own == left) & minor), np.flatnonzero(own == right)
-            if not len(few) or not len(many):
-                continue
+        few, many = np.flatnonzero(probe), np.flatnonzero(~probe)
+        if len(few) and len(many):
             flat = np.concatenate([held[m] for m in many])
             owner = np.repeat(np.arange(len(many)), lengths[many])
             order = np.argsort(flat, kind="stable")
@@ -270,6 +276,11 @@ def near_duplicates(
 
     ``kept`` marks the rows of each component's smallest doc_id.  Ids are integers.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_near_duplicates(docs, doc_id, text, shingle, percent, bands, rows), "near")
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(sign(texts, "text", shingle, bands, rows, keep=["doc_id"]), "signed")
     named = signed.where("doc_id is not null and n_shingles > 0")

@@ -109,6 +109,42 @@ def test_embeddings_equal_all_cosines(spark, monkeypatch, block):
     assert got == helpers.near_vectors(scaled)
 
 
+def test_many_cells_miss_nearly_nothing(spark, monkeypatch):
+    """Several projections a cell, and pairs that lie just above the threshold."""
+    monkeypatch.setattr(embeddedup, "CELL_ROWS", 8)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(1500, 32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    side = rng.normal(size=rows.shape)
+    side -= (side * rows).sum(axis=1, keepdims=True) * rows
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9502, 0.96, size=(1500, 1))
+    rows = np.concatenate([rows, cosine * rows + np.sqrt(1 - cosine**2) * side])
+    assert embeddedup.plan(3000, 0.95).per_table > 3
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddedup.near_duplicates(frame).collect()}
+    near = rows @ rows.T >= 0.95
+    truth = near.sum(axis=1) - 1
+    assert sum(got.values()) >= 0.999 * truth.sum() and all(got[i] <= n for i, n in enumerate(truth)) and truth.sum() >= 3000
+
+
+def test_forest_and_first_met():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        near = rng.random((20, 20)) < 0.06
+        near = near | near.T
+        np.fill_diagonal(near, False)
+        every, label, groups = np.arange(20), np.arange(20), helpers.Union()
+        embeddedup.forest(near, every, every, label)
+        for a, b in zip(*np.nonzero(near)):
+            groups.join(int(a), int(b))
+        assert label.tolist() == [groups.find(i) for i in range(20)]
+        keys = rng.integers(0, 6, (20, 5))
+        for some in (near, rng.random((20, 20)) < 0.7):
+            met = embeddedup.first_met(keys, every, every, some, 3)
+            assert (met == (some & ~(keys[:, None, :3] == keys[None, :, :3]).any(axis=2))).all()
+
+
 def test_embedding_edges(spark):
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.01]), (2, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -197,9 +233,16 @@ def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 256, (40, 8), dtype=np.uint8)
     windows = np.concatenate([rng.integers(0, 256, (200, 8), dtype=np.uint8), *[items ^ np.packbits(rng.random((40, 64)) < p, axis=1) for p in (0.0, 0.1, 0.25, 0.3)]])
-    got = set(zip(*map(list, decontam.MultiIndex(items).within(windows))))
     far = np.unpackbits(windows[:, None, :] ^ items[None, :, :], axis=2).sum(axis=2)
-    assert got == set(zip(*map(list, np.nonzero(far <= decontam.RADIUS))))
+    for i, item in enumerate(items):
+        assert decontam.within(windows, item).tolist() == np.flatnonzero(far[:, i] <= decontam.RADIUS).tolist()
+
+
+def test_many_items_of_one_size():
+    """Memory follows the shingles that documents share with items, not windows times items."""
+    items = [(i, f"w{i}") for i in range(50_000)]
+    got = decontam.Matcher(items, 5, 80)([" ".join(f"w{i} filler" for i in range(0, 50_000, 500)), None, "nothing here"])
+    assert [m["item_id"] for m in got[0]] == list(range(0, 50_000, 500)) and got[1:] == [[], []]
 
 
 def test_queries_on_small_data(spark, small):

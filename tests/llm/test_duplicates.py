@@ -153,11 +153,13 @@ def test_embedding_edges(spark):
     assert embeddedup.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_collisions_are_window_members():
+@pytest.mark.parametrize("n, m", [(30, 40), (1, 1), (600, 500), (0, 3), (3, 0)])
+def test_collisions_are_window_members(n, m):
     rng = np.random.default_rng(0)
-    left, right = rng.normal(size=(30, 9)), rng.normal(size=(40, 9))
-    expected = (np.abs(left[:, None, :] - right[None, :, :]) <= 0.4).sum(axis=2)
-    assert (embeddedup.collisions(left, right, 0.4) == expected).all()
+    left, right = rng.integers(-300, 300, (n, 9)), rng.integers(-300, 300, (m, 9))
+    right[: m // 2] = left[: m // 2][: len(right[: m // 2])] if n >= m // 2 else right[: m // 2]
+    expected = (np.abs(left[:, None, :] - right[None, :, :]) <= 40).sum(axis=2)
+    assert (embeddedup.collisions(left, right, 40) == expected).all()
 
 
 def test_plan_reaches_its_recall():

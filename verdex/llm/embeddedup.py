@@ -140,19 +140,31 @@ def cosines(unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: fl
     return near
 
 
-def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
-    """How many of their projections put each right row into each left row's window."""
-    counts = np.zeros((len(left), len(right)), np.uint8)
-    rank = np.empty(len(right), np.int16 if len(right) < 1 << 15 else np.int32)
-    for j in range(left.shape[1]):
-        order = np.argsort(right[:, j], kind="stable")
-        line = right[order, j]
-        rank[order] = np.arange(len(right))
-        low = np.searchsorted(line, left[:, j] - half, side="left").astype(rank.dtype)
-        size = np.searchsorted(line, left[:, j] + half, side="right").astype(rank.dtype) - low
+def collisions(left: np.ndarray, right: np.ndarray, half: int) -> np.ndarray:
+    """How many of their (integer) projections put each right row into each left row's window."""
+    (n, width), m = left.shape, len(right)
+    counts = np.zeros((n, m), np.uint8)
+    if not n or not m:
+        return counts
+    # All projections are sorted in one go, each in a range of numbers of its own.
+    apart = np.arange(width, dtype=np.int64) * (1 << 18)
+    flat = (right + apart).T.ravel()
+    order = np.argsort(flat, kind="stable")
+    rank = np.empty(len(flat), np.int64)
+    rank[order] = np.arange(len(flat))
+    line, own = flat[order], (left + apart).T.ravel()
+    first = np.repeat(np.arange(width) * m, n)
+    small = np.int16 if m < 1 << 15 else np.int32
+    low = np.searchsorted(line, own - half, side="left") - first
+    size = (np.searchsorted(line, own + half, side="right") - first - low).astype(small).reshape(width, n, 1)
+    rank = (rank - np.repeat(np.arange(width) * m, m)).astype(small).reshape(width, 1, m)
+    low = low.astype(small).reshape(width, n, 1)
+    unsigned = np.uint16 if small is np.int16 else np.uint32
+    some = max(1, (1 << 18) // (n * m))  # projections that are counted together
+    for j in range(0, width, some):
         # One unsigned comparison says low <= rank < low + size.
-        unsigned = np.uint16 if rank.dtype == np.int16 else np.uint32
-        counts += (rank[None, :] - low[:, None]).view(unsigned) < size.view(unsigned)[:, None]
+        inside = (rank[j : j + some] - low[j : j + some]).view(unsigned) < size[j : j + some].view(unsigned)
+        counts += inside[0] if some == 1 else inside.sum(axis=0, dtype=np.uint8)
     return counts
 
 

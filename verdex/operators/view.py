@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdex import schemas
@@ -38,7 +38,9 @@ def availability_matrix(c: Catalog, path_id: int, content_id: int, mend_methods:
     rows = rows.select("owner_name", "symbol_type", "symbol_key", "line_no", "versions", F.explode("held").alias("v"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
     exists = F.coalesce(F.array_contains("versions", F.col("v.version_num")), F.lit(False))
     rows = rows.select("owner_name", "symbol_type", "symbol_key", "line_no", F.col("v.version_num").alias("version_num"), F.col("v.version_id").alias("version_id"), exists.alias("exists"), "o0", "o1", "o2")
-    return rows.orderBy("o0", "o1", "o2", "owner_name", "symbol_type", "symbol_key", "line_no", F.desc("version_num")).drop("o0", "o1", "o2")
+    # The symbols of one content: a page's worth of rows in one window.
+    shown = Window.orderBy("o0", "o1", "o2", "owner_name", "symbol_type", "symbol_key", "line_no", F.desc("version_num"))
+    return rows.withColumn("position", F.row_number().over(shown).cast("long")).drop("o0", "o1", "o2").orderBy("position")
 
 
 def line_versions(symbols: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -56,6 +58,7 @@ def line_labels(lines: DataFrame, versions: DataFrame) -> DataFrame:
     return held.groupBy("line_no").agg(labels.alias("labels")).where(F.size("labels") > 0)
 
 
+#: Fixed pattern of an import line.
 IMPORT = r"""^(\s*#\s*(?:import|include)\s*[<"])([^>"]+)([>"].*)$"""
 
 

@@ -39,16 +39,16 @@ def search_page(c: Catalog, keyword: str = "", directory: str = "", cursor: str
             page.listing = search.files_page(c, latest["version_num"], directory, page_size, cursor, direction, keyword)
             rows = page.listing.where("path_id is not null")
             held = search.instances_with_versions(c).join(F.broadcast(rows.select("path_id")), "path_id", "left_semi")
-            page.entries = view.file_entries(rows, _ids(held))
+            page.entries = view.file_entries(rows, version_ids(held))
     elif hits := run_search(c, keyword):
         page.directories, page.owners = hits
         # At most the limit of hits: their versions are a broadcast join away.
         held = search.instances_with_versions(c).join(F.broadcast(page.owners.select("path_id")), "path_id", "left_semi")
-        page.owner_versions = _ids(held)
+        page.owner_versions = version_ids(held)
     return page
 
 
-def _ids(held: DataFrame) -> DataFrame:
+def version_ids(held: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_set(F.struct("version_num", "version_id")), asc=False)
     return held.groupBy("path_id").agg(F.transform(ordered, lambda v: v["version_id"]).alias("version_ids"))
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from verdex.functions import formatting, ids, paths, text, versions
 from verdex.operators import lookups, parser, presence, search, versioning, view
-from verdex.plans import ingest
-from verdex.plans.testviews import PARSE_SQL, catalog, headers, with_headers, with_views
+from verdex.plans import ingest, pages, testviews, treeviews
+from verdex.plans.blake2 import hash_ctes
+from verdex.plans.testviews import HEADERS_SQL, PARSE_SQL, catalog, headers, with_headers, with_views
+from verdex.plans.treeviews import with_tree
 from verdex.sources import headers as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,12 +61,11 @@ on_catalog("resolve_latest_for_path", f"select version_num, version_id, path_id,
 on_catalog("latest_for_all_paths", "select latest_version_num version_num, version_id, path_id, absolute_path from latest_by_path join versions on version_num=latest_version_num join paths using (path_id)")(search.latest_for_all_paths)
 on_catalog("file_content_ref", f"select version_num, version_id, path_id, content_id, absolute_path, pack_object_key, pack_offset, pack_length from file_instances join versions using (version_num) join paths using (path_id) join contents using (content_id) where version_num={VERSION} and absolute_path={_PATH} order by content_id limit 1")(lambda c: search.file_content_ref(c, VERSION, _path_of(c)))
 on_catalog("search_directories", "select dir_name, min(dir_path) sample_dir_path from paths where starts_with(dir_name_lc,'brand1') group by 1 order by 1 limit 30")(lambda c: search.search_directories(c, "bRAND1"))
-on_catalog("search_owner_candidates", """
-, hits as (select case when file_name_lc='brand#1' then 0 else 10 end r, latest_version_num v, path_id from paths join latest_by_path using (path_id) where contains(file_name_lc,'brand#1')
+_HITS = """hits as (select case when file_name_lc='brand#1' then 0 else 10 end r, latest_version_num v, path_id from paths join latest_by_path using (path_id) where contains(file_name_lc,'brand#1')
   union all select min(case when owner_name_lc='brand#1' then case owner_kind when 'interface' then 1 when 'protocol' then 2 when 'category' then 3 else 4 end else case owner_kind when 'interface' then 11 when 'protocol' then 12 when 'category' then 13 else 14 end end), max(list_max(versions)), path_id from presence where contains(owner_name_lc,'brand#1') group by path_id),
-ranked as (select *, row_number() over (partition by path_id order by r, v desc) rn from hits where v>0)
-select cast(r as bigint) best_priority_rank, v max_version_num, version_id max_version_id, path_id, absolute_path from ranked join versions on version_num=v join paths using (path_id) where rn=1 order by r, v desc, absolute_path, path_id limit 50""".strip().removeprefix(", "))(lambda c: search.search_owner_candidates(c, "Brand#1"))
-ORACLES["search_owner_candidates"] = ORACLES["search_owner_candidates"].replace("\nhits as", ",\nhits as", 1)
+ranked as (select *, row_number() over (partition by path_id order by r, v desc) rn from hits where v>0),
+owners as (select cast(r as bigint) best_priority_rank, v max_version_num, version_id max_version_id, path_id, absolute_path from ranked join versions on version_num=v join paths using (path_id) where rn=1 order by r, v desc, absolute_path, path_id limit 50)"""
+on_catalog("search_owner_candidates", "select * from owners", _HITS)(lambda c: search.search_owner_candidates(c, "Brand#1"))
 on_catalog("count_distinct_directories", "select count(distinct dir_name) n_directories from paths")(search.count_distinct_directories)
 on_catalog("count_distinct_owners", "select count(distinct owner_name_lc) n_owners from presence where owner_name_lc<>''")(search.count_distinct_owners)
 on_catalog("version_ids_for_paths", f"select path_id, list(version_id order by version_num desc) version_ids from (select distinct path_id, version_num, version_id from file_instances join versions using (version_num) where path_id in {tuple(PATH_IDS)}) group by 1")(lambda c: search.version_ids_for_paths(c, PATH_IDS))
@@ -191,10 +192,12 @@ def _pills(spark, sf_dir):
 
 _RAW = "case o_orderkey % 5 when 0 then cast(o_orderkey as {t}) when 1 then ' 250 ' when 2 then 'many' when 3 then '-3' else '' end"
 
+_SIDE = "case o_orderkey % 3 when 0 then ' PREV ' when 1 then 'previous' else '' end"
 
-@query("page_arguments", f"with a as (select o_orderkey id, {_RAW.format(t='varchar')} r from orders) select id, {L('case when try_cast(trim(r) as bigint) is null then 100 else least(greatest(try_cast(trim(r) as bigint),10),1000) end')} page_size from a")
+
+@query("page_arguments", f"with a as (select o_orderkey id, {_RAW.format(t='varchar')} r, {_SIDE} d from orders) select id, {L('case when try_cast(trim(r) as bigint) is null then 100 else least(greatest(try_cast(trim(r) as bigint),10),1000) end')} page_size, case when lower(trim(d))='prev' then 'prev' else 'next' end direction from a")
 def _page_args(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), formatting.page_size(F.expr(_RAW.format(t="string"))).alias("page_size"))
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), formatting.page_size(F.expr(_RAW.format(t="string"))).alias("page_size"), formatting.direction(F.expr(_SIDE)).alias("direction"))
 
 
 @query("html_escape", "select page_id, replace(replace(replace(replace(replace(url,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') escaped from pages")
@@ -276,24 +279,32 @@ def _orphans(spark, sf_dir):
 _TARGET = 20_000
 
 
-@query("pack_offsets")
+_KEYED = "src as (select doc_id id, hex(encode('doc/' || cast(doc_id as varchar))) msg from documents)"
+_PACKED = f"""sized as (select doc_id, cast(hashed.key % 16 as bigint) shard, strlen(text) n, row_number() over (partition by hashed.key % 16 order by 'doc/' || cast(doc_id as varchar)) rn from documents join hashed on id=doc_id),
+walk as (select shard, rn, doc_id, n, 1 pack, 0 at_, case when n>={_TARGET} then 2 else 1 end pack2, case when n>={_TARGET} then 0 else n end used from sized where rn=1
+  union all select shard, rn, doc_id, n, pack, at_, case when at_+n>={_TARGET} then pack+1 else pack end, case when at_+n>={_TARGET} then 0 else at_+n end from (
+    select s.shard, s.rn, s.doc_id, s.n, case when w.used>0 and w.used+s.n>{_TARGET} then w.pack2+1 else w.pack2 end pack, case when w.used>0 and w.used+s.n>{_TARGET} then 0 else w.used end at_ from walk w join sized s on s.shard=w.shard and s.rn=w.rn+1))"""
+
+
+@query("pack_offsets", f"with recursive {_KEYED}, {hash_ctes('src', 'msg')}, {_PACKED} select doc_id, printf('packs/v000001/s%03d/p%09d.bin', shard, pack) pack_object_key, cast(at_ as bigint) pack_offset, cast(n as bigint) pack_length from walk")
 def _packs(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).cast("long").alias("version_num"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("blob_key"), text.byte_size(F.col("text").cast("binary")).alias("byte_size"))
     return ingest.pack_places(docs, shards=16, pack_bytes=_TARGET).select("doc_id", "pack_object_key", "pack_offset", "pack_length")
 
 
-@query("shard_assign")
+@query("shard_assign", f"with {_KEYED}, {hash_ctes('src', 'msg')} select id doc_id, cast(key % 64 as bigint) shard from hashed")
 def _shards(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", ids.shard(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("shard"))
 
 
-@query("blake2b_ids")
+@query("blake2b_ids", with_views("select id path_id, cast(case when key >= 9223372036854775808::hugeint then key - 18446744073709551616::hugeint else key end as bigint) hashed_id, cast(key as varchar) unsigned_id from hashed", "src as (select path_id id, hex(encode('path')) || '00' || hex(encode(absolute_path)) msg from paths)", hash_ctes("src", "msg")))
 def _ids(spark, sf_dir):
     c = catalog(spark, sf_dir)
     return c.paths.select("path_id", ids.path_id(F.col("absolute_path")).alias("hashed_id")).withColumn("unsigned_id", ids.unsigned(F.col("hashed_id")))
 
 
-on_catalog("availability_matrix", f"select s.owner_name, s.symbol_type, s.symbol_key, s.line_no, v.version_num, v.version_id, coalesce(list_contains(m.versions, v.version_num), false) as \"exists\" from (select distinct owner_name, symbol_type, symbol_key, line_no from symbols where content_id={_CONTENT}) s left join (select owner_name, symbol_type, symbol_key, list_distinct(flatten(list(versions))) versions from presence where path_id={PATH_ID} group by 1,2,3) m using (owner_name, symbol_type, symbol_key), (select distinct version_num, version_id from file_instances join versions using (version_num) where path_id={PATH_ID}) v")(lambda c: view.availability_matrix(c, PATH_ID, _CONTENT))
+_MATRIX = f"select s.owner_name, s.symbol_type, s.symbol_key, s.line_no, v.version_num, v.version_id, coalesce(list_contains(m.versions, v.version_num), false) as \"exists\", row_number() over (order by lower(s.owner_name), lower(s.symbol_key), s.owner_name, s.symbol_type, s.symbol_key, s.line_no, v.version_num desc) as position from (select distinct owner_name, symbol_type, symbol_key, line_no from symbols where content_id={_CONTENT}) s left join (select owner_name, symbol_type, symbol_key, list_distinct(flatten(list(versions))) versions from presence where path_id={PATH_ID} group by 1,2,3) m using (owner_name, symbol_type, symbol_key), (select distinct version_num, version_id from file_instances join versions using (version_num) where path_id={PATH_ID}) v"
+on_catalog("availability_matrix", _MATRIX)(lambda c: view.availability_matrix(c, PATH_ID, _CONTENT))
 
 _LINES = f"lv as (select line_no, list_sort(list_distinct(flatten(list(versions)))) versions from (select distinct owner_name, symbol_type, symbol_key, line_no from symbols where content_id={_CONTENT}) s join (select owner_name, symbol_type, symbol_key, list_distinct(flatten(list(versions))) versions from presence where path_id={PATH_ID} group by 1,2,3) using (owner_name, symbol_type, symbol_key) where line_no>0 group by 1)"
 
@@ -313,22 +324,38 @@ def _labels(spark, sf_dir):
     return view.line_labels(_line_versions(c), search.versions_for_path(c, PATH_ID))
 
 
-#: A file imports the part before it (same directory or not) and one that does not exist.
-_IMPORTS_SQL = f"""files as (select version_num, version_id, path_id, absolute_path, dir_path, '#import "' || (select file_name from paths q where q.path_id=p.path_id % 7 + 1) || '"' || chr(10) || '#include <X/' || file_name || '>' || chr(10) || 'int x;' as text from file_instances join versions using (version_num) join paths p using (path_id) where version_num={VERSION}),
+#: A file imports one of the first seven parts (same directory or not) and one that does not exist.
+_IMPORTS_SQL = r"""files as (select version_num, version_id, path_id, absolute_path, dir_path, '#import "' || other || '"' || chr(10) || '#include <X/' || file_name || '>' || chr(10) || 'int x;' as text
+  from file_instances join versions using (version_num) join paths using (path_id) join (select path_id - 1 rest, file_name other from paths where path_id <= 7) on rest = path_id % 7),
 l as (select *, unnest(string_split(text,chr(10))) line, cast(generate_subscripts(string_split(text,chr(10)),1) as bigint) line_no from files),
-i as (select *, regexp_extract(line,'^\\s*#\\s*(?:import|include)\\s*[<"]([^>"]+)[>"].*$',1) token from l),
-t as (select *, dir_path || '/' || regexp_extract(token,'[^/]*$') target from i where token<>'')"""
+i as (select *, regexp_extract(line,'^\s*#\s*(?:import|include)\s*[<"]([^>"]+)[>"].*$',1) token from l),
+t as (select *, case when token<>'' then dir_path || '/' || regexp_extract(token,'[^/]*$') end target from i),
+there as (select distinct version_num, absolute_path target, true as there from file_instances join paths using (path_id)),
+linked as (select t.*, coalesce(there, false) linked, '/v/' || url_encode(replace(replace(version_id,'_','__'),'|','_')) || replace(url_encode(target),'%2F','/') link from t left join there using (version_num, target))"""
 
 
-@query("import_links", with_views(f"select version_num, absolute_path, line_no, token, target, target in (select absolute_path from file_instances join paths using (path_id) where version_num={VERSION}) linked from t", _IMPORTS_SQL))
-def _imports(spark, sf_dir):
-    c = catalog(spark, sf_dir)
-    here = search.instances_with_versions(c).where(F.col("version_num") == VERSION).join(c.paths, "path_id")
+def _importing(c):
+    """Files of all versions with imports, and what there is to import."""
+    here = search.instances_with_versions(c).join(c.paths, "path_id")
     names = c.paths.where("path_id <= 7").select((F.col("path_id") - 1).alias("rest"), F.col("file_name").alias("other"))
     files = here.withColumn("rest", F.col("path_id") % 7).join(F.broadcast(names), "rest")  # seven rows
     body = F.concat(F.lit('#import "'), "other", F.lit('"\n#include <X/'), "file_name", F.lit(">\nint x;"))
-    files = files.select("version_num", "version_id", "absolute_path", body.alias("text"))
-    return view.resolve_imports(files, here).select("version_num", "absolute_path", "line_no", "token", "target", "linked")
+    return files.select("version_num", "version_id", "absolute_path", body.alias("text")), here
+
+
+@on_catalog("import_links", "select version_num, absolute_path, line_no, token, target, linked, case when linked then link end href from linked where token<>''", _IMPORTS_SQL)
+def _imports(c):
+    """Import lines with their targets and links."""
+    return view.resolve_imports(*_importing(c)).select("version_num", "absolute_path", "line_no", "token", "target", "linked", "href")
+
+
+_ESCAPED = "replace(replace(replace(replace(replace({},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;')".format
+
+
+@on_catalog("render_imports", f"""select version_num, absolute_path, string_agg(case when linked then replace({_ESCAPED('line')}, token, '<a href="' || link || '">' || token || '</a>') else {_ESCAPED('line')} end, chr(10) order by line_no) html, count(*) line_count from linked group by version_num, absolute_path""", _IMPORTS_SQL)
+def _render(c):
+    """Escaped texts whose imports are links."""
+    return view.render(*_importing(c))
 
 
 @query("utf8_repair", "select doc_id, chr(65533) || text || chr(65533) as text from documents")
@@ -346,15 +373,102 @@ def _macho(spark, sf_dir):
     return sources.executables(files).select("p_partkey", "is_executable")
 
 
-on_catalog("file_entries", f"""files as ({_LISTING}), ids as (select path_id, list(version_id order by version_num desc) version_ids from (select distinct path_id, version_num, version_id from file_instances join versions using (version_num)) group by 1)
-select path_id, absolute_path, file_name, dir_path parent_path, dir_name parent_name, cast(null as varchar) framework_name, cast(3 as bigint) path_depth, case when file_size_bytes is null then 'Size unknown' when file_size_bytes<1024 then cast(file_size_bytes as varchar) || ' B' else printf('%.0f KB', round_even(file_size_bytes/1024.0,0)) end size_text_, version_ids[1:15] version_ids, cast(greatest(len(version_ids)-15,0) as bigint) remaining_versions from files join paths using (path_id, absolute_path) join ids using (path_id)""")(lambda c: view.file_entries(search.files_in_directory(c, VERSION, DIRECTORY), search.version_ids_for_paths(c, [])))
+_ALL_IDS = "ids as (select path_id, list(version_id order by version_num desc) version_ids from (select distinct path_id, version_num, version_id from file_instances join versions using (version_num)) group by 1)"
+_ENTRIES = "select path_id, absolute_path, file_name, dir_path parent_path, dir_name parent_name, cast(null as varchar) framework_name, cast(3 as bigint) path_depth, case when file_size_bytes is null then 'Size unknown' when file_size_bytes<1024 then cast(file_size_bytes as varchar) || ' B' else printf('%.0f KB', round_even(file_size_bytes/1024.0,0)) end file_size_text, version_ids[1:15] version_ids, cast(greatest(len(version_ids)-15,0) as bigint) remaining_versions from files join paths using (path_id, absolute_path) join ids using (path_id)"
 
 
+@on_catalog("file_entries", _ENTRIES, f"files as ({_LISTING})", _ALL_IDS)
 def _entries(c):
-    from verdex.plans.pages import _ids as all_ids
+    """Listing entries of a whole directory."""
+    return view.file_entries(search.files_in_directory(c, VERSION, DIRECTORY), pages.version_ids(search.instances_with_versions(c)))
+
+
+on_catalog("search_service_directories", "select dir_name, min(dir_path) sample_dir_path from paths where starts_with(dir_name_lc,'brand1') group by 1 order by 1 limit 30")(lambda c: pages.run_search(c, " Brand1 ")[0])
+on_catalog("search_service_owners", "select * from owners", _HITS)(lambda c: pages.run_search(c, " Brand#1 ")[1])
+on_catalog("search_page_owner_versions", "select path_id, version_ids from ids where path_id in (select path_id from owners)", _HITS, _ALL_IDS)(lambda c: pages.search_page(c, keyword="Brand#1").owner_versions)
+_LAST_FILES = f"files as (select distinct path_id, absolute_path, pack_length file_size_bytes from file_instances join paths using (path_id) left join contents using (content_id) where version_num=(select max(version_num) from versions) and dir_name='{DIRECTORY}' order by absolute_path limit {PAGE})"
+on_catalog("search_page_entries", _ENTRIES, _LAST_FILES, _ALL_IDS)(lambda c: pages.search_page(c, directory=DIRECTORY, page_size=PAGE).entries)
+
+
+@on_catalog("search_page_counts", f"select (select count(distinct dir_name) from paths) n_directories, (select count(distinct owner_name_lc) from presence where owner_name_lc<>'') n_owners, (select count(*) from paths where dir_name='{DIRECTORY}') n_paths")
+def _page_counts(c):
+    """The counts of a search page in directory mode."""
+    page = pages.search_page(c, directory=DIRECTORY, page_size=PAGE)
+    return page.n_directories.join(page.n_owners).join(page.n_paths)  # one row each
+
+
+def _view(c):
+    """The page of one file in one version."""
+    return pages.view_page(c, "1997.0|B3", testviews.path_text(c, PATH_ID))
+
+
+on_catalog("view_page_versions", f"select distinct version_num, version_id from file_instances join versions using (version_num) where path_id={PATH_ID}")(lambda c: _view(c).versions)
+on_catalog("view_page_matrix", _MATRIX)(lambda c: _view(c).matrix)
+on_catalog("view_page_source", f"select cast({VERSION} as bigint) version_num, absolute_path, {_ESCAPED('text')} html, cast(len(string_split(text, chr(10))) as bigint) line_count from headers join paths using (path_id) where path_id={PATH_ID}", HEADERS_SQL)(lambda c: _view(c).source)
+
+
+@query("url_quote", "select page_id, url_encode(url) quoted from pages")
+def _quote(spark, sf_dir):
+    """Percent-encoding of whole urls."""
+    return _read(spark, sf_dir, "pages").select("page_id", paths.quote(F.col("url")).alias("quoted"))
+
+
+_LOOSE = "case p_size % 4 when 0 then '  /' || p_type when 1 then p_type || '/' || p_brand || {tab} when 2 then ' ///' || p_brand || ' ' else p_type end"
+
+
+@query("path_normalise", f"select p_partkey id, '/' || ltrim(trim({_LOOSE.format(tab='chr(9)')}, ' ' || chr(9)), '/') path from part")
+def _normalise(spark, sf_dir):
+    """One leading slash, no white space around."""
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), paths.absolute(F.expr(_LOOSE.format(tab="char(9)"))).alias("path"))
+
+
+_STAMP = "2024-01-0{} 00:00:00"
+
+
+@on_catalog("presence_updated_at", f"select path_id, owner_kind, owner_name, symbol_type, symbol_key, case when list_max(versions)>=3 then timestamp '{_STAMP.format(2)}' else timestamp '{_STAMP.format(1)}' end updated_at from presence")
+def _updated(c):
+    """Merged rows keep the later time."""
+    made = [presence.build(c, c.versions.where(x).select("version_num")).withColumn("updated_at", F.lit(_STAMP.format(day)).cast("timestamp_ntz")) for day, x in ((1, "version_num <= 4"), (2, "version_num >= 3"))]
+    return presence.merge(*made).drop("versions", "owner_name_lc")
+
+
+@query("tree_scan", with_tree("select bundle_name, absolute_path, cast(strlen(text) as bigint) n_bytes, md5(text) md5 from texts"))
+def _tree_scan(spark, sf_dir):
+    """All headers of a written tree."""
+    return treeviews.scanned(spark, sf_dir)
+
+
+@query("tree_first_files", with_tree("select bundle_name, substr(absolute_path, 2) relative_path from (select *, row_number() over (partition by bundle_name order by absolute_path) rn from texts) where rn<=4"))
+def _tree_first(spark, sf_dir):
+    """The first four headers of each bundle, by path."""
+    return treeviews.first_files(spark, sf_dir, 4)
+
+
+@query("tree_releases", with_tree("select bundle_name, release, build from releases"))
+def _tree_releases(spark, sf_dir):
+    """Bundles by folder, and their metadata by the chain of fallbacks."""
+    return treeviews.releases(spark, sf_dir)
+
+
+@query("ingest_files", with_tree("select version_num, release || '|' || build version_id, bundle_name, absolute_path, md5(body) content_hash, cast(strlen(body) as bigint) byte_size, max(version_num) over (partition by absolute_path) latest_version_num, body from good join releases using (bundle_name, version_num)"))
+def _ingest_files(spark, sf_dir):
+    """What an import of the tree has stored of each file."""
+    c = treeviews.imported(spark, sf_dir)
+    rows = search.instances_with_versions(c).join(c.paths.select("path_id", "absolute_path"), "path_id").join(c.latest_by_path.select("path_id", "latest_version_num"), "path_id")
+    rows = rows.join(c.contents.select("version_num", "content_id", "content_hash", "byte_size"), ["version_num", "content_id"]).join(c.blobs.select("version_num", "content_id", "body"), ["version_num", "content_id"])
+    return rows.select("version_num", "version_id", "bundle_name", "absolute_path", "content_hash", "byte_size", "latest_version_num", F.col("body").cast("string").alias("body"))
+
 
-    return view.file_entries(search.files_in_directory(c, VERSION, DIRECTORY), all_ids(search.instances_with_versions(c)))
+@query("ingest_symbols", with_tree("select version_num, absolute_path, 'interface' owner_kind, brand owner_name, 'instance_method' symbol_type, regexp_extract(line, '(m[0-9]+);', 1) symbol_key, cast(line_no as bigint) line_no, [version_num] versions from (select *, unnest(string_split(body, chr(10))) line, generate_subscripts(string_split(body, chr(10)), 1) line_no from good) where starts_with(line, '-')"))
+def _ingest_symbols(spark, sf_dir):
+    """What an import of the tree has stored of each symbol, with its presence."""
+    c = treeviews.imported(spark, sf_dir)
+    rows = c.symbols.join(c.file_instances.select("version_num", "content_id", "path_id"), ["version_num", "content_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
+    rows = rows.join(c.symbol_presence.select(*presence.KEY, "versions"), presence.KEY)
+    return rows.select("version_num", "absolute_path", "owner_kind", "owner_name", "symbol_type", "symbol_key", "line_no", "versions")
 
 
-QUERIES["file_entries"] = lambda spark, sf_dir: _entries(catalog(spark, sf_dir))
-ORACLES["file_entries"] = ORACLES["file_entries"].replace("\nfiles as", ",\nfiles as", 1).replace("size_text_", "file_size_text")
+@query("ingest_versions", with_tree("select cast(version_num as bigint) version_num, release || '|' || build version_id, lower(release || '|' || build) version_id_lc, release, build, bundle_name from releases"))
+def _ingest_versions(spark, sf_dir):
+    """The releases that an import of the tree has numbered."""
+    return treeviews.imported(spark, sf_dir).versions.drop("created_at")

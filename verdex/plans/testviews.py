@@ -46,9 +46,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     )
     c = Catalog(with_version_columns(versions), paths, contents, instances, with_symbol_columns(symbols), None)
     c.symbol_presence = presence.build(c)
+    body = headers(spark, sf_dir).select("path_id", F.col("text").cast("binary").alias("body"))
+    c.blobs = instances.join(contents, "content_id").join(body, "path_id").select("version_num", "content_id", "pack_object_key", "pack_offset", "body")
     return c
 
 
+def path_text(c: Catalog, path_id: int) -> str:
+    """The path of an id, read by a job: page compositions take it as text."""
+    row = c.paths.where(F.col("path_id") == path_id).select("absolute_path").first()
+    return row["absolute_path"] if row else ""
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path_id, text): one declaration header a part."""
     k = F.col("p_partkey").cast("string")

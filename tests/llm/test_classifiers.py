@@ -128,6 +128,29 @@ def test_quality_edges(spark):
     assert quality.fit([], []).scorer()([None])[0] == pytest.approx(0.5)
 
 
+def brute_quality(text, model):
+    """The mean weight of a text's hashed uni- and bigrams, counted one by one."""
+    words = quality.TOKENS.findall(text or "")
+    mask, total = (1 << 64) - 1, 0.0
+    hashes = [quality.REPEATED if i and words[i].lower() == words[i - 1].lower() else quality.xxhash.xxh64_intdigest(w) for i, w in enumerate(words)]
+    for i, h in enumerate(hashes):
+        total += float(model.weights[(h * int(quality.MIX) & mask) >> (64 - model.bits)])
+        if i + 1 < len(hashes):
+            pair = (h * 0xC2B2AE3D27D4EB4F + hashes[i + 1]) & mask
+            total += float(model.weights[(pair * int(quality.MIX) & mask) >> (64 - model.bits)])
+    z = model.bias + quality.SCALE * (total / (2 * len(words) - 1) if words else 0.0)
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+
+def test_quality_query_equals_single_products(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.train(queries.labelled(spark, docs, small, "quality", 4, 2), "text", "label", "doc_id")
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality(spark, small).collect()}
+    for r in docs.collect():
+        if len(r["text"] or "") < 20_000:
+            assert got[r["doc_id"]] == pytest.approx(brute_quality(r["text"], model), abs=1e-6)
+
+
 def test_quality_scores_do_not_depend_on_the_batch():
     model = quality.fit(["good words here"] * 5 + ["bad ### $$$"] * 5, [1] * 5 + [0] * 5)
     texts = ["good good words", None, "### bad", "", "x " * 100]

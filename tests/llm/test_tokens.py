@@ -125,6 +125,38 @@ def test_edits_behind_a_leaf_that_looked_at_them(encoder, monkeypatch):
                 assert tree.tokens[0] == counter.build(new).tokens[0] and tree.chars[0] == counter.build(new).chars[0]
 
 
+@pytest.mark.parametrize("leaf", [1, 3, 64])
+def test_contractions_at_the_end_of_leaves(encoder, monkeypatch, leaf):
+    """The pattern's contractions look two characters past an apostrophe."""
+    monkeypatch.setattr(tokencount, "LEAF_PIECES", leaf)
+    counter, rng = tokencount.Counter(encoder), random.Random(leaf)
+    for _ in range(700):
+        text = "".join(rng.choice("''lrves \n") for _ in range(rng.randint(0, 12) + (150 if leaf == 64 else 0)))
+        tree = counter.build(text)
+        at = rng.randint(0, len(text))
+        text, _ = counter.edit(text, tree, at, rng.randint(0, min(2, len(text) - at)), "".join(rng.choice("'lrve") for _ in range(rng.randint(0, 2))))
+        assert tree.total() == len(encoder.encode(text))
+    text = "'" * 64 + "lx"
+    tree = counter.build(text)
+    text, _ = counter.edit(text, tree, 65, 1, "l")
+    assert tree.total() == len(encoder.encode(text))
+
+
+def test_odd_edits(spark, encoder):
+    edits = {
+        "ab": [(9, 0, "x"), (1, 5, "x"), (-1, 0, "x"), (None, 0, "x"), (0, -1, "x")],
+        "abcdef": [(2, 3, "X"), (3, 1, "Y"), (5, None, "Z"), (0, 0, None)],
+        "same": [(2, 0, "1"), (2, 0, "2"), (4, 0, "end")],
+        "none": None,
+    }
+    rows = [(t, e and [dict(zip(("at", "removed", "inserted"), x)) for x in e]) for t, e in edits.items()]
+    frame = spark.createDataFrame(rows, "text string, edits array<struct<at:int,removed:int,inserted:string>>")
+    got = tokencount.update(tokencount.build(frame)).collect()
+    assert sorted(r["text"] for r in got) == sorted(["ab", "abXZf", "sa12meend", "none"])
+    assert all(r["n_tokens"] == len(encoder.encode(r["text"])) for r in got)
+    assert tokencount.build(frame.limit(0)).count() == 0 and tokencount.update(tokencount.build(frame).limit(0)).count() == 0
+
+
 def test_an_edit_encodes_little(encoder):
     text = "some words here " * 20_000
     counter = tokencount.Counter(encoder)

@@ -8,7 +8,14 @@ n-grams, so the score is a sparse dot product: the mean weight of the n-grams.
 
 ``train`` reads a bounded sample of labelled rows (a hash of the id picks
 them, so every source and size is treated alike); scoring covers every whole text.
-Texts that are null or without tokens get the score of the bias alone.
+The sample has about ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters at most, so long
+texts make it fewer rows, never shorter ones.
+
+Texts that are null or without tokens get the score of the bias alone.  A score equal to
+the threshold is predicted 1.  A text that comes with several labels is learnt once for
+each; the queries give one, the greatest.  Rows that repeat are scored alike, each for
+itself, whatever their batch; an empty table gives none, and without labelled rows the
+score is that of no knowledge, 0.5.
 """
 
 from __future__ import annotations

@@ -12,9 +12,13 @@ leaves its last character to what follows, and contractions have two letters), s
 
 Only the text between is encoded again, and only sums above changed leaves change.
 
-Nulls: a null text is the empty text (no leaves, no tokens); null edits are none.
-Edits must lie inside the text and not overlap; they may come in any order.
-Rows repeat and ids may be null: each row is its own document.
+Nulls: a null text is the empty text (no leaves, no tokens); null edits are none, in an
+edit a null number of removed characters is 0 and a null insertion the empty text.
+Edits count by places in the text as it was, in any order; those that insert at one
+place do so in the order given.  An edit that reaches outside the text, has no place, or
+overlaps one before it is left out.  Rows repeat and ids may be null: each row is its
+own document; an empty table gives none.  A column of the input that has the name of
+one that is added is replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdex.llm.bpe import Encoder, default_pattern, default_vocabulary, read_ranks
 from verdex.llm.common import append_columns, map_batches, slices, without
+from verdex.operators.lookups import spread
 
 LEAF_PIECES = 64
 #: Counted pre-tokens a worker remembers from task to task (some 120 MB).
@@ -153,6 +159,17 @@ class Counter:
         return new, where - start
 
 
+def sound(edits: list[dict], n: int) -> list[tuple[int, int, str]]:
+    """Edits that lie in a text of ``n`` characters and do not overlap, by place; equal places as given."""
+    out, free = [], 0
+    for e in sorted((e for e in edits if e is not None and e["at"] is not None), key=lambda e: e["at"]):
+        at, removed = e["at"], e["removed"] or 0
+        if removed >= 0 and free <= at <= n - removed:
+            out.append((at, removed, e["inserted"] or ""))
+            free = at + removed
+    return out
+
+
 _HELD: dict[tuple[int, str], Counter] = {}
 
 
@@ -207,7 +224,7 @@ def update(
     own = {text.lower(), reencoded.lower(), *(f.name for f in STATE)}
     carried = [c for c in (source.columns if keep is None else keep) if c.lower() not in own]
     given = [*carried, text, "leaf_chars", "leaf_tokens", edits]
-    source = source.select(*[source[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(given)])
+    source = spread(source).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)])
     schema = T.StructType([*(T.StructField(c, source.schema[i].dataType) for i, c in enumerate(carried)), *changed])
     n = len(carried)
 
@@ -221,8 +238,8 @@ def update(
                     rows.append((value, chars or [], tokens or [], sum(tokens or []), 0))
                     continue
                 tree = SumTree(chars or [], tokens or [])
-                for e in sorted(wanted or [], key=lambda e: -(e["at"] or 0)):
-                    value, more = counter.edit(value, tree, e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
+                for edit in reversed(sound(wanted, len(value))):
+                    value, more = counter.edit(value, tree, *edit)
                     again += more
                 rows.append((value, tree.chars[0], tree.tokens[0], tree.total(), again))
             columns = list(zip(*rows)) if rows else [()] * 5

@@ -160,3 +160,41 @@ def test_plans(spark, c, small):
     assert "CartesianProduct" not in ranked
     listing = plan(search.search_directories(testviews.catalog(spark, small), "b"))
     assert "TakeOrderedAndProject" in listing and listing.count("Exchange") == 1
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """A stored catalogue whose tables no plan would broadcast."""
+    from pyspark.sql import functions as F
+
+    from verdex.sources.catalog import Change, open_catalog
+
+    out = f"file://{tmp_path_factory.mktemp('wide')}/c"
+    change, n = Change(spark, out), 600_000
+    ids = spark.range(n).select(F.xxhash64("id").alias("path_id"), F.concat(F.lit("/S/some/long/directory/of/many/F"), F.col("id") % 97, F.lit(".framework/File"), "id", F.lit(".h")).alias("absolute_path"))
+    change.write("versions", with_version_columns(spark.createDataFrame([(1, "1.0|A", "1.0", "A", "b", None)], "version_num long, version_id string, release string, build string, bundle_name string, created_at timestamp")))
+    change.write("paths", with_path_columns(ids).withColumn("created_at", F.current_timestamp()))
+    instances = ids.select(F.lit(1).cast("long").alias("version_num"), "path_id", (F.col("path_id") + 1).alias("content_id"), F.lit("b").alias("bundle_name"), F.current_timestamp().alias("updated_at"))
+    change.write("file_instances", instances)
+    none = F.lit(None).cast("string")
+    change.write("contents", instances.select("version_num", "content_id", none.alias("content_hash"), none.alias("blob_key"), F.lit("k").alias("pack_object_key"), F.lit(0).cast("long").alias("pack_offset"), F.lit(1).cast("long").alias("pack_length"), F.lit(1).cast("long").alias("byte_size"), "updated_at").withColumnRenamed("updated_at", "created_at"))
+    change.commit()
+    return open_catalog(spark, out)
+
+
+@pytest.mark.parametrize("query", ["latest_for_path", "file_content_ref"])
+def test_point_lookups_push_the_id(spark, wide, query):
+    """One pruned scan finds the id, and the filter on it reaches the scan of the large table, which is not shuffled."""
+    path = wide.paths.where("path_id % 1000 = 7").first()["absolute_path"]
+    found = search.latest_for_path(wide, path) if query == "latest_for_path" else search.file_content_ref(wide, 1, path)
+    assert found.collect()[0]["absolute_path"] == path
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(path_id" not in plan and "hashpartitioning(content_id" not in plan
+    formatted = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    scans = [part for part in formatted.split("\n\n") if "Scan parquet" in part and "file_instances" in part]
+    assert scans and all("path_id" in part.split("DataFilters")[-1].split("ReadSchema")[0] for part in scans)
+
+
+def test_lookups_of_unique_tables_do_not_aggregate(spark, wide):
+    plan = search.latest_for_all_paths(wide)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max(struct" not in plan

@@ -102,6 +102,23 @@ def test_presence(c):
     assert rows(presence.row_count(c.symbol_presence)) == [(4,)]
 
 
+@pytest.mark.parametrize("last", [None, 3, 61, 62, 200, 1000])
+def test_presence_is_one_set_however_gathered(spark, last):
+    """Bits and arrays give the same sorted sets, across words and from merges."""
+    import random
+
+    rng, top = random.Random(last or 1), last or 300
+    held = {(k, v) for k in range(30) for v in rng.sample(range(1, top + 1), min(top, rng.randint(1, 9)))} | {(0, top), (0, 1)}
+    instances = spark.createDataFrame([(v, 1, v * 100) for v in {v for _, v in held}], "version_num long, path_id long, content_id long")
+    symbols = spark.createDataFrame([(v * 100, "interface", "A", "ivar", str(k), 1) for k, v in held] * 2, "content_id long, owner_kind string, owner_name string, symbol_type string, symbol_key string, line_no long")
+    none = spark.createDataFrame([], "x int")
+    c = Catalog(none, none, none, instances, symbols, none, last_version=last)
+    expected = {str(k): sorted(v for j, v in held if j == k) for k in range(30)}
+    assert {r["symbol_key"]: r["versions"] for r in presence.build(c).collect()} == expected
+    low, high = (presence.build(c, spark.range(a, b).withColumnRenamed("id", "version_num")) for a, b in ((0, top // 2 + 2), (top // 3, top + 1)))
+    assert {r["symbol_key"]: r["versions"] for r in presence.merge(low, high, last).collect()} == expected
+
+
 def test_version_numbers(spark):
     found = spark.createDataFrame([("15.2.1", "19C63", "d"), ("9.3", "13E233", "a"), ("15.b", "X", "b"), ("15.2", "19C56", "c")], "release string, build string, bundle_name string")
     none = spark.createDataFrame([], "version_num long, version_id string")

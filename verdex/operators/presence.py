@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdex.operators.lookups import broadcast_if_small
@@ -21,6 +23,37 @@ def target_versions(c: Catalog, bundles: list[str] | None = None, version_ids: l
     return rows.select("version_num").distinct().orderBy("version_num")
 
 
+#: Versions that one number holds as bits, and the greatest version up to which sets are gathered as bits.
+WORD, BITS_UP_TO = 62, 495
+
+
+def _set_of(last: int | None, bits: Callable[[int], Column], gathered: Column) -> Callable[[DataFrame], DataFrame]:
+    """How ``groupBy(*KEY)`` gathers versions: as bits if the greatest is known and not large, else as arrays.
+
+    Both give the same sorted sets.  Bits are summed in the generated code of a hash
+    aggregate; arrays go through object buffers, which soon fall back to sorting.
+    """
+    if last is None or last > BITS_UP_TO:
+        return lambda rows, *more: rows.groupBy(*KEY).agg(gathered.alias("versions"), *more)
+    words = range(last // WORD + 1)
+
+    def gather(rows: DataFrame, *more: Column) -> DataFrame:
+        summed = rows.groupBy(*KEY).agg(*[F.bit_or(bits(w)).alias(f"__w{w}") for w in words], *more)
+        return summed.withColumn("versions", F.concat(*[numbers(w) for w in words])).drop(*[f"__w{w}" for w in words])
+
+    def numbers(w: int) -> Column:
+        """The versions whose bits are set in a word."""
+        places = F.sequence(F.lit(0), F.lit(min(WORD - 1, last - w * WORD)))
+        return F.transform(F.filter(places, lambda i: F.getbit(f"__w{w}", i) == 1), lambda i: (i + w * WORD).cast("long"))
+
+    return gather
+
+
+def _bit(version: Column, word: int) -> Column:
+    inside = version.between(word * WORD, word * WORD + WORD - 1)
+    return F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (version - word * WORD).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
 def build(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
     """Presence of the given versions (default all) in one pass.
 
@@ -32,16 +65,20 @@ def build(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
         instances = instances.join(broadcast_if_small(versions.select("version_num")), "version_num", "left_semi")
     on = ["content_id"] + (["version_num"] if "version_num" in c.symbols.columns else [])
     met = c.symbols.select(*on, "owner_kind", "owner_name", "symbol_type", "symbol_key").join(instances, on)
-    built = met.groupBy(*KEY).agg(F.sort_array(F.collect_set("version_num")).alias("versions"))
-    return built.withColumns({"owner_name_lc": F.lower("owner_name"), "updated_at": F.current_timestamp()})
+    gather = _set_of(c.last_version, lambda w: _bit(F.col("version_num"), w), F.sort_array(F.collect_set("version_num")))
+    return gather(met).withColumns({"owner_name_lc": F.lower("owner_name"), "updated_at": F.current_timestamp()})
+
 
+def merge(old: DataFrame, new: DataFrame, last_version: int | None = None) -> DataFrame:
+    """Union of the sets by key; commutative, associative and idempotent.
 
-def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union of the sets by key; commutative, associative and idempotent."""
+    ``last_version`` bounds the versions, if known; the result is the same without.
+    """
     columns = [*KEY, "owner_name_lc", "versions", "updated_at"]
     both = old.select(*columns).unionByName(new.select(*columns))
-    sets = F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions"))))
-    return both.groupBy(*KEY).agg(sets.alias("versions"), F.max("owner_name_lc").alias("owner_name_lc"), F.max("updated_at").alias("updated_at"))
+    bits = lambda w: F.aggregate("versions", F.lit(0).cast("long"), lambda have, v: have.bitwiseOR(_bit(v, w)))
+    gather = _set_of(last_version, bits, F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions")))))
+    return gather(both, F.max("updated_at").alias("updated_at")).withColumn("owner_name_lc", F.lower("owner_name"))
 
 
 def row_count(presence: DataFrame) -> DataFrame:
@@ -61,7 +98,7 @@ def refresh(change: Change, versions: DataFrame | None = None, rebuild: bool = F
         for part in change.parts("symbol_presence"):
             change.drop_part("symbol_presence", part)
     elif set(touched) & change.parts("symbol_presence"):
-        made = merge(held.symbol_presence.where(F.col("bucket").isin(touched)), made).withColumn("bucket", bucket_of(F.col("path_id")))
+        made = merge(held.symbol_presence.where(F.col("bucket").isin(touched)), made, held.last_version).withColumn("bucket", bucket_of(F.col("path_id")))
     if touched:
         change.write("symbol_presence", made)
     return touched

@@ -103,7 +103,7 @@ on_catalog("symbol_presence_map", f"select owner_name, symbol_type, symbol_key,
 @on_catalog("presence_merge", "select path_id, owner_kind, owner_name, symbol_type, symbol_key, versions from presence")
 def _merge(c):
     low, high = (c.versions.where(x).select("version_num") for x in ("version_num <= 4", "version_num >= 3"))
-    return presence.merge(presence.build(c, low), presence.build(c, high)).drop("updated_at", "owner_name_lc")
+    return presence.merge(presence.build(c, low), presence.build(c, high), c.last_version).drop("updated_at", "owner_name_lc")
 
 
 on_catalog("presence_row_count", "select count(*) n_keys from presence")(lambda c: presence.row_count(c.symbol_presence))

@@ -14,6 +14,8 @@ from verdex.operators import presence
 from verdex.sources.catalog import Catalog, with_symbol_columns, with_version_columns
 
 FACTOR = 1_000_000
+#: The years of shipping in the test data are 1995 to 2001.
+LAST_VERSION = 7
 KINDS = {"SMALL": "interface", "LARGE": "protocol", "PROMO": "category"}
 
 
@@ -44,7 +46,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("symbol_key"),
         F.col("l_linenumber").cast("long").alias("line_no"),
     )
-    c = Catalog(with_version_columns(versions), paths, contents, instances, with_symbol_columns(symbols), None)
+    c = Catalog(with_version_columns(versions), paths, contents, instances, with_symbol_columns(symbols), None, last_version=LAST_VERSION)
     c.symbol_presence = presence.build(c)
     body = headers(spark, sf_dir).select("path_id", F.col("text").cast("binary").alias("body"))
     c.blobs = instances.join(contents, "content_id").join(body, "path_id").select("version_num", "content_id", "pack_object_key", "pack_offset", "body")

@@ -222,15 +222,32 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
     return map_batches(labelled, run, COUNTS).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in NAMES])
 
 
+#: Buckets whose sums travel to the driver in one row, as packed 32-bit counts of every name.
+CHUNK = 1 << 12
+PACKED = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+
+
+def packed(counts: DataFrame) -> DataFrame:
+    """Sums by bucket to (chunk, packed counts): at most (ROWS << BITS) / CHUNK rows of one size, whatever the corpus."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        sums = np.zeros((len(NAMES), CHUNK), np.float32)
+        for k, name in enumerate(NAMES):
+            sums[k, bucket % CHUNK] = table.column(name).to_numpy()
+        return pa.table({"chunk": pa.array([int(bucket[0]) // CHUNK], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    return counts.where("bucket >= 0").groupBy(F.floor(F.col("bucket") / CHUNK)).applyInArrow(pack, PACKED)
+
+
 def sketches(counts: DataFrame) -> list[Sketch | None]:
-    """Sketches of half 0, of half 1 and of both; none where a label is missing.  At most ROWS << BITS rows travel."""
-    got = counts.toArrow()
-    bucket = got.column("bucket").to_numpy()
-    sums, totals = np.zeros((len(NAMES), ROWS << BITS), np.float32), [0] * len(NAMES)
-    for k, name in enumerate(NAMES):
-        values = got.column(name).to_numpy()
-        sums[k, bucket[bucket >= 0]] = values[bucket >= 0]
-        totals[k] = int(values[bucket < 0].sum())
+    """Sketches of half 0, of half 1 and of both; none where a label is missing."""
+    counts = materialize(counts, "tokens")
+    totals = (counts.where("bucket < 0").select(*NAMES).first() or [0] * len(NAMES))[:]
+    sums = np.zeros((len(NAMES), ROWS << BITS), np.float32)
+    for row in packed(counts).collect():
+        at = row["chunk"] * CHUNK
+        sums[:, at : at + CHUNK] = np.frombuffer(row["sums"], np.float32).reshape(len(NAMES), CHUNK)
     halves = [(sums[0], sums[1], (totals[0], totals[1])), (sums[2], sums[3], (totals[2], totals[3])), (sums[0] + sums[2], sums[1] + sums[3], (totals[0] + totals[2], totals[1] + totals[3]))]
     return [Sketch(t, c, n) if all(n) else None for t, c, n in halves]
 
@@ -258,11 +275,9 @@ def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
     """Learn from all labelled rows; rows without label count as none, null texts as empty."""
     half = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(2)).cast("int")
     rows = labelled.where(F.col(label).isin(0, 1)).select(half.alias("half"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    first, second, both = sketches(count_tokens(rows))
-    if both is None:
-        return Model(None)
     with Scratch(labelled.sparkSession):
-        return calibrated(rows, (second or both, first or both), both)
+        first, second, both = sketches(count_tokens(rows))
+        return calibrated(rows, (second or both, first or both), both) if both else Model(None)
 
 
 def calibrated(rows: DataFrame, crossed: tuple[Sketch, Sketch], both: Sketch) -> Model:

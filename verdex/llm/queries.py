@@ -163,4 +163,13 @@ best as (select *, row_number() over (partition by doc_row, item_row order by si
 select doc_id, item_id, similarity, cast(first_word as bigint) as first_word, cast(width as bigint) as n_words from best join (select distinct doc_row, doc_id from docs) using (doc_row) join items using (item_row) where rn = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}
+#: The text of pages that have one article, without parts to leave out in it, as all pages of the table have.
+_OP8 = r"""
+with inside as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as a from pages),
+lines as (select page_id, url, string_split(regexp_replace(regexp_replace(a, '</?(h[1-6]|p|br|ul|ol|li|div|section|blockquote)[^>]*>', chr(10) || chr(1), 'g'), '<[^>]*>', '', 'g'), chr(10) || chr(1)) as ls from inside),
+decoded as (select page_id, url, list_transform(ls, lambda l: regexp_replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g')) as ls from lines),
+texts as (select page_id, url, array_to_string(list_filter(list_transform(ls, lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) as text from decoded)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from texts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}

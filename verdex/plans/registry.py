@@ -21,6 +21,7 @@ L = "cast({} as bigint)".format
 
 
 def query(name: str, oracle: str | None = None):
+    """Register a query of (spark, sf_dir), with its SQL."""
     def put(f):
         QUERIES[name] = f
         if oracle:
@@ -76,6 +77,7 @@ _CURSOR = "/LARGE/Brand12.framework/n"
 
 
 def _page(where: str = "", back: bool = False, cursor: bool = False) -> str:
+    """SQL of a page of the listing."""
     order, flag = ("desc" if back else "asc"), str(cursor).lower()
     return f"""got as (select *, row_number() over (order by absolute_path {order}, path_id {order}) rn from ({_LISTING} {where})),
 shape as (select count(*)>{PAGE} more, min(absolute_path) filter (rn<={PAGE}) low, max(absolute_path) filter (rn<={PAGE}) high from got where rn<={PAGE + 1})
@@ -85,6 +87,7 @@ from got, shape where rn<={PAGE}"""
 
 
 def _pages(name: str, where: str, back: bool, cursor: str | None, keyword: str = "") -> None:
+    """Register one page of the listing."""
     QUERIES[name] = lambda spark, sf_dir: search.files_page(catalog(spark, sf_dir), VERSION, DIRECTORY, PAGE, cursor, "prev" if back else "next", keyword)
     ORACLES[name] = with_views("", _page(where, back, bool(cursor)))
 
@@ -102,6 +105,7 @@ on_catalog("symbol_presence_map", f"select owner_name, symbol_type, symbol_key,
 
 @on_catalog("presence_merge", "select path_id, owner_kind, owner_name, symbol_type, symbol_key, versions from presence")
 def _merge(c):
+    """Presence of two overlapping ranges of versions, merged."""
     low, high = (c.versions.where(x).select("version_num") for x in ("version_num <= 4", "version_num >= 3"))
     return presence.merge(presence.build(c, low), presence.build(c, high), c.last_version).drop("updated_at", "owner_name_lc")
 
@@ -122,11 +126,13 @@ on_catalog("path_depth", "select path_id, cast(len(list_filter(string_split(abso
 
 
 def _read(spark, sf_dir, name):
+    """One table of the test data."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("url_path_columns", r"select page_id, lower(url) path_lc, regexp_extract(url,'[^/]+$') file_name, lower(regexp_extract(url,'[^/]+$')) file_name_lc, regexp_replace(url,'/[^/]+$','') dir_path, regexp_extract(regexp_replace(url,'/[^/]+$',''),'[^/]+$') dir_name, lower(regexp_extract(regexp_replace(url,'/[^/]+$',''),'[^/]+$')) dir_name_lc from pages")
 def _url_paths(spark, sf_dir):
+    """Path columns of whole urls."""
     return paths.with_path_columns(_read(spark, sf_dir, "pages").select("page_id", "url"), "url").drop("url")
 
 
@@ -135,6 +141,7 @@ _FW = "case p_size % 4 when 0 then '/S/Frameworks/' || p_brand || '.framework/'
 
 @query("framework_name", f"with p as (select p_partkey path_id, {_FW} p from part), s as (select path_id, list_filter(string_split(p,'/'), lambda x: x<>'') parts from p) select path_id, case when list_position(parts,'Frameworks')>0 then regexp_replace(parts[list_position(parts,'Frameworks')+1],'\\.framework$','') end framework from s")
 def _framework(spark, sf_dir):
+    """Framework names of composed paths."""
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("path_id"), paths.framework_name(F.expr(_FW)).alias("framework"))
 
 
@@ -143,6 +150,7 @@ _REL = "case p_size % 5 when 0 then cast(p_size as {t}) when 1 then cast(p_size
 
 @query("version_sort_key", f"select p_partkey id, list_transform(string_split({_REL.format(t='varchar')},'.'), lambda x: case when regexp_full_match(x,'[0-9]+') then cast(x as bigint) else -1 end) sort_key from part")
 def _sort_key(spark, sf_dir):
+    """Sort keys of composed releases."""
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), versions.sort_key(F.expr(_REL.format(t="string"))).alias("sort_key"))
 
 
@@ -154,6 +162,7 @@ _EXISTING = "select 7 version_num, '10.0|BBrand#11' version_id union all select
 held as ({_EXISTING}), j as (select found.*, held.version_num known from found left join held using (version_id))
 select {L("coalesce(known, 9 + row_number() over (partition by known is null order by k, build, bundle_name))")} version_num, version_id, bundle_name from j""")
 def _assign(spark, sf_dir):
+    """Numbers of composed releases beside two existing ones."""
     part = _read(spark, sf_dir, "part")
     found = part.select(F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string")).alias("release"), F.concat(F.lit("B"), "p_brand").alias("build"), F.concat(F.lit("b"), F.col("p_size").cast("string")).alias("bundle_name")).distinct()
     existing = spark.createDataFrame([(7, "10.0|BBrand#11"), (9, "1.5|X")], "version_num long, version_id string")
@@ -163,6 +172,7 @@ def _assign(spark, sf_dir):
 _IDS = "p_brand || '|' || replace(p_name,' ','_') || '|' || p_type"
 @query("version_url_codec", f"select p_partkey id, replace(replace({_IDS},'_','__'),'|','_') encoded, {_IDS} decoded from part")  # noqa: E302
 def _codec(spark, sf_dir):
+    """Version ids to their URL form and back."""
     encoded = versions.encode_for_url(F.expr(_IDS))
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), encoded.alias("encoded")).withColumn("decoded", versions.decode_from_url(F.col("encoded")))
 
@@ -172,6 +182,7 @@ _SHOWN = "case p_size % 4 when 0 then p_brand || ' | ' || p_type when 1 then p_b
 
 @query("version_display", f"with v as (select p_partkey id, trim({_SHOWN}) v from part), h as (select id, v, instr(v,'|') bar, trim(split_part(v,'|',1)) a, trim(substr(v, instr(v,'|')+1)) b from v) select id, case when bar=0 then v when a<>'' and b<>'' then a || ' · ' || b when a<>'' then a else b end shown, case when bar=0 or a='' then v else a end label from h")
 def _display(spark, sf_dir):
+    """Version ids as shown, and their labels."""
     v = F.expr(_SHOWN)
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), versions.display(v).alias("shown"), versions.label(v).alias("label"))
 
@@ -181,11 +192,13 @@ _SIZE = "case when o_orderkey % 11 = 0 then null else cast(o_orderkey as bigint)
 
 @query("human_bytes", f"with s as (select o_orderkey id, {_SIZE} n from orders) select id, case when n is null then 'Size unknown' when n<1024 then cast(n as varchar) || ' B' when n<1048576 then printf('%.0f KB', round_even(n/1024.0,0)) when n<1073741824 then printf('%.1f MB', round_even(n/1048576.0,1)) when n<1099511627776 then printf('%.1f GB', round_even(n/1073741824.0,1)) else printf('%.1f TB', round_even(n/1099511627776.0,1)) end size_text from s")
 def _bytes(spark, sf_dir):
+    """Sizes as text."""
     return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), formatting.human_bytes(F.expr(_SIZE)).alias("size_text"))
 
 
 @query("pills_first_n", f"with c as (select o_custkey id, list_sort(list(o_orderkey)) ks from orders group by 1) select id, ks[1:15] shown, {L('greatest(len(ks)-15,0)')} remaining from c")
 def _pills(spark, sf_dir):
+    """The first items of a list and how many are left."""
     held = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ks"))
     return held.select("id", formatting.first_pills(F.col("ks")).alias("shown"), formatting.more_pills(F.col("ks")).alias("remaining"))
 
@@ -197,16 +210,19 @@ _SIDE = "case o_orderkey % 3 when 0 then ' PREV ' when 1 then 'previous' else ''
 
 @query("page_arguments", f"with a as (select o_orderkey id, {_RAW.format(t='varchar')} r, {_SIDE} d from orders) select id, {L('case when try_cast(trim(r) as bigint) is null then 100 else least(greatest(try_cast(trim(r) as bigint),10),1000) end')} page_size, case when lower(trim(d))='prev' then 'prev' else 'next' end direction from a")
 def _page_args(spark, sf_dir):
+    """Page sizes and directions from texts."""
     return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), formatting.page_size(F.expr(_RAW.format(t="string"))).alias("page_size"), formatting.direction(F.expr(_SIDE)).alias("direction"))
 
 
 @query("html_escape", "select page_id, replace(replace(replace(replace(replace(url,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') escaped from pages")
 def _escape(spark, sf_dir):
+    """Urls with HTML characters escaped."""
     return _read(spark, sf_dir, "pages").select("page_id", text.html_escape(F.col("url")).alias("escaped"))
 
 
 @query("search_cache_key", "select page_id, 'html:search:' || sha1('q=' || url || '|dir=|dcursor=|ddir=next|dsize=100') cache_key from pages")
 def _cache_key(spark, sf_dir):
+    """Cache keys of searches for urls."""
     return _read(spark, sf_dir, "pages").select("page_id", formatting.search_key(F.col("url"), F.lit(""), F.lit(None).cast("string"), F.lit("next"), F.lit(100)).alias("cache_key"))
 
 
@@ -214,65 +230,78 @@ _PIECES = "p as (select doc_id, list_filter(list_transform(string_split(text,chr
 
 
 def _collapsed(spark, sf_dir):
+    """(doc_id, body) without consecutive duplicate lines."""
     return lookups.spread(_read(spark, sf_dir, "documents")).select("doc_id", text.collapse_duplicate_lines(F.col("text").cast("binary")).alias("body"))
 
 
 @query("collapse_duplicate_lines", f"with {_PIECES} select doc_id, body from t")
 def _collapse(spark, sf_dir):
+    """Texts without consecutive duplicate lines."""
     return _collapsed(spark, sf_dir).select("doc_id", F.col("body").cast("string").alias("body"))
 
 
 @query("content_md5", f"with {_PIECES} select doc_id, md5(body) content_hash from t")
 def _md5(spark, sf_dir):
+    """Hashes of collapsed texts."""
     return _collapsed(spark, sf_dir).select("doc_id", text.content_hash(F.col("body")).alias("content_hash"))
 
 
 @query("byte_size", f"with {_PIECES} select doc_id, {L('strlen(body)')} byte_size from t")
 def _size(spark, sf_dir):
+    """Byte sizes of collapsed texts."""
     return _collapsed(spark, sf_dir).select("doc_id", text.byte_size(F.col("body")).alias("byte_size"))
 
 
 @query("line_split", f"with l as (select doc_id, string_split(text,chr(10)) a from documents), m as (select doc_id, case when a[-1]='' then a[:-2] else a end a from l) select doc_id, {L('generate_subscripts(a,1)')} line_no, unnest(a) line from m")
 def _split(spark, sf_dir):
+    """All lines of all texts."""
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_lines(F.col("text"))).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 @query("line_count", f"with l as (select doc_id, string_split(text,chr(10)) a from documents) select doc_id, {L('len(a) - case when a[-1]=chr(0) or len(a[-1])=0 then 1 else 0 end')} line_count from l")
 def _lines(spark, sf_dir):
+    """Numbers of lines."""
     return _read(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).alias("line_count"))
 
 
 def _header_lines(spark, sf_dir):
+    """(path_id, line_no, line) of composed headers."""
     return headers(spark, sf_dir).select("path_id", F.posexplode(text.split_lines(F.col("text"))).alias("pos", "line")).select("path_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 @query("owner_detect", with_headers("select path_id, line_no, kind owner_kind, owner_name0 owner_name from named where kind is not null", PARSE_SQL))
 def _owners(spark, sf_dir):
+    """Lines that name an owner."""
     return _header_lines(spark, sf_dir).select("path_id", "line_no", parser.owner_kind(F.col("line")).alias("owner_kind"), parser.owner_name(F.col("line")).alias("owner_name")).where("owner_kind is not null")
 
 
 @query("property_extract", with_headers("select path_id, line_no, property_name from named where property_name is not null", PARSE_SQL))
 def _properties(spark, sf_dir):
+    """Lines that declare a property."""
     return _header_lines(spark, sf_dir).select("path_id", "line_no", parser.property_name(F.col("line")).alias("property_name")).where("property_name is not null")
 
 
 @query("ivar_extract", with_headers("select path_id, line_no, ivar_name from named where ivar_name is not null", PARSE_SQL))
 def _ivars(spark, sf_dir):
+    """Lines that read as an instance variable."""
     return _header_lines(spark, sf_dir).select("path_id", "line_no", parser.ivar_name(F.col("line")).alias("ivar_name")).where("ivar_name is not null")
 
 
 @query("selector_extract", with_headers("select path_id, line_no, selector from named where selector is not null", PARSE_SQL))
 def _selectors(spark, sf_dir):
+    """Lines that declare a method."""
     return _header_lines(spark, sf_dir).select("path_id", "line_no", parser.selector(text.strip(F.col("line"))).alias("selector")).where("selector is not null")
 
 
 @query("parse_header_symbols", with_headers("select path_id, split_part(held,'|',1) owner_kind, split_part(held,'|',2) owner_name, symbol_type, symbol_key, line_no from declared where not orphaned", PARSE_SQL))
 def _parse(spark, sf_dir):
+    """All symbols of composed headers."""
     return parser.parse(headers(spark, sf_dir), ["path_id"])
 
 
 @query("orphan_file_skip", with_headers("select distinct path_id from declared where orphaned", PARSE_SQL))
 def _orphans(spark, sf_dir):
+    """Headers that are skipped."""
     return parser.orphans(headers(spark, sf_dir), ["path_id"])
 
 
@@ -288,17 +317,20 @@ walk as (select shard, rn, doc_id, n, 1 pack, 0 at_, case when n>={_TARGET} then
 
 @query("pack_offsets", f"with recursive {_KEYED}, {hash_ctes('src', 'msg')}, {_PACKED} select doc_id, printf('packs/v000001/s%03d/p%09d.bin', shard, pack) pack_object_key, cast(at_ as bigint) pack_offset, cast(n as bigint) pack_length from walk")
 def _packs(spark, sf_dir):
+    """Places of all texts in packs."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).cast("long").alias("version_num"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("blob_key"), text.byte_size(F.col("text").cast("binary")).alias("byte_size"))
     return ingest.pack_places(docs, shards=16, pack_bytes=_TARGET).select("doc_id", "pack_object_key", "pack_offset", "pack_length")
 
 
 @query("shard_assign", f"with {_KEYED}, {hash_ctes('src', 'msg')} select id doc_id, cast(key % 64 as bigint) shard from hashed")
 def _shards(spark, sf_dir):
+    """Shards of all texts."""
     return _read(spark, sf_dir, "documents").select("doc_id", ids.shard(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("shard"))
 
 
 @query("blake2b_ids", with_views("select id path_id, cast(case when key >= 9223372036854775808::hugeint then key - 18446744073709551616::hugeint else key end as bigint) hashed_id, cast(key as varchar) unsigned_id from hashed", "src as (select path_id id, hex(encode('path')) || '00' || hex(encode(absolute_path)) msg from paths)", hash_ctes("src", "msg")))
 def _ids(spark, sf_dir):
+    """Hashed ids of all paths."""
     c = catalog(spark, sf_dir)
     return c.paths.select("path_id", ids.path_id(F.col("absolute_path")).alias("hashed_id")).withColumn("unsigned_id", ids.unsigned(F.col("hashed_id")))
 
@@ -310,6 +342,7 @@ _LINES = f"lv as (select line_no, list_sort(list_distinct(flatten(list(versions)
 
 
 def _line_versions(c):
+    """Versions by line of one content."""
     return view.line_versions(view.symbols_with_versions(c, PATH_ID, _CONTENT), types=["a", "n", "r"])
 
 
@@ -320,6 +353,7 @@ ORACLES["line_labels"] = with_views("select line_no, list(split_part(version_id,
 
 @query("line_labels", ORACLES["line_labels"])
 def _labels(spark, sf_dir):
+    """Release labels by line of one content."""
     c = catalog(spark, sf_dir)
     return view.line_labels(_line_versions(c), search.versions_for_path(c, PATH_ID))
 
@@ -360,6 +394,7 @@ def _render(c):
 
 @query("utf8_repair", "select doc_id, chr(65533) || text || chr(65533) as text from documents")
 def _utf8(spark, sf_dir):
+    """Texts with broken bytes around, repaired."""
     docs = _read(spark, sf_dir, "documents")
     broken = F.concat(F.lit(bytes([0xE2, 0x82])), F.col("text").cast("binary"), F.lit(bytes([0xFF])))
     return docs.select("doc_id", text.repair_utf8(broken).alias("text"))
@@ -367,6 +402,7 @@ def _utf8(spark, sf_dir):
 
 @query("macho_detect", "select p_partkey, (p_partkey % 4 = 0 and p_size % 2 = 0) or (p_partkey % 4 = 1 and p_size % 2 = 1) is_executable from part")
 def _macho(spark, sf_dir):
+    """Composed binaries: which are executable?"""
     magic = F.element_at(F.array(*[F.unhex(F.lit(m)) for m in ["CFFAEDFE", "FEEDFACF", "7F454C46", "CAFEBABE"]]), (F.col("p_partkey") % 4 + 1).cast("int"))
     kind = F.unhex(F.when(F.col("p_size") % 2 == 0, "02000000").otherwise("00000002"))
     files = _read(spark, sf_dir, "part").select("p_partkey", F.concat(magic, F.unhex(F.lit("00" * 8)), kind).alias("content"))

@@ -323,7 +323,7 @@ TOKENS = T.StructType(
     [
         T.StructField("host", T.StringType()),
         T.StructField("token", T.LongType()),
-        T.StructField("name", T.StringType()),
+        T.StructField("kind", T.IntegerType()),
         T.StructField("article", T.BooleanType()),
         T.StructField("dropped", T.BooleanType()),
         T.StructField("times", T.LongType()),
@@ -335,7 +335,10 @@ TOKENS = T.StructType(
         T.StructField("held", T.LongType()),
     ]
 )
-KINDS = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 7]
+KINDS = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), *[pa.int64()] * 7]
+#: Names of elements that are roles, by number: numbers keep the sums in a hash aggregate.
+NAMES = ["", *sorted(BLOCK | RAW)]
+NUMBER = {name: i for i, name in enumerate(NAMES)}
 #: What tells occurrence vectors apart: pages, and sums over the halves of their hashes.
 VECTOR = ["pages", "low", "high"]
 #: The token that stands for the page.
@@ -375,7 +378,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 source = signed(html)
                 key = signed(f"{page}\0{url}\0{source}")
                 for token, role, times, *texts in page_tokens(parser, html):
-                    rows.append((host, token, role.name, role.name in ARTICLE, role.dropped, times, key, source, *texts))
+                    rows.append((host, token, NUMBER[role.name], role.name in ARTICLE, role.dropped, times, key, source, *texts))
             columns = list(zip(*rows)) if rows else [()] * len(KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names=TOKENS.names)
 
@@ -390,7 +393,7 @@ def roles(pages: DataFrame) -> DataFrame:
     every, texts = F.count(F.lit(1)), F.count("text")
     half = lambda shift: F.sum(F.shiftrightunsigned("page", shift).bitwiseAND(0xFFFFFFFF))
     summed = tokens(pages).groupBy("host", "token").agg(
-        F.first("name").alias("name"),
+        F.max("kind").alias("kind"),
         F.max("article").alias("article"),
         F.min("dropped").alias("dropped"),
         every.alias("pages"),
@@ -418,7 +421,8 @@ def valid(vectors: DataFrame, support: float) -> DataFrame:
 
 def classes(pages: DataFrame, support: float = 0.5) -> DataFrame:
     """(host, token, name, article, class_pages, class_size): tokens of valid equivalence classes."""
-    return valid(roles(pages), support).select("host", "token", "name", "article", F.col("pages").alias("class_pages"), "class_size")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("kind") + 1).alias("name")
+    return valid(roles(pages), support).select("host", "token", name, "article", F.col("pages").alias("class_pages"), "class_size")
 
 
 def without_data(vectors: DataFrame, template: DataFrame) -> DataFrame:
@@ -427,7 +431,7 @@ def without_data(vectors: DataFrame, template: DataFrame) -> DataFrame:
     data = vectors.where("holds and not fixed and not dropped").groupBy("host").agg(F.sum("chars").alias("data"))
     data = data.join(vectors.where(F.col("token") == PAGE).select("host", F.col("pages").alias("host_pages")), "host")
     data = data.select("host", (F.col("data") / F.col("host_pages")).alias("data"))
-    slots = template.where(F.col("differ") & F.col("same") & F.col("name").isin(*sorted(CONTAINERS)))
+    slots = template.where(F.col("differ") & F.col("same") & F.col("kind").isin(*sorted(NUMBER[c] for c in CONTAINERS)))
     return slots.join(data, "host").where("held / pages < data").select("host", "token")
 
 

@@ -12,6 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +24,9 @@ from verdex.operators.lookups import spread
 
 #: Upper bound on the text bytes that a Python worker turns into objects at once.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch where an operator runs a job itself (10,000 texts are some hundred MB with their copies).
+BATCH_ROWS = 1_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of ids and small numbers that may be broadcast (some 30 MB in memory); counted before each use.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,6 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for the time of the block; the session's own setting comes back."""
+    before = spark.conf.get(ARROW_ROWS)
+    limit_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to at most ``BATCH_ROWS`` rows."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -61,7 +82,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/verdex-{tag}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

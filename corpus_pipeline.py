@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.llm import bpe, decontam, minhash, quality, toxicity
-from verdex.llm.common import Scratch, if_small, materialize, remove, table
+from verdex.llm.common import Scratch, if_small, limit_batches, materialize, remove, table
 from verdex.llm.queries import labelled
 
 
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have none and stay; texts are read whole; rows that repeat are
     judged alike and all go or stay; a score equal to the threshold goes.
     """
+    limit_batches(spark)
     model = toxicity.train(labelled(spark, docs, sf_dir, "toxic", 3, 1), "text", "label", "doc_id")
     scored = toxicity.score(docs, model, score="toxic_score", predicted="toxic_predicted", passages="toxic_passages")
     return scored.where("toxic_predicted = 0").select(*docs.columns)
@@ -32,6 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have the score of the bias alone and are judged by it; texts
     are read whole; rows that repeat all go or stay; a score equal to the threshold stays.
     """
+    limit_batches(spark)
     model = quality.train(labelled(spark, docs, sf_dir, "quality", 4, 2), "text", "label", "doc_id")
     scored = quality.score(docs, model, score="quality_score", predicted="quality_predicted")
     return scored.where("quality_predicted = 1").select(*docs.columns)
@@ -43,6 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and blank texts have no copies but exact repeats of their row's id and text, of
     which one stays.  Rows that share an id and differ in text are documents of their own.
     """
+    limit_batches(spark)
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         groups = minhash.near_duplicates(docs)
         gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("gone")), "gone")
@@ -65,6 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and blank texts match nothing and stay; texts are read whole; rows that repeat
     all go or stay; a similarity equal to the threshold goes.
     """
+    limit_batches(spark)
     found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), out="benchmark_matches")
     return found.where(F.size("benchmark_matches") == 0).select(*docs.columns)
 
@@ -74,6 +78,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids and no bytes.
     """
+    limit_batches(spark)
     return bpe.decode(bpe.encode(docs, keep=["doc_id"]), keep=["doc_id", "n_tokens", "ids"])
 
 

@@ -12,7 +12,7 @@ many texts a token stands, so a word repeated within ``APART`` words brings its
 
 Counts are kept in a sketch of ``ROWS`` rows of 2**BITS buckets (a token counts in one of
 each row, the smallest is its count), so no token is left out and the table that
-is sent to the workers has the same 16 MB at any size of the corpus.
+is sent to the workers has the same 4 MB at any size of the corpus.
 
 Scoring finds all maximal scoring segments (Ruzzo and Tompa) in linear time.  For
 scores of that kind the best segment of a chance text follows an extreme-value
@@ -55,7 +55,7 @@ DRIFT = 1.0
 #: Words between two places of a word that both count.
 APART = 64
 #: Size of the sketch of counts.
-BITS, ROWS = 20, 2
+BITS, ROWS = 18, 2
 CACHED_WORDS = 100_000
 FLUSH_WORDS = 40_000
 PREFIXES = (4, 5, 6)

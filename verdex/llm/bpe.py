@@ -11,14 +11,13 @@ Decoding maps ids to bytes and concatenates neighbours up a tree of small fan-in
 
 Nulls and empty texts encode to no ids, null ids decode to no bytes.  Rows that
 repeat are encoded alike, each for itself; an empty table gives none.  Repeated
-pieces, halves and pairs of ids come from bounded tables of a worker; that changes the time only.
+pieces, halves and pairs of ids come from bounded tables of a task; that changes the time only.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,11 @@ from verdex.llm.common import append_columns
 
 #: Windows of more bytes than this are merged with a heap.
 SCAN_BYTES = 96
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 CACHED_PAIRS = 100_000
 #: Halves of pieces, and boundary windows, up to so many bytes are remembered, for many pieces share them.
 PART_BYTES, WINDOW_BYTES = 8, 16
-CACHED_PARTS = 100_000
+CACHED_PARTS = 50_000
 #: Neighbours that are concatenated at once above the pairs.
 FAN = 8
 NEVER = 1 << 60
@@ -213,18 +212,6 @@ class PieceTable(dict):
         return packed
 
 
-_HELD: dict[tuple[int, str], PieceTable] = {}
-
-
-def held_pieces(words: list[bytes], cut: str) -> PieceTable:
-    """This worker's table for a vocabulary and pattern, kept between tasks."""
-    key = zlib.crc32(b"\0".join(words)), cut
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = PieceTable(Encoder(words, cut))
-    return _HELD[key]
-
-
 def encode(
     df: DataFrame,
     text: str = "text",
@@ -238,7 +225,7 @@ def encode(
     words, cut = read_ranks(vocabulary or default_vocabulary()), pattern or default_pattern()
 
     def make():
-        pieces = held_pieces(words, cut)
+        pieces = PieceTable(Encoder(words, cut))
         find, get = pieces.encoder.split, pieces.__getitem__
 
         def apply(texts: list) -> list[pa.Array]:
@@ -255,7 +242,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
     words = read_ranks(vocabulary or default_vocabulary())
 
     def make():
-        encoder = held_pieces(words, default_pattern()).encoder
+        encoder = Encoder(words, r"\s")
 
         def apply(packed: list) -> list[pa.Array]:
             return [pa.array([encoder.decode(p) if p else b"" for p in packed], pa.binary())]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, decontam, embeddedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
+from verdex.llm import bpe, decontam, embeddedup, exactdedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
 from verdex.llm.common import fold, if_small, table
 
 
@@ -76,6 +76,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, keep=["doc_id", "held_out"]).drop("passages")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 #: Site rules as (rule, verdict), longest first, for the oracle.
@@ -172,4 +178,10 @@ texts as (select page_id, url, array_to_string(list_filter(list_transform(ls, la
 select page_id, url, text, cast(length(text) as bigint) as n_chars from texts
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}
+_OP11 = r"""
+with texts as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from texts group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from texts join groups using (text_sha256)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_exact_dedup": _OP11, "op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}

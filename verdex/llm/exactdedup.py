@@ -57,7 +57,8 @@ def named(digests: DataFrame) -> DataFrame:
     """(item): hashes of all digests that may be heavy, ``NAMED`` rows at most."""
     parts = digests.groupBy((F.spark_partition_id() % SUMMARIES).alias("part"))
     parts = parts.agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {TRACKED})").alias("summary"))
-    merged = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {TRACKED}), {NAMED})").alias("found"))
+    # Grouped by a constant, for without a group the summary of an empty partition cannot be read.
+    merged = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {TRACKED}), {NAMED})").alias("found"))
     return merged.select(F.explode("found.item").alias("item"))
 
 

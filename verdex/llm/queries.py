@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, decontam, embeddedup, exactdedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
-from verdex.llm.common import fold, if_small, table
+from verdex.llm import bpe, convtrie, decontam, embeddedup, exactdedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
+from verdex.llm.common import Scratch, fold, if_small, table
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
@@ -81,6 +81,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        turns, convs = convtrie.shared_openings(convtrie.ordered(table(spark, sf_dir, "conversations")), group=100, modulus=6)
+        trie = convtrie.prefix_trie(turns, convs)
+        hashed = convtrie.list_hashes(trie.ends)
+        nodes = trie.nodes.join(hashed, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)))
+        return scratch.keep(nodes, "nodes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Site rules as (rule, verdict), longest first, for the oracle.
@@ -184,4 +194,34 @@ groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size fr
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from texts join groups using (text_sha256)
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_exact_dedup": _OP11, "op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::bigint)),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+
+_OP13 = f"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, key) as pos, key, chars
+  from (select conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as key, length(coalesce(text, '')) as chars from conversations where conv_id is not null)
+), convs as (select conv_id, conv_id - conv_id % 100 as base, {_CRC32} % 6 as h from (select distinct conv_id, conv_id::varchar as s from turns)
+), rebuilt as (
+  select c.conv_id, 0 as part, pos, key, chars from convs c join turns t on t.conv_id = c.base and t.pos <= c.h
+  union all select c.conv_id, 1, pos, key, chars from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h
+), lists as (select conv_id, list(key order by part, pos) as keys, list(chars order by part, pos) as chars from rebuilt group by 1
+), members as (
+  select conv_id, len(coalesce(keys, [])) as n, unnest(range(len(coalesce(keys, [])) + 1)) as depth, keys, chars from convs left join lists using (conv_id)
+), paths as (
+  select conv_id, n, depth, coalesce(array_to_string(keys[1:depth], ''), '') as prefix, case when depth = 0 then 0 else chars[depth] end as last from members
+), nodes as (
+  select min(conv_id) as conv_id, depth, prefix, count(*) as n_convs, max(last) as last,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256 from paths group by depth, prefix
+), children as (select depth - 1 as depth, left(prefix, length(prefix) - 64) as prefix, count(*) as n_children from nodes where depth > 0 group by 1, 2
+), counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (depth, prefix)
+), below as (
+  select y.depth, y.prefix, sum(case when x.n_children = 0 then 1 else 0 end) as n_leaves, sum((x.n_convs - 1) * x.last) as saved_tokens
+  from counted y join counted x on x.depth >= y.depth and starts_with(x.prefix, y.prefix) group by 1, 2
+)
+select c.conv_id, cast(c.depth as bigint) as depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, c.ends_sha256
+from counted c join below using (depth, prefix) left join nodes p on p.depth = c.depth - 1 and p.prefix = left(c.prefix, length(c.prefix) - 64)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _OP13, "op11_exact_dedup": _OP11, "op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.llm import bpe, convtrie, decontam, embeddedup, exactdedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
+from verdex.llm import bpe, collocations, convtrie, decontam, embeddedup, exactdedup, htmlextract, langid, minhash, quality, tokencount, toxicity, urlfilter
 from verdex.llm.common import Scratch, fold, if_small, table
 
 
@@ -81,6 +81,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language, a report."""
+    found = collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+    return collocations.first_of_each(found, 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         turns, convs = convtrie.shared_openings(convtrie.ordered(table(spark, sf_dir, "conversations")), group=100, modulus=6)
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -194,6 +201,29 @@ groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size fr
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from texts join groups using (text_sha256)
 """
 
+_OP12 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+  from documents
+), grams as (
+  select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as m))
+), counts as (select lang, m, phrase, count(*) as f from grams group by all
+), totals as (select lang, cast(sum(f) as bigint) as n from counts where m = 1 group by 1
+), phrases as (select lang, phrase, m, f as a, string_split(phrase, ' ') as ws from counts where m > 1 and f >= 30
+), cuts as (
+  select p.*, k, x.f as l, y.f as r, cast((2000000::hugeint * a) // (x.f + y.f) as bigint) as score
+  from (select *, unnest(range(1, m)) as k from phrases) p
+  join counts x on x.lang = p.lang and x.m = k and x.phrase = array_to_string(ws[1:k], ' ')
+  join counts y on y.lang = p.lang and y.m = p.m - k and y.phrase = array_to_string(ws[k + 1:], ' ')
+), best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as rn from cuts) where rn = 1
+), inner_ as (
+  select lang, array_to_string(ws[i:i + size - 1], ' ') as phrase, max(a) as outer_
+  from (select *, unnest(range(1, m - size + 2)) as i from (select *, unnest(range(2, m)) as size from phrases where m > 2)) group by all
+), kept as (select b.* from best b left join inner_ i on i.lang = b.lang and i.phrase = b.phrase where outer_ is null or 100::hugeint * outer_ < 80::hugeint * a
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 #: CRC-32 of an ASCII text, bit by bit.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::bigint)),
   lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
@@ -224,4 +254,4 @@ select c.conv_id, cast(c.depth as bigint) as depth, p.conv_id as parent_conv_id,
 from counted c join below using (depth, prefix) left join nodes p on p.depth = c.depth - 1 and p.prefix = left(c.prefix, length(c.prefix) - 64)
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _OP13, "op11_exact_dedup": _OP11, "op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}
+ORACLE_SQL: dict[str, str] = {"op12_collocations": _OP12, "op13_prefix_trie": _OP13, "op11_exact_dedup": _OP11, "op8_html_extract": _OP8, "op2_embedding_dedup": _OP2, "op6_minhash": _OP6, "op7_decontaminate": _OP7, "op9_url_filter": _OP9}

@@ -100,11 +100,13 @@ def name_pairs(pairs: DataFrame, tag: str, first: int = 0) -> DataFrame:
 
 
 def blocks(turns: DataFrame) -> list[DataFrame]:
-    """(conv_id, at, name, chars) of the blocks of 1, 2, 4, .. turns, written; ``at`` counts blocks of that length."""
+    """(conv_id, at, name, chars) of the blocks of 1, 2, 4, .. turns while there are any, written; ``at`` counts blocks of that length."""
     names = numbered(turns.select("key").distinct(), "name", "key")
     levels = [materialize(turns.join(names, "key").select("conv_id", F.col("pos").alias("at"), "name", "chars"), "turnnames")]
     longest = levels[0].agg(F.max("at")).first()[0]
-    for _ in range(1, (0 if longest is None else longest + 1).bit_length()):
+    if longest is None:  # no turns at all
+        return []
+    for _ in range(1, (longest + 1).bit_length()):
         half = F.col("at") % 2
         both = levels[-1].groupBy("conv_id", F.shiftright("at", 1).alias("at")).agg(F.max(F.when(half == 0, F.col("name"))).alias("left"), F.max(F.when(half == 1, F.col("name"))).alias("right"), F.sum("chars").alias("chars"))
         levels.append(name_pairs(materialize(both.where(F.col("right").isNotNull()), "halves"), "block"))

@@ -93,30 +93,47 @@ def test_missing_content_has_no_size(c):
     assert rows(search.files_in_directory(c, 3, ""))[0][4] is None
 
 
+def sets_of(table):
+    return {r[:5]: r[5] for r in rows(presence.sets(table))}
+
+
 def test_presence(c):
-    table = {r[:5]: r[5] for r in rows(c.symbol_presence.select(*presence.KEY, "versions"))}
+    table = sets_of(c.symbol_presence)
     assert table[(1, "interface", "UIView", "property", "k1")] == [1] and table[(1, "category", "UIView", "property", "k1")] == [2]
     assert {tuple(r[:3]): r[3] for r in rows(search.presence_map(c, 1))} == {("UIView", "property", "k1"): [1, 2], ("UIView", "ivar", "k2"): [3]}
     again = presence.merge(c.symbol_presence, presence.build(c, c.versions.where("version_num = 2").select("version_num")))
-    assert {r[:5]: r[5] for r in rows(again.select(*presence.KEY, "versions"))} == table
+    assert sets_of(again) == table
     assert rows(presence.row_count(c.symbol_presence)) == [(4,)]
 
 
-@pytest.mark.parametrize("last", [None, 3, 61, 62, 200, 1000])
-def test_presence_is_one_set_however_gathered(spark, last):
-    """Bits and arrays give the same sorted sets, across words and from merges."""
+@pytest.mark.parametrize("top", [3, 10, 63, 64, 128, 5000])
+def test_bitmaps_are_sets(spark, top):
+    """Union, greatest member, membership and sorted array, by one path at any number of versions."""
     import random
 
-    rng, top = random.Random(last or 1), last or 300
-    held = {(k, v) for k in range(30) for v in rng.sample(range(1, top + 1), min(top, rng.randint(1, 9)))} | {(0, top), (0, 1)}
+    from pyspark.sql import functions as F
+
+    rng = random.Random(top)
+    held = {(k, v) for k in range(30) for v in rng.sample(range(1, top + 1), min(top, rng.randint(1, 40)))} | {(0, top), (0, 1), (0, min(top, 63)), (0, min(top, 64))}
     instances = spark.createDataFrame([(v, 1, v * 100) for v in {v for _, v in held}], "version_num long, path_id long, content_id long")
     symbols = spark.createDataFrame([(v * 100, "interface", "A", "ivar", str(k), 1) for k, v in held] * 2, "content_id long, owner_kind string, owner_name string, symbol_type string, symbol_key string, line_no long")
     none = spark.createDataFrame([], "x int")
-    c = Catalog(none, none, none, instances, symbols, none, last_version=last)
+    c = Catalog(none, none, none, instances, symbols, none)
     expected = {str(k): sorted(v for j, v in held if j == k) for k in range(30)}
-    assert {r["symbol_key"]: r["versions"] for r in presence.build(c).collect()} == expected
+
+    def by_key(table):
+        return {r["symbol_key"]: r["versions"] for r in presence.sets(table).collect()}
+
+    whole = presence.build(c)
+    assert by_key(whole) == expected
     low, high = (presence.build(c, spark.range(a, b).withColumnRenamed("id", "version_num")) for a, b in ((0, top // 2 + 2), (top // 3, top + 1)))
-    assert {r["symbol_key"]: r["versions"] for r in presence.merge(low, high, last).collect()} == expected
+    assert by_key(presence.merge(low, high)) == expected
+    # Rows of several parts are one set without a merge, too.
+    assert by_key(low.unionByName(high)) == expected
+    assert {r["symbol_key"]: r["v"] for r in whole.groupBy("symbol_key").agg(F.max(presence.greatest()).alias("v")).collect()} == {k: v[-1] for k, v in expected.items()}
+    some = expected["0"][len(expected["0"]) // 2]
+    assert {r["symbol_key"] for r in whole.where(presence.has(some)).collect()} == {k for k, v in expected.items() if some in v}
+    assert whole.count() == sum(len({v >> 6 for v in vs}) for vs in expected.values())
 
 
 def test_version_numbers(spark):
@@ -131,6 +148,21 @@ def test_version_numbers(spark):
     assert sorted(r[0] for r in rows(versioning.assign_numbers(found, held, allow_old=True).select("version_num"))) == [1, 2, 3, 4]
 
 
+def test_tables_are_made_when_asked_for():
+    made = []
+
+    def table(name):
+        return lambda: made.append(name) or name
+
+    class Whole(Catalog):
+        pass
+
+    c = Whole(versions=table("v"), paths=table("p"))
+    assert c.paths == "p" and made == ["p"]
+    with pytest.raises(AttributeError):
+        c.nothing
+
+
 def test_lookup_never_multiplies(spark):
     facts = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
     dim = spark.createDataFrame([(1, "a"), (1, "b"), (None, "n")], "k long, v string")

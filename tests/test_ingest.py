@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from verdex.operators import search
+from verdex.operators import presence, search
 from verdex.plans.ingest import Options, ingest, ingest_headers
 from verdex.plans.pages import view_page
 from verdex.sources import catalog, headers
@@ -45,7 +45,7 @@ def state(c):
         sorted(map(tuple, c.paths.select("path_id", "absolute_path").collect())),
         sorted(map(tuple, c.file_instances.select("version_num", "path_id", "content_id").collect())),
         sorted(map(tuple, c.symbols.select("version_num", "content_id", "owner_name", "symbol_type", "symbol_key", "line_no").collect())),
-        sorted(map(repr, c.symbol_presence.select("path_id", "owner_name", "symbol_key", "versions").collect())),
+        sorted(map(repr, presence.sets(c.symbol_presence).select("path_id", "owner_name", "symbol_key", "versions").collect())),
         sorted(map(tuple, c.contents.select("content_id", "content_hash", "pack_object_key", "pack_offset", "pack_length").collect())),
     )
 
@@ -172,8 +172,7 @@ def test_a_bundle_that_comes_again_as_a_new_release(spark, tmp_path):
     bring(spark, out, ("b1", "1.0", "A", "x.h", A))
     bring(spark, out, ("b1", "1.1", "B", "x.h", B))
     assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", B)]
-    presence_of = {r["owner_name"]: r["versions"] for r in open_catalog(spark, out).symbol_presence.collect()}
-    assert presence_of == {"A": [1], "B": [2]}
+    assert owners_of(spark, out) == {"A": [1], "B": [2]}
     # Two bundles of one batch and one known version: the greater name has the path.
     bring(spark, out, ("b3", "1.1", "B", "x.h", C), ("b2", "1.1", "B", "x.h", A))
     assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", C)]
@@ -200,21 +199,112 @@ def test_a_crash_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch)
         open_catalog(spark, out).versions.collect()
 
 
+def owners_of(spark, out):
+    """{owner: versions} of the stored presence."""
+    return {r["owner_name"]: r["versions"] for r in presence.sets(open_catalog(spark, out).symbol_presence).collect()}
+
+
+def files_under(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
 def test_an_import_touches_only_its_parts(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     bring(spark, out, *[("b1", "1.0", "A", f"x{i}.h", A) for i in range(40)])
-    first = Change(spark, out).next["tables"]
+    first, files = Change(spark, out).next["tables"], files_under(tmp_path / "out")
     bring(spark, out, ("b2", "2.0", "A", "x3.h", B))
     second = Change(spark, out).next["tables"]
-    for name in ("symbol_presence", "latest_by_path"):
-        moved = {p for p, g in second[name].items() if first[name].get(p) != g}
-        assert len(moved) == 1 and len(second[name]) > 5
-    assert second["file_instances"] == first["file_instances"] | {"2": 2} and second["paths"] == [1, 2]
+    moved = {p for p, g in second["latest_by_path"].items() if first["latest_by_path"].get(p) != g}
+    assert len(moved) == 1 and len(second["latest_by_path"]) > 5
+    assert {p for p in second["file_instances"] if first["file_instances"].get(p) != second["file_instances"][p]} == {"2"}
+    assert second["paths"][""][:1] == first["paths"][""] and len(second["paths"][""]) == 2
+    # Presence is written for the import's own versions alone: one symbol.
+    fresh = spark.read.parquet(*[f"{tmp_path}/out/{f}" for f in files_under(tmp_path / "out") - files if f.startswith("symbol_presence")])
+    assert fresh.count() == 1 and second["symbol_presence"]["1"] == first["symbol_presence"]["1"]
     truth = state(open_catalog(spark, out))
-    assert vacuum(spark, out, keep=1) > 0 and state(open_catalog(spark, out)) == truth
+    assert vacuum(spark, out, keep=1) == 0 and vacuum(spark, out, keep=1, older_than_s=0) > 0 and state(open_catalog(spark, out)) == truth
     assert search.presence_map(open_catalog(spark, out), truth[1][0][0]).count() >= 1
 
 
+def test_an_import_that_comes_again_takes_back(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "x.h", A), ("b1", "1.0", "A", "y.h", A))
+    bring(spark, out, ("b2", "2.0", "A", "x.h", A), ("b2", "2.0", "A", "y.h", B))
+    bring(spark, out, ("b1", "1.0", "A", "x.h", C))
+    assert owners_of(spark, out) == {"A": [2], "B": [2], "C": [1]}
+    assert {(r["path_id"], r["latest_version_num"]) for r in open_catalog(spark, out).latest_by_path.collect()} == {(r["path_id"], 2) for r in open_catalog(spark, out).paths.collect()}
+    # The newest version loses a path: its latest falls back to the version before that has it, or it has none.
+    bring(spark, out, ("b3", "3.0", "A", "x.h", A), ("b3", "3.0", "A", "z.h", A))
+    before = Change(spark, out).next["tables"]["latest_by_path"]
+    bring(spark, out, ("b3", "3.0", "A", "y.h", B))
+    c = open_catalog(spark, out)
+    latest = {r["absolute_path"]: r["latest_version_num"] for r in c.latest_by_path.join(c.paths, "path_id").collect()}
+    assert latest == {"/x.h": 2, "/y.h": 3}
+    after = Change(spark, out).next["tables"]["latest_by_path"]
+    touched = {r["bucket"] for r in c.paths.select(catalog.bucket_of(c.paths["path_id"]).alias("bucket")).distinct().collect()}
+    assert {int(p) for p in set(before) | set(after) if before.get(p) != after.get(p)} <= touched
+    assert owners_of(spark, out) == {"A": [2], "B": [2, 3], "C": [1]}
+
+
+def test_presence_folders_are_merged_by_size(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    for n in range(1, 6):
+        bring(spark, out, (f"b{n}", f"{n}.0", "A", "x.h", A if n % 2 else B))
+    expected = {"A": [1, 3, 5], "B": [2, 4]}
+    assert owners_of(spark, out) == expected
+    folders = {g for gs in Change(spark, out).next["tables"]["symbol_presence"].values() for g in gs}
+    assert len(folders) < 4  # at the fourth import all had become one
+    bring(spark, out, ("b3", "3.0", "A", "x.h", C))  # a version that lies in a merged folder
+    assert owners_of(spark, out) == {"A": [1, 5], "B": [2, 4], "C": [3]}
+    assert presence.compact(spark, out, fan=2) >= 2
+    assert owners_of(spark, out) == {"A": [1, 5], "B": [2, 4], "C": [3]}
+    vacuum(spark, out, keep=1, older_than_s=0)
+    assert owners_of(spark, out) == {"A": [1, 5], "B": [2, 4], "C": [3]}
+
+
+def test_two_open_changes(spark, tmp_path):
+    """Neither sees or harms the other's files; who commits last puts its change on top, or imports again."""
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b0", "0.1", "A", "x.h", A))
+    one, two = Change(spark, out), Change(spark, out)
+
+    def into(change, *files):
+        frame = spark.createDataFrame(drop_of(*files), "bundle_name string, release string, build string, relative_path string, content binary")
+        return ingest_headers(change, frame.selectExpr("bundle_name", "concat('/', relative_path) as absolute_path", "content"), frame.select("bundle_name", "release", "build").distinct())
+
+    into(one, ("b1", "1.0", "A", "x.h", B))
+    into(two, ("b2", "2.0", "A", "x.h", C), ("b2", "2.0", "A", "n.h", C))
+    assert files_of(spark, out) == [(1, "/x.h", A), (2, "/x.h", B), (3, "/n.h", C), (3, "/x.h", C)]
+    assert owners_of(spark, out) == {"A": [1], "B": [2], "C": [3]}
+    truth = state(open_catalog(spark, out))
+    vacuum(spark, out, keep=1, older_than_s=0)
+    assert state(open_catalog(spark, out)) == truth
+    # Changes of different tables do not disturb each other; of one table, the later fails.
+    one, two, three = (Change(spark, out) for _ in range(3))
+    one.write("versions", one.before.versions)
+    two.write("name_grams", spark.createDataFrame([("abc", 1, 2)], "gram string, path_id long, shelf int"))
+    three.write("versions", three.before.versions.limit(0))
+    one.commit()
+    two.commit()
+    with pytest.raises(catalog.Conflict):
+        three.commit()
+    three.abandon()
+    assert state(open_catalog(spark, out)) == truth and open_catalog(spark, out).name_grams.count() == 1
+
+
+def test_an_import_gives_up_after_its_attempts(spark, tmp_path, monkeypatch):
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "x.h", A))
+    before, tries = state(open_catalog(spark, out)), []
+    monkeypatch.setattr(Change, "on_top_of", lambda self, held: tries.append(1) or (_ for _ in ()).throw(catalog.Conflict("busy")))
+    with pytest.raises(catalog.Conflict):
+        bring(spark, out, ("b2", "2.0", "A", "x.h", B), attempts=2)
+    monkeypatch.undo()
+    assert len(tries) == 2 and state(open_catalog(spark, out)) == before
+    left = {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_") and p.name != "_manifest"}
+    assert not left
+
+
 def test_an_empty_bundle_gets_its_version(spark, tree):
     out = f"file://{tree}/out3"
     (tree / "headers" / "19D__x").mkdir()

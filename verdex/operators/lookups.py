@@ -40,7 +40,7 @@ def spread(rows: DataFrame) -> DataFrame:
     Larger tables, and those in many files, are read by many tasks anyway and do not move.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(rows.inputFiles()) < cores and plan_bytes(rows) <= SPREAD_BYTES:
+    if plan_bytes(rows) <= SPREAD_BYTES and 0 < len(rows.inputFiles()) < cores:  # files are listed for small tables alone
         return rows.repartition(cores)
     return rows
 

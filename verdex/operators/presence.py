@@ -1,16 +1,32 @@
-"""Symbol presence: for every symbol of a path the sorted set of versions that have it."""
+"""Symbol presence: for every symbol of a path the set of versions that have it.
+
+A set is a bitmap, whatever the number of versions: one row (key, word, bits) for each 64
+versions of which it has any, bit i of word w standing for version 64 w + i.  Unions are
+``bit_or`` in the generated code of hash aggregates; the greatest member, a test for a
+member and the sorted array come from the bits when they are asked for.
+
+Stored presence is a table of mergeable parts, as the manifest has it: a change writes
+rows of its own versions into a folder of its own, which owns them from then on.  What
+older folders have of these versions is masked when they are read, so a version that is
+imported again takes back what it no longer has, and no other row is written for it.
+Rows of one key from several folders are merged by whoever needs the whole set.
+``compact`` merges folders of like size, so there are few of them however many imports
+there were, and each row is written again a logarithmic number of times.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.operators.lookups import broadcast_if_small
-from verdex.sources.catalog import Catalog, Change, bucket_of
+from verdex.sources.catalog import OWNED, Catalog, Change, Conflict
 
 KEY = ["path_id", "owner_kind", "owner_name", "symbol_type", "symbol_key"]
+#: So many folders of like size become one.
+FAN = 4
 
 
 def target_versions(c: Catalog, bundles: list[str] | None = None, version_ids: list[str] | None = None) -> DataFrame:
@@ -23,62 +39,66 @@ def target_versions(c: Catalog, bundles: list[str] | None = None, version_ids: l
     return rows.select("version_num").distinct().orderBy("version_num")
 
 
-#: Versions that one number holds as bits, and the greatest version up to which sets are gathered as bits.
-WORD, BITS_UP_TO = 62, 495
+def word_of(version: Column) -> Column:
+    return F.shiftright(version.cast("long"), 6).cast("int")
 
 
-def _set_of(last: int | None, bits: Callable[[int], Column], gathered: Column) -> Callable[[DataFrame], DataFrame]:
-    """How ``groupBy(*KEY)`` gathers versions: as bits if the greatest is known and not large, else as arrays.
+def bit_of(version: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), version.bitwiseAND(63).cast("int"))
+
+
+def greatest() -> Column:
+    """The greatest version of a row's bitmap."""
+    return F.col("word").cast("long") * 64 + F.length(F.bin("bits")) - 1
 
-    Both give the same sorted sets.  Bits are summed in the generated code of a hash
-    aggregate; arrays go through object buffers, which soon fall back to sorting.
-    """
-    if last is None or last > BITS_UP_TO:
-        return lambda rows, *more: rows.groupBy(*KEY).agg(gathered.alias("versions"), *more)
-    words = range(last // WORD + 1)
 
-    def gather(rows: DataFrame, *more: Column) -> DataFrame:
-        summed = rows.groupBy(*KEY).agg(*[F.bit_or(bits(w)).alias(f"__w{w}") for w in words], *more)
-        return summed.withColumn("versions", F.concat(*[numbers(w) for w in words])).drop(*[f"__w{w}" for w in words])
+def has(version_num: int) -> Column:
+    """Is the version in the row's bitmap?"""
+    return (F.col("word") == version_num >> 6) & (F.getbit("bits", F.lit(version_num & 63)) == 1)
 
-    def numbers(w: int) -> Column:
-        """The versions whose bits are set in a word."""
-        places = F.sequence(F.lit(0), F.lit(min(WORD - 1, last - w * WORD)))
-        return F.transform(F.filter(places, lambda i: F.getbit(f"__w{w}", i) == 1), lambda i: (i + w * WORD).cast("long"))
 
-    return gather
+def versions_of(word: Column, bits: Column) -> Column:
+    """The versions of a bitmap, ascending."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1)
+    return F.transform(places, lambda i: i + word.cast("long") * 64)
 
 
-def _bit(version: Column, word: int) -> Column:
-    inside = version.between(word * WORD, word * WORD + WORD - 1)
-    return F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (version - word * WORD).cast("int"))).otherwise(F.lit(0).cast("long"))
+def sets(presence: DataFrame, keys: list[str] = KEY, *more: Column) -> DataFrame:
+    """(keys, versions): the whole set of each key as a sorted array, whatever rows it lies in."""
+    words = presence.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"), *more)
+    each = F.struct("word", versions_of(F.col("word"), F.col("bits")).alias("versions"))
+    held = words.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("words"))
+    return held.select(*keys, F.flatten(F.transform("words", lambda w: w["versions"])).alias("versions"))
 
 
 def build(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
     """Presence of the given versions (default all) in one pass.
 
-    Both sides lie by version, so the filter prunes partitions; the set of a key's
-    versions is collected in one shuffle, partial sets first.
+    Both sides lie by version, so the filter prunes partitions.  A key has a row a version
+    at most, so rows move once, by key, and are summed where they arrive.
     """
     instances = c.file_instances.select("version_num", "path_id", "content_id")
     if versions is not None:
         instances = instances.join(broadcast_if_small(versions.select("version_num")), "version_num", "left_semi")
     on = ["content_id"] + (["version_num"] if "version_num" in c.symbols.columns else [])
     met = c.symbols.select(*on, "owner_kind", "owner_name", "symbol_type", "symbol_key").join(instances, on)
-    gather = _set_of(c.last_version, lambda w: _bit(F.col("version_num"), w), F.sort_array(F.collect_set("version_num")))
-    return gather(met).withColumns({"owner_name_lc": F.lower("owner_name"), "updated_at": F.current_timestamp()})
+    rows = met.select(*KEY, word_of(F.col("version_num")).alias("word"), bit_of(F.col("version_num")).alias("bits"))
+    return merged(rows.withColumn("updated_at", F.current_timestamp()))
 
 
-def merge(old: DataFrame, new: DataFrame, last_version: int | None = None) -> DataFrame:
-    """Union of the sets by key; commutative, associative and idempotent.
+def merged(presence: DataFrame) -> DataFrame:
+    """One row for each key and word: the union of the bits, the latest time.
 
-    ``last_version`` bounds the versions, if known; the result is the same without.
+    Dealt by key alone, so that whole sets (``sets``) need no further shuffle.
     """
-    columns = [*KEY, "owner_name_lc", "versions", "updated_at"]
-    both = old.select(*columns).unionByName(new.select(*columns))
-    bits = lambda w: F.aggregate("versions", F.lit(0).cast("long"), lambda have, v: have.bitwiseOR(_bit(v, w)))
-    gather = _set_of(last_version, bits, F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions")))))
-    return gather(both, F.max("updated_at").alias("updated_at")).withColumn("owner_name_lc", F.lower("owner_name"))
+    summed = presence.repartition(*KEY).groupBy(*KEY, "word").agg(F.bit_or("bits").alias("bits"), F.max("updated_at").alias("updated_at"))
+    return summed.select(*KEY, F.lower("owner_name").alias("owner_name_lc"), "word", "bits", "updated_at")
+
+
+def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Union of the sets by key; commutative, associative and idempotent."""
+    columns = [*KEY, "word", "bits", "updated_at"]
+    return merged(old.select(*columns).unionByName(new.select(*columns)))
 
 
 def row_count(presence: DataFrame) -> DataFrame:
@@ -86,19 +106,54 @@ def row_count(presence: DataFrame) -> DataFrame:
     return presence.select(*KEY).distinct().agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def refresh(change: Change, versions: DataFrame | None = None, rebuild: bool = False) -> list[int]:
-    """Store the presence of versions in a change: ``rebuild`` replaces the table, else sets are merged in.
+def refresh(change: Change, versions: list[int], rebuild: bool = False) -> None:
+    """Store the presence of versions in a change; nothing that other versions have is read or written.
 
-    Only the buckets of paths that the versions have are read and written; returns them.
+    ``rebuild`` leaves out all that is stored of others.
     """
-    held = change.catalog()
-    made = change.stage("presence", build(held, versions).withColumn("bucket", bucket_of(F.col("path_id"))))
-    touched = sorted(r["bucket"] for r in made.select("bucket").distinct().collect())  # at most BUCKETS
     if rebuild:
-        for part in change.parts("symbol_presence"):
-            change.drop_part("symbol_presence", part)
-    elif set(touched) & change.parts("symbol_presence"):
-        made = merge(held.symbol_presence.where(F.col("bucket").isin(touched)), made, held.last_version).withColumn("bucket", bucket_of(F.col("path_id")))
-    if touched:
-        change.write("symbol_presence", made)
-    return touched
+        for v in change.parts(OWNED) - set(versions):
+            change.drop_part(OWNED, v)
+    if not versions:
+        return
+    numbers = change.spark.createDataFrame([(v,) for v in versions], "version_num long")
+    change.write(OWNED, build(change.catalog(), numbers), versions=versions)
+
+
+def tiers(change: Change) -> dict[int, dict[str, list[int]]]:
+    """Folders of stored presence with their versions, by the order of magnitude of their size."""
+    owned: dict[str, list[int]] = {}
+    for version, folders in change.next["tables"].get(OWNED, {}).items():
+        for g in folders:
+            owned.setdefault(g, []).append(int(version))
+    out: dict[int, dict[str, list[int]]] = {}
+    for g, held in owned.items():
+        size = change.storage.size(f"{OWNED}/g={g}")
+        out.setdefault(int(math.log(max(size, 1), FAN)), {})[g] = held
+    return out
+
+
+def compact(spark: SparkSession, root: str, fan: int = FAN) -> int:
+    """Merge presence folders, ``fan`` or more of one order of magnitude at a time; returns how many went.
+
+    An import that commits meanwhile and takes one of the versions makes a merge fail, which harms nothing.
+    """
+    gone = 0
+    while True:
+        change = Change(spark, root)
+        full = [folders for _, folders in sorted(tiers(change).items()) if len(folders) >= fan]
+        if not full:
+            return gone
+        versions = sorted(v for held in full[0].values() for v in held)
+        only = {str(v): change.next["tables"][OWNED][str(v)] for v in versions}
+        rows = change.read(OWNED, only)
+        try:
+            change.write(OWNED, merged(rows), versions=versions)
+            change.commit()
+        except Conflict:
+            change.abandon()
+            return gone
+        except BaseException:
+            change.abandon()
+            raise
+        gone += len(full[0])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdex.functions.text import normalise_keyword
-from verdex.operators import lookups
+from verdex.operators import lookups, presence
 from verdex.sources.catalog import Catalog, bucket_of
 
 DIRECTORY_HITS, OWNER_HITS, LISTING_HITS = 30, 50, 2000
@@ -111,7 +111,7 @@ def search_owner_candidates(c: Catalog, keyword: str, limit: int = OWNER_HITS) -
     exact = F.col("owner_name_lc") == kw
     rank = F.when(exact, F.coalesce(kinds[F.col("owner_kind")], F.lit(EXACT_OTHER))).otherwise(F.coalesce(kinds[F.col("owner_kind")] + PARTIAL_STEP, F.lit(PARTIAL_OTHER)))
     owners = c.symbol_presence.where(F.col("owner_name_lc").contains(kw))
-    by_owner = owners.groupBy("path_id").agg(F.min(rank).alias("priority_rank"), F.max(F.array_max("versions")).alias("matched_version_num")).select("priority_rank", "matched_version_num", "path_id")
+    by_owner = owners.groupBy("path_id").agg(F.min(rank).alias("priority_rank"), F.max(presence.greatest()).alias("matched_version_num")).select("priority_rank", "matched_version_num", "path_id")
     all_hits = by_name.unionByName(by_owner).where("matched_version_num > 0")
     # Best hit a path before its text is fetched: numbers alone are grouped.
     order = Window.partitionBy("path_id").orderBy("priority_rank", F.desc("matched_version_num"))
@@ -192,11 +192,10 @@ def symbols_for_content(c: Catalog, content_id: int) -> DataFrame:
 
 def presence_map(c: Catalog, path_id: int) -> DataFrame:
     """(owner_name, symbol_type, symbol_key, versions), merged over owner kinds."""
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions"))))
     rows = c.symbol_presence.where(F.col("path_id") == path_id)
     if "bucket" in rows.columns:
         rows = rows.where(F.col("bucket") == bucket_of(F.lit(path_id)))
-    return rows.groupBy("owner_name", "symbol_type", "symbol_key").agg(merged.alias("versions"))
+    return presence.sets(rows, ["owner_name", "symbol_type", "symbol_key"])
 
 
 def paths_in_directory(c: Catalog, version_num: int, directory_path: str) -> DataFrame:

@@ -19,15 +19,19 @@ from verdex.functions import ids, text
 from verdex.functions.paths import with_path_columns
 from verdex.operators import parser, presence, versioning
 from verdex.operators.lookups import broadcast_if_small, spread
+from verdex.schemas import PATHS
 from verdex.sources import headers as H
-from verdex.sources.catalog import Change, bucket_of, with_symbol_columns, with_version_columns
+from verdex.sources.catalog import Change, Conflict, bucket_of, with_symbol_columns, with_version_columns
 
 SHARDS, PACK_BYTES = 64, 128 << 20
 
 
 @dataclass(frozen=True)
 class Options:
-    """``resume`` leaves out bundles whose import into the same version has been finished."""
+    """``resume`` leaves out bundles whose import into the same version has been finished.
+
+    An import that another writer has overtaken is run again from what that one has left, ``attempts`` times at most.
+    """
 
     bundles: tuple[str, ...] = ()
     max_files: int | None = None
@@ -37,6 +41,7 @@ class Options:
     resume: bool = False
     shards: int = SHARDS
     pack_bytes: int = PACK_BYTES
+    attempts: int = 5
 
 
 def normalised(headers: DataFrame) -> DataFrame:
@@ -102,15 +107,25 @@ def ingest_headers(change: Change, found: DataFrame, releases: DataFrame, option
     in that version stay, but for paths that are imported now.  Of two bundles of one
     import that share a version and a path the greater name counts.
     """
-    try:
-        return _ingest(change, found, releases, options)
-    except BaseException:
-        change.abandon()
-        raise
+    for left in reversed(range(options.attempts)):
+        try:
+            counts = _ingest(change, found, releases, options)
+            break
+        except Conflict:
+            change.abandon()
+            if not left:
+                raise
+            change = change.again()
+        except BaseException:
+            change.abandon()
+            raise
+    presence.compact(change.spark, change.root)
+    return counts
 
 
 def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Options) -> dict[str, int]:
     held, now = change.before, F.current_timestamp()
+    change.rely("versions", "paths")  # numbers and new paths are those of the catalogue as it was
     numbered = change.stage("numbered", versioning.assign_numbers(releases, held.versions.select("version_num", "version_id"), options.allow_old))
     if options.resume and change.next["done"]:
         done = change.spark.createDataFrame(change.next["done"], "bundle_name string, version_id string")
@@ -126,7 +141,7 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
         last = files.groupBy("version_num", "path_id").agg(F.max("bundle_name").alias("bundle_name"))
         files = files.join(change.stage("last", last), ["version_num", "path_id", "bundle_name"], "left_semi")
     fresh = with_path_columns(versioning.new_paths(files.select("path_id", "absolute_path"), held.paths)).withColumn("created_at", now)
-    change.write("paths", fresh.select(*held.paths.columns), replace=False)
+    change.write("paths", fresh.select(*PATHS.names), replace=False)
     key = ["version_num", "path_id", "content_id"]
     declared = change.stage("declared", parser.declarations(files.select(*key, text.repair_utf8(F.col("body")).alias("text")), key))
     skipped = declared.where("orphaned").select(*key).distinct()
@@ -160,25 +175,36 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
         for n in reopened:
             change.drop_part(name, n)
         change.write(name, rows, count=counted.get(name))
-    _refresh_latest(change, numbers, bool(reopened))
-    if numbers:
-        presence.refresh(change, change.spark.createDataFrame([(n,) for n in numbers], "version_num long"))
+    _refresh_latest(change, numbers, reopened)
+    presence.refresh(change, numbers)
     change.commit([[b, v] for b, v, _ in bundles])
     return {"versions": len(numbers), "files": counted["file_instances"].get["n"], "symbols": counted["symbols"].get["n"]}
 
 
-def _refresh_latest(change: Change, numbers: list[int], reopened: bool) -> None:
-    """Newest version of each path: merged by bucket; counted anew if a version was written again, for its paths may be gone."""
-    now = change.catalog()
-    rows = now.file_instances if reopened else now.file_instances.where(F.col("version_num").isin(numbers))
-    made = rows.groupBy("path_id").agg(F.max("version_num").alias("latest_version_num")).withColumn("bucket", bucket_of(F.col("path_id")))
-    if reopened:
-        for part in change.parts("latest_by_path"):
-            change.drop_part("latest_by_path", part)
-    else:
-        made = change.stage("latest", made)
-        touched = [r["bucket"] for r in made.select("bucket").distinct().collect()]  # at most BUCKETS
-        if set(touched) & change.parts("latest_by_path"):
-            both = made.unionByName(now.stored_latest.where(F.col("bucket").isin(touched)))
-            made = both.groupBy("path_id", "bucket").agg(F.max("latest_version_num").alias("latest_version_num"))
+def _refresh_latest(change: Change, numbers: list[int], reopened: list[int]) -> None:
+    """Newest version of each path, for the buckets of paths that change alone.
+
+    New versions can only raise it.  A path that a reopened version has lost is looked up
+    in the other versions, if that version was its newest; others are not read for it.
+    """
+    now, before = change.catalog(), change.before
+    came = now.file_instances.where(F.col("version_num").isin(numbers)).groupBy("path_id").agg(F.max("version_num").alias("latest_version_num"))
+    held = before.latest_by_path.select("path_id", "latest_version_num")
+    lost = change.stage("lost", held.where(F.col("latest_version_num").isin(reopened)).join(came, "path_id", "left_anti").select("path_id")) if reopened else None
+    made = came
+    if lost is not None:
+        found = now.file_instances.join(broadcast_if_small(lost), "path_id", "left_semi")
+        made = made.unionByName(found.groupBy("path_id").agg(F.max("version_num").alias("latest_version_num")))
+    made = change.stage("latest", made.withColumn("bucket", bucket_of(F.col("path_id"))))
+    touched = {r["bucket"] for r in made.select("bucket").distinct().collect()}  # at most BUCKETS, as below
+    if lost is not None:
+        touched |= {r["bucket"] for r in lost.select(bucket_of(F.col("path_id")).alias("bucket")).distinct().collect()}
+    parts = touched & change.parts("latest_by_path")
+    if parts:
+        old = before.stored_latest.where(F.col("bucket").isin(sorted(parts))).select("path_id", "latest_version_num", "bucket")
+        if lost is not None:
+            old = old.join(broadcast_if_small(lost), "path_id", "left_anti")
+        made = made.unionByName(old).groupBy("path_id", "bucket").agg(F.max("latest_version_num").alias("latest_version_num"))
+    for part in parts:
+        change.drop_part("latest_by_path", part)
     change.write("latest_by_path", made.select("path_id", "latest_version_num", "bucket"))

@@ -99,7 +99,7 @@ _pages("files_page_keyword", "and contains(file_name_lc,'1')", False, None, " 1
 on_catalog("files_in_directory", f"select * from ({_LISTING}) order by absolute_path, path_id limit 2000")(lambda c: search.files_in_directory(c, VERSION, DIRECTORY))
 on_catalog("versions_for_path", f"select distinct version_num, version_id from file_instances join versions using (version_num) where path_id={PATH_ID}")(lambda c: search.versions_for_path(c, PATH_ID))
 on_catalog("symbols_for_content", f"select distinct owner_name, symbol_type, symbol_key, line_no from symbols where content_id={_CONTENT}")(lambda c: search.symbols_for_content(c, _CONTENT))
-on_catalog("symbol_presence_build", "select path_id, owner_kind, owner_name, owner_name_lc, symbol_type, symbol_key, versions from presence")(lambda c: c.symbol_presence.drop("updated_at"))
+on_catalog("symbol_presence_build", "select path_id, owner_kind, owner_name, owner_name_lc, symbol_type, symbol_key, versions from presence")(lambda c: presence.sets(c.symbol_presence, [*presence.KEY, "owner_name_lc"]))
 on_catalog("symbol_presence_map", f"select owner_name, symbol_type, symbol_key, list_sort(list_distinct(flatten(list(versions)))) versions from presence where path_id={PATH_ID} group by 1,2,3")(lambda c: search.presence_map(c, PATH_ID))
 
 
@@ -107,7 +107,7 @@ on_catalog("symbol_presence_map", f"select owner_name, symbol_type, symbol_key,
 def _merge(c):
     """Presence of two overlapping ranges of versions, merged."""
     low, high = (c.versions.where(x).select("version_num") for x in ("version_num <= 4", "version_num >= 3"))
-    return presence.merge(presence.build(c, low), presence.build(c, high), c.last_version).drop("updated_at", "owner_name_lc")
+    return presence.sets(presence.merge(presence.build(c, low), presence.build(c, high)))
 
 
 on_catalog("presence_row_count", "select count(*) n_keys from presence")(lambda c: presence.row_count(c.symbol_presence))
@@ -465,7 +465,7 @@ _STAMP = "2024-01-0{} 00:00:00"
 def _updated(c):
     """Merged rows keep the later time."""
     made = [presence.build(c, c.versions.where(x).select("version_num")).withColumn("updated_at", F.lit(_STAMP.format(day)).cast("timestamp_ntz")) for day, x in ((1, "version_num <= 4"), (2, "version_num >= 3"))]
-    return presence.merge(*made).drop("versions", "owner_name_lc")
+    return presence.merge(*made).drop("word", "bits", "owner_name_lc")
 
 
 @query("tree_scan", with_tree("select bundle_name, absolute_path, cast(strlen(text) as bigint) n_bytes, md5(text) md5 from texts"))
@@ -500,7 +500,7 @@ def _ingest_symbols(spark, sf_dir):
     """What an import of the tree has stored of each symbol, with its presence."""
     c = treeviews.imported(spark, sf_dir)
     rows = c.symbols.join(c.file_instances.select("version_num", "content_id", "path_id"), ["version_num", "content_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
-    rows = rows.join(c.symbol_presence.select(*presence.KEY, "versions"), presence.KEY)
+    rows = rows.join(presence.sets(c.symbol_presence), presence.KEY)
     return rows.select("version_num", "absolute_path", "owner_kind", "owner_name", "symbol_type", "symbol_key", "line_no", "versions")
 
 

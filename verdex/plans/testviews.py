@@ -14,8 +14,6 @@ from verdex.operators import presence
 from verdex.sources.catalog import Catalog, with_symbol_columns, with_version_columns
 
 FACTOR = 1_000_000
-#: The years of shipping in the test data are 1995 to 2001.
-LAST_VERSION = 7
 KINDS = {"SMALL": "interface", "LARGE": "protocol", "PROMO": "category"}
 
 
@@ -24,32 +22,46 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    items = _read(spark, sf_dir, "lineitem")
-    part = _read(spark, sf_dir, "part")
+    """Tables are made when a query first asks for them."""
+    items, part = (lambda: _read(spark, sf_dir, "lineitem")), (lambda: _read(spark, sf_dir, "part"))
     version = (F.year("l_shipdate") - 1994).cast("long")
     content = (version * FACTOR + F.col("l_partkey")).alias("content_id")
-    versions = items.select(version.alias("version_num"), F.year("l_shipdate").cast("string").alias("y")).distinct()
-    versions = versions.select("version_num", F.concat("y", F.lit(".0|B"), F.col("version_num").cast("string")).alias("version_id"), F.concat("y", F.lit(".0")).alias("release"), F.concat(F.lit("B"), F.col("version_num").cast("string")).alias("build"), F.concat(F.lit("bundle"), F.col("version_num").cast("string")).alias("bundle_name"))
-    key = F.col("p_partkey").cast("string")
-    path = F.concat(F.lit("/"), "p_type", F.lit("/"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.lit(".framework/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), key, F.lit(".h"))
-    paths = with_path_columns(part.select(F.col("p_partkey").alias("path_id"), path.alias("absolute_path")))
-    instances = items.select(version.alias("version_num"), F.col("l_partkey").alias("path_id"), content).distinct()
-    contents = items.groupBy(content).agg((F.min("l_quantity") * 100).cast("long").alias("pack_length"))
-    contents = contents.withColumns({"pack_object_key": F.concat(F.lit("packs/s"), F.pmod("content_id", F.lit(64)).cast("string")), "pack_offset": F.floor(F.col("content_id") / 64).cast("long")})
-    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    symbols = items.join(part.select("p_partkey", "p_type", "p_brand"), F.col("p_partkey") == F.col("l_partkey")).select(
-        version.alias("version_num"),
-        content,
-        F.coalesce(kinds[F.col("p_type")], F.lit("other")).alias("owner_kind"),
-        F.col("p_brand").alias("owner_name"),
-        F.col("l_returnflag").alias("symbol_type"),
-        F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("symbol_key"),
-        F.col("l_linenumber").cast("long").alias("line_no"),
-    )
-    c = Catalog(with_version_columns(versions), paths, contents, instances, with_symbol_columns(symbols), None, last_version=LAST_VERSION)
-    c.symbol_presence = presence.build(c)
-    body = headers(spark, sf_dir).select("path_id", F.col("text").cast("binary").alias("body"))
-    c.blobs = instances.join(contents, "content_id").join(body, "path_id").select("version_num", "content_id", "pack_object_key", "pack_offset", "body")
+
+    def versions() -> DataFrame:
+        rows = items().select(version.alias("version_num"), F.year("l_shipdate").cast("string").alias("y")).distinct()
+        rows = rows.select("version_num", F.concat("y", F.lit(".0|B"), F.col("version_num").cast("string")).alias("version_id"), F.concat("y", F.lit(".0")).alias("release"), F.concat(F.lit("B"), F.col("version_num").cast("string")).alias("build"), F.concat(F.lit("bundle"), F.col("version_num").cast("string")).alias("bundle_name"))
+        return with_version_columns(rows)
+
+    def paths() -> DataFrame:
+        key = F.col("p_partkey").cast("string")
+        path = F.concat(F.lit("/"), "p_type", F.lit("/"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.lit(".framework/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), key, F.lit(".h"))
+        return with_path_columns(part().select(F.col("p_partkey").alias("path_id"), path.alias("absolute_path")))
+
+    def instances() -> DataFrame:
+        return items().select(version.alias("version_num"), F.col("l_partkey").alias("path_id"), content).distinct()
+
+    def contents() -> DataFrame:
+        rows = items().groupBy(content).agg((F.min("l_quantity") * 100).cast("long").alias("pack_length"))
+        return rows.withColumns({"pack_object_key": F.concat(F.lit("packs/s"), F.pmod("content_id", F.lit(64)).cast("string")), "pack_offset": F.floor(F.col("content_id") / 64).cast("long")})
+
+    def symbols() -> DataFrame:
+        kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+        rows = items().join(part().select("p_partkey", "p_type", "p_brand"), F.col("p_partkey") == F.col("l_partkey")).select(
+            version.alias("version_num"),
+            content,
+            F.coalesce(kinds[F.col("p_type")], F.lit("other")).alias("owner_kind"),
+            F.col("p_brand").alias("owner_name"),
+            F.col("l_returnflag").alias("symbol_type"),
+            F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("symbol_key"),
+            F.col("l_linenumber").cast("long").alias("line_no"),
+        )
+        return with_symbol_columns(rows)
+
+    def blobs() -> DataFrame:
+        body = headers(spark, sf_dir).select("path_id", F.col("text").cast("binary").alias("body"))
+        return c.file_instances.join(c.contents, "content_id").join(body, "path_id").select("version_num", "content_id", "pack_object_key", "pack_offset", "body")
+
+    c = Catalog(versions, paths, contents, instances, symbols, lambda: presence.build(c), blobs)
     return c
 
 

@@ -1,10 +1,11 @@
 """Table schemas of the catalogue.
 
 Hash ids are signed 64-bit patterns of unsigned hashes; a symbol's set of versions
-is a sorted array.  Derived columns are computed once, when a table is written.
+lies as rows of 64 versions each, a bit a version.  Derived columns are computed once,
+when a table is written.
 """
 
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 
 def _struct(**columns) -> StructType:
@@ -19,7 +20,8 @@ CONTENTS = _struct(content_id=_L, content_hash=_S, blob_key=_S, pack_object_key=
 BLOBS = _struct(pack_object_key=_S, pack_offset=_L, pack_length=_L, content_id=_L, body=_B)
 FILE_INSTANCES = _struct(version_num=_L, path_id=_L, content_id=_L, bundle_name=_S, updated_at=_T)
 SYMBOLS = _struct(version_num=_L, content_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, line_no=_L)
-SYMBOL_PRESENCE = _struct(path_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, versions=ArrayType(_L), updated_at=_T)
+SYMBOL_PRESENCE = _struct(path_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, word=IntegerType(), bits=_L, updated_at=_T)
+NAME_GRAMS = _struct(gram=_S, path_id=_L)
 LATEST_BY_PATH = _struct(path_id=_L, latest_version_num=_L)
 PLIST_META = _struct(bundle_name=_S, source=_S, product_version=_S, product_build=_S, error=_S)
 

@@ -33,5 +33,5 @@ def watch(spark: SparkSession, root: str, out: str, checkpoint: str, options: Op
 
 def symbol_counts(spark: SparkSession, symbols: str) -> DataFrame:
     """A running count of symbols by type over the symbol files of all generations: symbols as written, rewrites included."""
-    schema = T.StructType([*schemas.SYMBOLS.fields, T.StructField("g", T.LongType())])
+    schema = T.StructType([*schemas.SYMBOLS.fields, T.StructField("g", T.StringType())])
     return spark.readStream.schema(schema).parquet(symbols).groupBy("symbol_type").agg(F.count(F.lit(1)).alias("n"))

@@ -244,6 +244,59 @@ def test_point_lookups_push_the_id(spark, wide, query):
     assert scans and all("path_id" in part.split("DataFilters")[-1].split("ReadSchema")[0] for part in scans)
 
 
+def parts_read(spark, frame):
+    """{table: partitions read} of a query that has run, from Spark's own metrics."""
+    frame.collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    run = store.executionsList().last().executionId()
+    values, nodes, out = store.executionMetrics(run), store.planGraph(run).allNodes(), {}
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        if not node.name().startswith("Scan parquet"):
+            continue
+        for k in range(node.metrics().size()):
+            metric = node.metrics().apply(k)
+            if metric.name() == "number of partitions read" and values.contains(metric.accumulatorId()):
+                read = node.desc().partition("[")[2].partition("]")[0]
+                table = next((t for t, column in (("symbol_presence", "owner_name_lc"), ("paths", "file_name_lc"), ("name_grams", "gram#")) if column in read), "other")
+                out.setdefault(table, []).append(int(values.apply(metric.accumulatorId())))
+    return out
+
+
+def test_a_search_reads_the_buckets_that_the_index_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from verdex.operators import grams
+    from verdex.sources.catalog import BUCKETS, Change, open_catalog
+
+    out = f"file://{tmp_path}/c"
+    change = Change(spark, out)
+    change.write("versions", with_version_columns(spark.createDataFrame([(1, "1.0|A", "1.0", "A", "b", None)], "version_num long, version_id string, release string, build string, bundle_name string, created_at timestamp")))
+    ids = spark.range(500).select(F.col("id").alias("path_id"), F.concat(F.lit("/S/F"), F.col("id") % 7, F.lit(".framework/File"), "id", F.when(F.col("id") % 100 == 3, "Rare").otherwise(""), F.lit(".h")).alias("absolute_path"))
+    change.write("paths", with_path_columns(ids).withColumn("created_at", F.current_timestamp()))
+    change.write("file_instances", ids.select(F.lit(1).cast("long").alias("version_num"), "path_id", (F.col("path_id") + 1).alias("content_id"), F.lit("b").alias("bundle_name"), F.current_timestamp().alias("updated_at")))
+    owner = F.when(F.col("path_id") == 42, "NSRareOwner").when(F.col("path_id") == 43, "xyz").otherwise(F.concat(F.lit("Own"), F.col("path_id").cast("string")))
+    rows = ids.select("path_id", F.lit("interface").alias("owner_kind"), owner.alias("owner_name"), F.lower(owner).alias("owner_name_lc"), F.lit("ivar").alias("symbol_type"), F.lit("k").alias("symbol_key"), F.lit(0).alias("word"), F.lit(2).cast("long").alias("bits"), F.current_timestamp().alias("updated_at"))
+    change.write("symbol_presence", rows, versions=[1])
+    change.commit()
+    plain = open_catalog(spark, out)
+    grams.rebuild(spark, out)
+    c = open_catalog(spark, out)
+    for keyword in ("RAREown", "le", "%", "file1"):
+        assert rows_of(search.search_owner_candidates(c, keyword)) == rows_of(search.search_owner_candidates(plain, keyword))
+        for call in (search.count_paths_in_directory, lambda c, d, k: search.files_page(c, 1, d, 5, keyword=k)):
+            assert rows_of(call(c, "F1.framework", f" {keyword} ")) == rows_of(call(plain, "F1.framework", f" {keyword} "))
+    few = parts_read(spark, search.search_owner_candidates(c, "RareOwner"))
+    assert few["symbol_presence"] == [1] and few["paths"] == [1] and max(few["name_grams"]) <= 7
+    assert parts_read(spark, search.search_owner_candidates(plain, "RareOwner"))["symbol_presence"][0] > 40
+    assert BUCKETS == 64
+
+
+def rows_of(frame):
+    return [tuple(r) for r in frame.collect()]
+
+
 def test_lookups_of_unique_tables_do_not_aggregate(spark, wide):
     plan = search.latest_for_all_paths(wide)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "max(struct" not in plan

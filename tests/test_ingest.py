@@ -262,6 +262,27 @@ def test_presence_folders_are_merged_by_size(spark, tmp_path):
     assert owners_of(spark, out) == {"A": [1, 5], "B": [2, 4], "C": [3]}
 
 
+def test_the_index_of_names_grows_with_imports(spark, tmp_path):
+    from verdex.operators import grams
+
+    def held():
+        c = open_catalog(spark, out)
+        return sorted(map(tuple, c.name_grams.select("gram", "path_id").collect())), sorted(map(tuple, grams.of_catalog(c).collect()))
+
+    out = f"file://{tmp_path}/out"
+    bring(spark, out, ("b1", "1.0", "A", "view.h", b"@interface Window\n- (void)go;\n@end\n"))
+    assert held()[0] == held()[1] != []
+    bring(spark, out, ("b2", "2.0", "A", "view.h", b"@interface Window\n- (void)go;\n@end\n@interface Other\n- (id)x;\n@end\n"), ("b2", "2.0", "A", "n.h", A))
+    assert held()[0] == held()[1]  # each posting once: what was there is not written again
+    assert [r["absolute_path"] for r in search.search_owner_candidates(open_catalog(spark, out), "the").collect()] == ["/view.h"]
+    bring(spark, out, ("b2", "2.0", "A", "n.h", A))  # takes an owner back: found no more, though its postings stay
+    assert search.search_owner_candidates(open_catalog(spark, out), "the").collect() == []
+    assert set(held()[0]) > set(held()[1])
+    assert grams.compact(spark, out, most=3) and not grams.compact(spark, out, most=3)
+    grams.rebuild(spark, out)
+    assert held()[0] == held()[1]
+
+
 def test_two_open_changes(spark, tmp_path):
     """Neither sees or harms the other's files; who commits last puts its change on top, or imports again."""
     out = f"file://{tmp_path}/out"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdex.functions.text import normalise_keyword
-from verdex.operators import lookups, presence
+from verdex.operators import grams, lookups, presence
 from verdex.sources.catalog import Catalog, bucket_of
 
 DIRECTORY_HITS, OWNER_HITS, LISTING_HITS = 30, 50, 2000
@@ -104,13 +104,13 @@ def search_owner_candidates(c: Catalog, keyword: str, limit: int = OWNER_HITS) -
     A path's rank is the best of its matches; the version of an owner match is the
     newest of all its matched owners.  A path whose best match is in an unknown version is left out.
     """
-    kw = _lit_lower(keyword)
-    name = c.paths.where(F.col("file_name_lc").contains(kw)).select("path_id", F.when(F.col("file_name_lc") == kw, FILE_EXACT).otherwise(FILE_PARTIAL).alias("priority_rank"))
+    kw, few = _lit_lower(keyword), grams.found(c, keyword)
+    name = grams.narrowed(c.paths, few).where(F.col("file_name_lc").contains(kw)).select("path_id", F.when(F.col("file_name_lc") == kw, FILE_EXACT).otherwise(FILE_PARTIAL).alias("priority_rank"))
     by_name = name.join(c.latest_by_path, "path_id").select("priority_rank", F.col("latest_version_num").alias("matched_version_num"), "path_id")
     kinds = F.create_map(*[F.lit(x) for pair in EXACT_RANKS.items() for x in pair])
     exact = F.col("owner_name_lc") == kw
     rank = F.when(exact, F.coalesce(kinds[F.col("owner_kind")], F.lit(EXACT_OTHER))).otherwise(F.coalesce(kinds[F.col("owner_kind")] + PARTIAL_STEP, F.lit(PARTIAL_OTHER)))
-    owners = c.symbol_presence.where(F.col("owner_name_lc").contains(kw))
+    owners = grams.narrowed(c.symbol_presence, few).where(F.col("owner_name_lc").contains(kw))
     by_owner = owners.groupBy("path_id").agg(F.min(rank).alias("priority_rank"), F.max(presence.greatest()).alias("matched_version_num")).select("priority_rank", "matched_version_num", "path_id")
     all_hits = by_name.unionByName(by_owner).where("matched_version_num > 0")
     # Best hit a path before its text is fetched: numbers alone are grouped.
@@ -137,15 +137,20 @@ def version_ids_for_paths(c: Catalog, path_ids: list[int]) -> DataFrame:
     return held.groupBy("path_id").agg(F.transform(ordered, lambda v: v["version_id"]).alias("version_ids"))
 
 
+def _files(c: Catalog, keyword: str) -> DataFrame:
+    """Paths that may match a keyword as users type it."""
+    return grams.narrowed(c.paths, grams.found(c, keyword.strip()) if keyword.strip() else None)
+
+
 def count_paths_in_directory(c: Catalog, directory: str, keyword: str = "") -> DataFrame:
     """Over the paths of all versions."""
     kw = normalise_keyword(F.lit(keyword))
-    return c.paths.where((F.col("dir_name") == directory) & ((kw == "") | F.col("file_name_lc").contains(kw))).agg(F.count(F.lit(1)).alias("n_paths"))
+    return _files(c, keyword).where((F.col("dir_name") == directory) & ((kw == "") | F.col("file_name_lc").contains(kw))).agg(F.count(F.lit(1)).alias("n_paths"))
 
 
 def _listing(c: Catalog, version_num: int, directory: str, keyword: str = "") -> DataFrame:
     kw = normalise_keyword(F.lit(keyword))
-    paths = c.paths.where((F.col("dir_name") == directory) & ((kw == "") | F.col("file_name_lc").contains(kw)))
+    paths = _files(c, keyword).where((F.col("dir_name") == directory) & ((kw == "") | F.col("file_name_lc").contains(kw)))
     here = c.file_instances.where(F.col("version_num") == version_num).select("version_num", "path_id", "content_id").distinct()
     here = lookups.inner(here, paths, "path_id", ["absolute_path"], unique=True)
     here = here.join(F.broadcast(c.versions.where(F.col("version_num") == version_num).select("version_num", "version_id")), "version_num")  # one row

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from verdex.functions import ids, text
 from verdex.functions.paths import with_path_columns
-from verdex.operators import parser, presence, versioning
+from verdex.operators import grams, parser, presence, versioning
 from verdex.operators.lookups import broadcast_if_small, spread
 from verdex.schemas import PATHS
 from verdex.sources import headers as H
@@ -120,6 +120,7 @@ def ingest_headers(change: Change, found: DataFrame, releases: DataFrame, option
             change.abandon()
             raise
     presence.compact(change.spark, change.root)
+    grams.compact(change.spark, change.root)
     return counts
 
 
@@ -141,7 +142,8 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
         last = files.groupBy("version_num", "path_id").agg(F.max("bundle_name").alias("bundle_name"))
         files = files.join(change.stage("last", last), ["version_num", "path_id", "bundle_name"], "left_semi")
     fresh = with_path_columns(versioning.new_paths(files.select("path_id", "absolute_path"), held.paths)).withColumn("created_at", now)
-    change.write("paths", fresh.select(*PATHS.names), replace=False)
+    fresh = change.stage("fresh", fresh.select(*PATHS.names))
+    change.write("paths", fresh, replace=False)
     key = ["version_num", "path_id", "content_id"]
     declared = change.stage("declared", parser.declarations(files.select(*key, text.repair_utf8(F.col("body")).alias("text")), key))
     skipped = declared.where("orphaned").select(*key).distinct()
@@ -177,6 +179,7 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
         change.write(name, rows, count=counted.get(name))
     _refresh_latest(change, numbers, reopened)
     presence.refresh(change, numbers)
+    grams.refresh(change, numbers, fresh)
     change.commit([[b, v] for b, v, _ in bundles])
     return {"versions": len(numbers), "files": counted["file_instances"].get["n"], "symbols": counted["symbols"].get["n"]}
 

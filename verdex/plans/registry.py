@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.functions import formatting, ids, paths, text, versions
-from verdex.operators import lookups, parser, presence, search, versioning, view
+from verdex.operators import grams, lookups, parser, presence, search, versioning, view
 from verdex.plans import ingest, pages, testviews, treeviews
 from verdex.plans.blake2 import hash_ctes
 from verdex.plans.testviews import HEADERS_SQL, PARSE_SQL, catalog, headers, with_headers, with_views
 from verdex.plans.treeviews import with_tree
 from verdex.sources import headers as sources
+from verdex.sources.catalog import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +68,17 @@ _HITS = """hits as (select case when file_name_lc='brand#1' then 0 else 10 end r
 ranked as (select *, row_number() over (partition by path_id order by r, v desc) rn from hits where v>0),
 owners as (select cast(r as bigint) best_priority_rank, v max_version_num, version_id max_version_id, path_id, absolute_path from ranked join versions on version_num=v join paths using (path_id) where rn=1 order by r, v desc, absolute_path, path_id limit 50)"""
 on_catalog("search_owner_candidates", "select * from owners", _HITS)(lambda c: search.search_owner_candidates(c, "Brand#1"))
+
+
+def _indexed(c):
+    """The catalogue with an index of its names."""
+    return Catalog(**{n: c._given[n] for n in Catalog.TABLES} | {"symbol_presence": lambda: c.symbol_presence, "name_grams": lambda: grams.of_catalog(c)})
+
+
+_GRAMS = "select distinct substr(name, cast(i as bigint), 3) gram, path_id from (select path_id, name, unnest(range(1, length(name)-1)) i from (select path_id, file_name_lc name from paths union select path_id, owner_name_lc from presence))"
+on_catalog("name_grams", _GRAMS)(grams.of_catalog)
+on_catalog("search_owner_candidates_indexed", "select * from owners", _HITS)(lambda c: search.search_owner_candidates(_indexed(c), "Brand#1"))
+on_catalog("gram_candidates", f"select path_id from ({_GRAMS}) where gram in ('bra','ran','and','nd#','d#1','#12') group by path_id having count(*)=6")(lambda c: grams.found(_indexed(c), "Brand#12"))
 on_catalog("count_distinct_directories", "select count(distinct dir_name) n_directories from paths")(search.count_distinct_directories)
 on_catalog("count_distinct_owners", "select count(distinct owner_name_lc) n_owners from presence where owner_name_lc<>''")(search.count_distinct_owners)
 on_catalog("version_ids_for_paths", f"select path_id, list(version_id order by version_num desc) version_ids from (select distinct path_id, version_num, version_id from file_instances join versions using (version_num) where path_id in {tuple(PATH_IDS)}) group by 1")(lambda c: search.version_ids_for_paths(c, PATH_IDS))

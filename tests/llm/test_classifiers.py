@@ -182,33 +182,24 @@ def test_segments_are_the_maximal_ones():
 
 
 def brute_toxicity(texts, labelled, model):
-    """{id: (score, passages)}, counted one by one: a token's count is the least of its buckets' in a plain table."""
+    """{id: (score, passages)}, from plain counts of all tokens."""
     places, counts = [0, 0], [Counter(), Counter()]
 
-    def buckets(token):
-        h = toxicity.xxhash.xxh64_intdigest(token)
-        return [(r, (h >> (toxicity.BITS * r)) % (1 << toxicity.BITS)) for r in range(toxicity.ROWS)]
-
     def tokens(word):
         return [*(word[:k] + "*" for k in toxicity.PREFIXES if len(word) > k), word]
 
     for text, label in labelled:
         words = set(re.findall(r"\w+", (text or "").lower()))
         places[1 - label] += len(words)
-        for token in (t for w in words for t in tokens(w)):
-            counts[1 - label].update([token, *buckets(token)])
+        counts[1 - label].update(t for w in words for t in tokens(w))
     base = places[0] / sum(places)
 
     def score(word):
-        rate, chain = base, [tuple(min(c[b] for b in buckets(t)) for c in counts) for t in tokens(word)]
+        rate, chain = base, [(counts[0][t], counts[1][t]) for t in tokens(word)]
         for (a, b), (c, d) in zip(chain, [*chain[1:], (0, 0)]):
-            a, b = max(a - c, 0), max(b - d, 0)
-            rate = (a + toxicity.PRIOR * rate) / (a + b + toxicity.PRIOR)
+            rate = (a - c + toxicity.PRIOR * rate) / (a - c + b - d + toxicity.PRIOR)
         return math.log(rate / (1 - rate)) - math.log(base / (1 - base)) - toxicity.DRIFT
 
-    real = [t for t in counts[0] | counts[1] if isinstance(t, str)]
-    same = sum(all(min(c[b] for b in buckets(t)) == c[t] for c in counts) for t in real)
-    assert same >= 0.95 * len(real)  # few tokens share all their buckets in a small table
     out = {}
     for i, text in texts:
         words, last, scores = re.findall(r"\w+", text or ""), {}, []
@@ -239,15 +230,46 @@ def test_toxicity_query_equals_plain_counts(spark, small):
     assert not off
 
 
+def table_of(scores):
+    """Scores of tokens as workers have them."""
+    hashes = np.array([toxicity.xxhash.xxh64_intdigest(t, seed=42) for t in scores], np.uint64)
+    return toxicity.Scores(np.sort(hashes), np.array(list(scores.values()))[np.argsort(hashes)])
+
+
 def test_a_repeated_word_is_no_passage():
-    sketch = toxicity.Sketch(np.zeros(toxicity.ROWS << toxicity.BITS, np.float32), np.zeros(toxicity.ROWS << toxicity.BITS, np.float32), (10, 90))
-    for at in toxicity.buckets_of(toxicity.token_hashes(["odd"])[0][:, -1]):
-        sketch.toxic[at] = 5
-    scanner = toxicity.Scanner(sketch)
+    scanner = toxicity.Scanner(table_of({"odd": 2.0, "begin*": -0.5, "beginn*": 0.5}))
     alone, again = scanner.scan("odd")[1], scanner.scan("odd " * 60)[1]
     assert alone == [(0, 1, pytest.approx(alone[0][2]))] and again == alone and alone[0][2] > 0
     assert len(scanner.scan("odd " + "x " * 80 + "odd")[1]) == 2
     assert scanner.scores("x").tolist() == [-toxicity.DRIFT]
+    assert scanner.scores("Begin beginning begine begin").tolist() == [-toxicity.DRIFT, 0.5, -0.5, -toxicity.DRIFT]
+
+
+def test_counts_are_exact_for_any_number_of_words(spark):
+    """Each of 600,000 words (the table of old had 262,144 places) has the score of its own counts, by either way."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"w{rng.randrange(600_000):06x}{'abcdef'[i % 6]}" for _ in range(1500)), int(i % 5 == 0)) for i in range(600)]
+    labelled = spark.createDataFrame(texts, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train(labelled, "text", "toxic", "doc_id")
+    assert len(model.table.hashes) > 500_000
+    probe = texts[:40] + [(1000, "w00000 w0000 unseen w", 0)]
+    expected = brute_toxicity([(i, t) for i, t, _ in probe], [(t, y) for _, t, y in texts], model)
+    frame = spark.createDataFrame([(i, t) for i, t, _ in probe], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], sorted((p["first_word"], p["n_words"]) for p in r["passages"])) for r in toxicity.score(frame, model).collect()}
+    assert all(got[i][0] == pytest.approx(expected[i][0], abs=1e-6) and got[i][1] == expected[i][1] for i in expected)
+
+
+def test_scores_are_the_same_when_tokens_are_joined(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = queries.labelled(spark, docs, small, "toxic", 3, 1)
+    sent, joined = toxicity.train(rows, "text", "label", "doc_id"), toxicity.train(rows, "text", "label", "doc_id", sent=0)
+    assert joined.table is None and (joined.decay, joined.scale, joined.threshold) == pytest.approx((sent.decay, sent.scale, sent.threshold))
+    probe = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Unseen words")], "doc_id long, text string")).withColumnRenamed("doc_id", "Score")
+    assert toxicity.score(probe, joined).columns == toxicity.score(probe, sent).columns
+    one, two = (sorted((r["text"] or "", r["predicted"], round(r["score"], 9), str(r["passages"])[:2000]) for r in toxicity.score(probe, m).collect()) for m in (sent, joined))
+    assert [x[:3] for x in one] == [x[:3] for x in two]
+    kept = toxicity.score(docs, joined, keep=["doc_id"])
+    assert kept.columns == ["doc_id", "score", "predicted", "passages"] and kept.count() == docs.count()
 
 
 def test_toxicity_finds_short_passages_in_long_texts(spark):

@@ -10,9 +10,11 @@ and without one that of the prior, 0.  From each word's score a constant ``DRIFT
 off, the cost of lengthening a passage, which keeps passages short.  Counts say in how
 many texts a token stands, so a word repeated within ``APART`` words brings its drift alone.
 
-Counts are kept in a sketch of ``ROWS`` rows of 2**BITS buckets (a token counts in one of
-each row, the smallest is its count), so no token is left out and the table that
-is sent to the workers has the same 4 MB at any size of the corpus.
+Counts are exact and of all tokens: a table of words with their texts by label, from
+which the beginnings are summed and every token's score is computed, by joins.  Up to
+``SENT_TOKENS`` tokens their scores travel to the workers as one array (counted before,
+64 MB at most).  Beyond that they stay a table: the distinct words of each text are joined
+with it and come back to the text.  Both ways give the same scores.
 
 Scoring finds all maximal scoring segments (Ruzzo and Tompa) in linear time.  For
 scores of that kind the best segment of a chance text follows an extreme-value
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import Scratch, append_columns, map_batches, materialize, slices
+from verdex.llm.common import Scratch, append_columns, map_batches, materialize, slices, without
 
 WORDS = re.compile(r"\w+")
 #: Places that a prior counts for.
@@ -54,8 +56,8 @@ PRIOR = 4.0
 DRIFT = 1.0
 #: Words between two places of a word that both count.
 APART = 64
-#: Size of the sketch of counts.
-BITS, ROWS = 18, 2
+#: Tokens whose scores are sent to the workers; more are joined.
+SENT_TOKENS = 4_000_000
 CACHED_WORDS = 100_000
 FLUSH_WORDS = 40_000
 PREFIXES = (4, 5, 6)
@@ -66,57 +68,58 @@ BINS, BIN = 400, 0.1
 def token_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each lower-case word's tokens, shortest beginning first and the word last, and which of them are tokens.
 
-    A word that is no longer than a beginning stands there itself, which is no token of its own.
+    A word that is no longer than a beginning stands there itself, which is no token of its own.  Hashes are Spark's xxhash64.
     """
-    digest = xxhash.xxh64_intdigest
-    whole = np.fromiter(map(digest, words), np.uint64, len(words))
+
+    def digests(tokens: Iterator[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in tokens), np.uint64, len(words))
+
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    columns = [np.fromiter((digest(w[:k] + "*") for w in words), np.uint64, len(words)) for k in PREFIXES]
     own = np.stack([*(sizes > k for k in PREFIXES), np.ones(len(words), bool)], axis=1)
-    return np.where(own, np.stack([*columns, whole], axis=1), whole[:, None]), own
+    return np.stack([*(digests(w[:k] + "*" for w in words) for k in PREFIXES), digests(iter(words))], axis=1), own
+
 
+@dataclass
+class Scores:
+    """Scores of tokens, by ascending hash."""
 
-def buckets_of(hashes: np.ndarray) -> list[np.ndarray]:
-    """The tokens' buckets in each row of the sketch."""
-    return [((hashes >> np.uint64(BITS * r)) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (r << BITS) for r in range(ROWS)]
+    hashes: np.ndarray
+    values: np.ndarray
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-odds of lower-case words less the drift: that of the word, or of its longest known beginning, or of the prior."""
+        hashes, own = token_hashes(words)
+        out, left = np.full(len(words), -DRIFT), np.ones(len(words), bool)
+        for k in reversed(range(len(PREFIXES) + 1)):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[:, k]), len(self.hashes) - 1)
+            hit = left & own[:, k] & (self.hashes[at] == hashes[:, k])
+            out[hit] = self.values[at[hit]]
+            left &= ~hit
+        return out
 
-@dataclass
-class Sketch:
-    """Counts of toxic and clean texts by bucket, and the places of each label."""
 
-    toxic: np.ndarray
-    clean: np.ndarray
-    places: tuple[int, int]
+class Given(dict):
+    """Scores of the lower-case words of one text."""
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log-odds of lower-case words less the drift."""
-        at = buckets_of(token_hashes(words)[0])
-        toxic, clean = (np.minimum.reduce([counts[i] for i in at]).astype(np.float64) for counts in (self.toxic, self.clean))
-        base = self.places[0] / sum(self.places)
-        rate = np.full(len(words), base)
-        for k in range(len(PREFIXES) + 1):
-            # What the next longer token has is its own evidence; the rest of this one is its prior's.
-            a, b = (np.maximum(c[:, k] - (c[:, k + 1] if k < len(PREFIXES) else 0), 0) for c in (toxic, clean))
-            rate = (a + PRIOR * rate) / (a + b + PRIOR)
-        return np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - DRIFT
+        return np.fromiter((self.get(w, -DRIFT) for w in words), np.float64, len(words))
 
 
 class WordScores(dict):
     """Scores of words as they are written, bounded; new ones are looked up together."""
 
-    def __init__(self, sketch: Sketch | None):
-        self.sketch = sketch
+    def __init__(self, table: Scores | Given | None):
+        self.table = table
 
     def of(self, words: list[str]) -> np.ndarray:
-        if self.sketch is None:
+        if self.table is None:
             return np.full(len(words), -DRIFT)
         fresh = [w for w in set(words) if w not in self]
         if fresh:
             if len(self) >= CACHED_WORDS:
                 self.clear()
                 fresh = list(set(words))
-            self.update(zip(fresh, self.sketch.scores(list(map(str.lower, fresh))).tolist()))
+            self.update(zip(fresh, self.table.scores(list(map(str.lower, fresh))).tolist()))
         return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
@@ -145,7 +148,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    sketch: Sketch | None
+    """``table`` has the tokens' scores, or ``tokens`` is the folder of a table of (token, score) where they are too many; neither where there is nothing to learn from."""
+
+    table: Scores | None = None
+    tokens: str | None = None
     decay: float = 1.0
     scale: float = 0.1
     threshold: float = 5.0
@@ -164,8 +170,8 @@ class Model:
 
 
 class Scanner:
-    def __init__(self, sketch: Sketch | None):
-        self.known = WordScores(sketch)
+    def __init__(self, table: Scores | Given | None):
+        self.known = WordScores(table)
 
     def scores(self, text: str | None) -> np.ndarray:
         """Scores of the text's words; a word that stood less than ``APART`` words before says nothing new."""
@@ -185,71 +191,102 @@ class Scanner:
 
 
 NAMES = ("toxic0", "clean0", "toxic1", "clean1")
-COUNTS = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in NAMES)])
+COUNTS = T.StructType([T.StructField("word", T.StringType()), *(T.StructField(n, T.LongType()) for n in NAMES)])
 
 
-def count_tokens(labelled: DataFrame) -> DataFrame:
-    """(half, text, label) rows to counts by bucket; each task sums before the shuffle.
-
-    Bucket -1 has the totals over words.
-    """
+def count_words(labelled: DataFrame) -> DataFrame:
+    """(half, text, label) rows to the number of texts that each word stands in; each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Counter() for _ in NAMES]
-        sums = np.zeros((len(NAMES), ROWS << BITS), np.int32)
-        totals = [0] * len(NAMES)
-
-        def flush() -> None:
-            for k, counter in enumerate(held):
-                hashes, own = token_hashes(list(counter))
-                n = np.repeat(np.fromiter(counter.values(), np.int32, len(counter)), own.sum(axis=1))
-                for at in buckets_of(hashes[own]):
-                    np.add.at(sums[k], at, n)
-                totals[k] += counter.total()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(set().union(*held))
+            for i in range(0, len(words), 1 << 16):
+                some = words[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[w] for w in some], pa.int64()) for c in held)], names=COUNTS.names)
+            for counter in held:
                 counter.clear()
 
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             for half, text, label in zip(*(part.column(i).to_pylist() for i in range(3))):
                 held[2 * half + 1 - label].update(set(WORDS.findall(text.lower())))
             if sum(map(len, held)) > FLUSH_WORDS:
-                flush()
-        flush()
-        full = np.flatnonzero(sums.any(axis=0))
-        for at in np.array_split(full, -(-len(full) // 65536)) if len(full) else []:
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(row[at].astype(np.int64)) for row in sums)], names=COUNTS.names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([t], pa.int64()) for t in totals)], names=COUNTS.names)
-
-    return map_batches(labelled, run, COUNTS).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in NAMES])
-
+                yield from flush()
+        yield from flush()
+
+    return map_batches(labelled, run, COUNTS).groupBy("word").agg(*[F.sum(n).alias(n) for n in NAMES])
+
+
+#: What is learnt: from half 0, from half 1, from both.
+SETS = ("first", "second", "both")
+
+
+def token_scores(words: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """(token, score by set) of every word, and of every beginning as the score of words that begin so and are not known."""
+    chain = [*(f"p{k}" for k in PREFIXES), "word"]
+    starts = {k: words.where(F.length("word") > k).groupBy(F.substring("word", 1, k).alias(f"p{k}")).agg(*[F.sum(n).alias(f"{n}_p{k}") for n in NAMES]) for k in PREFIXES}
+    starts = {k: materialize(t, f"p{k}") for k, t in starts.items()}
+    shapes = []
+    for end in (*PREFIXES, None):
+        rows = starts[end].withColumn("token", F.concat(f"p{end}", F.lit("*"))) if end else words.select(F.col("word").alias("token"), *[F.col(n).alias(f"{n}_word") for n in NAMES])
+        text = F.col(f"p{end}") if end else F.col("token")
+        for k in PREFIXES:
+            if end is None or k < end:
+                at = F.when(F.length(text) > k, F.substring(text, 1, k))
+                rows = rows.join(starts[k].withColumnRenamed(f"p{k}", f"at{k}"), at == F.col(f"at{k}"), "left")
+        # A word that is no longer than a beginning stands there itself; behind a beginning nothing is known.
+        missing = (lambda n: F.col(f"{n}_word")) if end is None else (lambda n: F.lit(0).cast("long"))
+        shapes.append(rows.select("token", *[(F.coalesce(F.col(f"{n}_{c}"), missing(n)) if f"{n}_{c}" in rows.columns else missing(n)).alias(f"{n}_{c}") for c in chain for n in NAMES]))
+    every = shapes[0]
+    for shape in shapes[1:]:
+        every = every.unionByName(shape)
+    scores = []
+    for name in SETS:
+        halves = {"first": "0", "second": "1", "both": "01"}[name]
+        toxic, clean = places[name]
+        if not toxic or not clean:
+            scores.append(F.lit(None).cast("double").alias(name))
+            continue
+        base = toxic / (toxic + clean)
+        rate = F.lit(base)
+        for i, c in enumerate(chain):
+            # What the next longer token has is its own evidence; the rest of this one is its prior's.
+            a, b = (sum(F.col(f"{label}{h}_{c}") - (F.col(f"{label}{h}_{chain[i + 1]}") if i + 1 < len(chain) else 0) for h in halves) for label in ("toxic", "clean"))
+            rate = (a + PRIOR * rate) / (a + b + PRIOR)
+        scores.append((F.log(rate / (1 - rate)) - (math.log(base / (1 - base)) + DRIFT)).alias(name))
+    return every.select("token", *scores)
 
-#: Buckets whose sums travel to the driver in one row, as packed 32-bit counts of every name.
-CHUNK = 1 << 12
-PACKED = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("sums", T.BinaryType())])
 
+def tables_of(tokens: DataFrame) -> dict[str, Scores | None]:
+    """The scores as arrays."""
+    got = tokens.select(F.xxhash64("token").alias("hash"), *SETS).toArrow()
+    hashes = got.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return {n: None if got.column(n).null_count else Scores(hashes[order], got.column(n).to_numpy()[order]) for n in SETS}
 
-def packed(counts: DataFrame) -> DataFrame:
-    """Sums by bucket to (chunk, packed counts): at most (ROWS << BITS) / CHUNK rows of one size, whatever the corpus."""
 
-    def pack(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_numpy()
-        sums = np.zeros((len(NAMES), CHUNK), np.float32)
-        for k, name in enumerate(NAMES):
-            sums[k, bucket % CHUNK] = table.column(name).to_numpy()
-        return pa.table({"chunk": pa.array([int(bucket[0]) // CHUNK], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+def spelled(rows: DataFrame, tokens: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """``rows``, written, with ``__scores``: the lower-case words of each text, each with its scores in ``columns``.
 
-    return counts.where("bucket >= 0").groupBy(F.floor(F.col("bucket") / CHUNK)).applyInArrow(pack, PACKED)
+    Distinct words of a text meet the vocabulary's scores and come back to it; nothing but one text's words is gathered in a place.
+    """
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "spelled")
 
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
+            for at, body in zip(*(part.column(i).to_pylist() for i in range(2))):
+                words = sorted({w.lower() for w in WORDS.findall(body)}) if body else []
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(words), pa.int64()), pa.array(words, pa.string())], names=["__row", "word"])
 
-def sketches(counts: DataFrame) -> list[Sketch | None]:
-    """Sketches of half 0, of half 1 and of both; none where a label is missing."""
-    counts = materialize(counts, "tokens")
-    totals = (counts.where("bucket < 0").select(*NAMES).first() or [0] * len(NAMES))[:]
-    sums = np.zeros((len(NAMES), ROWS << BITS), np.float32)
-    for row in packed(counts).collect():
-        at = row["chunk"] * CHUNK
-        sums[:, at : at + CHUNK] = np.frombuffer(row["sums"], np.float32).reshape(len(NAMES), CHUNK)
-    halves = [(sums[0], sums[1], (totals[0], totals[1])), (sums[2], sums[3], (totals[2], totals[3])), (sums[0] + sums[2], sums[1] + sums[3], (totals[0] + totals[2], totals[1] + totals[3]))]
-    return [Sketch(t, c, n) if all(n) else None for t, c, n in halves]
+    pairs = materialize(map_batches(rows.select("__row", F.col(f"`{text}`")), words_of, "__row long, word string"), "pairs")
+    names = [F.struct(F.lit(k).alias("size"), F.concat(F.substring("word", 1, k), F.lit("*")).alias("token")) for k in PREFIXES]
+    names = [F.when(F.length("word") > k, n) for k, n in zip(PREFIXES, names)] + [F.struct(F.lit(1 << 20).alias("size"), F.col("word").alias("token"))]
+    asked = pairs.select("word").distinct().select("word", F.explode(F.array_compact(F.array(*names))).alias("t")).select("word", "t.size", "t.token")
+    met = asked.join(tokens, "token").groupBy("word").agg(F.max(F.struct("size", *columns)).alias("s"))
+    known = materialize(met.select("word", *[F.col(f"s.{c}").alias(c) for c in columns]), "known")
+    maps = pairs.join(known, "word").groupBy("__row").agg(F.collect_list(F.struct("word", *columns)).alias("__scores"))
+    return rows.join(maps, "__row", "left").drop("__row")
 
 
 SCANNED = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("segments", T.ArrayType(T.DoubleType())), T.StructField("rates", T.MapType(T.DoubleType(), T.LongType()))])
@@ -271,24 +308,37 @@ def solve_decay(rates: dict[float, float]) -> float:
     return min(max(high, 0.05), 4.0)
 
 
-def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
+def train(labelled: DataFrame, text: str, label: str, key: str, sent: int = SENT_TOKENS) -> Model:
     """Learn from all labelled rows; rows without label count as none, null texts as empty."""
     half = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(2)).cast("int")
     rows = labelled.where(F.col(label).isin(0, 1)).select(half.alias("half"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    with Scratch(labelled.sparkSession):
-        first, second, both = sketches(count_tokens(rows))
-        return calibrated(rows, (second or both, first or both), both) if both else Model(None)
-
-
-def calibrated(rows: DataFrame, crossed: tuple[Sketch, Sketch], both: Sketch) -> Model:
-    """The law of chance and the threshold, from texts scored with the counts of the other half."""
+    with Scratch(labelled.sparkSession) as scratch:
+        words = materialize(count_words(rows), "words")
+        n = [x or 0 for x in words.agg(*[F.sum(n) for n in NAMES]).first()]
+        places = {"first": (n[0], n[1]), "second": (n[2], n[3]), "both": (n[0] + n[2], n[1] + n[3])}
+        if not all(places["both"]):
+            return Model()
+        tokens = materialize(token_scores(words, places), "tokens")
+        # Texts of a half are scored with the counts of the other one, if it has both labels.
+        crossed = ["second" if all(places["second"]) else "both", "first" if all(places["first"]) else "both"]
+        if tokens.count() <= sent:
+            tables = tables_of(tokens)
+            return calibrated(rows, [tables[c] for c in crossed], Model(table=tables["both"]))
+        kept = scratch.keep(tokens.select("token", F.col("both").alias("score")), "scores")
+        return calibrated(spelled(rows, tokens, "text", SETS), crossed, Model(tokens=kept.inputFiles()[0].rpartition("/")[0]))
+
+
+def calibrated(rows: DataFrame, crossed: list[Scores] | list[str], model: Model) -> Model:
+    """The law of chance and the threshold, from texts scored with the counts of the other half: arrays, or names of columns of the text's own scores."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(s) for s in crossed]
+        scanners = [Scanner(s) for s in crossed if isinstance(s, Scores)]
         for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             ys, ns, segs, chance = [], [], [], [np.empty(0)]
-            for h, t, y in zip(*(part.column(i).to_pylist() for i in range(3))):
-                scores = scanners[h].scores(t)
+            given = part.column(3).to_pylist() if not scanners else [None] * part.num_rows
+            for h, t, y, g in zip(*(part.column(i).to_pylist() for i in range(3)), given):
+                scanner = scanners[h] if scanners else Scanner(Given((x["word"], x[crossed[h]]) for x in g or []))
+                scores = scanner.scores(t)
                 ys.append(y)
                 ns.append(len(scores))
                 segs.append([round(s, 3) for _, _, s in maximal_segments(scores)])
@@ -320,7 +370,7 @@ def calibrated(rows: DataFrame, crossed: tuple[Sketch, Sketch], both: Sketch) ->
     low = top - 1
     while low > -BINS and not hits.get((0, low)) and not hits.get((1, low)):
         low -= 1
-    return Model(both, decay, scale, (top * BIN + (low + 1) * BIN) / 2)
+    return Model(model.table, model.tokens, decay, scale, (top * BIN + (low + 1) * BIN) / 2)
 
 
 PASSAGES = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -332,19 +382,29 @@ def score(
     """Add the score, whether it reaches the threshold, and the significant passages (E-value below 1)."""
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("score", pa.float64())]))
 
-    def make():
-        scanner = Scanner(model.sketch)
+    def judged(scanners: Iterator[Scanner], texts: list) -> list[pa.Array]:
+        p, spans = [], []
+        for scanner, t in zip(scanners, texts):
+            n, segments = scanner.scan(t)
+            p.append(model.score(model.evidence(n, segments)))
+            least = math.log(model.scale * max(n, 1) + 1e-9) / model.decay
+            spans.append([{"first_word": a, "n_words": b - a, "score": s} for a, b, s in segments if s > least])
+        return [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(spans, kind)]
 
-        def apply(texts: list) -> list[pa.Array]:
-            p, spans = [], []
-            for t in texts:
-                n, segments = scanner.scan(t)
-                p.append(model.score(model.evidence(n, segments)))
-                least = math.log(model.scale * max(n, 1) + 1e-9) / model.decay
-                spans.append([{"first_word": a, "n_words": b - a, "score": s} for a, b, s in segments if s > least])
-            return [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(spans, kind)]
+    fields = [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType()), T.StructField(passages, PASSAGES)]
+    if model.tokens is None:
+        return append_columns(df, lambda: lambda texts, scanner=Scanner(model.table): judged(itertools.repeat(scanner), texts), fields, on=text, keep=keep)
+    base = without(df, [f.name for f in fields if f.name.lower() != text.lower()])
+    carried = [c for c in (base.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
+    tokens = df.sparkSession.read.schema("token string, score double").parquet(model.tokens)
+    source = spelled(base.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, text])]), tokens, text, ["score"])
+    at, scores = source.columns.index(text), source.columns.index("__scores")
+    where = [source.columns.index(c) for c in carried]
+    schema = T.StructType([*(source.schema[c] for c in carried), *fields])
 
-        return apply
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in itertools.chain.from_iterable(slices(b, at) for b in batches):
+            scanners = (Scanner(Given((x["word"], x["score"]) for x in g or [])) for g in part.column(scores).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in where), *judged(scanners, part.column(at).to_pylist())], names=schema.names)
 
-    fields = [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType()), T.StructField(passages, PASSAGES)]
-    return append_columns(df, make, fields, on=text, keep=keep)
+    return map_batches(source, run, schema)

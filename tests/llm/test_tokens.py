@@ -181,3 +181,11 @@ def test_update_keeps_texts(spark):
     rows = tokencount.update(tokencount.redaction_edits(tokencount.build(docs))).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == ["call [PHONE] now", "", ""]
     assert [r["n_tokens"] for r in rows][1:] == [0, 0]
+
+
+def test_ids_and_their_bytes_by_one_worker(spark):
+    docs = spark.createDataFrame([(1, "some text, 123  and é\n"), (2, None), (3, ""), (4, "word " * 5000)], "doc_id long, text string")
+    one = bpe.encode(docs, keep=["doc_id"], decoded="decoded").orderBy("doc_id").collect()
+    two = bpe.decode(bpe.encode(docs, keep=["doc_id"])).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in one] == [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in two]
+    assert [bytes(r["decoded"]).decode() for r in one] == ["some text, 123  and é\n", "", "", "word " * 5000]

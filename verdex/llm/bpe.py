@@ -220,8 +220,12 @@ def encode(
     vocabulary: str | None = None,
     pattern: str | None = None,
     keep: list[str] | None = None,
+    decoded: str | None = None,
 ) -> DataFrame:
-    """Add the ids of each text, packed as little-endian unsigned 32-bit integers, and their count."""
+    """Add the ids of each text, packed as little-endian unsigned 32-bit integers, and their count.
+
+    ``decoded`` names a column for the bytes that the ids decode to, made by the same worker.
+    """
     words, cut = read_ranks(vocabulary or default_vocabulary()), pattern or default_pattern()
 
     def make():
@@ -230,11 +234,17 @@ def encode(
 
         def apply(texts: list) -> list[pa.Array]:
             out = [b"".join(map(get, find(t))) if t else b"" for t in texts]
-            return [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
+            made = [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
+            if decoded is not None:
+                made.append(pa.array([pieces.encoder.decode(x) if x else b"" for x in out], pa.binary()))
+            return made
 
         return apply
 
-    return append_columns(df, make, [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())], on=text, keep=keep)
+    fields = [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())]
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.BinaryType()))
+    return append_columns(df, make, fields, on=text, keep=keep)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and no bytes.
     """
     limit_batches(spark)
-    return bpe.decode(bpe.encode(docs, keep=["doc_id"]), keep=["doc_id", "n_tokens", "ids"])
+    return bpe.encode(docs, keep=["doc_id"], decoded="decoded").select("doc_id", "n_tokens", "ids", "decoded")
 
 
 STAGES = [

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from verdex.functions.text import normalise_keyword
 from verdex.operators import grams, lookups, presence
-from verdex.sources.catalog import Catalog, bucket_of
+from verdex.sources import objects
+from verdex.sources.catalog import Catalog, bucket_of, in_packs
 
 DIRECTORY_HITS, OWNER_HITS, LISTING_HITS = 30, 50, 2000
 
@@ -76,9 +77,12 @@ def file_content_ref(c: Catalog, version_num: int, absolute_path: str | Column)
 
 
 def read_blob(c: Catalog, version_num: int, content_id: int) -> DataFrame:
-    """The bytes of a content in a version."""
+    """The bytes of a content in a version; of a pack only these are read."""
     here = (F.col("version_num") == version_num) & (F.col("content_id") == content_id)
-    return c.blobs.where(here).select("pack_object_key", "pack_offset", "body").limit(1)
+    if c.objects is None:
+        return c.blobs.where(here).select("pack_object_key", "pack_offset", "body").limit(1)
+    ref = in_packs(c.contents.where(here)).select("pack_object_key", "pack_offset", "pack_length").limit(1)
+    return objects.read_ranges(ref, c.objects).drop("pack_length")
 
 
 def read_range(objects: DataFrame, refs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from verdex.operators import grams, parser, presence, versioning
 from verdex.operators.lookups import broadcast_if_small, spread
 from verdex.schemas import PATHS
 from verdex.sources import headers as H
+from verdex.sources import objects
 from verdex.sources.catalog import Change, Conflict, bucket_of, with_symbol_columns, with_version_columns
 
 SHARDS, PACK_BYTES = 64, 128 << 20
@@ -153,16 +154,19 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
         placed = narrow.withColumns({"pack_object_key": F.col("blob_key"), "pack_offset": F.lit(0).cast("long"), "pack_length": F.col("byte_size")})
     else:
         placed = pack_places(narrow, options.shards, options.pack_bytes, within=("version_num", "bundle_name"))
+        placed = objects.sealed(change.stage("places", placed))
     placed = change.stage("placed", placed)
+    if not options.skip_upload:
+        # Packs are in their places before the manifest names them; a change that dies leaves packs that nobody reads.
+        where = placed.select("version_num", "content_id", F.col("pack_object_key").alias("key"), "pack_offset")
+        bodies = good.select("version_num", "content_id", F.col("body").alias("content")).join(where, ["version_num", "content_id"])
+        objects.write_objects(bodies, change.root, at="pack_offset")
     symbols = with_symbol_columns(declared.where("not orphaned").drop("path_id", "orphaned"))
     made = {
         "contents": placed.select("content_id", "content_hash", "blob_key", "pack_object_key", "pack_offset", "pack_length", "byte_size", now.alias("created_at"), "version_num"),
-        "blobs": good.select("version_num", "content_id", "body").join(placed.select("version_num", "content_id", "pack_object_key", "pack_offset", "pack_length"), ["version_num", "content_id"]),
         "file_instances": placed.select("version_num", "path_id", "content_id", "bundle_name", now.alias("updated_at")),
         "symbols": symbols,
     }
-    if options.skip_upload:
-        del made["blobs"]
     reopened = sorted(set(numbers) & change.parts("file_instances"))
     if reopened:
         # What other bundles have in these versions, and this import does not bring, is written again beside it.

@@ -14,6 +14,7 @@ from verdex.plans.blake2 import hash_ctes
 from verdex.plans.testviews import HEADERS_SQL, PARSE_SQL, catalog, headers, with_headers, with_views
 from verdex.plans.treeviews import with_tree
 from verdex.sources import headers as sources
+from verdex.sources import objects
 from verdex.sources.catalog import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,7 +499,7 @@ def _tree_releases(spark, sf_dir):
     return treeviews.releases(spark, sf_dir)
 
 
-@query("ingest_files", with_tree("select version_num, release || '|' || build version_id, bundle_name, absolute_path, md5(body) content_hash, cast(strlen(body) as bigint) byte_size, max(version_num) over (partition by absolute_path) latest_version_num, body from good join releases using (bundle_name, version_num)"))
+@query("ingest_files", with_tree("select version_num, release || '|' || build version_id, bundle_name, absolute_path, md5(body) content_hash, cast(strlen(body) as bigint) byte_size, max(version_num) over (partition by absolute_path) latest_version_num, body from good"))
 def _ingest_files(spark, sf_dir):
     """What an import of the tree has stored of each file."""
     c = treeviews.imported(spark, sf_dir)
@@ -516,6 +517,24 @@ def _ingest_symbols(spark, sf_dir):
     return rows.select("version_num", "absolute_path", "owner_kind", "owner_name", "symbol_type", "symbol_key", "line_no", "versions")
 
 
+@query("ingest_again", with_tree("select absolute_path, owner_name, symbol_key, list_sort(list(version_num)) versions, max(max(version_num)) over (partition by absolute_path) latest_version_num from (select version_num, absolute_path, brand owner_name, regexp_extract(unnest(string_split(body, chr(10))), '(m[0-9]+);', 1) symbol_key from good where bundle_name <> 'B0__x' or block = 0) where symbol_key <> '' group by 1, 2, 3"))
+def _ingest_again(spark, sf_dir):
+    """What is left of each symbol and path when a bundle has come again with fewer files."""
+    c = treeviews.imported_again(spark, sf_dir)
+    rows = presence.sets(c.symbol_presence).join(c.paths.select("path_id", "absolute_path"), "path_id").join(c.latest_by_path.select("path_id", "latest_version_num"), "path_id")
+    return rows.select("absolute_path", "owner_name", "symbol_key", "versions", "latest_version_num")
+
+
+@query("view_blob", with_tree("select version_num, absolute_path, body from good where absolute_path = (select min(absolute_path) from good)"))
+def _view_blob(spark, sf_dir):
+    """The bodies of one path in all its versions, read from their packs by range."""
+    c = treeviews.imported(spark, sf_dir)
+    first = c.paths.join(c.file_instances.select("path_id"), "path_id", "left_semi").groupBy().agg(F.min_by("path_id", "absolute_path").alias("path_id"))
+    refs = c.file_instances.join(F.broadcast(first), "path_id").join(c.contents, ["version_num", "content_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
+    bodies = objects.read_ranges(refs.select("version_num", "absolute_path", "pack_object_key", "pack_offset", "pack_length"), c.objects)
+    return bodies.select("version_num", "absolute_path", F.col("body").cast("string").alias("body"))
+
+
 @query("ingest_versions", with_tree("select cast(version_num as bigint) version_num, release || '|' || build version_id, lower(release || '|' || build) version_id_lc, release, build, bundle_name from releases"))
 def _ingest_versions(spark, sf_dir):
     """The releases that an import of the tree has numbered."""

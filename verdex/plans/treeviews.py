@@ -1,26 +1,27 @@
 """A tree of header files written from the star-schema test data, for the queries that read files.
 
-Parts fall into three bundles; a bundle has a header for each brand, with one method
-for each part.  The first bundle's metadata is whole, the second's first source is
-broken, the third's has no build, and a fourth bundle has no headers at all.
+Parts fall into five bundles by size; a bundle has a header for each brand and thousand
+part keys, with one method a part.  Tasks write the files.  A bundle's release and build
+count its parts.  The metadata of every third bundle is whole; the next one's first source
+is broken; the next has no build.  The last bundle has no headers, only another file.
 """
 
 from __future__ import annotations
 
 import atexit
-import plistlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.plans.ingest import ingest
+from verdex.functions.paths import absolute
+from verdex.plans.ingest import ingest, ingest_headers
 from verdex.sources import headers
-from verdex.sources.catalog import Catalog, Storage, open_catalog
+from verdex.sources.catalog import Catalog, Change, open_catalog
+from verdex.sources.objects import write_objects
 
-BUNDLES = 3
-RELEASES = ["1.0", "1.2", "1.10", "2.b"]
+BUNDLES, BLOCK = 5, 1000
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,29 +36,50 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/verdex-tree-{uuid.uuid4().hex}"
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bundle = F.col("p_size") % BUNDLES
+    return part.select(bundle.cast("long").alias("bundle"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"), F.floor(F.col("p_partkey") / BLOCK).alias("block"), "p_partkey")
+
+
+def bundle_name() -> Column:
+    return F.concat(F.lit("B"), F.col("bundle").cast("string"), F.lit("__x"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle, brand, text), a row a header."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % BUNDLES).alias("bundle"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"), "p_partkey", "p_size")
+    """(bundle, block, relative_path, text), a row a header."""
     methods = F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("- (void)m"), k.cast("string"), F.lit(";\n"))), "")
-    # Parts of an odd brand repeat their first line, and a few headers have no owner.
+    # Headers of an odd brand have no owner, and some repeat their first line.
     head = F.concat(F.lit("@interface "), F.col("brand"), F.lit("\n"))
     head = F.when(F.col("brand") == "Brand11", "int x;\n").when(F.col("brand").endswith("3"), F.concat(head, head)).otherwise(head)
-    return part.groupBy("bundle", "brand").agg(methods.alias("m")).select("bundle", "brand", F.concat(head, "m", F.lit("@end\n")).alias("text"))
+    whole = parts(spark, sf_dir).where(F.col("bundle") < BUNDLES - 1).groupBy("bundle", "brand", "block").agg(methods.alias("m"))
+    path = F.format_string("F/%s.framework/%s_%d.h", "brand", "brand", "block")
+    return whole.select("bundle", "block", path.alias("relative_path"), F.concat(head, "m", F.lit("@end\n")).alias("text"))
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, content) of the bundles' metadata files."""
+    counted = parts(spark, sf_dir).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+
+    def entry(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<key>{key}</key><string>"), value, F.lit("</string>"))
+
+    kind = F.col("bundle") % 3
+    release = F.concat_ws(".", (F.col("bundle") + 1).cast("string"), (F.col("n") % 7).cast("string"))
+    build = F.when(kind < 2, entry("ProductBuildVersion", F.concat(F.lit("U"), F.col("n").cast("string")))).otherwise("")
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<plist version="1.0"><dict>'), entry("ProductVersion", release), build, F.lit("</dict></plist>"))
+    made = F.array(F.struct(F.when(kind == 0, "SystemVersion.plist").otherwise("Restore.plist").alias("name"), whole.alias("text")), F.when(kind == 1, F.struct(F.lit("SystemVersion.plist").alias("name"), F.lit("no property list").alias("text"))))
+    each = counted.select("bundle", F.explode(F.array_compact(made)).alias("f"))
+    return each.select(F.concat(F.lit("files/"), bundle_name(), F.lit("/"), F.col("f.name")).alias("key"), F.col("f.text").cast("binary").alias("content"))
 
 
 def write(spark: SparkSession, sf_dir: str) -> str:
     """Write the tree; returns its folder, with ``headers`` and ``files`` in it."""
     root = folder(spark)
-    storage = Storage(spark, root)
-    for row in files(spark, sf_dir).toLocalIterator():
-        storage.put(f"headers/B{row['bundle']}__x/F/{row['brand']}.framework/{row['brand']}.h", row["text"])
-    storage.fs.mkdirs(storage.at(f"headers/B{BUNDLES}__x"))
-    for i, release in enumerate(RELEASES):
-        place = f"files/B{i}__x"
-        whole = {"ProductVersion": release} | ({"ProductBuildVersion": f"U{i}"} if i < 2 else {})
-        if i == 1:
-            storage.put(f"{place}/SystemVersion.plist", "no property list")
-        storage.put(f"{place}/{'Restore.plist' if i else 'SystemVersion.plist'}", plistlib.dumps(whole).decode())
+    texts = files(spark, sf_dir).select(F.concat(F.lit("headers/"), bundle_name(), F.lit("/"), "relative_path").alias("key"), F.col("text").cast("binary").alias("content"))
+    other = parts(spark, sf_dir).where(F.col("bundle") == BUNDLES - 1).select("bundle").distinct()
+    other = other.select(F.concat(F.lit("headers/"), bundle_name(), F.lit("/F/about.txt")).alias("key"), F.lit(b"none").alias("content"))
+    write_objects(texts.unionByName(other).unionByName(metadata(spark, sf_dir)), root)
     return root
 
 
@@ -85,15 +107,28 @@ def imported(spark: SparkSession, sf_dir: str) -> Catalog:
     return open_catalog(spark, f"{root}/catalogue")
 
 
+def imported_again(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The same, after the first bundle has come again with its first headers alone."""
+    root = write(spark, sf_dir)
+    out = f"{root}/catalogue"
+    ingest(spark, f"{root}/headers", f"{root}/files", out)
+    less = files(spark, sf_dir).where("bundle = 0 and block = 0")
+    found = less.select(bundle_name().alias("bundle_name"), absolute(F.col("relative_path")).alias("absolute_path"), F.col("text").cast("binary").alias("content"))
+    known = open_catalog(spark, out).versions.select("bundle_name", "release", "build").where("bundle_name = 'B0__x'")
+    ingest_headers(Change(spark, out), found, known)
+    return open_catalog(spark, out)
+
+
 #: The same as SQL: files (bundle_name, absolute_path, text) and releases.
 TREE_SQL = f"""
-part0 as (select p_partkey % {BUNDLES} bundle, replace(p_brand,'#','') brand, p_partkey from part),
-tree as (select 'B' || cast(bundle as varchar) || '__x' bundle_name, cast(bundle + 1 as bigint) version_num, '/F/' || brand || '.framework/' || brand || '.h' absolute_path, brand,
+part0 as (select p_size % {BUNDLES} bundle, replace(p_brand,'#','') brand, p_partkey // {BLOCK} block, p_partkey from part),
+releases as (select 'B' || cast(bundle as varchar) || '__x' bundle_name, cast(bundle + 1 as varchar) || '.' || cast(count(*) % 7 as varchar) release,
+    case when bundle % 3 < 2 then 'U' || cast(count(*) as varchar) else 'B' || cast(bundle as varchar) end build, row_number() over (order by bundle) version_num from part0 group by bundle),
+tree as (select 'B' || cast(bundle as varchar) || '__x' bundle_name, block, '/F/' || brand || '.framework/' || brand || '_' || cast(block as varchar) || '.h' absolute_path, brand,
     case when brand='Brand11' then 'int x;' || chr(10) else '@interface ' || brand || chr(10) end head, brand like '%3' as doubled,
-    string_agg('- (void)m' || cast(p_partkey as varchar) || ';' || chr(10), '' order by p_partkey) || '@end' || chr(10) as tail from part0 group by bundle, brand),
-texts as (select *, case when doubled then head || head else head end || tail as text, head || tail as body from tree),
-good as (select * from texts where brand<>'Brand11'),
-releases as (select * from (values ('B0__x','1.0','U0',1), ('B1__x','1.2','U1',2), ('B2__x','1.10','B2',3), ('B3__x','2.b','B3',4)) r(bundle_name, release, build, version_num))
+    string_agg('- (void)m' || cast(p_partkey as varchar) || ';' || chr(10), '' order by p_partkey) || '@end' || chr(10) as tail from part0 where bundle < {BUNDLES - 1} group by bundle, brand, block),
+texts as (select *, case when doubled then head || head else head end || tail as text, head || tail as body from tree join releases using (bundle_name)),
+good as (select * from texts where brand<>'Brand11')
 """
 
 

@@ -17,7 +17,6 @@ _L, _S, _T, _B = LongType(), StringType(), TimestampType(), BinaryType()
 VERSIONS = _struct(version_num=_L, version_id=_S, version_id_lc=_S, release=_S, build=_S, bundle_name=_S, created_at=_T)
 PATHS = _struct(path_id=_L, absolute_path=_S, path_lc=_S, file_name=_S, file_name_lc=_S, dir_path=_S, dir_name=_S, dir_name_lc=_S, created_at=_T)
 CONTENTS = _struct(content_id=_L, content_hash=_S, blob_key=_S, pack_object_key=_S, pack_offset=_L, pack_length=_L, byte_size=_L, created_at=_T)
-BLOBS = _struct(pack_object_key=_S, pack_offset=_L, pack_length=_L, content_id=_L, body=_B)
 FILE_INSTANCES = _struct(version_num=_L, path_id=_L, content_id=_L, bundle_name=_S, updated_at=_T)
 SYMBOLS = _struct(version_num=_L, content_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, line_no=_L)
 SYMBOL_PRESENCE = _struct(path_id=_L, owner_kind=_S, owner_name=_S, owner_name_lc=_S, symbol_type=_S, symbol_key=_S, word=IntegerType(), bits=_L, updated_at=_T)

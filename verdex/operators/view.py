@@ -62,13 +62,22 @@ def line_labels(lines: DataFrame, versions: DataFrame) -> DataFrame:
 IMPORT = r"""^(\s*#\s*(?:import|include)\s*[<"])([^>"]+)([>"].*)$"""
 
 
-def import_lines(files: DataFrame, key: list[str], path: str = "absolute_path", text: str = "text") -> DataFrame:
-    """(key..., line_no, line, prefix, token, suffix, target): the target is the imported file's name in the same directory."""
-    lines = files.select(*key, F.col(path).alias("__path"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
+def import_lines(files: DataFrame, key: list[str], path: str = "absolute_path", text: str = "text", only: bool = False) -> DataFrame:
+    """(key..., line_no, line, prefix, token, suffix, target): the target is the imported file's name in the same directory.
+
+    ``only`` leaves out other lines; those without a number sign go before they become rows.
+    """
+    each = F.transform(split_lines(F.col(text)), lambda line, at: F.struct(at.alias("pos"), line.alias("line")))
+    if only:
+        each = F.filter(each, lambda x: F.contains(x["line"], F.lit("#")))
+    directory = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    directory = F.when((directory == "") & F.col(path).startswith("/"), "/").otherwise(directory)  # once a file
+    lines = files.select(*key, directory.alias("__dir"), F.explode(each).alias("at"))
     part = [F.nullif(F.regexp_extract("line", IMPORT, i), F.lit("")) for i in (1, 2, 3)]
-    directory = F.regexp_extract("__path", r"^(.*)/[^/]*$", 1)
-    directory = F.when((directory == "") & F.col("__path").startswith("/"), "/").otherwise(directory)
-    lines = lines.select(*key, (F.col("pos") + 1).cast("long").alias("line_no"), "line", part[0].alias("prefix"), part[1].alias("token"), part[2].alias("suffix"), directory.alias("__dir"))
+    lines = lines.select(*key, "__dir", (F.col("at.pos") + 1).cast("long").alias("line_no"), F.col("at.line").alias("line"))
+    if only:
+        lines = lines.where(F.col("line").rlike(IMPORT))
+    lines = lines.select(*key, "__dir", "line_no", "line", part[0].alias("prefix"), part[1].alias("token"), part[2].alias("suffix"))
     base = P.base_name(strip(F.col("token")))
     return lines.withColumn("target", F.when(F.col("token").isNotNull(), F.when(F.col("__dir") != "", F.concat("__dir", F.lit("/"), base)).otherwise(F.concat(F.lit("/"), base)))).drop("__dir")
 
@@ -78,18 +87,21 @@ def view_link(version_id: Column, absolute_path: Column) -> Column:
 
 
 def resolve_imports(files: DataFrame, present: DataFrame) -> DataFrame:
-    """Import lines of (version_num, version_id, absolute_path, text) files with the link of those whose target is in the same version."""
-    lines = import_lines(files, ["version_num", "version_id", "absolute_path"]).where("token is not null")
-    there = present.select("version_num", F.col("absolute_path").alias("target"), F.lit(True).alias("linked")).distinct()
+    """Import lines of (version_num, version_id, absolute_path, text) files with the link of those whose target is in the same version.
+
+    ``present`` has each (version_num, absolute_path) once.
+    """
+    lines = import_lines(files, ["version_num", "version_id", "absolute_path"], only=True)
+    there = present.select("version_num", F.col("absolute_path").alias("target"), F.lit(True).alias("linked"))
     out = lines.join(there, ["version_num", "target"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     return out.withColumn("href", F.when(F.col("linked"), view_link(F.col("version_id"), F.col("target"))))
 
 
 def render(files: DataFrame, present: DataFrame) -> DataFrame:
-    """(version_num, absolute_path, html, line_count): escaped text whose resolvable imports are links."""
+    """(version_num, absolute_path, html, line_count): escaped text whose resolvable imports are links; ``present`` as above."""
     key = ["version_num", "version_id", "absolute_path"]
     lines = import_lines(files, key)
-    there = present.select("version_num", F.col("absolute_path").alias("target"), F.lit(True).alias("linked")).distinct()
+    there = present.select("version_num", F.col("absolute_path").alias("target"), F.lit(True).alias("linked"))
     lines = lines.join(there, ["version_num", "target"], "left")
     link = F.concat(html_escape(F.col("prefix")), F.lit('<a href="'), html_escape(view_link(F.col("version_id"), F.col("target"))), F.lit('">'), html_escape(F.col("token")), F.lit("</a>"), html_escape(F.col("suffix")))
     lines = lines.withColumn("html", F.when(F.col("linked"), link).otherwise(html_escape(F.col("line"))))

@@ -94,6 +94,25 @@ def test_language_does_not_depend_on_the_batch():
     assert score(texts[::-1]) == (names[::-1], p[::-1])
 
 
+def test_a_very_long_text_is_scored_in_slabs(monkeypatch):
+    """The same bits whatever the slab, and little more memory than the text takes."""
+    import tracemalloc
+
+    model = langid.fit(["the and of the and that " * 20, "der die und das nicht " * 20] * 10, ["en", "de"] * 10)
+    texts = ["the and of " * 9000, "x", "der das " * 400, "é" * 300]
+    whole = model.scorer()(texts)
+    for slab in (1, 3, 50):
+        monkeypatch.setattr(langid, "SLAB", slab)
+        assert model.scorer()(texts) == whole
+    monkeypatch.setattr(langid, "SLAB", 64)
+    score, text = model.scorer(), "der die und das nicht " * 400_000  # 8.8 MB
+    tracemalloc.start()
+    names, _ = score([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["de"] and peak < 6 * len(text)  # 16 float32 a byte and width before
+
+
 def test_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
     model = langid.fit(["ab cd ef " * 9, "xy zw uv " * 9] * 4, ["a", "b"] * 4)

@@ -39,6 +39,8 @@ PAD = max(WIDTHS)
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 600_000
 EPOCHS = 4
+#: Windows that are scored at once.
+SLAB = 512
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -75,28 +77,12 @@ class Model:
             starts = np.repeat(begin, windows) + WINDOW * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
             owner = np.repeat(np.arange(len(full)), windows)
             size = np.minimum(WINDOW, np.repeat(begin + lengths[full], windows) - starts)
-            bounds = np.stack([starts, starts + size], axis=1).ravel()
-            pair = buffer[:-1].astype(np.int32) * 256 + buffer[1:]
-            n = len(buffer) - PAD + 1
-            pooled = []
-            for pairs, last in tables:
-                response = pairs[0].take(pair[:n], axis=0)
-                for k, p in enumerate(pairs[1:], 1):
-                    response += p.take(pair[2 * k : 2 * k + n], axis=0)
-                if last is not None:
-                    response += last.take(buffer[2 * len(pairs) : 2 * len(pairs) + n], axis=0)
-                # Every second stretch is a window; those between are padding.
-                pooled.append(np.maximum.reduceat(response, bounds, axis=0)[::2])
-            pooled = np.concatenate(pooled, axis=1)
-            pooled = np.where((size < WINDOW)[:, None], np.maximum(pooled, blank), pooled)
-            hidden = np.maximum(pooled + self.offsets, 0)
-            # Sums along a row do not depend on the other rows, as a matrix product's may.
-            logits = np.stack([(hidden * column).sum(axis=1) for column in self.dense.T], axis=1) + self.bias
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
             total = np.zeros((len(full), len(self.languages)))
-            np.add.at(total, owner, p * size[:, None])
+            for at in range(0, len(starts), SLAB):
+                slab = slice(at, at + SLAB)
+                first, stop = starts[at], starts[slab][-1] + size[slab][-1] + PAD
+                p = self.windows(tables, blank, buffer[first:stop], starts[slab] - first, size[slab])
+                np.add.at(total, owner[slab], p * size[slab][:, None])  # in order, so slabs change no bit
             total /= total.sum(axis=1, keepdims=True)
             best = total.argmax(axis=1)
             for k, i in enumerate(full):
@@ -105,6 +91,29 @@ class Model:
 
         return score
 
+    def windows(self, tables: list, blank: np.ndarray, part: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Probabilities of some windows of a buffer; what is held meanwhile grows with these alone."""
+        pair = part[:-1].astype(np.int32) * 256 + part[1:]
+        n = len(part) - PAD + 1
+        bounds = np.stack([starts, starts + size], axis=1).ravel()
+        pooled = []
+        for pairs, last in tables:
+            response = pairs[0].take(pair[:n], axis=0)
+            for k, p in enumerate(pairs[1:], 1):
+                response += p.take(pair[2 * k : 2 * k + n], axis=0)
+            if last is not None:
+                response += last.take(part[2 * len(pairs) : 2 * len(pairs) + n], axis=0)
+            # Every second stretch is a window; those between are padding.
+            pooled.append(np.maximum.reduceat(response, bounds, axis=0)[::2])
+        pooled = np.concatenate(pooled, axis=1)
+        pooled = np.where((size < WINDOW)[:, None], np.maximum(pooled, blank), pooled)
+        hidden = np.maximum(pooled + self.offsets, 0)
+        # Sums along a row do not depend on the other rows, as a matrix product's may.
+        logits = np.stack([(hidden * column).sum(axis=1) for column in self.dense.T], axis=1) + self.bias
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits)
+        return p / p.sum(axis=1, keepdims=True)
+
 
 def cut_windows(text: bytes) -> list[bytes]:
     """All windows of a text, each with the bytes that filters at its end look at."""

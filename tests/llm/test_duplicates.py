@@ -232,12 +232,39 @@ def test_passages_before_a_repeated_word_are_found():
 
 
 def test_multi_index_misses_nothing_within_the_radius():
-    rng = np.random.default_rng(2)
-    items = rng.integers(0, 256, (40, 8), dtype=np.uint8)
-    windows = np.concatenate([rng.integers(0, 256, (200, 8), dtype=np.uint8), *[items ^ np.packbits(rng.random((40, 64)) < p, axis=1) for p in (0.0, 0.1, 0.25, 0.3)]])
-    far = np.unpackbits(windows[:, None, :] ^ items[None, :, :], axis=2).sum(axis=2)
-    for i, item in enumerate(items):
-        assert decontam.within(windows, item).tolist() == np.flatnonzero(far[:, i] <= decontam.RADIUS).tolist()
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 256, (40, 8)).astype(np.uint8)
+    windows = np.concatenate([prints ^ np.packbits(rng.random((40, 64)) < share, axis=1) for share in (0.0, 0.1, 0.2, 0.25, 0.3, 0.5)])
+    far = np.array([[int(decontam.COUNT[w ^ p].sum()) for p in prints] for w in windows])
+    got = set(zip(*(x.tolist() for x in decontam.near(windows, decontam.block_tables(prints), prints))))
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontam.RADIUS)))) and len(got) > 100
+
+
+def test_the_index_decides_what_is_within_the_radius(monkeypatch):
+    """Without its tables nearly all matches are lost; without the supplement few are."""
+    docs, items = planted()
+    texts, held = [t for _, t in docs], [i for i in items if i[1]]
+    whole = decontam.Matcher(held, 5, 80)(texts)
+    alone = decontam.Matcher(held, 5, 80, supplement=False)(texts)
+    monkeypatch.setattr(decontam, "near", lambda *_: (np.zeros(0, int), np.zeros(0, int)))
+    without = decontam.Matcher(held, 5, 80)(texts)
+    count = lambda found: sum(map(len, found))
+    assert count(whole) > 30 and count(without) < 0.2 * count(whole) and count(alone) >= 0.9 * count(whole)
+
+
+def test_recall_of_the_index_at_the_threshold():
+    """Windows cut to a similarity of 0.80 to 0.83: at least nine in ten are found by the tables alone."""
+    rng = random.Random(9)
+    found = total = 0
+    for n in range(300):
+        item = [f"b{rng.randrange(5000)}" for _ in range(60)]
+        cut = rng.choice([6, 5])  # words replaced at one end
+        text = " ".join([f"x{rng.randrange(5000)}" for _ in range(cut)] + item[cut:])
+        exact = brute_matches([(0, text)], [(n, " ".join(item))])
+        if exact and 0.8 <= exact[0, n] <= 0.83:
+            total += 1
+            found += bool(decontam.Matcher([(n, " ".join(item))], 5, 80, supplement=False)([text])[0])
+    assert total >= 100 and found >= 0.9 * total
 
 
 def test_many_items_of_one_size():

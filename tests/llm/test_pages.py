@@ -212,3 +212,35 @@ def test_url_sql_on_odd_urls(spark):
     columns = ["page_id", "host", "path", "rule", "verdict"]
     expected = db.sql(f"select {', '.join(columns)} from ({queries.ORACLE_SQL['op9_url_filter']})").fetchall()
     assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(expected)
+
+
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(i, f"http://h{host}.org/{i}", html) for i, (host, html) in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in htmlextract.extract(frame).collect()}
+
+
+def test_the_template_decides_inside_articles_too(spark, monkeypatch):
+    """An advert in an unlisted class, the same on all pages, goes; without the template it stays."""
+    advert = '<div class="zq1">Buy our shoes now</div>'
+    pages = [("a", f"<html><body><nav>Home</nav><article><h1>Title {n}</h1><p>The text number {n} of this page has some words.</p>{advert}<ul><li>point {n}</li></ul><p>Shared closing words.</p></article></body></html>") for n in range(6)]
+    pages += [("b", f"<html><body><div class=q>{advert}<p>Only words {n} here and there, quite some of them.</p></div></body></html>") for n in range(4)]
+    got = extracted(spark, pages)
+    assert all(got[n] == f"Title {n}\nThe text number {n} of this page has some words.\npoint {n}\nShared closing words." for n in range(6))
+    assert all(got[6 + n] == f"Only words {n} here and there, quite some of them." for n in range(4))
+    parser = htmlextract.Parser()
+    assert "Buy our shoes" in "\n".join(htmlextract.blocks(parser, pages[0][1], None))
+    # Crawls of one article with another counter keep what is long in it.
+    copies = [("c", f"<html><body><article><h1>One</h1><div class=k>{'long words of the article ' * 9}</div></article><p>seen {n}</p></body></html>") for n in range(3)]
+    assert all("long words" in t for t in extracted(spark, copies).values())
+
+
+def test_names_of_headings_and_paragraphs_drop_nothing():
+    parser = htmlextract.Parser()
+
+    def read(html):
+        return "|".join(htmlextract.blocks(parser, html, None))
+
+    assert read('<main><h2 id="advertising">Advertising in 0</h2><p>x</p><h2 id="search">Search</h2><p>y</p></main>') == "Advertising in 0|x|Search|y"
+    assert read('<article><p>one</p><p id="navigation">two</p><h2 id="related">three</h2><h2 id="comments">Comments on the text</h2><p class="social">four</p><ul class="menu"><li>five</li></ul></article>') == "one|two|three|Comments on the text|four|five"
+    assert read('<body><div class="section-header"><h2>Part 0</h2></div><p>text</p><div class="site-header">Site</div><ul class="menu"><li>Home</li></ul></body>') == "Part 0|text"
+    assert read('<article><p>one</p><div class="comments"><p>me too</p></div><div class="share">tell</div><nav>up</nav></article>') == "one"

@@ -16,12 +16,13 @@ text, at any depth, on all pages belongs to the template and holds no data.
 
 Of the slots those are extracted that hold the article: if the template has an
 ``article`` or ``main`` token, those in it, else all that hold data.  A container's
-slot without data is left out there only if its text is shorter than the text that
+slot without data, in an article too, is left out only if its text is shorter than the text that
 varies on a page, so that crawls of one article with another counter keep it; a
 heading or paragraph beside data is kept, though pages share it.  In addition slots
 are left out whose tags or class names stand for menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments, inline elements too; class names count as a
-whole.  A part so named around an article or main element does not take it along, unless it is hidden,
+whole.  Names of headings, paragraphs and items never do; lists and
+tables of an article are text, whatever their names and though pages share them.  A part so named around an article or main element does not take it along, unless it is hidden,
 holds comments or is a side part: the page has article text elsewhere, and the part
 holds several articles or a shorter one.  A page whose host's template does not fit
 (none of its article tokens is on the page, or no text is left) is its own template.
@@ -82,6 +83,12 @@ BESIDE = {
 }
 #: Beside a word of AROUND alone: the header of an entry is its title.
 ENTRY = {"post", "article", "entry", "story", "news"}
+#: What such a name may have beside "header" to be the page's header; a section-header is a heading.
+PAGE_HEADER = {"site", "page", "main", "top", "global", "primary", "sticky", "mobile", "desktop", "inner", "wrap", "wrapper", "container", "area", "bar"}
+#: Elements of the text itself: their ids and classes say where they are, not what they are.
+TEXTUAL = HEADINGS | {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th", "tr", "caption", "figcaption"}
+#: Inside an article, so do those of its lists and tables.
+LISTS = {"ul", "ol", "dl", "table"}
 ARTICLE = {"article", "main"}
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -105,7 +112,7 @@ def stands_for(names: set[str], kinds: set[str], beside: set[str]) -> bool:
 class Kind:
     """What a tag's name and attributes say: its label in paths, and what it stands for."""
 
-    __slots__ = ("label", "article", "comments", "around", "header", "hidden")
+    __slots__ = ("label", "article", "comments", "around", "by_name", "header", "hidden")
 
     def __init__(self, name: str, attributes: str):
         label, names, roles = name, set(), set()
@@ -116,12 +123,14 @@ class Kind:
             else:
                 names |= set(value.split())
                 label += "." + "-".join(WORDS.findall(value))
-        page = name in ("body", "html")
+        page = name in ("body", "html") or name in TEXTUAL
         self.label = label
         self.article = name in ARTICLE or bool(roles & ARTICLE)
         self.comments = not page and stands_for(names, COMMENTS, BESIDE | ENTRY | AROUND)
-        self.around = self.comments or name in DROPPED or bool(roles & ROLES) or (not page and name not in ARTICLE and stands_for(names, AROUND, BESIDE | ENTRY))
-        self.header = name == "header" or stands_for(names, {"header"}, BESIDE)
+        known = self.comments or name in DROPPED or bool(roles & ROLES)
+        self.around = known or (not page and name not in ARTICLE and stands_for(names, AROUND, BESIDE | ENTRY))
+        self.by_name = self.around and not known and name in LISTS
+        self.header = name == "header" or (not page and stands_for(names, {"header"}, PAGE_HEADER))
         self.hidden = name in RAW or bool(HIDDEN.search(attributes))
 
 
@@ -175,11 +184,11 @@ class Parser:
     def open(self, parent: Element, name: str, kind: Kind, slots: frozenset, fixed: frozenset) -> Element:
         made = Element(name, signed(f"{parent.path}>{kind.label}"))
         made.article = parent.article or kind.article
-        drops = kind.around or kind.hidden or (kind.header and not parent.article)
+        drops = (kind.around and not (kind.by_name and parent.article)) or kind.hidden or (kind.header and not parent.article)
         made.hidden = kind.hidden or kind.comments or parent.hidden
         made.lost = made.hidden or (drops if kind.article else made.article and (parent.lost or drops))
         made.dropped = parent.dropped or drops
-        made.slot, made.fixed = parent.slot or made.path in slots, parent.fixed or made.path in fixed
+        made.slot, made.fixed = parent.slot or made.path in slots, parent.fixed or (made.path in fixed and not (parent.article and name in LISTS))
         return made
 
     def walk(self, html: str, slots: frozenset = frozenset(), fixed: frozenset = frozenset()) -> Iterator[tuple[str, object, Element]]:
@@ -280,7 +289,7 @@ def blocks(parser: Parser, html: str, slots: frozenset | None, fixed: frozenset
     """Texts of the blocks in extracted slots.
 
     ``slots`` are template tokens that hold the article, None: the page's own;
-    ``fixed`` are template tokens without data, left out where there is no article.
+    ``fixed`` are template tokens without data, left out if anything is left beside them.
     """
     parts: list[tuple[Element, bool, str]] = []
     inside = False
@@ -308,6 +317,9 @@ def blocks(parser: Parser, html: str, slots: frozenset | None, fixed: frozenset
             where = around
             piece.append(value)
     end()
+    if any(fits and not e.fixed and not e.lost for e, fits, _ in parts):
+        # Of the article, what has the same text on all pages of the host is template.
+        parts = [(e, fits and not e.fixed, t) for e, fits, t in parts]
     clear = [t for e, fits, t in parts if fits and not e.dropped]
     fitting = [t for e, fits, t in parts if fits and e.article and not e.lost] if wrapped else clear
     if clear and wrapped and (wrapped > 1 or sum(map(len, fitting)) <= 2 * sum(map(len, clear))):
@@ -315,7 +327,7 @@ def blocks(parser: Parser, html: str, slots: frozenset | None, fixed: frozenset
     if fitting or (slots is None and inside):
         return fitting
     if slots is not None:
-        return blocks(parser, html, None)
+        return blocks(parser, html, None, fixed)
     return [t for e, _, t in parts if not e.dropped and not e.fixed] or [t for e, _, t in parts if not e.dropped]
 
 
@@ -436,12 +448,12 @@ def without_data(vectors: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, slots, fixed): article tokens of each host's template; where there are none, its containers without data."""
+    """(host, slots, fixed): article tokens of each host's template, and its containers without data, in articles too."""
     vectors = roles(pages)
     template = materialize(valid(vectors, support), "template")
     slots = template.where("article").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("slots"))
     fixed = without_data(vectors, template).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed"))
-    return slots.join(fixed, "host", "full").select("host", "slots", F.when(F.col("slots").isNull(), F.col("fixed")).alias("fixed")).where("slots is not null or fixed is not null")
+    return slots.join(fixed, "host", "full").select("host", "slots", "fixed")
 
 
 def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", text: str = "text", support: float = 0.5, keep: list[str] | None = None) -> DataFrame:

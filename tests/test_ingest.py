@@ -283,6 +283,34 @@ def test_the_index_of_names_grows_with_imports(spark, tmp_path):
     assert held()[0] == held()[1]
 
 
+def test_an_import_resumes_where_it_was_killed(spark, tmp_path, monkeypatch):
+    """Units that were finished are not read again, by whom ever; the result is that of one import."""
+    from verdex.plans import ingest as module
+
+    out, whole = f"file://{tmp_path}/out", f"file://{tmp_path}/whole"
+    drops = [(f"b{n}", f"{n}.0", "A", f"{x}.h", body) for n in (1, 2, 3) for x, body in (("x", A), ("y", B), ("z", C))]
+    bring(spark, whole, *drops)
+    read = module._read
+    units = []
+
+    def killed(found, named):
+        if len(units) == 3:
+            raise RuntimeError("killed")
+        units.append(1)
+        return read(found, named)
+
+    monkeypatch.setattr(module, "_read", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        bring(spark, out, *drops, resume=True, slices=2)
+    assert open_catalog(spark, out).versions.count() == 0
+    monkeypatch.setattr(module, "_read", lambda found, named: units.append(1) or read(found, named))
+    bring(spark, out, *drops, resume=True, slices=2)
+    assert len(units) == 6  # three bundles in two slices, each once
+    assert state(open_catalog(spark, out)) == state(open_catalog(spark, whole))
+    assert not list((tmp_path / "out" / "_journal").iterdir())
+    assert bring(spark, out, *drops, resume=True) == {"versions": 0, "files": 0, "symbols": 0}
+
+
 def test_two_open_changes(spark, tmp_path):
     """Neither sees or harms the other's files; who commits last puts its change on top, or imports again."""
     out = f"file://{tmp_path}/out"

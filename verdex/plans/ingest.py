@@ -7,6 +7,7 @@ all become visible together.  A crash before that leaves the catalogue as it was
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,11 @@ SHARDS, PACK_BYTES = 64, 128 << 20
 
 @dataclass(frozen=True)
 class Options:
-    """``resume`` leaves out bundles whose import into the same version has been finished.
+    """``resume`` leaves out bundles whose import into the same version has been finished, and keeps a journal.
+
+    With it a bundle's files are read and parsed in ``slices`` by path, each a unit that is written down for whoever
+    imports that bundle next: an import that is killed leaves its finished units, and the next one, with the same
+    headers and ``max_files``, reads only the others.  Units go when their import has been committed.
 
     An import that another writer has overtaken is run again from what that one has left, ``attempts`` times at most.
     """
@@ -43,6 +48,7 @@ class Options:
     shards: int = SHARDS
     pack_bytes: int = PACK_BYTES
     attempts: int = 5
+    slices: int = 1
 
 
 def normalised(headers: DataFrame) -> DataFrame:
@@ -136,9 +142,7 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
     numbers = sorted({n for *_, n in bundles})
     versions = with_version_columns(versioning.new_versions(numbered, held.versions)).withColumn("created_at", now)
     change.write("versions", held.versions.unionByName(versions.select(*held.versions.columns)).coalesce(1))
-    files = found.join(broadcast_if_small(numbered.select("bundle_name", "version_num", "version_id")), "bundle_name")
-    files = normalised(files).withColumns({"path_id": ids.path_id(F.col("absolute_path")), "content_id": ids.content_id(F.col("version_id"), F.col("absolute_path"))})
-    files = change.stage("files", files.select("version_num", "version_id", "bundle_name", "path_id", "content_id", "absolute_path", "content_hash", "byte_size", "body"))
+    files, declared, units = _staged(change, found, numbered, bundles, options)
     if len(numbers) < len(bundles):
         last = files.groupBy("version_num", "path_id").agg(F.max("bundle_name").alias("bundle_name"))
         files = files.join(change.stage("last", last), ["version_num", "path_id", "bundle_name"], "left_semi")
@@ -146,7 +150,9 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
     fresh = change.stage("fresh", fresh.select(*PATHS.names))
     change.write("paths", fresh, replace=False)
     key = ["version_num", "path_id", "content_id"]
-    declared = change.stage("declared", parser.declarations(files.select(*key, text.repair_utf8(F.col("body")).alias("text")), key))
+    if len(numbers) < len(bundles):
+        declared = declared.join(files.select("version_num", "path_id", "bundle_name"), ["version_num", "path_id", "bundle_name"], "left_semi")
+    declared = declared.drop("bundle_name")
     skipped = declared.where("orphaned").select(*key).distinct()
     good = files.join(broadcast_if_small(skipped), key, "left_anti").withColumn("blob_key", F.concat_ws("/", "version_id", F.substring("absolute_path", 2, 1 << 30)))
     narrow = good.select(*key, "bundle_name", "content_hash", "byte_size", "blob_key")
@@ -185,9 +191,50 @@ def _ingest(change: Change, found: DataFrame, releases: DataFrame, options: Opti
     presence.refresh(change, numbers)
     grams.refresh(change, numbers, fresh)
     change.commit([[b, v] for b, v, _ in bundles])
+    for unit in units:
+        change.storage.remove(unit)
     return {"versions": len(numbers), "files": counted["file_instances"].get["n"], "symbols": counted["symbols"].get["n"]}
 
 
+STAGED = ["bundle_name", "version_id", "path_id", "content_id", "absolute_path", "content_hash", "byte_size", "body"]
+
+
+def _read(found: DataFrame, named: DataFrame) -> DataFrame:
+    """Normalised files with their ids; ``named`` has (bundle_name, version_id)."""
+    files = normalised(found.join(broadcast_if_small(named), "bundle_name"))
+    return files.withColumns({"path_id": ids.path_id(F.col("absolute_path")), "content_id": ids.content_id(F.col("version_id"), F.col("absolute_path"))}).select(*STAGED)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    key = ["bundle_name", "version_id", "path_id", "content_id"]
+    return parser.declarations(files.select(*key, text.repair_utf8(F.col("body")).alias("text")), key)
+
+
+def _staged(change: Change, found: DataFrame, numbered: DataFrame, bundles: list[tuple[str, str, int]], options: Options) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Files and declarations of the bundles with their version numbers, read and parsed once; the journal's units among them."""
+    named = numbered.select("bundle_name", "version_id")
+    number = numbered.select("bundle_name", "version_id", "version_num")
+    if not options.resume or not bundles:
+        files = change.stage("files", _read(found, named))
+        declared, units = change.stage("declared", _parsed(files)), []
+    else:
+        units = []
+        slice_of = F.pmod(F.xxhash64("absolute_path"), F.lit(options.slices))
+        for bundle, version_id, _ in bundles:
+            name = hashlib.sha256(f"{bundle}\0{version_id}\0{options.max_files}".encode()).hexdigest()[:24]
+            for n in range(options.slices):
+                unit = f"_journal/{name}-{n}-of-{options.slices}"
+                units.append(unit)
+                if "_SUCCESS" in change.storage.names(f"{unit}/declared"):
+                    continue  # a finished write has this mark
+                mine = found.where((F.col("bundle_name") == bundle) & (slice_of == n))
+                _read(mine, named).write.mode("overwrite").parquet(f"{change.root}/{unit}/files")
+                _parsed(change.spark.read.parquet(f"{change.root}/{unit}/files")).write.mode("overwrite").parquet(f"{change.root}/{unit}/declared")
+        files, declared = (change.spark.read.parquet(*[f"{change.root}/{u}/{t}" for u in units]) for t in ("files", "declared"))
+    few = broadcast_if_small(number)
+    return files.join(few, ["bundle_name", "version_id"]), declared.join(few, ["bundle_name", "version_id"]).drop("version_id"), units
+
+
 def _refresh_latest(change: Change, numbers: list[int], reopened: list[int]) -> None:
     """Newest version of each path, for the buckets of paths that change alone.
 

@@ -115,6 +115,31 @@ def test_stream(spark, tmp_path):
     assert {r["symbol_type"]: r["n"] for r in spark.table("counts").collect()} == {"ivar": 1, "instance_method": 1}
 
 
+def test_a_bundle_in_parts_is_imported_once_it_is_whole(spark, tmp_path):
+    """Over three micro-batches, with a restart between them and a batch that comes again."""
+    import verdex.streaming.ingest as stream
+
+    out, root, schema = f"file://{tmp_path}/out", tmp_path / "drops", stream.DROPS
+
+    def drop(*rows):
+        spark.createDataFrame([(b, "1.0", u, p, bytearray(x), n) for b, u, p, x, n in rows], schema).coalesce(1).write.mode("append").parquet(str(root))
+
+    drop(("b1", "A", "x.h", A, 3), ("b2", "B", "q.h", A, 1))
+    watch(spark, str(root), out, str(tmp_path / "ck"), files_a_batch=1).awaitTermination(180)
+    assert files_of(spark, out) == [(1, "/q.h", A)]
+    drop(("b1", "A", "y.h", A, 3))
+    drop(("b1", "A", "y.h", B, 3))
+    watch(spark, str(root), out, str(tmp_path / "ck"), files_a_batch=1).awaitTermination(180)
+    assert open_catalog(spark, out).versions.count() == 1
+    late = spark.createDataFrame([("b1", "1.0", "A", "z.h", bytearray(C), 3)], schema)
+    assert stream.receive(late, 7, out, Options(allow_old=True)) == 1
+    whole = [(1, "/q.h", A), (2, "/x.h", A), (2, "/z.h", C)]
+    assert [f for f in files_of(spark, out) if f[1] != "/y.h"] == whole and (2, "/y.h", B) in files_of(spark, out)
+    assert not [p for p in (tmp_path / "out" / "_inbox").rglob("*.parquet")]
+    assert stream.receive(late, 7, out, Options(allow_old=True)) == 0  # its other parts are gone with the import
+    assert len(files_of(spark, out)) == 4
+
+
 def test_pack_places(spark):
     """A pack is closed before a body that would make it exceed the target, and after one that fills it."""
     import hashlib

@@ -539,3 +539,43 @@ def _view_blob(spark, sf_dir):
 def _ingest_versions(spark, sf_dir):
     """The releases that an import of the tree has numbered."""
     return treeviews.imported(spark, sf_dir).versions.drop("created_at")
+
+
+@query("parse_table_function", with_headers("select path_id, split_part(held,'|',1) owner_kind, split_part(held,'|',2) owner_name, symbol_type, symbol_key, line_no from declared where not orphaned", PARSE_SQL))
+def _parse_udtf(spark, sf_dir):
+    """All symbols of composed headers, by the table function."""
+    text_of = headers(spark, sf_dir)
+    return text_of.lateralJoin(parser.ParseHeader(F.col("text").outer())).drop("text")
+
+
+_TSV = "case when {c} is null then '\\N' else replace(replace(replace(replace({c}, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') end".format
+
+
+@query("tsv_lines", f"select {_TSV(c='cast(doc_id as varchar)')} || chr(9) || {_TSV(c='lang')} || chr(9) || {_TSV(c='text')} as line from documents")
+def _tsv(spark, sf_dir):
+    """All documents as tab-separated lines, written and read again."""
+    out = f"{treeviews.folder(spark)}/tsv"
+    sources.write_tsv(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
+
+
+@query("skip_upload_places", with_tree("select version_num, release || '|' || build || '/' || substr(absolute_path, 2) pack_object_key, cast(0 as bigint) pack_offset, cast(strlen(body) as bigint) pack_length from good"))
+def _skip_upload(spark, sf_dir):
+    """Where contents of an import without packs say that they lie."""
+    return treeviews.imported(spark, sf_dir, skip_upload=True).contents.select("version_num", "pack_object_key", "pack_offset", "pack_length")
+
+
+@query("run_counters", "select count(*) total, count(*) filter (l_linestatus='F') succeeded, count(*) filter (l_returnflag='A' and l_linestatus<>'F') skipped, count(*) filter (l_returnflag<>'A' and l_linestatus<>'F') failed from lineitem")
+def _counters(spark, sf_dir):
+    """Outcomes of jobs, counted."""
+    status = F.when(F.col("l_linestatus") == "F", "succeeded").when(F.col("l_returnflag") == "A", "skipped").otherwise("failed")
+    return sources.run_counters(_read(spark, sf_dir, "lineitem").select(status.alias("status")))
+
+
+@query("stream_import", with_tree("select version_num, absolute_path, md5(body) content_hash from good where bundle_name in ('B0__x', 'B2__x')"))
+def _stream(spark, sf_dir):
+    """What a stream of bundles in parts has imported: two bundles are whole, of the others a part is missing."""
+    c = treeviews.streamed(spark, sf_dir)
+    rows = c.file_instances.join(c.contents.select("version_num", "content_id", "content_hash"), ["version_num", "content_id"]).join(c.paths.select("path_id", "absolute_path"), "path_id")
+    named = c.versions.select("version_num", F.substring("bundle_name", 2, 1).cast("long").alias("bundle"))
+    return rows.join(F.broadcast(named), "version_num").select((F.col("bundle") + 1).alias("version_num"), "absolute_path", "content_hash")

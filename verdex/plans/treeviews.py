@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.functions.paths import absolute
-from verdex.plans.ingest import ingest, ingest_headers
+from verdex.plans.ingest import Options, ingest, ingest_headers
 from verdex.sources import headers
 from verdex.sources.catalog import Catalog, Change, open_catalog
 from verdex.sources.objects import write_objects
+from verdex.streaming.ingest import receive
 
 BUNDLES, BLOCK = 5, 1000
 
@@ -100,10 +101,10 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.choose_release(headers.read_metadata(headers.metadata_files(spark, f"{root}/files")), headers.bundles_of(spark, f"{root}/headers"))
 
 
-def imported(spark: SparkSession, sf_dir: str) -> Catalog:
+def imported(spark: SparkSession, sf_dir: str, **options: bool) -> Catalog:
     """The catalogue of the whole tree."""
     root = write(spark, sf_dir)
-    ingest(spark, f"{root}/headers", f"{root}/files", f"{root}/catalogue")
+    ingest(spark, f"{root}/headers", f"{root}/files", f"{root}/catalogue", Options(**options))
     return open_catalog(spark, f"{root}/catalogue")
 
 
@@ -119,6 +120,19 @@ def imported_again(spark: SparkSession, sf_dir: str) -> Catalog:
     return open_catalog(spark, out)
 
 
+def streamed(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalogue after three micro-batches with a third of each bundle's headers; odd bundles say that there is one more."""
+    root = folder(spark)
+    whole = files(spark, sf_dir)
+    sizes = whole.groupBy("bundle").agg((F.count(F.lit(1)) + F.col("bundle") % 2).alias("n_files"))
+    release, build = (F.col("bundle") + 1).cast("string"), F.lit("A")
+    drops = whole.join(F.broadcast(sizes), "bundle").select(bundle_name().alias("bundle_name"), release.alias("release"), build.alias("build"), "relative_path", F.col("text").cast("binary").alias("content"), "n_files")  # a row a bundle
+    third = F.pmod(F.xxhash64("relative_path"), F.lit(3))
+    for epoch in range(3):
+        receive(drops.where(third == epoch), epoch, f"{root}/catalogue", Options(allow_old=True))
+    return open_catalog(spark, f"{root}/catalogue")
+
+
 #: The same as SQL: files (bundle_name, absolute_path, text) and releases.
 TREE_SQL = f"""
 part0 as (select p_size % {BUNDLES} bundle, replace(p_brand,'#','') brand, p_partkey // {BLOCK} block, p_partkey from part),

@@ -12,6 +12,7 @@ Decoding maps ids to bytes and concatenates neighbours up a tree of small fan-in
 Nulls and empty texts encode to no ids, null ids decode to no bytes.  Rows that
 repeat are encoded alike, each for itself; an empty table gives none.  Repeated
 pieces, halves and pairs of ids come from bounded tables of a task; that changes the time only.
+Very long texts are encoded whole, one at a time in a task; long pieces are merged with a heap.
 """
 
 from __future__ import annotations

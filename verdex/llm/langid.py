@@ -15,6 +15,7 @@ the id picks whole texts.
 ``und`` (score 0) is predicted for null texts and texts without a letter, and for
 every text when there is nothing to learn from.  Languages that tie: the first by
 name.  Rows that repeat are predicted alike, each for itself; an empty table gives none.
+Of a very long text ``SLAB`` windows are scored at a time.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ components is lost, and a bucket of copies costs one pair a member.
 Defined results: a null or blank text has an empty set and links with nothing.
 Rows that repeat a doc_id are one document whose texts can each link; exact repeats
 change nothing.  Rows with a null doc_id cannot be named by a link: their component and
-kept are null.  Other columns of the input are not read.  An empty table gives none.
+kept are null.  Other columns of the input are not read.  An empty table gives none.  Very long texts are
+shingled whole; a task holds the set of one such text at a time.
 """
 
 from __future__ import annotations

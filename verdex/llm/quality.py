@@ -15,7 +15,8 @@ Texts that are null or without tokens get the score of the bias alone.  A score
 the threshold is predicted 1.  A text that comes with several labels is learnt once for
 each; the queries give one, the greatest.  Rows that repeat are scored alike, each for
 itself, whatever their batch; an empty table gives none, and without labelled rows the
-score is that of no knowledge, 0.5.
+score is that of no knowledge, 0.5.  Very long texts are scored whole; an operator cuts its
+batches by bytes, so a task holds one such text at a time.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ the labelled texts is scored with the counts of the other half.
 Nulls, empty texts and texts without words have no segment and get the lowest
 evidence.  A score ties with the threshold on the toxic side.  A text that has several
 labels is learnt once for each row given; rows that repeat are scored alike, each for
-itself; an empty table gives none, and without both labels nothing is toxic.
+itself; an empty table gives none, and without both labels nothing is toxic.  Very long texts
+are read and scored whole, one at a time in a task.
 """
 
 from __future__ import annotations

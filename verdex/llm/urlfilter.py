@@ -9,7 +9,8 @@ URL fetch candidates, and only those run their regular expressions.
 
 Site rules (host and path prefix, longest wins) come before pattern rules (the
 first listed wins); a URL that no rule fits gets the default verdict.
-Null URLs and URLs without ``://`` have an empty host and path and fit no rule.
+Null URLs and URLs without ``://`` have an empty host and path and fit no rule.  Very long
+URLs are read whole.  Rows that repeat are judged alike, each for itself; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -206,12 +206,13 @@ def planted(seed=6):
     return docs + [(90, None), (91, ""), (92, items[5][1]), (92, items[5][1]), (93, " ".join(items[6][1].split()[:-3]))], items
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 60])
-def test_decontamination_equals_brute_force(spark, block_words):
+@pytest.mark.parametrize("sent_words", [1_000_000, 60])
+def test_decontamination_equals_brute_force(spark, sent_words):
+    """By either way: the benchmark goes to the workers, or is joined as a table."""
     docs, items = planted()
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, matches int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontam.matches(frame, bench, block_words=block_words).collect()
+    rows = decontam.matches(frame, bench, sent_words=sent_words).collect()
     assert len(rows) == len(docs)
     got = {(r["doc_id"], m["item_id"]): round(m["similarity"], 9) for r in rows for m in r["matches"]}
     assert got == brute_matches(docs, items)

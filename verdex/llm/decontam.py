@@ -19,9 +19,12 @@ none is missed, windows beyond the radius, and these alone, are verified, too, i
 have as many of an item's shingles as the threshold asks for; sliding counts make that
 linear in the text.  Shingles have ``shingle`` words, or all words of a shorter item.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words.  Usually it is one
-block, which goes with one pass over the documents.  Of more blocks the driver holds
-one at a time; each has a pass of its own, whose matches are written down by row.
+A benchmark of up to ``SENT_WORDS`` words goes to the workers, which read the documents once.
+A larger one stays a table, and the documents are read once as well: those of their
+shingles that may be the benchmark's (a bit set of 32 MB at most says so) meet each item's
+rarest shingles.  A window that reaches the threshold holds at least that share of an
+item's shingles, so it holds one of the rarest that make up the rest, and pairs that share
+common shingles alone never meet.  Each document found gets its own items to be matched with.
 
 Null and blank texts match nothing; items without words are skipped.  Rows that repeat are
 matched each for itself; an item_id that repeats counts once a row of it.  Of
@@ -41,17 +44,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm.common import Scratch, append_columns, if_small, materialize
+from verdex.llm.collocations import HashSet, hash_set
+from verdex.llm.common import Scratch, append_columns, if_small, map_batches, materialize, slices
 from verdex.llm.minhash import mix
 
 WORDS = re.compile(r"\w+")
 RADIUS = 16
 BLOCKS = 8
-BLOCK_WORDS = 1_000_000
+SENT_WORDS = 1_000_000
 CACHED_WORDS = 100_000
 SCREEN_BITS = 20
 #: Window starts that are fingerprinted at once.
@@ -263,26 +267,67 @@ MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.St
 KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of bounded size; one block is on the driver at a time."""
-    block, words = [], 0
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null").orderBy("item", "text")
-    for row in rows.toLocalIterator():
-        n = len(WORDS.findall(row["text"]))
-        if block and words + n > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row["item"], row["text"]))
-        words += n
-    if block:
-        yield block
-
-
-def match_block(docs: DataFrame, block: list[tuple[object, str]], text: str, out: str, shingle: int, percent: int, keep: list[str]) -> DataFrame:
-    """Add the matches with the items of one block."""
+def sent_items(items: DataFrame, most: int) -> list[tuple[object, str]] | None:
+    """The (item, text) rows, None if they have over ``most`` words; no more than that reaches the driver."""
+    held, words = [], 0
+    for row in items.orderBy("item", "text").toLocalIterator():
+        words += len(WORDS.findall(row["text"]))
+        held.append((row["item"], row["text"]))
+        if words > most and len(held) > 1:
+            return None
+    return held
+
+
+def shingle_rows(rows: DataFrame, key: str, sizes: list[int] | None, shingle: int, known: HashSet | None) -> DataFrame:
+    """(key, hash, n): distinct shingles of each text with their counts; of all ``sizes``, or of the size that an item of that length has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = WordHashes().__getitem__
+        for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
+            for at, text in zip(*(part.column(i).to_pylist() for i in range(2))):
+                words = WORDS.findall(text.lower()) if text else []
+                if not words:
+                    continue
+                flat = np.fromiter(map(get, words), np.uint64, len(words))
+                with np.errstate(over="ignore"):
+                    found = np.concatenate([shingles(flat, k) for k in (sizes or [min(shingle, len(words))])])
+                if known is not None:
+                    found = found[known.has(found)]
+                if len(found):
+                    hashes, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(hashes), pa.int64()), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=[key, "hash", "n"])
+
+    return map_batches(rows, run, f"{key} long, hash long, n long")
+
+
+def listed(rows: DataFrame, items: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(__row, __items): for each document row the (item, text) that it may hold, by shared rare shingles."""
+    items = materialize(items.withColumn("at", F.monotonically_increasing_id()), "items")
+    sizes = list(range(1, shingle + 1))  # items of fewer words have shorter shingles
+    bags = materialize(shingle_rows(items.select("at", "text"), "at", None, shingle, None), "bags")
+    known = hash_set(bags.select("hash").distinct())
+    hits = materialize(shingle_rows(rows, "__row", sizes, shingle, known).select("__row", "hash"), "hits")
+    # An item's rarest shingles, as many as it can lack and one more.
+    often = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    ranked = bags.join(often, "hash")
+    whole = bags.groupBy("at").agg(F.sum("n").alias("whole"))
+    rarest = Window.partitionBy("at").orderBy("often", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    absent = F.coalesce(F.sum("n").over(rarest), F.lit(0))
+    ranked = ranked.join(whole, "at")
+    present = F.sum("n").over(Window.partitionBy("at"))
+    lacked = F.col("whole") - F.ceil((F.col("whole") * percent - 1e-6) / 100)  # shingles that a match may lack
+    # Shingles that stand in no document are lacked already.
+    chosen = ranked.withColumn("before", absent + F.col("whole") - present).where(F.col("before") <= lacked).select("hash", "at")
+    pairs = hits.join(materialize(chosen, "rarest"), "hash").select("__row", "at").distinct()
+    texts = pairs.join(items.select("at", "item", "text"), "at")
+    return texts.groupBy("__row").agg(F.collect_list(F.struct("item", "text")).alias("__items"))
+
+
+def match_items(docs: DataFrame, items: list[tuple[object, str]], text: str, out: str, shingle: int, percent: int, keep: list[str]) -> DataFrame:
+    """Add the matches with items that go to the workers."""
 
     def make():
-        matcher = Matcher(block, shingle, percent)
+        matcher = Matcher(items, shingle, percent)
         return lambda texts: [pa.array(matcher(texts), KIND)]
 
     return append_columns(docs, make, [T.StructField(out, MATCHES)], on=text, keep=keep)
@@ -297,25 +342,28 @@ def matches(
     out: str = "matches",
     shingle: int = 5,
     percent: int = 80,
-    block_words: int = BLOCK_WORDS,
+    sent_words: int = SENT_WORDS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add to each row the benchmark items that a window of its text reaches, with the best window."""
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    blocks = item_blocks(items, item_id, item_text, block_words)
-    block, another = next(blocks, []), next(blocks, None)
-    if another is None:
-        return match_block(docs, block, text, out, shingle, percent, carried)
+    bench = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    sent = sent_items(bench, sent_words)
+    if sent is not None:
+        return match_items(docs, sent, text, out, shingle, percent, carried)
     kept = list(dict.fromkeys([*carried, text]))
     with Scratch(docs.sparkSession) as scratch:
-        # Rows get a number, under which each block's matches are written down.
         rows = scratch.keep(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("__row")), "numbered")
-        found = None
-        for block in itertools.chain([block, another], blocks):
-            got = match_block(rows, block, text, "__matches", shingle, percent, ["__row"]).where(F.size("__matches") > 0)
-            got = materialize(got.select("__row", F.explode("__matches").alias("m")), "matches")
-            found = got if found is None else found.unionByName(got)
-        by_item = F.sort_array(F.collect_list(F.struct(F.col("m.item_id").isNull().alias("none"), "m.item_id", "m.first_word", "m")))
-        listed = scratch.keep(found.groupBy("__row").agg(F.transform(by_item, lambda x: x["m"]).alias("__matches")), "found")
-    joined = rows.join(if_small(listed, weight=F.size("__matches")), "__row", "left")
+        wanted = materialize(listed(rows.select("__row", F.col(f"`{text}`")), bench, shingle, percent), "wanted")
+        asked = rows.select("__row", F.col(f"`{text}`").alias("text")).join(wanted, "__row")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in itertools.chain.from_iterable(slices(b, 1) for b in batches):
+                for at, body, own in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    mine = Matcher(sorted(((x["item"], x["text"]) for x in own), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), shingle, percent)([body])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array(mine, KIND)], names=["__row", "__matches"])
+
+        schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__matches", MATCHES)])
+        found = scratch.keep(map_batches(asked, run, schema).where(F.size("__matches") > 0), "found")
+    joined = rows.join(if_small(found, weight=F.size("__matches")), "__row", "left")
     return joined.select(*[F.col(f"`{c}`") for c in carried], F.coalesce("__matches", F.array().cast(MATCHES)).alias(out))

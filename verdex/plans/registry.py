@@ -134,6 +134,17 @@ on_catalog("dict_left_lookup", f"select path_id, version_num, version_id from fi
 on_catalog("dict_semi", f"select path_id, version_num from file_instances where version_num in (select version_num from {_FEW})")(lambda c: lookups.known(c.file_instances, c.versions.where("version_num <= 4"), "version_num").select("path_id", "version_num"))
 on_catalog("new_paths_antijoin", "select path_id, absolute_path from paths where path_id in (select path_id from file_instances where version_num=7) and path_id not in (select path_id from file_instances where version_num=1)")(lambda c: versioning.new_paths(c.paths.join(c.file_instances.where("version_num = 7").select("path_id"), "path_id", "left_semi"), c.file_instances.where("version_num = 1")))
 on_catalog("new_versions_antijoin", "select version_num, version_id from versions where version_num not in (2,5)")(lambda c: versioning.new_versions(c.versions, c.versions.where("version_num in (2, 5)")).select("version_num", "version_id"))
+_TWICE = "select path_id, absolute_path p from paths union all select path_id, '/a' || absolute_path from paths"
+
+
+@on_catalog("paths_upsert", f"select path_id, max(p) absolute_path from ({_TWICE}) where path_id % 3 <> 0 group by 1")
+def _upsert(c):
+    """Paths that the table lacks, one row an id of several."""
+    rows = c.paths.select("path_id", "absolute_path")
+    twice = rows.unionByName(rows.select("path_id", F.concat(F.lit("/a"), "absolute_path").alias("absolute_path")))
+    return versioning.new_paths(twice, rows.where("path_id % 3 = 0"))
+
+
 on_catalog("path_derived_columns", "select path_id, path_lc, file_name, file_name_lc, dir_path, dir_name, dir_name_lc from paths")(lambda c: c.paths.drop("absolute_path"))
 on_catalog("path_depth", "select path_id, cast(len(list_filter(string_split(absolute_path,'/'), lambda s: s<>'')) as bigint) depth from paths")(lambda c: c.paths.select("path_id", paths.depth(F.col("absolute_path")).alias("depth")))
 

@@ -49,7 +49,7 @@ def test_stages(spark, small):
 def test_run_and_registration(spark, small):
     out = __spark_entry__.queries()["pipeline"](spark, small)
     assert out.count() > 0 and "n_tokens" in out.columns
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in __spark_entry__.queries())
 
 

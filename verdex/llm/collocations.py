@@ -45,7 +45,7 @@ CUT_BYTES = 4 << 20
 #: Positions of a block, a power of two and the bits of a mask.
 WIDTH, SHIFT = 16, 4
 #: Blocks of first words that are extended at once.
-RUN = 1 << 17
+RUN = 1 << 15
 #: Rows of a result batch.
 OUT_ROWS = 1 << 16
 #: Bits of a set of hashes: so many a member, at most 2 ** 28 (32 MB).

@@ -72,7 +72,7 @@ def ordered(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     turns = conversations.where(c.isNotNull()).select(c.alias("conv_id"), t.alias("turn"), turn_key(r, x).alias("key"), F.coalesce(F.length(x), F.lit(0)).cast("long").alias("chars"))
     by = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("key")]
     ranked = materialize(numbered(turns.repartitionByRange(*by).sortWithinPartitions(*by), "rank", "ranked").drop("turn"), "places")
-    starts = ranked.groupBy("conv_id").agg(F.min("rank").alias("start"))
+    starts = materialize(ranked.groupBy("conv_id").agg(F.min("rank").alias("start")), "starts")
     return materialize(ranked.join(starts, "conv_id").select("conv_id", (F.col("rank") - F.col("start")).alias("pos"), "key", "chars"), "turns")
 
 
@@ -138,7 +138,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> Trie:
     """
     with Scratch(turns.sparkSession) as scratch:
         rows = paths(blocks(turns), convs)
-        nodes = rows.groupBy("name").agg(F.min("conv_id").alias("head"), F.count(F.lit(1)).alias("n_convs"))
+        nodes = materialize(rows.groupBy("name").agg(F.min("conv_id").alias("head"), F.count(F.lit(1)).alias("n_convs")), "nodes")
         headed = materialize(rows.join(nodes, "name"), "headed")
         is_head = F.col("head") == F.col("conv_id")
         members = headed.groupBy("conv_id").agg(

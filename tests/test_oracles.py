@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from verdex.operators import search
 from verdex.plans import registry, testviews
 
 
@@ -64,3 +65,9 @@ def shared_contents(duck, tmp_path_factory):
 )
 def test_versions_that_share_contents(spark, shared_contents, name):
     assert same_as_sql(spark, *shared_contents, name)
+
+
+def test_entries_of_a_directory_beyond_the_listings_limit(spark, duck, tmp_path):
+    copies = "select * replace ({0} + k * 1000 as {0}) from {1}, range(400) r(k) where {0} in (select p_partkey from part where p_brand = 'Brand#12')"
+    own = write_parts(duck, tmp_path, copies.format("p_partkey", "part"), copies.format("l_partkey", "lineitem"))
+    assert len(same_as_sql(spark, tmp_path, own, "file_entries")) > search.LISTING_HITS

@@ -186,8 +186,10 @@ def files_page(c: Catalog, version_num: int, directory: str, page_size: int, cur
     return out.select(F.col("pos").cast("long").alias("pos"), "file.version_num", "file.version_id", "file.path_id", "file.absolute_path", "file.file_size_bytes", "has_prev", "has_next", "prev_cursor", "next_cursor")
 
 
-def files_in_directory(c: Catalog, version_num: int, directory: str, limit: int = LISTING_HITS) -> DataFrame:
-    return _listing(c, version_num, directory).orderBy("absolute_path", "path_id").limit(limit)
+def files_in_directory(c: Catalog, version_num: int, directory: str, limit: int | None = LISTING_HITS) -> DataFrame:
+    """The first files by path; all of them where there is no limit."""
+    rows = _listing(c, version_num, directory).orderBy("absolute_path", "path_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def versions_for_path(c: Catalog, path_id: int) -> DataFrame:

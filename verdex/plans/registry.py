@@ -440,7 +440,7 @@ _ENTRIES = "select path_id, absolute_path, file_name, dir_path parent_path, dir_
 @on_catalog("file_entries", _ENTRIES, f"files as ({_LISTING})", _ALL_IDS)
 def _entries(c):
     """Listing entries of a whole directory."""
-    return view.file_entries(search.files_in_directory(c, VERSION, DIRECTORY), pages.version_ids(search.instances_with_versions(c)))
+    return view.file_entries(search.files_in_directory(c, VERSION, DIRECTORY, limit=None), pages.version_ids(search.instances_with_versions(c)))
 
 
 on_catalog("search_service_directories", "select dir_name, min(dir_path) sample_dir_path from paths where starts_with(dir_name_lc,'brand1') group by 1 order by 1 limit 30")(lambda c: pages.run_search(c, " Brand1 ")[0])

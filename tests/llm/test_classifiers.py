@@ -321,3 +321,22 @@ def test_sample_is_bounded(spark):
 
     assert 800 < quality.hash_sample(rows, "id", [(F.lit(1), 1000)]).count() < 1200
     assert quality.hash_sample(rows.limit(50), "id", [(F.lit(1), 1000), (F.length("text"), 60)]).count() == 50
+
+
+def test_toxicity_hashes_what_decides_a_word_and_keeps_newer_words(monkeypatch):
+    """One hash for a known word, beginnings only for others; a full cache keeps its newer half."""
+    digest, asked = toxicity.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(toxicity.xxhash, "xxh64_intdigest", lambda t, seed: asked.append(t) or digest(t, seed=seed))
+    known = {"hatred": 2.0, "hatr*": 1.5, "hatre*": 1.25, "kindly*": -3.0, "kind*": -2.0}
+    pairs = sorted((digest(t, seed=42), v) for t, v in known.items())
+    table = toxicity.Scores(np.array([h for h, _ in pairs], np.uint64), np.array([v for _, v in pairs]))
+    words = ["hatred", "hatreds", "kindly", "kindlyness", "hatr", "other", "a"]
+    assert table.scores(words).tolist() == [2.0, 1.25, -2.0, -3.0, -toxicity.DRIFT, -toxicity.DRIFT, -toxicity.DRIFT]
+    assert asked.count("hatred") == 1 and asked.count("hatr*") == 0 and asked.count("kind*") == 1 and asked.count("othe*") == 1
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 4)
+    held = toxicity.WordScores(table)
+    for text in (["a", "b", "c", "Hatred"], ["d", "e"]):
+        held.of(text)
+    asked.clear()
+    assert held.of(["Hatred", "c", "e", "f"]).tolist() == [2.0, -1.0, -1.0, -1.0]
+    assert asked == ["f"] and len(held) <= 6

@@ -39,7 +39,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,18 +66,9 @@ PREFIXES = (4, 5, 6)
 BINS, BIN = 400, 0.1
 
 
-def token_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each lower-case word's tokens, shortest beginning first and the word last, and which of them are tokens.
-
-    A word that is no longer than a beginning stands there itself, which is no token of its own.  Hashes are Spark's xxhash64.
-    """
-
-    def digests(tokens: Iterator[str]) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in tokens), np.uint64, len(words))
-
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    own = np.stack([*(sizes > k for k in PREFIXES), np.ones(len(words), bool)], axis=1)
-    return np.stack([*(digests(w[:k] + "*" for w in words) for k in PREFIXES), digests(iter(words))], axis=1), own
+def token_hashes(tokens: Iterable[str], n: int) -> np.ndarray:
+    """Hashes of ``n`` lower-case tokens: Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in tokens), np.uint64, n)
 
 
 @dataclass
@@ -89,13 +80,18 @@ class Scores:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-odds of lower-case words less the drift: that of the word, or of its longest known beginning, or of the prior."""
-        hashes, own = token_hashes(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         out, left = np.full(len(words), -DRIFT), np.ones(len(words), bool)
-        for k in reversed(range(len(PREFIXES) + 1)):
-            at = np.minimum(np.searchsorted(self.hashes, hashes[:, k]), len(self.hashes) - 1)
-            hit = left & own[:, k] & (self.hashes[at] == hashes[:, k])
-            out[hit] = self.values[at[hit]]
-            left &= ~hit
+        # Beginnings are hashed where nothing longer is known; a word that is no longer than a beginning does not have it.
+        for k in (None, *reversed(PREFIXES)):
+            asked = np.flatnonzero(left if k is None else left & (sizes > k))
+            if not len(asked):
+                continue
+            hashes = token_hashes(words if k is None else (words[i][:k] + "*" for i in asked.tolist()), len(asked))
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            out[asked[hit]] = self.values[at[hit]]
+            left[asked[hit]] = False
         return out
 
 
@@ -115,13 +111,18 @@ class WordScores(dict):
     def of(self, words: list[str]) -> np.ndarray:
         if self.table is None:
             return np.full(len(words), -DRIFT)
-        fresh = [w for w in set(words) if w not in self]
-        if fresh:
-            if len(self) >= CACHED_WORDS:
+        got = list(map(self.get, words))
+        missing = [i for i, s in enumerate(got) if s is None]
+        if missing:
+            fresh = list(dict.fromkeys(words[i] for i in missing))
+            if len(self) >= CACHED_WORDS:  # the newer ones stay
+                newest = dict(itertools.islice(self.items(), len(self) - CACHED_WORDS // 2, None))
                 self.clear()
-                fresh = list(set(words))
+                self.update(newest)
             self.update(zip(fresh, self.table.scores(list(map(str.lower, fresh))).tolist()))
-        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+            for i in missing:
+                got[i] = self[words[i]]
+        return np.array(got, np.float64)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
